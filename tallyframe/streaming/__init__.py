@@ -1,0 +1 @@
+"""Intentionally empty: every table of this workload is a complete batch, so there is no stream to process."""
