@@ -28,8 +28,12 @@ def star_join(subject: DataFrame, rollups: Iterable[DataFrame], on: Sequence[str
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``left`` whose key occurs in ``right``."""
-    return left.join(right.select(*on), list(on), "left_semi")
+    """Rows of ``left`` whose key occurs in ``right``.
+
+    The right keys are made distinct first: that happens on the map side, so a key that fills a
+    large part of ``right`` is shuffled once per task.
+    """
+    return left.join(right.select(*on).distinct(), list(on), "left_semi")
 
 
 def bind_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -43,4 +47,4 @@ def set_difference(
     """Distinct rows of ``left`` that ``right`` lacks; with a unique ``key`` only the key is compared."""
     if key is None:
         return left.subtract(right)
-    return left.join(right.select(*key), list(key), "left_anti")
+    return left.join(right.select(*key).distinct(), list(key), "left_anti")
