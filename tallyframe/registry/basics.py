@@ -14,6 +14,7 @@ from tallyframe.registry.bindings import (
     ORDER_MONTH,
     STATUS,
     cents,
+    steps,
     with_bound,
 )
 from tallyframe.registry.core import query, rounded
@@ -451,19 +452,24 @@ def _(t):
     return aggregate.fan_out(_measures(t), ["user_id"], ["amount", "day"], aggregate.SUM_MEAN)
 
 
+STEP_GAP = f"CASE WHEN l_linenumber = 7 THEN NULL ELSE {steps('l_extendedprice')} END"
+
+
 @query(
     "two_level_agg",
-    "SELECT o_custkey, ROUND(SUM(m), 2) AS price_sum, ROUND(AVG(m), 2) AS price_mean,"
+    "SELECT o_custkey, SUM(m) AS price_sum, AVG(m) AS price_mean,"
     " CAST(SUM(n) AS BIGINT) AS lines FROM (SELECT o_custkey, l_orderkey,"
-    f" {strict_sql('AVG', 'price')} AS m, COUNT(*) AS n FROM (SELECT * FROM ({GAPS}) JOIN orders"
-    " ON l_orderkey = o_orderkey) GROUP BY 1, 2) GROUP BY o_custkey",
+    f" {strict_sql('AVG', 'price')} AS m, COUNT(*) AS n FROM (SELECT o_custkey, l_orderkey,"
+    f" {STEP_GAP} AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1, 2)"
+    " GROUP BY o_custkey",
 )
 def _(t):
     # Lines are rolled up to orders before they meet the orders table.
-    per_order = _gaps(t).groupBy("l_orderkey").agg(
+    lines = t.lineitem.selectExpr("l_orderkey", f"{STEP_GAP} AS price")
+    per_order = lines.groupBy("l_orderkey").agg(
         A.strict_mean("price").alias("m"), A.row_count().alias("n")
     )
-    out = (
+    return (
         t.orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
         .groupBy("o_custkey")
         .agg(
@@ -472,7 +478,6 @@ def _(t):
             F.sum("n").alias("lines"),
         )
     )
-    return rounded(out, ["price_sum", "price_mean"], 2)
 
 
 @query(

@@ -1,7 +1,8 @@
 """The history tables of the workload, derived column by column from the given tables.
 
 The formulas use only syntax common to Spark SQL and DuckDB, so one text feeds the query and its
-check. Amounts are whole cents held as doubles: their sums are exact in any order. NULLs, zero
+check. Amounts are whole numbers held as doubles, so their sums are exact in any order; where means
+are summed again, they are multiples of ``STEP``, so that the means are whole too. NULLs, zero
 divisors and the day sentinel are put in on purpose, since the given tables have none.
 """
 
@@ -14,6 +15,14 @@ def cents(x: str) -> str:
     return f"CAST(FLOOR(({x}) * 100 + 0.5) AS DOUBLE)"
 
 
+STEP = 12252240  # divisible by every number up to 18
+
+
+def steps(x: str) -> str:
+    """The amount in whole units, in multiples of ``STEP``: its mean over up to 18 rows is exact."""
+    return f"CAST(FLOOR({x}) * {STEP} AS DOUBLE)"
+
+
 def real(x: str) -> str:
     return f"CAST({x} AS DOUBLE)"
 
@@ -125,7 +134,7 @@ CARD_SNAPSHOTS = {
     **{
         m: real(
             f"CASE WHEN event_id % {41 + i} = 0 THEN NULL"
-            f" ELSE {cents('value')} + {i} * (event_id % 7) END"
+            f" ELSE {steps('value')} + {i * STEP} * (event_id % 7) END"
         )
         for i, m in enumerate(CARD_MEASURES)
     },
@@ -136,8 +145,8 @@ INSTALMENT_PAYMENTS = {
     "SK_ID_PREV": "l_orderkey",
     "NUM_INSTALMENT_NUMBER": real("l_linenumber"),
     "NUM_INSTALMENT_VERSION": real("CASE WHEN l_quantity = 50 THEN NULL ELSE l_linenumber END"),
-    "AMT_INSTALMENT": cents("l_extendedprice"),
-    "AMT_PAYMENT": f"CASE WHEN l_linenumber = 7 THEN NULL ELSE {cents('l_extendedprice * (1 - l_discount)')} END",
+    "AMT_INSTALMENT": steps("l_extendedprice"),
+    "AMT_PAYMENT": f"CASE WHEN l_linenumber = 7 THEN NULL ELSE {steps('l_extendedprice * (1 - l_discount)')} END",
 }
 
 SUBJECT = {

@@ -132,7 +132,7 @@ def _(t):
     return profile.level_rates(df, "TARGET", dummies)
 
 
-@query("rate_all_discrete", rates_sql(["AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_3"]))
+@query("rate_all_discrete", rates_sql(["AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]))
 def _(t):
     df = _labelled(t)
     discrete = profile.columns_of_kind(profile.column_kinds(df), "discrete", exclude=["TARGET"])

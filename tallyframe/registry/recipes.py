@@ -215,7 +215,7 @@ PAID_LOANS = (
 INSTALMENTS = (
     "SELECT SK_ID_CURR, "
     + ", ".join(
-        f"ROUND(COALESCE(SUM({c}), 0), 2) AS {c}_SUM, ROUND(AVG({c}), 2) AS {c}_MEAN"
+        f"COALESCE(SUM({c}), 0) AS {c}_SUM, AVG({c}) AS {c}_MEAN"
         for c in INSTALMENT_NAMES
     )
     + " FROM paid_loans GROUP BY SK_ID_CURR"
@@ -223,8 +223,7 @@ INSTALMENTS = (
 
 
 def instalments(t):
-    out = features.instalment_features(t.bound("instalment_payments"))
-    return rounded(out, [c for c in out.columns if c != "SK_ID_CURR"], 2)
+    return features.instalment_features(t.bound("instalment_payments"))
 
 
 @query(
@@ -250,15 +249,14 @@ CARD_LOANS = (
 CARDS = (
     "SELECT SK_ID_CURR, "
     + ", ".join(
-        f"ROUND(COALESCE(SUM({m}_{p}), 0), 2) AS {m}_{p}" for m in CARD_MEASURES for p in S.PERIODS
+        f"COALESCE(SUM({m}_{p}), 0) AS {m}_{p}" for m in CARD_MEASURES for p in S.PERIODS
     )
     + " FROM card_loans GROUP BY SK_ID_CURR"
 )
 
 
 def cards(t):
-    out = features.card_features(t.bound("card_snapshots"), EVENT_SHORT, EVENT_MID)
-    return rounded(out, [c for c in out.columns if c != "SK_ID_CURR"], 2)
+    return features.card_features(t.bound("card_snapshots"), EVENT_SHORT, EVENT_MID)
 
 
 @query("card_features", with_bound("card_snapshots", card_loans=CARD_LOANS, then=CARDS))
