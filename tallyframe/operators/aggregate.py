@@ -61,14 +61,16 @@ def sum_all(df: DataFrame, keys: Iterable[str], exclude: Iterable[str] = ()) ->
 def frequency_table(df: DataFrame, column: str, digits: int | None = None) -> DataFrame:
     """Rows per level with their share, and the share among non-missing levels (NULL for the missing one).
 
-    The totals are scalar subqueries over the grouped counts, so the input is read once and
-    there is no join.
+    The totals are a scalar subquery over the same grouped counts, whose shuffle is reused: the
+    input is read once and there is no join.
     """
+    present = F.col(column).isNotNull()
     freq = df.groupBy(column).agg(A.row_count().alias("n"))
-    total = freq.agg(F.sum("n")).scalar()
-    valid = freq.filter(F.col(column).isNotNull()).agg(F.sum("n")).scalar()
-    share = F.col("n") / total
-    valid_share = F.when(F.col(column).isNotNull(), F.col("n") / valid)
+    totals = freq.agg(
+        F.struct(F.sum("n").alias("all"), F.sum(F.when(present, F.col("n"))).alias("valid"))
+    ).scalar()
+    share = F.col("n") / totals["all"]
+    valid_share = F.when(present, F.col("n") / totals["valid"])
     if digits is not None:
         share, valid_share = F.bround(share, digits), F.bround(valid_share, digits)
     return freq.select(column, "n", share.alias("percent"), valid_share.alias("valid_percent"))

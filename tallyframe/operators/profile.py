@@ -129,9 +129,19 @@ def level_rates(df: DataFrame, target: str, variables: Sequence[str]) -> DataFra
         ),
     )
     counts = long.groupBy("variable", "valor").agg(
-        A.row_count().alias("n"), F.sum("__target").alias("positives")
+        A.row_count().alias("n"),
+        F.sum("__target").alias("positives"),
+        F.count("__target").alias("known"),
     )
-    overall = df.agg(F.try_divide(F.sum(target).cast("double"), F.count(target))).scalar()
+    # Every variable covers all rows, so any one of them gives the overall rate; no filter, so that
+    # the subquery reuses the shuffle of the counts.
+    first = F.col("variable") == variables[0]
+    overall = counts.agg(
+        F.try_divide(
+            F.sum(F.when(first, F.col("positives"))).cast("double"),
+            F.sum(F.when(first, F.col("known"))),
+        )
+    ).scalar()
     return counts.select(
         "variable",
         "valor",
@@ -161,6 +171,25 @@ def count_and_rate(df: DataFrame, target: str, variables: Sequence[str]) -> Data
     return wide.select("variable", "valor", F.inline(rows))
 
 
+def profile_levels(df: DataFrame, id_col: str, target: str) -> DataFrame:
+    """Count and target rate of every level of every dummy, discrete or text column, in one job."""
+    kinds = column_kinds(df)
+    names = [
+        c
+        for c, k in kinds.items()
+        if c not in (id_col, target) and (k["dummy"] or k["discrete"] or k["character"])
+    ]
+    return count_and_rate(df, target, names)
+
+
+def profile_continuous(
+    df: DataFrame, id_col: str, target: str, upper_anchor: str = "q1"
+) -> DataFrame:
+    """The three views of every continuous column, in one job."""
+    names = columns_of_kind(column_kinds(df), "continuous", exclude=[id_col, target])
+    return continuous_views(df, target, names, [id_col], upper_anchor)
+
+
 def missing_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing-value percentage of each column, long form, from one aggregate."""
     row = df.agg(*[A.missing_share(c).alias(c) for c in selectors.one_of(df, columns)])
@@ -169,12 +198,15 @@ def missing_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def cells_long(
     df: DataFrame, variables: Sequence[str], keep: Sequence[str] = (), buckets: int | None = None
-) -> DataFrame:
-    """(keep..., variable, valor, bucket) with each variable cut into ranges on its own scale."""
-    found = ordered.sketch(df, variables, buckets)
+) -> tuple[DataFrame, int]:
+    """(keep..., variable, valor, bucket) with each variable cut into ranges on its own scale.
+
+    Also gives an upper estimate of the number of (keep..., variable) groups.
+    """
+    found = ordered.sketch(df, variables, buckets, keep)
     for i, v in enumerate(variables):
         df = ordered.range_bucket(df, v, found.cuts(v), f"__b{i}")
-    return df.select(
+    long = df.select(
         *keep,
         F.inline(
             F.array(
@@ -189,6 +221,7 @@ def cells_long(
             )
         ),
     )
+    return long, 2 * found.groups * len(variables)
 
 
 def fences(
@@ -199,13 +232,9 @@ def fences(
     ``upper_anchor="q1"`` measures the upper fence from the lower quartile, as the original recipe
     does; ``"q3"`` is the textbook rule.
     """
+    long, groups = cells_long(df, variables, buckets=buckets)
     quartiles = ordered.exact_quantiles(
-        cells_long(df, variables, buckets=buckets),
-        ["variable"],
-        "valor",
-        [0.25, 0.75],
-        cell="bucket",
-        groups=len(variables),
+        long, ["variable"], "valor", [0.25, 0.75], cell="bucket", groups=groups
     )
     spread = FENCE_FACTOR * (F.col("q1") - F.col("q0"))
     anchor = {"q1": F.col("q0"), "q3": F.col("q1")}[upper_anchor]
@@ -273,29 +302,36 @@ def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     return F.least(raw, F.lit(bins - 1)).cast("int")
 
 
+def _class_moments(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return long.groupBy(*keys).agg(
+        F.stddev_samp("valor").alias("sd"), F.min("valor").alias("lo"), F.max("valor").alias("hi")
+    )
+
+
 def class_histogram(
-    df: DataFrame, target: str, variables: Sequence[str], bins: int = DENSITY_POINTS
+    df: DataFrame,
+    target: str,
+    variables: Sequence[str],
+    bins: int = DENSITY_POINTS,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     """Rows per (variable, class, equal-width bin over the variable's whole range)."""
     variables = selectors.one_of(df, variables)
-    doubles = df.select(target, *[F.col(v).cast("double").alias(v) for v in variables])
-    ends = doubles.agg(
-        *[F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias(v) for v in variables]
-    ).unpivot([], list(variables), "variable", "ends")
+    long = reshape.gather(
+        df.select(target, *[F.col(v).cast("double").alias(v) for v in variables]), variables
+    )
+    if moments is None:
+        moments = _class_moments(long, ["variable", target])
+    ends = moments.groupBy("variable").agg(F.min("lo").alias("low"), F.max("hi").alias("high"))
     return (
-        reshape.gather(doubles, variables)
-        .filter(F.col("valor").isNotNull())
+        long.filter(F.col("valor").isNotNull())
         .join(F.broadcast(ends), "variable")  # one row per variable
         .groupBy(
             "variable",
             target,
-            _bin(F.col("valor"), F.col("ends.low"), F.col("ends.high"), bins).alias("bin"),
-        )
-        .agg(
-            A.row_count().alias("n"),
-            F.first("ends.low").alias("low"),
-            F.first("ends.high").alias("high"),
+            _bin(F.col("valor"), F.col("low"), F.col("high"), bins).alias("bin"),
         )
+        .agg(A.row_count().alias("n"), F.first("low").alias("low"), F.first("high").alias("high"))
     )
 
 
@@ -315,17 +351,15 @@ def class_density(
     """
     variables = selectors.one_of(df, variables)
     keys = ["variable", target]
-    long = cells_long(df, variables, [target], buckets)
-    classes = df.agg(F.approx_count_distinct(target)).first()[0] + 1
+    long, groups = cells_long(df, variables, [target], buckets)
     quartiles = ordered.exact_quantiles(
-        long, keys, "valor", [0.25, 0.75], cell="bucket", groups=2 * classes * len(variables)
+        long, keys, "valor", [0.25, 0.75], cell="bucket", groups=groups
     )
-    moments = (
+    moments = _class_moments(
         reshape.gather(
             df.select(target, *[F.col(v).cast("double").alias(v) for v in variables]), variables
-        )
-        .groupBy(*keys)
-        .agg(F.stddev_samp("valor").alias("sd"))
+        ),
+        keys,
     )
     spread = F.least(
         F.when(F.col("sd") > 0, F.col("sd")),
@@ -334,7 +368,7 @@ def class_density(
     bandwidth = F.lit(0.9) * F.coalesce(spread, F.lit(1.0)) * F.pow(F.col("n"), F.lit(-0.2))
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     binned = (
-        class_histogram(df, target, variables, bins)
+        class_histogram(df, target, variables, bins, moments)
         .groupBy(*keys)
         .agg(
             F.array_sort(

@@ -166,13 +166,27 @@ def pos_features(
     return aggregate.fan_out_all(flagged, [SUBJECT], aggregate.SUM_COUNT, exclude=[PREVIOUS])
 
 
-def instalment_features(payments: DataFrame) -> DataFrame:
-    """Strict statistics per loan, then sum and mean per subject."""
-    per_loan = payments.groupBy(SUBJECT, PREVIOUS).agg(
+def instalments_per_loan(payments: DataFrame, keys: Iterable[str] = (SUBJECT, PREVIOUS)) -> DataFrame:
+    """Strict statistics of each loan's instalments."""
+    return payments.groupBy(*keys).agg(
         A.strict_max("NUM_INSTALMENT_VERSION").alias("CHANGES_INSTALMENT_VERSION"),
         A.strict_mean("AMT_INSTALMENT").alias("AMT_INSTALMENT"),
         A.strict_mean("AMT_PAYMENT").alias("AMT_PAYMENT"),
     )
+
+
+def instalment_features(payments: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """Strict statistics per loan, then sum and mean per subject.
+
+    Payments that name only the loan take the subject from ``owners`` (one row per loan), after
+    they are rolled up: a loan with very many payments never meets the join.
+    """
+    if owners is None:
+        per_loan = instalments_per_loan(payments)
+    else:
+        per_loan = owners.select(PREVIOUS, SUBJECT).join(
+            instalments_per_loan(payments, [PREVIOUS]), PREVIOUS
+        )
     return aggregate.fan_out_all(per_loan, [SUBJECT], aggregate.SUM_MEAN, exclude=[PREVIOUS])
 
 
@@ -182,14 +196,24 @@ def card_features(
     mid_from: int = S.MID_FROM,
     measures: Iterable[str] = CARD_MEASURES,
 ) -> DataFrame:
-    """Strict mean of every card measure per loan and period, summed per subject."""
-    per_loan = reshape.period_pivot(
-        snapshots,
-        [PREVIOUS, SUBJECT],
-        _periods(short_from, mid_from),
-        {m: (lambda cond, m=m: A.strict_mean_where(cond, m)) for m in measures},
+    """Strict mean of every card measure per loan and period, summed per subject.
+
+    A sum over a subject's loans does not need the loans in wide form, so only the second, much
+    smaller aggregation has a cell per measure and period.
+    """
+    measures = list(measures)
+    period = S.period_bucket("MONTHS_BALANCE", short_from, mid_from)
+    per_loan = (
+        snapshots.withColumn("period", period)
+        .groupBy(PREVIOUS, SUBJECT, "period")
+        .agg(*[A.strict_mean(m).alias(m) for m in measures])
     )
-    return aggregate.sum_all(per_loan, [SUBJECT], exclude=[PREVIOUS])
+    cells = [
+        A.sum_skip(F.when(F.col("period") == p, F.col(m))).alias(f"{m}_{p}")
+        for m in measures
+        for p in S.PERIODS
+    ]
+    return per_loan.groupBy(SUBJECT).agg(*cells)
 
 
 def prepare_previous(applications: DataFrame) -> DataFrame:

@@ -140,8 +140,9 @@ CARD_SNAPSHOTS = {
     },
 }
 
+LOAN_OWNERS = {"SK_ID_PREV": "o_orderkey", "SK_ID_CURR": "o_custkey"}
+
 INSTALMENT_PAYMENTS = {
-    "SK_ID_CURR": "o_custkey",
     "SK_ID_PREV": "l_orderkey",
     "NUM_INSTALMENT_NUMBER": real("l_linenumber"),
     "NUM_INSTALMENT_VERSION": real("CASE WHEN l_quantity = 50 THEN NULL ELSE l_linenumber END"),
@@ -174,17 +175,15 @@ SUBJECT = {
     "FLAG_OWN_REALTY": pick("c_nationkey", "Y", "N"),
 }
 
-# name -> (source table, or two tables and the columns that join them; columns)
+# name -> (source table, columns)
 BOUND = {
     "monthly_status": ("lineitem", MONTHLY_STATUS),
     "external_loans": ("orders", EXTERNAL_LOANS),
     "previous_applications": ("orders", PREVIOUS_APPLICATIONS),
     "pos_snapshots": ("events", POS_SNAPSHOTS),
     "card_snapshots": ("events", CARD_SNAPSHOTS),
-    "instalment_payments": (
-        ("lineitem", "orders", "l_orderkey", "o_orderkey"),
-        INSTALMENT_PAYMENTS,
-    ),
+    "instalment_payments": ("lineitem", INSTALMENT_PAYMENTS),
+    "loan_owners": ("orders", LOAN_OWNERS),
     "subject": ("customer", SUBJECT),
 }
 
@@ -192,9 +191,6 @@ BOUND = {
 def bound_sql(name: str) -> str:
     """The binding as a SELECT over the given tables."""
     source, columns = BOUND[name]
-    if not isinstance(source, str):
-        left, right, on_left, on_right = source
-        source = f"{left} JOIN {right} ON {on_left} = {on_right}"
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {source}"
 
 

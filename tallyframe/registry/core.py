@@ -28,14 +28,7 @@ class Tables:
 
     def bound(self, name: str) -> DataFrame:
         source, columns = bindings.BOUND[name]
-        if isinstance(source, str):
-            rows = getattr(self, source)
-        else:
-            left, right, on_left, on_right = source
-            rows = getattr(self, left).join(
-                getattr(self, right), F.col(on_left) == F.col(on_right)
-            )
-        return rows.selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
+        return getattr(self, source).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
     @cached_property
     def subject(self) -> DataFrame:

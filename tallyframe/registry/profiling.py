@@ -273,3 +273,70 @@ def _(t):
 )
 def _(t):
     return t.subject.groupBy("TARGET").agg(A.row_count().alias("n"))
+
+
+# ---- every variable of a kind
+
+LEVEL_COLUMNS = [
+    *[c for c in SUBJECT_TEXT],
+    "AMT_ANNUITY",
+    "AMT_GOODS_PRICE",
+    "EXT_SOURCE_1",
+    "EXT_SOURCE_2",
+    "EXT_SOURCE_3",
+    "FLAG_DOCUMENT_2",
+    "FLAG_EMAIL",
+]
+
+
+def levels_sql() -> str:
+    parts = [
+        f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS valor, CAST(COUNT(*) AS DOUBLE) AS n,"
+        f" {RATE} AS rate FROM labelled GROUP BY 2"
+        for c in LEVEL_COLUMNS
+    ]
+    return with_bound(
+        "subject",
+        labelled=LABELLED,
+        levels=" UNION ALL ".join(parts),
+        then="SELECT variable, valor, 'COUNT' AS measure, n AS value, n AS label,"
+        " CAST(NULL AS DOUBLE) AS prop FROM levels UNION ALL SELECT variable, valor,"
+        f" 'PROPORTION', rate, round_even(rate * 100, 0), {OVERALL} FROM levels",
+    )
+
+
+@query("profile_levels", levels_sql())
+def _(t):
+    return profile.profile_levels(_labelled(t), "SK_ID_CURR", "TARGET")
+
+
+CONTINUOUS_COLUMNS = ("AMT_CREDIT", "DAYS_BIRTH", "DAYS_EMPLOYED")
+
+
+def views_sql() -> str:
+    parts = []
+    for c in CONTINUOUS_COLUMNS:
+        spread = f"1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))"
+        parts.append(
+            f"SELECT SK_ID_CURR, TARGET, '{c}' AS variable, CAST({c} AS DOUBLE) AS v, lower, upper,"
+            f" na_prop FROM labelled, (SELECT greatest(MIN({c}), quantile_cont({c}, 0.25) - {spread})"
+            f" AS lower, least(MAX({c}), quantile_cont({c}, 0.25) + {spread}) AS upper, round_even("
+            f"AVG(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100, 0) AS na_prop FROM labelled)"
+        )
+    return with_bound(
+        "subject",
+        labelled=LABELLED,
+        rows=" UNION ALL ".join(parts),
+        then="SELECT SK_ID_CURR, TARGET, variable, 'ORIGINAL' AS view, v AS value, na_prop FROM rows"
+        " UNION ALL SELECT SK_ID_CURR, TARGET, variable, 'IQR',"
+        " CASE WHEN v BETWEEN lower AND upper THEN v END, na_prop FROM rows"
+        " UNION ALL SELECT SK_ID_CURR, TARGET, variable, 'LOG',"
+        " CASE WHEN v > -1 THEN ROUND(ln(1 + v), 6) END, na_prop FROM rows",
+    )
+
+
+@query("profile_continuous", views_sql())
+def _(t):
+    views = profile.profile_continuous(_labelled(t), "SK_ID_CURR", "TARGET")
+    logged = F.when(F.col("view") == "LOG", F.round("value", 6)).otherwise(F.col("value"))
+    return views.withColumn("value", logged)

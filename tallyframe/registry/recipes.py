@@ -210,7 +210,8 @@ INSTALMENT_NAMES = ("CHANGES_INSTALMENT_VERSION", "AMT_INSTALMENT", "AMT_PAYMENT
 PAID_LOANS = (
     f"SELECT SK_ID_CURR, SK_ID_PREV, {strict_sql('MAX', 'NUM_INSTALMENT_VERSION')}"
     f" AS CHANGES_INSTALMENT_VERSION, {strict_sql('AVG', 'AMT_INSTALMENT')} AS AMT_INSTALMENT,"
-    f" {strict_sql('AVG', 'AMT_PAYMENT')} AS AMT_PAYMENT FROM instalment_payments GROUP BY 1, 2"
+    f" {strict_sql('AVG', 'AMT_PAYMENT')} AS AMT_PAYMENT FROM instalment_payments"
+    " JOIN loan_owners USING (SK_ID_PREV) GROUP BY 1, 2"
 )
 INSTALMENTS = (
     "SELECT SK_ID_CURR, "
@@ -223,12 +224,12 @@ INSTALMENTS = (
 
 
 def instalments(t):
-    return features.instalment_features(t.bound("instalment_payments"))
+    return features.instalment_features(t.bound("instalment_payments"), t.bound("loan_owners"))
 
 
 @query(
     "instalment_features",
-    with_bound("instalment_payments", paid_loans=PAID_LOANS, then=INSTALMENTS),
+    with_bound("instalment_payments", "loan_owners", paid_loans=PAID_LOANS, then=INSTALMENTS),
 )
 def _(t):
     return instalments(t)
@@ -396,6 +397,7 @@ WIDE_INPUTS = (
     "card_snapshots",
     "pos_snapshots",
     "instalment_payments",
+    "loan_owners",
     "monthly_status",
     "external_loans",
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import encode, ordered, sampling
 from tallyframe.plans import model
 from tallyframe.registry.core import query, rounded
+from tallyframe.session import cut_lineage
 
 # A formula score: exact in both engines, with many ties.
 SCORED = (
@@ -88,7 +89,8 @@ def _documents(t):
 def _trained(t, preset):
     rows = _documents(t)
     names = model.feature_names(rows, "doc_id", "quality")
-    frame = model.model_frame(rows, "doc_id", "quality", names, keep=["split"])
+    # Training makes many passes: over the written vectors, not over the texts.
+    frame = cut_lineage(model.model_frame(rows, "doc_id", "quality", names, keep=["split"]))
     known = frame.filter(F.col("split") != "test").withColumn(
         "is_validation", F.col("split") == "validation"
     )
