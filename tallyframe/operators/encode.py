@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +41,17 @@ class LevelSpec:
     def indicators(self, variable: str | None = None) -> dict[str, Column]:
         """Indicator column name -> 0/1 expression (never NULL)."""
         names = [variable] if variable else self.variables
+        columns = {v: F.col(v) for v in names}
         return {
-            name: _is_any(F.col(v), raw).cast("int")
+            name: _is_any(columns[v], raw).cast("int")
             for v in names
             for name, raw in self.levels[v].items()
         }
 
 
 def _is_any(c: Column, raw: list) -> Column:
-    known = [r for r in raw if r is not None]
-    hit = F.coalesce(c.isin(known), F.lit(False)) if known else F.lit(False)
-    return hit | c.isNull() if None in raw else hit
+    """Null-safe membership: never NULL, and a missing level matches a missing value."""
+    return reduce(lambda a, b: a | b, [c.eqNullSafe(r) for r in raw])
 
 
 def distinct_levels(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import selectors
 from tallyframe.registry import bindings
+from tallyframe.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,11 +21,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = read_parquet(self.spark, self.folder, name)
+        return self._read[name]
 
     def bound(self, name: str) -> DataFrame:
         source, columns = bindings.BOUND[name]
