@@ -63,7 +63,10 @@ def bind_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
 def set_difference(
     left: DataFrame, right: DataFrame, key: Sequence[str] | None = None
 ) -> DataFrame:
-    """Distinct rows of ``left`` that ``right`` lacks; with a unique ``key`` only the key is compared."""
+    """Distinct rows of ``left`` that ``right`` lacks; with a unique ``key`` only the key is compared.
+
+    Copies are merged on the map side before they can meet in one task.
+    """
     if key is None:
-        return left.subtract(right)
+        return left.distinct().subtract(right.distinct())
     return left.join(right.select(*key).distinct(), list(key), "left_anti")

@@ -9,6 +9,7 @@ the result.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -33,15 +34,16 @@ class Sketch:
     """What one pass over the input tells about how to spread it."""
 
     quantiles: dict[str, list[float]]
+    missing: dict[str, float]
     groups: int
 
     def cuts(self, column: str) -> list[float]:
         return sorted(set(self.quantiles[column]))
 
-    def hot(self, column: str) -> list[float]:
-        """Values so frequent that they fill a whole bucket or more."""
-        q = self.quantiles[column]
-        return sorted({a for a, b in zip(q, q[1:]) if a == b})
+    def hot(self, column: str) -> dict[float, int]:
+        """Values that fill a whole bucket or more, with the number of buckets they fill."""
+        times = Counter(self.quantiles[column])
+        return {v: n for v, n in times.items() if n > 1}
 
 
 def sketch(
@@ -50,13 +52,15 @@ def sketch(
     """Approximate quantiles of the columns and number of groups: one row to the driver, one scan."""
     n = buckets or bucket_target(df)
     probs = [i / n for i in range(1, n)]
-    aggs = [
-        F.percentile_approx(F.col(c).cast("double"), probs, max(10000, 10 * n)) for c in columns
-    ]
+    # An error of a quarter bucket is enough, and keeps the sketches of many columns small.
+    aggs = [F.percentile_approx(F.col(c).cast("double"), probs, max(1000, 4 * n)) for c in columns]
     groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
-    row = df.agg(*aggs, groups).first()
-    finite = [[v for v in (q or []) if math.isfinite(v)] for q in row[:-1]]
-    return Sketch(dict(zip(columns, finite)), row[-1])
+    gaps = [F.avg(F.col(c).isNull().cast("int")) for c in columns]
+    row = df.agg(*aggs, *gaps, groups).first()
+    k = len(columns)
+    finite = [[v for v in (q or []) if math.isfinite(v)] for q in row[:k]]
+    missing = [share or 0.0 for share in row[k : 2 * k]]
+    return Sketch(dict(zip(columns, finite)), dict(zip(columns, missing)), row[-1])
 
 
 def range_bucket(df: DataFrame, column: str, cuts: list[float], name: str = "bucket") -> DataFrame:
@@ -71,29 +75,35 @@ def range_bucket(df: DataFrame, column: str, cuts: list[float], name: str = "buc
 def with_row_number(
     df: DataFrame, order: Sequence[str], name: str = "row_number", buckets: int | None = None
 ) -> DataFrame:
-    """1-based position in the whole table's order.
+    """1-based position in the whole table's order, missing values last.
 
-    ``order`` starts with a numeric column that spreads the rows (an id, an amount) and must be
-    unique as a whole for the numbering to be reproducible.
+    ``order`` starts with a numeric column and must be unique as a whole for the numbering to be
+    reproducible. If single values of the first column are very frequent, the second one, numeric
+    too, splits their rows further.
     """
     order = list(order)
     first, rest = order[0], order[1:2]
     found = sketch(df, [first, *rest], buckets)
-    hot = _exact_doubles(df, first, found.hot(first)) if rest else []
+    hot = _exact_doubles(df, first, found.hot(first)) if rest else {}
     edges = sorted({*found.cuts(first), *hot, *[math.nextafter(v, math.inf) for v in hot]})
     spread = range_bucket(df, first, edges)
     place = ["bucket"]
-    if hot:
-        # A value that alone fills a bucket is split further by the next order column.
-        spread = range_bucket(spread, rest[0], found.cuts(rest[0]), "sub_bucket")
-        is_hot = F.col(first).cast("double").isin(hot)
-        spread = spread.withColumn("sub_bucket", F.when(is_hot, F.col("sub_bucket")).otherwise(0))
-        place.append("sub_bucket")
+    absent = math.ceil(found.missing[first] * (buckets or bucket_target(df)))
+    if rest and (hot or absent > 1):
+        # A value that alone would fill n buckets gets n, cut by the next order column; so do the
+        # missing values, whose bucket comes last.
+        finer = found.cuts(rest[0])
+        spread = range_bucket(spread, rest[0], finer, "finer")
+        shares = F.expr("array(" + ",".join(str(hot.get(e, 1)) for e in [None, *edges]) + ")")
+        share = F.coalesce(F.try_element_at(shares, F.col("bucket") + 1), F.lit(max(absent, 1)))
+        part = F.floor(F.col("finer") * share / F.lit(len(finer) + 2))
+        spread = spread.withColumn("part", part).drop("finer")
+        place.append("part")
     sizes = spread.groupBy(*place).agg(F.count(F.lit(1)).alias("rows_in"))
     before = (
         Window.partitionBy(F.lit(0)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per bucket, and per sub-bucket of the few hot values: bounded by the bucket count.
+    # One row per bucket, hot values as many as they fill: no more than thrice MAX_BUCKETS.
     base = F.broadcast(
         sizes.select(*place, F.coalesce(F.sum("rows_in").over(before), F.lit(0)).alias("rows_base"))
     )
@@ -102,18 +112,18 @@ def with_row_number(
         spread.withColumn("__inside", inside)
         .join(base, place)
         .withColumn(name, (F.col("rows_base") + F.col("__inside")).cast("bigint"))
-        .drop("bucket", "sub_bucket", "rows_base", "__inside")
+        .drop("bucket", "part", "rows_base", "__inside")
     )
 
 
-def _exact_doubles(df: DataFrame, column: str, values: list[float]) -> list[float]:
+def _exact_doubles(df: DataFrame, column: str, values: dict[float, int]) -> dict[float, int]:
     """The values whose double form stands for one column value only."""
     kind = df.schema[column].dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return values
     if isinstance(kind, T.IntegralType):
-        return [v for v in values if abs(v) < 2**53]
-    return []
+        return {v: n for v, n in values.items() if abs(v) < 2**53}
+    return {}
 
 
 def running_sums(

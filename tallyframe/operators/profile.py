@@ -201,8 +201,11 @@ def cells_long(
 ) -> tuple[DataFrame, int]:
     """(keep..., variable, valor, bucket) with each variable cut into ranges on its own scale.
 
-    Also gives an upper estimate of the number of (keep..., variable) groups.
+    Also gives an upper estimate of the number of (keep..., variable) groups. Variables share the
+    buckets out, as their long form has that many times the rows.
     """
+    if buckets is None:
+        buckets = max(ordered.MIN_BUCKETS, ordered.bucket_target(df) // len(variables))
     found = ordered.sketch(df, variables, buckets, keep)
     for i, v in enumerate(variables):
         df = ordered.range_bucket(df, v, found.cuts(v), f"__b{i}")

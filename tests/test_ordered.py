@@ -28,7 +28,21 @@ def test_row_number(skewed, buckets):
 
 def test_row_number_splits_a_hot_value(skewed):
     found = ordered.sketch(skewed, ["v"], 32)
-    assert found.hot("v") == [5.0]
+    assert list(found.hot("v")) == [5.0] and 9 <= found.hot("v")[5.0] <= 13
+
+
+def test_row_number_of_a_column_with_few_values(skewed):
+    few = skewed.withColumn("v", (F.col("id") % 3).cast("int"))
+    out = ordered.with_row_number(few, ["v", "id"], buckets=64).collect()
+    brute = sorted((r.v, r.id) for r in out)
+    assert {r.id: r.row_number for r in out} == {i: k for k, (_, i) in enumerate(brute, 1)}
+
+
+def test_row_number_puts_missing_values_last(skewed):
+    gaps = skewed.withColumn("v", F.when(F.col("id") % 3 > 0, F.col("v")))
+    out = ordered.with_row_number(gaps, ["v", "id"], buckets=32).collect()
+    brute = sorted((r.v is None, r.v or 0.0, r.id) for r in out)
+    assert {r.id: r.row_number for r in out} == {b[2]: k for k, b in enumerate(brute, 1)}
 
 
 def test_running_sums(skewed):
