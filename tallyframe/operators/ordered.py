@@ -64,12 +64,13 @@ def sketch(
 
 
 def range_bucket(df: DataFrame, column: str, cuts: list[float], name: str = "bucket") -> DataFrame:
-    """Add the index of the range a value falls in; missing values get a bucket of their own."""
+    """Add the index of the range a value falls in; missing values get a last bucket of their own."""
     edges = [float("-inf"), *cuts, float("inf")]
     work, raw = f"__{name}_in", f"__{name}_raw"
     df = df.withColumn(work, F.col(column).cast("double"))
     out = Bucketizer(inputCol=work, outputCol=raw, splits=edges, handleInvalid="keep").transform(df)
-    return out.withColumn(name, F.col(raw).cast("int")).drop(work, raw)
+    last = F.lit(len(cuts) + 1)
+    return out.withColumn(name, F.coalesce(F.col(raw).cast("int"), last)).drop(work, raw)
 
 
 def with_row_number(
