@@ -54,7 +54,7 @@ def sketch(
     probs = [i / n for i in range(1, n)]
     # An error of a quarter bucket is enough, and keeps the sketches of many columns small.
     aggs = [F.percentile_approx(F.col(c).cast("double"), probs, max(1000, 4 * n)) for c in columns]
-    groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
+    groups = F.approx_count_distinct(F.xxhash64(*by)) if by else F.lit(1)
     gaps = [F.avg(F.col(c).isNull().cast("int")) for c in columns]
     row = df.agg(*aggs, *gaps, groups).first()
     k = len(columns)

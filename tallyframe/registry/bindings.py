@@ -2,7 +2,7 @@
 
 The formulas use only syntax common to Spark SQL and DuckDB, so one text feeds the query and its
 check. Amounts are whole numbers held as doubles, so their sums are exact in any order; where means
-are summed again, they are multiples of ``STEP``, so that the means are whole too. NULLs, zero
+are summed again, they are multiples of a common step, so that the means are whole too. NULLs, zero
 divisors and the day sentinel are put in on purpose, since the given tables have none.
 """
 
@@ -16,11 +16,12 @@ def cents(x: str) -> str:
 
 
 STEP = 12252240  # divisible by every number up to 18
+CARD_STEP = 5354228880  # divisible by every number up to 24
 
 
-def steps(x: str) -> str:
-    """The amount in whole units, in multiples of ``STEP``: its mean over up to 18 rows is exact."""
-    return f"CAST(FLOOR({x}) * {STEP} AS DOUBLE)"
+def steps(x: str, step: int = STEP) -> str:
+    """The amount in whole units, in multiples of ``step``, so that means over not too many rows are exact."""
+    return f"CAST(FLOOR({x}) * {step} AS DOUBLE)"
 
 
 def real(x: str) -> str:
@@ -134,7 +135,7 @@ CARD_SNAPSHOTS = {
     **{
         m: real(
             f"CASE WHEN event_id % {41 + i} = 0 THEN NULL"
-            f" ELSE {steps('value')} + {i * STEP} * (event_id % 7) END"
+            f" ELSE {steps('value', CARD_STEP)} + {i * CARD_STEP} * (event_id % 7) END"
         )
         for i, m in enumerate(CARD_MEASURES)
     },
