@@ -26,10 +26,10 @@ def contains(df: DataFrame, *parts: str) -> list[str]:
 
 def one_of(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The named columns, in the given order; a name the table lacks is an error, not a silent skip."""
-    wanted = list(names)
-    missing = [n for n in wanted if n not in df.columns]
+    wanted, present = list(names), df.columns
+    missing = sorted(set(wanted) - set(present))
     if missing:
-        raise ValueError(f"no such column(s): {missing}; the table has {df.columns}")
+        raise ValueError(f"no such column(s): {missing}; the table has {present}")
     return wanted
 
 
