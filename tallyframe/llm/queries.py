@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import mixing, quality, sharding
+from tallyframe.llm import decontaminate, mixing, quality, sharding
 from tallyframe.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# ---- 1 benchmark decontamination
+
+
+@query("op1_decontaminate")
+def _(spark, folder):
+    hits = decontaminate.decontaminate(
+        read_parquet(spark, folder, "documents"), read_parquet(spark, folder, "benchmark")
+    )
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near_items",
+    )
+
+
 # ---- 3 mixing
 
 MIX_SQL = r"""
