@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, mixing, quality, sharding
+from tallyframe.llm import decontaminate, mixing, quality, sharding, warc
 from tallyframe.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,14 @@ def _(spark, folder):
     )
 
 
+# ---- 2 WARC
+
+
+@query("op2_warc")
+def _(spark, folder):
+    return warc.archive_round_trip(read_parquet(spark, folder, "pages"))
+
+
 # ---- 3 mixing
 
 MIX_SQL = r"""
