@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, mixing, quality, sharding, warc
+from tallyframe.llm import decontaminate, jaccard, mixing, quality, sharding, warc
 from tallyframe.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,14 @@ def _(spark, folder):
     return mixing.mix(read_parquet(spark, folder, "documents"))
 
 
+# ---- 4 n-gram Jaccard join
+
+
+@query("op4_jaccard_join")
+def _(spark, folder):
+    return jaccard.link_documents(read_parquet(spark, folder, "documents"))
+
+
 # ---- 6 quality rules
 
 
