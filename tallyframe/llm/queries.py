@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, jaccard, mixing, quality, sharding, warc
+from tallyframe.llm import decontaminate, jaccard, licenses, lm_score, mixing, quality, sharding, warc
 from tallyframe.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,29 @@ def _(spark, folder):
 def _(spark, folder):
     docs = read_parquet(spark, folder, "documents")
     return sharding.assign_shards(docs, [1.0] * SHARDS).drop("slot", "text_crc32")
+
+
+# ---- 9 license scan
+
+
+@query("op9_license_scan")
+def _(spark, folder):
+    found = licenses.scan_licenses(read_parquet(spark, folder, "documents"))
+    exact = F.expr("filter(found, x -> x.missing + x.added = 0)")
+    return found.select(
+        "doc_id",
+        "n_blocks",
+        F.size("found").cast("bigint").alias("n_confirmed"),
+        F.size(exact).cast("bigint").alias("n_exact"),
+        F.concat_ws(",", "licenses").alias("licenses"),
+    )
+
+
+# ---- 10 language-model score
+
+
+@query("op10_cross_entropy_difference")
+def _(spark, folder):
+    return lm_score.cross_entropy_difference(
+        read_parquet(spark, folder, "documents"), read_parquet(spark, folder, "labels")
+    )
