@@ -2,8 +2,9 @@
 
 Sets are ordered rarest shingle first and share a shingle of their prefixes if they link at all. Shingle lists
 are cut into index partitions by hash. Position and size of an entry skip partners that cannot reach the
-overlap any more. Sets of a long list are not paired: each is compared with the list's pivot, and answers
-among them are then derived from their few differences to it, only where they are not yet connected.
+overlap any more, and parity bitmaps skip pairs that differ in too many shingles. Sets of a long list that are
+similar to its pivot are not paired: each is compared with the pivot, and answers among them are derived
+from their few differences to it, only where they are not yet connected.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from tallyframe.session import cut_lineage
 
 WIDTH = 4
 PERCENT = 85
-SKETCH_BITS = 16
+SKETCH_BITS = 22  # buckets that count shingles, as a power of 2: they order the work, never decide a link
 SHORT_LIST = 24  # lists up to here are paired directly
-BLOCK = 4096  # sets of a pivot that are compared with each other in one task
+BLOCK = 4096  # sets of a list or a pivot that are compared with each other in one task
 PART_BYTES = 8_000_000
 U64 = np.uint64
 
@@ -68,6 +69,11 @@ def signature(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def short(sig: bytes) -> int:
+    """What stands for a set in lists and pairs; answers are kept by the whole signature's key."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
 def _levels(sketch: np.ndarray) -> np.ndarray:
     """Rarity of each hash bucket: 0 up to four times the mean count, then one more for each doubling."""
     return np.floor(np.log2(np.maximum(1, sketch / max(1.0, 4 * sketch.mean())))).astype(np.uint8)
@@ -80,6 +86,23 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray
     return shingles[order[: len(shingles) - -(-percent * len(shingles) // 100) + 1]]
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of at least two buckets a shingle (a power of 2, from 64 on)."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least size of the symmetric difference, from bitmaps in the last axis: odd buckets differ at least once.
+    The longer bitmap is folded until both have one length."""
+    while x.shape[-1] > y.shape[-1]:
+        x = x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2 :]
+    while y.shape[-1] > x.shape[-1]:
+        y = y[..., : y.shape[-1] // 2] ^ y[..., y.shape[-1] // 2 :]
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
 # ---- blobs: columns of numbers in byte planes
 
 
@@ -122,9 +145,8 @@ def _postings(rows: DataFrame, levels, width: int, percent: int, parts: int) ->
                 if key is None or not len(s):
                     continue
                 p = prefix(s, table, percent)
-                sig = int.from_bytes(signature(s)[:8], "little", signed=True)
                 k = len(p)
-                held.append((p, np.full(k, sig), np.full(k, key), np.full(k, len(s), "<u4"), np.arange(k, dtype="<u4")))
+                held.append((p, np.full(k, short(signature(s))), np.full(k, key), np.full(k, len(s), "<u4"), np.arange(k, dtype="<u4")))
                 n += k
             if n > 2_000_000:
                 yield emit(held)
@@ -136,7 +158,7 @@ def _postings(rows: DataFrame, levels, width: int, percent: int, parts: int) ->
 
 
 def _candidates(percent: int):
-    """Pairs of an index partition: all that position and size allow in short lists, pivot stars in long ones."""
+    """An index partition: pairs that position and size allow in short lists, the entries of long ones."""
 
     def run(table: pa.Table) -> pa.Table:
         h, sig, key, size, pos = (
@@ -148,7 +170,7 @@ def _candidates(percent: int):
         h, sig, key, size, pos = (x[first] for x in (h, sig, key, size, pos))
         heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         lengths = np.diff(np.append(heads, len(h)))
-        left, right, long = [], [], []
+        pairs = [np.zeros((0, 2), np.int64)]
         for n in range(2, SHORT_LIST + 1):
             at = heads[lengths == n]
             if len(at):
@@ -157,23 +179,90 @@ def _candidates(percent: int):
                 reach = 1 + np.minimum(size[a] - pos[a] - 1, size[b] - pos[b] - 1)
                 ok = reach >= overlap_needed(size[a], size[b], percent)
                 ok &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-                left.append(sig[a[ok]]), right.append(sig[b[ok]]), long.append(np.zeros(ok.sum(), bool))
-        for at, n in zip(heads[lengths > SHORT_LIST], lengths[lengths > SHORT_LIST]):
-            pivot = at + np.argmin(key[at : at + n])
-            rest = np.delete(np.arange(at, at + n), pivot - at)
-            left.append(np.full(n - 1, sig[pivot])), right.append(sig[rest]), long.append(np.ones(n - 1, bool))
-        a, b, far = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, long))
-        far = far.astype(bool)
-        swap = ~far & (a > b)
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        order = np.lexsort((~far, b, a))
-        a, b, far = a[order], b[order], far[order]
-        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
-        return pa.table({"a": pa.array(a[first]), "b": pa.array(b[first]), "far": pa.array(far[first])})
+                pairs.append(np.unique(np.stack([sig[a[ok]], sig[b[ok]]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        long = np.repeat(lengths > SHORT_LIST, lengths)
+        blank = len(pairs), int(long.sum())
+        join = lambda x, y, kind=pa.int64(): pa.concat_arrays(
+            [pa.array(x, kind) if x is not None else pa.nulls(blank[0], kind), pa.array(y, kind) if y is not None else pa.nulls(blank[1], kind)]
+        )
+        return pa.table(
+            {
+                "a": join(pairs[:, 0], sig[long]),
+                "b": join(pairs[:, 1], None),
+                "h": join(None, h[long].view(np.int64)),
+                "id": join(None, key[long]),
+                "size": join(None, size[long]),
+                "pos": join(None, pos[long]),
+            }
+        )
+
+    return run
+
+
+def _list_pairs(percent: int):
+    """A block of rows and one of columns of a long list. Sets near its pivot: a star. All other pairs: those that
+    position, size and bitmaps allow."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {c: np.array(table.column(c).to_pylist()) for c in ("a", "size", "pos", "at", "is_row", "r", "c")}
+        maps = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
+        pivot, base = table.column("pivot")[0].as_py(), np.frombuffer(table.column("pivot_bits")[0].as_py(), np.uint8)
+        sig, size, pos, at, role = (cols[c] for c in ("a", "size", "pos", "at", "is_row"))
+        near = np.array([2 * int(apart(m, base)) <= n for m, n in zip(maps, size)])
+        same = cols["r"][0] == cols["c"][0]
+        star = sig[role & near & (sig != pivot)] if same else np.zeros(0, np.int64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        widths = np.array([len(m) for m in maps])
+        for w in np.unique(widths):
+            for v in (x for x in (w // 2, w, w * 2) if (widths == x).any()):
+                rows, columns = np.flatnonzero(role & (widths == w)), np.flatnonzero(~role & (widths == v))
+                if not len(rows) or not len(columns):
+                    continue
+                right = np.stack([maps[i] for i in columns])
+                for r in (rows[i : i + 64] for i in range(0, len(rows), 64)):
+                    m, n = size[r][:, None], size[columns]
+                    ok = ~(near[r][:, None] & near[columns]) & (sig[r][:, None] != sig[columns])
+                    if same:
+                        ok &= at[r][:, None] < at[columns]
+                    ok &= 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+                    need = overlap_needed(m, n, percent)
+                    ok &= 1 + np.minimum(m - pos[r][:, None] - 1, n - pos[columns] - 1) >= need
+                    i, j = np.nonzero(ok)
+                    for k in range(0, len(i), 20_000):
+                        x, y = i[k : k + 20_000], j[k : k + 20_000]
+                        left = np.stack([maps[q] for q in r])[x]
+                        good = apart(left, right[y]) <= size[r[x]] + size[columns[y]] - 2 * need[x, y]
+                        a.append(sig[r[x[good]]]), b.append(sig[columns[y[good]]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.table(
+            {
+                "a": pa.array(np.concatenate([np.full(len(star), pivot, np.int64), pairs[:, 0]])),
+                "b": pa.array(np.concatenate([star, pairs[:, 1]])),
+                "far": pa.array(np.concatenate([np.ones(len(star), bool), np.zeros(len(pairs), bool)])),
+            }
+        )
 
     return run
 
 
+def _possible(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps leave a link possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for far, m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("far", "na", "nb", "xa", "xb"))):
+                most = m + n - 2 * overlap_needed(m, n, percent)
+                keep.append(far or int(apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))) <= most)
+            names = ["a", "b", "ida", "idb", "far"]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in names], names=names)
+
+    return met.mapInArrow(run, "a bigint, b bigint, ida bigint, idb bigint, far boolean")
+
+
 # ---- answers
 
 
@@ -279,7 +368,7 @@ def link_documents(
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(buckets, np.int64)
-        names = ["__id", "n_shingles", "sig", "sketch"]
+        names = ["__id", "n_shingles", "sig", "s", "bits", "sketch"]
         for part in chunks(batches, "__text"):
             sets = shingle_sets(text_bytes(part.column("__text")), width)
             flat = np.concatenate(sets)
@@ -287,52 +376,84 @@ def link_documents(
             sigs = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()),
-                 pa.nulls(len(sets), pa.binary())],
+                 pa.array([None if g is None else short(g) for g in sigs], pa.int64()),
+                 pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary())],
                 names=names,
             )
         if sketch.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-                 pa.array([_planes(sketch.astype("<i8"))], pa.binary())],
+                [*[pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())],
+                 pa.array([_planes(sketch.astype("<u4"))], pa.binary())],
                 names=names,
             )
 
-    surveyed = cut_lineage(rows.mapInArrow(survey, "__id bigint, n_shingles bigint, sig binary, sketch binary"))
+    surveyed = cut_lineage(
+        rows.mapInArrow(survey, "__id bigint, n_shingles bigint, sig binary, s bigint, bits binary, sketch binary")
+    )
     keys = surveyed.filter("sketch IS NULL").drop("sketch")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for b in batch.column("sketch").to_pylist():
-                total += _unplanes(b, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
-
-    sketches = surveyed.filter("sketch IS NOT NULL").select("sketch").repartition(8).mapInArrow(add_up, "sketch binary")
-    total = sum((np.frombuffer(r[0], "<i8") for r in sketches.collect()), np.zeros(buckets, np.int64))
-    levels = spark.sparkContext.broadcast(_levels(total))  # one byte per bucket of a fixed number
+                total += _unplanes(b, "<u4")
+        total = np.minimum(total, (1 << 32) - 1).astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([_planes(total)], pa.binary())], names=["sketch"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in add_up(batches):
+            total = _unplanes(batch.column("sketch")[0].as_py(), "<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([_levels(total).tobytes()], pa.binary())], names=["levels"])
+
+    sketches = surveyed.filter("sketch IS NOT NULL").select("sketch")
+    some = max(1, int(sketches.count() ** 0.5))
+    ranked = sketches.repartition(some).mapInArrow(add_up, "sketch binary").repartition(1)
+    ranked = ranked.mapInArrow(rank, "levels binary").first()  # a byte for each of a fixed number of buckets
+    table = np.frombuffer(ranked[0], np.uint8) if ranked else np.zeros(buckets, np.uint8)
+    levels = spark.sparkContext.broadcast(table)
+    shingles = keys.agg(F.sum("n_shingles")).first()[0] or 0
     entry = sum(np.dtype(kind).itemsize for _, kind in COLUMNS)
-    n = int(total.sum()) * (100 - percent) // 100 * entry // PART_BYTES
+    n = shingles * (100 - percent) // 100 * entry // PART_BYTES
     parts = max(24, n)
 
-    pairs = cut_lineage(
+    listed = cut_lineage(
         _postings(rows, levels, width, percent, parts)
         .groupBy("part")
-        .applyInArrow(_candidates(percent), "a bigint, b bigint, far boolean")
+        .applyInArrow(_candidates(percent), "a bigint, b bigint, h bigint, id bigint, size bigint, pos bigint")
+    )
+    # Each set under the smallest key that has it.
+    nodes = cut_lineage(
+        keys.filter("sig IS NOT NULL AND __id IS NOT NULL")
+        .groupBy("sig", "s")
+        .agg(F.min("__id").alias("id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    )
+    maps = nodes.dropDuplicates(["s"]).select("s", "bits")
+
+    long = listed.filter("h IS NOT NULL").drop("b")
+    lists = long.groupBy("h").agg(F.min_by("a", F.struct("id", "a")).alias("pivot"), F.count(F.lit(1)).alias("len"))
+    lists = lists.withColumn("k", F.ceil(F.col("len") / BLOCK).cast("int")).drop("len")
+    lists = lists.join(maps.select(F.col("s").alias("pivot"), F.col("bits").alias("pivot_bits")), "pivot")
+    entries = long.join(maps.withColumnRenamed("s", "a"), "a").join(lists, "h")
+    entries = entries.withColumn("at", F.xxhash64("a")).withColumn("own", F.pmod("at", F.col("k")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    blocks = (
+        entries.withColumn("is_row", F.lit(True)).withColumn("r", F.col("own")).withColumn("c", others)
+        .unionByName(entries.withColumn("is_row", F.lit(False)).withColumn("c", F.col("own")).withColumn("r", others))
+        .filter("r <= c")
+    )
+    far_pairs = blocks.groupBy("h", "r", "c").applyInArrow(_list_pairs(percent), "a bigint, b bigint, far boolean")
+    pairs = (
+        listed.filter("h IS NULL")
+        .select("a", "b", F.lit(False).alias("far"))
+        .unionByName(far_pairs)
         .groupBy("a", "b")
         .agg(F.max("far").alias("far"))
     )
+    end = lambda x: nodes.select(*[F.col(c).alias(n) for c, n in (("s", x), ("id", f"id{x}"), ("n", f"n{x}"), ("bits", f"x{x}"))])
+    pairs = cut_lineage(_possible(pairs.join(end("a"), "a").join(end("b"), "b"), percent))
 
-    # Smallest key of each set, and the sets that a pair needs.
-    classes = keys.filter("sig IS NOT NULL AND __id IS NOT NULL").groupBy("sig").agg(F.min("__id").alias("id"))
-    wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-
-    def mark_sigs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [int.from_bytes(b[:8], "little", signed=True) for b in batch.column("sig").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.int64())], names=["sig", "id", "s"])
-
-    nodes = cut_lineage(classes.mapInArrow(mark_sigs, "sig binary, id bigint, s bigint"))
-    needed = nodes.join(wanted, "s").select("id", "sig", "s")
+    wanted = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id"))).distinct()
+    needed = nodes.select("id", "sig", "s").join(wanted, "id")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "__text"):
@@ -350,8 +471,8 @@ def link_documents(
         .mapInArrow(load, "s bigint, id bigint, members binary")
     )
     loaded = cut_lineage(loaded.dropDuplicates(["s", "id"]))
-    side = lambda x: loaded.select(*[F.col(c).alias(n) for c, n in (("s", f"s_{x}"), ("id", f"id{x}"), ("members", f"s{x}"))])
-    met = pairs.join(side("b"), F.col("b") == F.col("s_b")).join(side("a"), F.col("a") == F.col("s_a"))
+    side = lambda x: loaded.select(*[F.col(c).alias(n) for c, n in (("s", x), ("id", f"id{x}"), ("members", f"s{x}"))])
+    met = pairs.join(side("b"), ["b", "idb"]).join(side("a"), ["a", "ida"])
     answers = cut_lineage(_compare(met, percent))
     linked = answers.filter("linked").select(F.col("ida").alias("a"), F.col("idb").alias("b"))
     found = cut_lineage(components(linked))
