@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, jaccard, licenses, lm_score, mixing, quality, sharding, warc
+from tallyframe.llm import decontaminate, jaccard, licenses, lm_score, mixing, quality, repeats, sharding, warc
 from tallyframe.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,14 @@ def _(spark, folder):
     )
 
 
+# ---- 7 repeats
+
+
+@query("op7_run_length_repeats")
+def _(spark, folder):
+    return repeats.find_repeats(read_parquet(spark, folder, "documents")).drop("spans")
+
+
 # ---- 8 sharding
 
 SHARDS = 8
