@@ -47,17 +47,16 @@ def roles(pages: DataFrame, key: str, payload: str, least: int) -> DataFrame:
     Keys and digests are grouped first and joined to the smallest key of each digest; only then do payloads
     move, once, by (digest, key), so a payload of a third of all pages is spread by their keys.
     """
-    keyed = pages.withColumn("__sha", F.sha2(payload, 256))
-    eligible = keyed.filter(F.octet_length(payload) >= least).groupBy("__sha", key).agg(F.lit(1).alias("__one"))
-    firsts = eligible.groupBy("__sha").agg(F.min(key).alias("__first"))
-    pairs = eligible.select(F.col("__sha").alias("__s"), F.col(key).alias("__k")).join(
-        firsts.withColumnRenamed("__sha", "__f"), F.col("__s") == F.col("__f")
-    )
-    joined = keyed.join(
-        pairs.drop("__f"), (F.col("__sha") == F.col("__s")) & F.col(key).eqNullSafe(F.col("__k")), "left"
+    keyed = pages.withColumn("__sha", F.unhex(F.sha2(payload, 256))).withColumn(
+        "__named", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     )
-    nth = F.row_number().over(Window.partitionBy("__sha", key).orderBy(F.col("__url").asc_nulls_last()))
-    return joined.withColumn("__eligible", F.col("__s").isNotNull()).withColumn("__nth", nth).drop("__s", "__k")
+    eligible = keyed.filter(F.octet_length(payload) >= least).groupBy("__sha", "__named").agg(F.first(key).alias(key))
+    firsts = eligible.groupBy("__sha").agg(F.min(key).alias("__first"))
+    pairs = eligible.select("__sha", "__named").join(firsts, "__sha").withColumn("__eligible", F.lit(True))
+    joined = keyed.join(pairs, ["__sha", "__named"], "left")
+    # The window stands on the join's partitioning: payloads are shuffled once.
+    nth = F.row_number().over(Window.partitionBy("__sha", "__named").orderBy(F.col("__url").asc_nulls_last()))
+    return joined.withColumn("__eligible", F.coalesce("__eligible", F.lit(False))).withColumn("__nth", nth)
 
 
 def record(key, url: str | None, payload: bytes, refers_to, is_revisit: bool, date: str) -> bytes:
@@ -261,7 +260,8 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
                 if held:
                     yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, zip(*held))), schema=arrow)
 
-    return ranges.repartition("path", "start").mapInArrow(run, schema)
+    tasks = files.agg(F.sum(F.expr(f"greatest(bytes - 1, 0L) div {split_bytes}L + 1"))).first()[0] or 1
+    return ranges.repartition(int(tasks)).mapInArrow(run, schema)
 
 
 def page_table(read: DataFrame, key_type: str = "bigint") -> DataFrame:
