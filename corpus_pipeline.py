@@ -1,10 +1,62 @@
-"""From raw documents to sharded training data: each stage applies one operator to all that is left."""
+"""From raw documents to sharded training data: each stage applies one operator to all that is left.
+
+Stages take (spark, docs, sf_dir). All but the last return the columns of ``docs``; the last returns the
+documents with their shard, place in the shard and the shard they would have with one shard more. Columns of
+the input that are named like one of those give way to it.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyframe.llm import decontaminate, jaccard, mixing, quality, sharding
+from tallyframe.session import cut_lineage
+from tallyframe.sources.readers import read_parquet
+
+SHARDS = 8
+SHARD_COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the full rule policy keeps."""
+    return quality.passing(docs, quality.STRICT)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id."""
+    return jaccard.one_per_group(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontaminate.clean_documents(docs, read_parquet(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: repeated, once or not at all."""
+    return mixing.mixed_documents(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shards; copies of a document share one."""
+    keep = [c for c in docs.columns if c != "doc_id" and c not in SHARD_COLUMNS]
+    return sharding.assign_shards(docs, [1.0] * SHARDS, keep=keep)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mix", source_mix),
+    ("shards", shards),
+]
+
+# Links among word sets have no practical SQL: the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_parquet(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -292,3 +292,10 @@ def decontaminate(
         some("items", "array<string>"),
         F.coalesce(F.size("near"), F.lit(0)).cast("bigint").alias("n_near_items"),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a word in an exact match, with all columns. Rows that share their key with
+    a matching one go with it; a row without a key is judged with the others that have none."""
+    hits = decontaminate(docs, items, key, text).filter("n_hit > 0").select(F.col(key).alias("__k")).distinct()
+    return docs.join(hits, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left_anti")

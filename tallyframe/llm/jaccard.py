@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import LOWER, chunks, text_bytes, word_ids
@@ -520,3 +520,15 @@ def link_documents(
         "n_shingles",
         F.when(F.col("__id").isNotNull(), F.coalesce("of_class", "__id")).alias("component_id"),
     )
+
+
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of its component, with all columns; of rows that repeat a key,
+    one. Rows without a key stay."""
+    linked = link_documents(docs, key, text, width, percent)
+    first = linked.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__k")).distinct()
+    met = docs.join(first, F.col(f"`{key}`") == F.col("__k"))
+    again = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(F.col(f"`{text}`"))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = met.withColumn("__again", again).filter("__again = 1").select(*columns)
+    return kept.unionByName(docs.filter(F.col(f"`{key}`").isNull()))

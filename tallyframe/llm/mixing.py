@@ -139,3 +139,37 @@ def mix(
         "target",
         (F.col("__epochs") * F.col("size") + last).cast("bigint").alias("taken"),
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[int] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    seed: str = SEED,
+) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, whole: a document that the cut divides is taken if at least
+    half of it lies before. All columns stay; documents without words go.
+
+    Each source's cut is a place in hash order, so rows are decided by their source's row in a small table
+    and no text is shuffled for it. Rows that are equal in key and size fall on one side of a cut.
+    """
+    taken = mix(docs, weights, share, most, key, text, source, seed).withColumnsRenamed({key: "__id"})
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    rest = F.col("taken") - epochs * F.col("size")
+    at = F.struct(hash_key(F.lit(seed), F.col("__id")).alias("k"), F.col("__id").alias("id"), F.col("size").alias("size"))
+    cuts = taken.groupBy("source").agg(
+        F.first(epochs).alias("__epochs"), F.max(F.when((rest > 0) & (2 * rest >= F.col("size")), at)).alias("__cut")
+    )
+    cuts = cut_lineage(cuts.withColumnRenamed("source", "__of"))
+    size = n_words(F.col(f"`{text}`"))
+    own = F.struct(
+        hash_key(F.lit(seed), F.col(f"`{key}`")).alias("k"), F.col(f"`{key}`").alias("id"), size.alias("size")
+    )
+    copies = F.when(size > 0, F.col("__epochs") + F.when(own <= F.col("__cut"), 1).otherwise(0)).otherwise(0)
+    rows = docs.join(cuts, F.col(f"`{source}`").eqNullSafe(F.col("__of"))).withColumn("__copies", copies.cast("int"))
+    rows = rows.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

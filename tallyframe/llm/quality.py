@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.llm.common import SPACE, chunks, text_bytes, word_ids
 
@@ -137,28 +138,44 @@ def measure(texts: list[bytes]) -> dict[str, list[int]]:
     return out
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Per document the key, the measurements and ``failures``, one bit per failed rule.
-
-    Write it once: policies and ablations need nothing else. A missing or empty text measures 0
-    throughout; repeated rows give repeated results; other columns are ignored.
-    """
-    rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
-    fields = [pa.field("__id", pa.int64())] + [pa.field(m, pa.int64()) for m in MEASURES]
+def measured(docs: DataFrame, text: str, carry: Sequence[str]) -> DataFrame:
+    """The columns ``carry`` as one struct ``__row``, and the measurements of ``text``."""
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"), F.col(f"`{text}`").cast("string").alias("__text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "__text"):
             found = measure(text_bytes(part.column("__text")))
-            arrays = [part.column("__id"), *[pa.array(found[m], pa.int64()) for m in MEASURES]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["__id", *MEASURES])
+            arrays = [part.column("__row"), *[pa.array(found[m], pa.int64()) for m in MEASURES]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["__row", *MEASURES])
+
+    schema = T.StructType([rows.schema["__row"], *[T.StructField(m, T.LongType()) for m in MEASURES]])
+    return rows.mapInArrow(run, schema)
 
-    kind = rows.schema["__id"].dataType.simpleString()
-    schema = ", ".join([f"__id {kind}", *[f"{f.name} bigint" for f in fields[1:]]])
+
+def failures(rules: Sequence[Rule] = RULES) -> Column:
+    """One bit per failed rule."""
     bits = F.lit(0).cast("bigint")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.failed), F.lit(1 << rule.bit)).otherwise(0).cast("bigint"))
-    measured = rows.mapInArrow(run, schema)
-    return measured.select(F.col("__id").alias(key), *MEASURES, bits.alias("failures"))
+    return bits
+
+
+def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Per document the key, the measurements and ``failures``, one bit per failed rule.
+
+    Write it once: policies and ablations need nothing else. A missing or empty text measures 0
+    throughout; repeated rows give repeated results; other columns are ignored.
+    """
+    rows = measured(docs, text, [key])
+    return rows.select(F.col(f"__row.`{key}`").alias(key), *MEASURES, failures(rules).alias("failures"))
+
+
+def passing(docs: DataFrame, policy: Policy, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``docs`` that ``policy`` keeps, with all their columns and no shuffle."""
+    rows = measured(docs, text, docs.columns).withColumn("failures", failures(rules))
+    return rows.filter(~rejected(policy, rules)).select("__row.*")
 
 
 def rejected(policy: Policy, rules: Sequence[Rule] = RULES, failures: str = "failures") -> Column:

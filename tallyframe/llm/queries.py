@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, jaccard, licenses, lm_score, mixing, quality, repeats, sharding, warc
+from tallyframe.llm import decontaminate, jaccard, licenses, lm_score, mixing, quality, repeats, secrets, sharding, warc
 from tallyframe.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,14 @@ def _(spark, folder):
     return jaccard.link_documents(read_parquet(spark, folder, "documents"))
 
 
+# ---- 5 secret scan
+
+
+@query("op5_secret_scan")
+def _(spark, folder):
+    return secrets.scan_secrets(read_parquet(spark, folder, "documents"))
+
+
 # ---- 6 quality rules
 
 

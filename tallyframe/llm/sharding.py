@@ -85,6 +85,7 @@ def assign_shards(
         rendezvous(k, [*weights, grown_weight], seed).cast("int").alias("grown_shard"),
         hash_key(F.lit("slot"), k, F.crc32(raw)).alias("__order"),
     )
-    rows = cut_lineage(rows)
+    if not keep:  # with whole rows, hashing them again costs less than storing them again
+        rows = cut_lineage(rows)
     numbered = number_within(rows, ["shard"], "__order", [key, "size"], "slot")
     return only(numbered, key, *keep, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
