@@ -34,6 +34,22 @@ def min_skip(c: Column | str) -> Column:
     return F.min(as_col(c))
 
 
+# Doubles are added as decimals with this many places, so that no order of addition shows.
+EXACT = "decimal(28,6)"
+
+
+def exact_sum(c: Column | str) -> Column:
+    """Sum that ignores missing values and does not depend on how rows are spread: to 6 decimal places, up to 22
+    digits before them; a larger amount fails the job. 0 of nothing."""
+    return F.coalesce(F.sum(as_col(c).cast(EXACT)).cast("double"), F.lit(0.0))
+
+
+def exact_mean(c: Column | str) -> Column:
+    """Mean from the exact sum, with one rounding."""
+    col = as_col(c)
+    return F.try_divide(F.sum(col.cast(EXACT)).cast("double"), F.count(col))
+
+
 def _complete(c: Column) -> Column:
     return F.count(c) == row_count()
 
@@ -66,16 +82,10 @@ def max_where(condition: Column, c: Column | str) -> Column:
     return F.max(F.when(condition, as_col(c)))
 
 
-def strict_mean_where(condition: Column, c: Column | str) -> Column:
-    """Strict mean over the rows of the group that meet ``condition``; missing when there are none."""
-    cell = F.when(condition, as_col(c))
-    return F.when(F.count(cell) == count_where(condition), mean_skip(cell))
-
-
 def missing_share(c: Column | str) -> Column:
     return F.avg(as_col(c).isNull().cast("int")) * 100
 
 
 def rate(target: Column | str) -> Column:
-    """Sum of a 0/1 target over the number of rows, rows without a target included below the line."""
-    return F.try_divide(F.sum(as_col(target)).cast("double"), row_count())
+    """Sum of a 0/1 target over the number of rows; missing as soon as one row's target is."""
+    return F.try_divide(strict_sum(target).cast("double"), row_count())

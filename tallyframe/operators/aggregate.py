@@ -23,6 +23,7 @@ FIVE_FUNCTIONS: dict[str, Agg] = {
 STRICT_SUM_COUNT: dict[str, Agg] = {"SUM": A.strict_sum, "N": lambda c: A.row_count()}
 SUM_COUNT: dict[str, Agg] = {"sum": A.sum_skip, "n": lambda c: A.row_count()}
 SUM_MEAN: dict[str, Agg] = {"SUM": A.sum_skip, "MEAN": A.mean_skip}
+EXACT_SUM_MEAN: dict[str, Agg] = {"SUM": A.exact_sum, "MEAN": A.exact_mean}
 
 
 def fan_out(
@@ -83,21 +84,28 @@ def with_overall_mean(df: DataFrame, column: str, name: str = "prop") -> DataFra
 
 
 def rate_by_level(df: DataFrame, target: str, column: str) -> DataFrame:
-    """Target rate of every level of one column, with the overall rate and a percent label."""
+    """Target rate of every level of one column, with the overall rate and a percent label.
+
+    A missing target makes its level's rate missing, and the overall one."""
     counts = df.groupBy(column).agg(
         A.row_count().alias("n"),
         F.sum(target).alias("positives"),
         F.count(target).alias("known"),
     )
-    overall = counts.agg(F.try_divide(F.sum("positives").cast("double"), F.sum("known"))).scalar()
+    overall = counts.agg(strict_rate(F.sum("positives"), F.sum("known"), F.sum("n"))).scalar()
     return counts.select(
         column,
         overall.alias("prop"),
         "n",
-        (F.col("positives").cast("double") / F.col("n")).alias("rate"),
+        strict_rate(F.col("positives"), F.col("known"), F.col("n")).alias("rate"),
     ).withColumn("label", percent_label("rate"))
 
 
+def strict_rate(positives: Column, known: Column, n: Column) -> Column:
+    """Positives over rows, missing where a row's target is."""
+    return F.when(known == n, F.try_divide(positives.cast("double"), n))
+
+
 def distinct_count(df: DataFrame, column: str, name: str = "n_distinct") -> DataFrame:
     """Number of distinct values, a missing value counting as one of them."""
     return df.agg(

@@ -92,8 +92,13 @@ def resolve_levels(
     max_levels: int = MAX_LEVELS,
     prefix_names: bool = True,
 ) -> LevelSpec:
-    """Level list of the named columns; raw levels that clean to the same name share one indicator."""
+    """Level list of the named columns; raw levels that clean to the same name share one indicator.
+
+    A name that another variable's level, or a column that stays, has already gets ``_2``, ``_3`` and so
+    on, variables taken in the order given: no level is lost.
+    """
     columns = list(columns)
+    taken = {c.lower() for c in df.columns if c not in columns}
     levels: dict[str, dict[str, list]] = {c: {} for c in columns}
     for variable, raw, clean in distinct_levels(df, columns, max_levels):
         if prefix_names:
@@ -103,7 +108,19 @@ def resolve_levels(
         else:
             name = raw
         levels[variable].setdefault(name, []).append(raw)
-    return LevelSpec(levels)
+    if not prefix_names:
+        return LevelSpec(levels)
+    named: dict[str, dict[str, list]] = {}
+    for variable in columns:
+        named[variable] = {}
+        for name, raws in levels[variable].items():
+            free, i = name, 1
+            while free.lower() in taken:
+                i += 1
+                free = f"{name}_{i}"
+            taken.add(free.lower())
+            named[variable][free] = raws
+    return LevelSpec(named)
 
 
 def one_hot_plain(df: DataFrame, column: str, levels: Iterable[str] | None = None) -> DataFrame:
@@ -115,20 +132,27 @@ def one_hot_plain(df: DataFrame, column: str, levels: Iterable[str] | None = Non
 
 
 def one_hot_named(
-    df: DataFrame, columns: Iterable[str], spec: LevelSpec | None = None
+    df: DataFrame,
+    columns: Iterable[str],
+    spec: LevelSpec | None = None,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """A 0/1 column ``VARIABLE_LEVEL`` per cleaned level of every named column; the source columns go."""
     columns = selectors.one_of(df, columns)
-    spec = spec or resolve_levels(df, columns)
+    spec = spec or resolve_levels(df, columns, max_levels)
     made = [e.alias(n) for c in columns for n, e in spec.indicators(c).items()]
     return df.select(*[F.col(c) for c in df.columns if c not in columns], *made)
 
 
 def level_counts(
-    df: DataFrame, keys: Iterable[str], columns: Iterable[str], spec: LevelSpec | None = None
+    df: DataFrame,
+    keys: Iterable[str],
+    columns: Iterable[str],
+    spec: LevelSpec | None = None,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """Rows per key and level, one column per level: one-hot and sum without the wide middle table."""
     columns = selectors.one_of(df, columns)
-    spec = spec or resolve_levels(df, columns)
+    spec = spec or resolve_levels(df, columns, max_levels)
     sums = [F.sum(e).alias(n) for c in columns for n, e in spec.indicators(c).items()]
     return df.groupBy(*keys).agg(*sums)

@@ -19,14 +19,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_BUCKETS = 32
-MAX_BUCKETS = 8192
+BUCKET_ROWS = 1_000_000
 BROADCAST_ROWS = 200_000
 
 
 def bucket_target(df: DataFrame) -> int:
-    """As many buckets as the session has reduce tasks, within bounds that keep the cut list small."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, wanted))
+    """A bucket for every BUCKET_ROWS rows: what one task sorts does not grow with the table."""
+    return max(MIN_BUCKETS, -(-df.count() // BUCKET_ROWS))
+
+
+def position(df: DataFrame, column: str) -> Column:
+    """The column as a double that keeps its order: days or microseconds of dates and timestamps."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    return c.cast("double")
 
 
 @dataclass(frozen=True)
@@ -35,7 +44,9 @@ class Sketch:
 
     quantiles: dict[str, list[float]]
     missing: dict[str, float]
+    nan: dict[str, float]
     groups: int
+    buckets: int
 
     def cuts(self, column: str) -> list[float]:
         return sorted(set(self.quantiles[column]))
@@ -53,67 +64,82 @@ def sketch(
     n = buckets or bucket_target(df)
     probs = [i / n for i in range(1, n)]
     # An error of a quarter bucket is enough, and keeps the sketches of many columns small.
-    aggs = [F.percentile_approx(F.col(c).cast("double"), probs, max(1000, 4 * n)) for c in columns]
+    place = [position(df, c) for c in columns]
+    aggs = [F.percentile_approx(p, probs, max(1000, 4 * n)) for p in place]
     groups = F.approx_count_distinct(F.xxhash64(*by)) if by else F.lit(1)
-    gaps = [F.avg(F.col(c).isNull().cast("int")) for c in columns]
-    row = df.agg(*aggs, *gaps, groups).first()
+    gaps = [F.avg(p.isNull().cast("int")) for p in place]
+    odd = [F.avg(F.coalesce(F.isnan(p), F.lit(False)).cast("int")) for p in place]
+    row = df.agg(*aggs, *gaps, *odd, groups).first()
     k = len(columns)
     finite = [[v for v in (q or []) if math.isfinite(v)] for q in row[:k]]
     missing = [share or 0.0 for share in row[k : 2 * k]]
-    return Sketch(dict(zip(columns, finite)), dict(zip(columns, missing)), row[-1])
+    nan = [share or 0.0 for share in row[2 * k : 3 * k]]
+    return Sketch(*[dict(zip(columns, x)) for x in (finite, missing, nan)], row[-1], n)
 
 
 def range_bucket(df: DataFrame, column: str, cuts: list[float], name: str = "bucket") -> DataFrame:
-    """Add the index of the range a value falls in; missing values get a last bucket of their own."""
+    """Add the index of the range a value falls in. NaN and missing values get the last two buckets."""
+    last = len(cuts) + 1
+    if not cuts:
+        p = position(df, column)
+        return df.withColumn(name, F.when(p.isNull(), last + 1).when(F.isnan(p), last).otherwise(0))
     edges = [float("-inf"), *cuts, float("inf")]
     work, raw = f"__{name}_in", f"__{name}_raw"
-    df = df.withColumn(work, F.col(column).cast("double"))
+    df = df.withColumn(work, position(df, column))
     out = Bucketizer(inputCol=work, outputCol=raw, splits=edges, handleInvalid="keep").transform(df)
-    last = F.lit(len(cuts) + 1)
-    return out.withColumn(name, F.coalesce(F.col(raw).cast("int"), last)).drop(work, raw)
+    missing = F.col(work).isNull()
+    found = F.when(missing, last + 1).otherwise(F.coalesce(F.col(raw).cast("int"), F.lit(last)))
+    return out.withColumn(name, found).drop(work, raw)
 
 
 def with_row_number(
     df: DataFrame, order: Sequence[str], name: str = "row_number", buckets: int | None = None
 ) -> DataFrame:
-    """1-based position in the whole table's order, missing values last.
+    """1-based position in the whole table's order, missing values last, NaN before them.
 
-    ``order`` starts with a numeric column and must be unique as a whole for the numbering to be
-    reproducible. If single values of the first column are very frequent, the second one, numeric
-    too, splits their rows further.
+    ``order`` starts with a number, date or timestamp and must be unique as a whole for the
+    numbering to be reproducible. If single values of the first column are very frequent, the second
+    one, of such a type too, splits their rows further; without a second one, a hash of the row
+    does, since the rows tie.
     """
     order = list(order)
     first, rest = order[0], order[1:2]
+    if not rest:
+        df = df.withColumn("__ties", F.xxhash64(*df.columns))
+        rest = ["__ties"]
     found = sketch(df, [first, *rest], buckets)
-    hot = _exact_doubles(df, first, found.hot(first)) if rest else {}
+    hot = _exact_doubles(df, first, found.hot(first))
     edges = sorted({*found.cuts(first), *hot, *[math.nextafter(v, math.inf) for v in hot]})
     spread = range_bucket(df, first, edges)
     place = ["bucket"]
-    absent = math.ceil(found.missing[first] * (buckets or bucket_target(df)))
-    if rest and (hot or absent > 1):
-        # A value that alone would fill n buckets gets n, cut by the next order column; so do the
-        # missing values, whose bucket comes last.
+    absent = math.ceil(found.missing[first] * found.buckets)
+    odd = math.ceil(found.nan[first] * found.buckets)
+    if hot or absent > 1 or odd > 1:
+        # A value that alone would fill n buckets gets n, cut by the next order column; so do NaN
+        # and the missing values, whose buckets come last.
         finer = found.cuts(rest[0])
         spread = range_bucket(spread, rest[0], finer, "finer")
-        shares = F.expr("array(" + ",".join(str(hot.get(e, 1)) for e in [None, *edges]) + ")")
-        share = F.coalesce(F.try_element_at(shares, F.col("bucket") + 1), F.lit(max(absent, 1)))
-        part = F.floor(F.col("finer") * share / F.lit(len(finer) + 2))
+        every = [*[hot.get(e, 1) for e in [None, *edges]], max(odd, 1), max(absent, 1)]
+        share = F.element_at(F.expr(f"array({','.join(map(str, every))})"), F.col("bucket") + 1)
+        part = F.floor(F.col("finer") * share / F.lit(len(finer) + 3))
         spread = spread.withColumn("part", part).drop("finer")
         place.append("part")
     sizes = spread.groupBy(*place).agg(F.count(F.lit(1)).alias("rows_in"))
     before = (
         Window.partitionBy(F.lit(0)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per bucket, hot values as many as they fill: no more than thrice MAX_BUCKETS.
+    # One row per bucket, hot values as many as they fill: thrice the rows over BUCKET_ROWS at most.
     base = F.broadcast(
         sizes.select(*place, F.coalesce(F.sum("rows_in").over(before), F.lit(0)).alias("rows_base"))
     )
-    inside = F.row_number().over(Window.partitionBy(*place).orderBy(*order))
+    inside = F.row_number().over(
+        Window.partitionBy(*place).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    )
     return (
         spread.withColumn("__inside", inside)
         .join(base, place)
         .withColumn(name, (F.col("rows_base") + F.col("__inside")).cast("bigint"))
-        .drop("bucket", "part", "rows_base", "__inside")
+        .drop("bucket", "part", "rows_base", "__inside", "__ties")
     )
 
 
@@ -122,8 +148,11 @@ def _exact_doubles(df: DataFrame, column: str, values: dict[float, int]) -> dict
     kind = df.schema[column].dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return values
-    if isinstance(kind, T.IntegralType):
+    whole = (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if isinstance(kind, whole):
         return {v: n for v, n in values.items() if abs(v) < 2**53}
+    if isinstance(kind, T.DecimalType) and kind.precision <= 15:
+        return values
     return {}
 
 
@@ -137,7 +166,7 @@ def running_sums(
     before = (
         Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per bucket: at most MAX_BUCKETS + 1.
+    # One row per bucket: rows over BUCKET_ROWS, and a few.
     base = F.broadcast(
         totals.select(
             "bucket",
@@ -272,4 +301,5 @@ def exact_quantiles(
         ).alias(f"q{i}")
         for i, p in enumerate(probs)
     ]
-    return out.select(*by, "n", "lowest", "highest", *made)
+    n = F.col("n") if by else F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
+    return out.select(*by, n, "lowest", "highest", *made)

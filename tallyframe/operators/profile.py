@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tallyframe.functions import aggregates as A
 from tallyframe.functions.scalar import keep_between, percent_label
 from tallyframe.operators import ordered, reshape, selectors
+from tallyframe.operators.aggregate import strict_rate
 
 # Fixed values.
 DISCRETE_BELOW = 100
@@ -137,17 +138,14 @@ def level_rates(df: DataFrame, target: str, variables: Sequence[str]) -> DataFra
     # the subquery reuses the shuffle of the counts.
     first = F.col("variable") == variables[0]
     overall = counts.agg(
-        F.try_divide(
-            F.sum(F.when(first, F.col("positives"))).cast("double"),
-            F.sum(F.when(first, F.col("known"))),
-        )
+        strict_rate(*[F.sum(F.when(first, F.col(c))) for c in ("positives", "known", "n")])
     ).scalar()
     return counts.select(
         "variable",
         "valor",
         "n",
         overall.alias("prop"),
-        (F.col("positives").cast("double") / F.col("n")).alias("rate"),
+        strict_rate(F.col("positives"), F.col("known"), F.col("n")).alias("rate"),
     ).withColumn("label", percent_label("rate"))
 
 
@@ -201,11 +199,9 @@ def cells_long(
 ) -> tuple[DataFrame, int]:
     """(keep..., variable, valor, bucket) with each variable cut into ranges on its own scale.
 
-    Also gives an upper estimate of the number of (keep..., variable) groups. Variables share the
-    buckets out, as their long form has that many times the rows.
+    Also gives an upper estimate of the number of (keep..., variable) groups. Each variable has as
+    many buckets as the rows ask for.
     """
-    if buckets is None:
-        buckets = max(ordered.MIN_BUCKETS, ordered.bucket_target(df) // len(variables))
     found = ordered.sketch(df, variables, buckets, keep)
     for i, v in enumerate(variables):
         df = ordered.range_bucket(df, v, found.cuts(v), f"__b{i}")

@@ -43,7 +43,10 @@ def key_values(df: DataFrame, key: str, max_levels: int = MAX_LEVELS) -> list[st
     rows = df.select(F.col(key).cast("string").alias("k")).distinct().limit(max_levels + 1).collect()
     if len(rows) > max_levels:
         raise ValueError(f"pivot key {key!r} has more than {max_levels} values")
-    return sorted("NA" if r.k is None else r.k for r in rows)
+    found = {r.k for r in rows}
+    if {None, "NA"} <= found:
+        raise ValueError(f"pivot key {key!r} has both missing values and the text 'NA': one column name for both")
+    return sorted("NA" if k is None else k for k in found)
 
 
 def _single_cell(key: Column, key_value: str, value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
@@ -53,14 +54,14 @@ def feature_names(df: DataFrame, id_col: str, target: str, exclude: Iterable[str
 def model_frame(
     df: DataFrame, id_col: str, target: str | None, features: Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Id, label and one feature vector per row; a missing number counts as 0."""
+    """Id, label and one feature vector per row; a missing number or NaN counts as 0."""
     chosen = selectors.one_of(df, features)
     label = [F.col(target).cast("double").alias("label")] if target else []
     plain = df.select(
         id_col,
         *label,
         *keep,
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in chosen],
+        *[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in chosen],
     )
     out = VectorAssembler(inputCols=chosen, outputCol="features").transform(plain)
     return out.select(id_col, *(["label"] if target else []), *keep, "features")
@@ -88,13 +89,15 @@ def fit_boosted(
 
 
 def importance(
-    model: GBTClassificationModel, df: DataFrame, features: Sequence[str]
+    model: GBTClassificationModel, df: DataFrame, features: Sequence[str], pattern: str = ""
 ) -> DataFrame:
-    """Features by falling importance, ranked from 1. One row per feature, so the ranking is tiny."""
+    """Features by falling importance, ranked from 1. One row per feature, so the ranking is tiny.
+
+    ``pattern`` keeps the names that match it somewhere, with their rank among all features."""
     ranked = sorted(
         zip(features, model.featureImportances.toArray().tolist()), key=lambda p: (-p[1], p[0])
     )
-    rows = [(name, float(gain), i) for i, (name, gain) in enumerate(ranked, 1)]
+    rows = [(name, float(gain), i) for i, (name, gain) in enumerate(ranked, 1) if re.search(pattern, name)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double, rank int")
 
 
@@ -106,9 +109,11 @@ def score(model: GBTClassificationModel, frame: DataFrame, name: str = "score")
     )
 
 
-def submission(scored: DataFrame, id_col: str, score_col: str = "score") -> DataFrame:
+def submission(
+    scored: DataFrame, id_col: str, score_col: str = "score", id_type: str = "bigint"
+) -> DataFrame:
     return scored.select(
-        F.col(id_col).cast("int").alias(id_col), F.col(score_col).alias("TARGET")
+        F.col(id_col).cast(id_type).alias(id_col), F.col(score_col).alias("TARGET")
     )
 
 
@@ -144,8 +149,10 @@ def _rows_from(cells: list[Column]) -> Column:
 def roc_thresholds(
     scored: DataFrame, label: str, score_col: str, thresholds: Sequence[float] = THRESHOLDS
 ) -> DataFrame:
-    """Sensitivity and specificity per threshold, from one scan; a score at the threshold counts as positive."""
-    known = F.col(label).isNotNull()
+    """Sensitivity and specificity per threshold, from one scan; a score at the threshold counts as positive.
+
+    Rows without a label or a score count nowhere, here and in all score statistics."""
+    known = F.col(label).isNotNull() & F.col(score_col).isNotNull()
     y, s = F.col(label), F.col(score_col)
     aggs = [A.count_where(y == 1).alias("n_pos"), A.count_where(y == 0).alias("n_neg")]
     for i, t in enumerate(thresholds):
@@ -174,7 +181,7 @@ def score_intervals(
         (F.when(F.col(score_col) >= F.lit(float(t)), 1).otherwise(0) for t in thresholds), F.lit(0)
     )
     return (
-        scored.filter(F.col(label).isNotNull())
+        scored.filter(F.col(label).isNotNull() & F.col(score_col).isNotNull())
         .groupBy(F.col(label).cast("int").alias("label"), above.alias("interval"))
         .agg(A.row_count().alias("n"))
     )

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators import sampling
+from tallyframe.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class Splits:
+    """``rows`` holds all parts, with columns ``split`` and ``copy``; the parts have the input's columns."""
+
+    rows: DataFrame
     train: DataFrame
     validation: DataFrame
     test: DataFrame
@@ -59,12 +63,16 @@ def split_rebalance(
 ) -> Splits:
     """Rebalanced training rows, untouched validation rows and unlabelled test rows.
 
-    Pass ``keys`` (id and class) from the subject table, so that planning the split does not
-    compute the wide table.
+    The wide table is computed and written once, below the checkpoint folder; the parts are filters
+    of the files. Pass ``keys`` (id and class) from the subject table, or the wide table is
+    written before the split is planned.
     """
-    plan = split_plan(wide if keys is None else keys, id_col, target, fraction, share, seed)
-    rows = apply_plan(wide, plan, id_col)
+    if keys is None:
+        wide = keys = cut_lineage(wide)
+    plan = split_plan(keys, id_col, target, fraction, share, seed)
+    rows = cut_lineage(apply_plan(wide, plan, id_col))
     return Splits(
+        rows,
         *[
             rows.filter(F.col("split") == s).select(*wide.columns)
             for s in ("train", "validation", "test")

@@ -570,6 +570,30 @@ def _(t):
     return ordered.with_row_number(df, ["c_acctbal", "c_custkey"]).select("c_custkey", "row_number")
 
 
+AMOUNT_TIES = (
+    "CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1000 WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_totalprice END"
+    " AS DECIMAL(12,2))"
+)
+
+
+@query(
+    "row_number_ties",
+    f"SELECT o_orderkey, row_number() OVER (ORDER BY {AMOUNT_TIES} NULLS LAST, o_orderkey) AS row_number FROM orders",
+)
+def _(t):
+    df = t.orders.selectExpr("o_orderkey", f"{AMOUNT_TIES} AS amount")
+    return ordered.with_row_number(df, ["amount", "o_orderkey"]).select("o_orderkey", "row_number")
+
+
+@query(
+    "row_number_dates",
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_number FROM orders",
+)
+def _(t):
+    df = t.orders.select("o_orderdate", "o_orderkey")
+    return ordered.with_row_number(df, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_number")
+
+
 NEGATIVE = "CAST(c_acctbal < 0 AS INT)"
 
 

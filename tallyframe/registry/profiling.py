@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions import aggregates as A
-from tallyframe.operators import aggregate, ordered, profile
+from tallyframe.operators import aggregate, ordered, profile, sampling
 from tallyframe.plans import features
 from tallyframe.registry.bindings import SUBJECT, with_bound
 from tallyframe.registry.core import query, rounded
@@ -56,7 +56,8 @@ def _(t):
     "SELECT l_linenumber, l_quantity, l_discount, l_tax FROM lineitem",
 )
 def _(t):
-    return profile.select_kind(t.lineitem, "discrete")
+    # The number of suppliers depends on the scale.
+    return profile.select_kind(t.lineitem.drop("l_suppkey"), "discrete")
 
 
 SUBJECT_NUMERIC = [c for c in SUBJECT if c not in SUBJECT_TEXT]
@@ -100,6 +101,24 @@ def _(t):
     return aggregate.rate_by_level(_labelled(t), "TARGET", "NAME_TYPE_SUITE")
 
 
+STRICT_RATE = "CASE WHEN COUNT(TARGET) = COUNT(*) THEN CAST(SUM(TARGET) AS DOUBLE) / COUNT(*) END"
+
+
+@query(
+    "rate_missing_target",
+    with_bound(
+        "subject",
+        rates=f"SELECT NAME_FAMILY_STATUS, COUNT(*) AS n, {STRICT_RATE} AS rate FROM"
+        " (SELECT * FROM subject WHERE TARGET IS NOT NULL OR NAME_FAMILY_STATUS = 'Widow') GROUP BY 1",
+        then=f"SELECT NAME_FAMILY_STATUS, (SELECT {STRICT_RATE} FROM subject) AS prop, n, rate,"
+        " round_even(rate * 100, 0) AS label FROM rates",
+    ),
+)
+def _(t):
+    some = t.subject.filter("TARGET IS NOT NULL OR NAME_FAMILY_STATUS = 'Widow'")
+    return aggregate.rate_by_level(some, "TARGET", "NAME_FAMILY_STATUS")
+
+
 @query(
     "count_and_rate",
     with_bound(
@@ -247,6 +266,15 @@ def _(t):
     return features.loan_quality(t.bound("external_loans"))
 
 
+@query(
+    "quantile_empty",
+    "SELECT COUNT(price) AS n, MIN(price) AS lowest, MAX(price) AS highest,"
+    f" quantile_cont(price, 0.25) AS q0, quantile_cont(price, 0.75) AS q1 FROM ({PRICES}) WHERE price < 0",
+)
+def _(t):
+    return ordered.exact_quantiles(_prices(t).filter("price < 0"), [], "price", [0.25, 0.75])
+
+
 @query(
     "quantile_overall",
     "SELECT COUNT(price) AS n, MIN(price) AS lowest, MAX(price) AS highest,"
@@ -272,7 +300,7 @@ def _(t):
     with_bound("subject", then="SELECT TARGET, COUNT(*) AS n FROM subject GROUP BY TARGET"),
 )
 def _(t):
-    return t.subject.groupBy("TARGET").agg(A.row_count().alias("n"))
+    return sampling.class_balance(t.subject, "TARGET")
 
 
 # ---- every variable of a kind

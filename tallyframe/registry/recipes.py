@@ -618,15 +618,17 @@ PLAN_TABLES = {
 )
 def _(t):
     derived = features.derive_features(wide(t))
-    plan = rebalance.split_plan(_keys(t), "SK_ID_CURR", "TARGET")
-    return rebalance.apply_plan(derived, plan, "SK_ID_CURR")
+    return rebalance.split_rebalance(derived, "SK_ID_CURR", "TARGET", keys=_keys(t)).rows
 
 
 @query(
     "text_columns",
-    with_bound("subject", then="SELECT FONDKAPREMONT_MODE, FLAG_OWN_REALTY FROM subject"),
+    with_bound(
+        "subject",
+        then="SELECT NAME_CONTRACT_TYPE, CODE_GENDER, NAME_TYPE_SUITE, NAME_INCOME_TYPE,"
+        " NAME_EDUCATION_TYPE, NAME_FAMILY_STATUS, NAME_HOUSING_TYPE, OCCUPATION_TYPE,"
+        " FONDKAPREMONT_MODE, FLAG_OWN_REALTY FROM subject",
+    ),
 )
 def _(t):
-    return t.subject.select(
-        *[c for c in selectors.character(t.subject) if c in ("FONDKAPREMONT_MODE", "FLAG_OWN_REALTY")]
-    )
+    return t.subject.select(*selectors.character(t.subject))

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from tallyframe.operators import encode, ordered, sampling
 from tallyframe.plans import model
-from tallyframe.registry.core import query, rounded
+from tallyframe.registry.core import Tables, query, rounded
 from tallyframe.session import cut_lineage
 
 # A formula score: exact in both engines, with many ties.
-SCORED = (
-    "SELECT doc_id, quality, CAST(least(n_chars, 4000) AS DOUBLE) / 4000 AS score"
-    " FROM labels JOIN documents USING (doc_id)"
-)
+BY_LENGTH = "CAST(n_chars AS DOUBLE) / (n_chars + 2000) AS score"
+SCORED = f"SELECT doc_id, quality, {BY_LENGTH} FROM labels JOIN documents USING (doc_id)"
 
 
 def _scored(t):
-    return t.labels.join(t.documents, "doc_id").selectExpr(
-        "doc_id", "quality", "CAST(least(n_chars, 4000) AS DOUBLE) / 4000 AS score"
-    )
+    return t.labels.join(t.documents, "doc_id").selectExpr("doc_id", "quality", BY_LENGTH)
 
 
 @query(
@@ -50,8 +48,8 @@ def _(t):
 
 @query(
     "score_intervals",
-    f"SELECT quality AS label, CAST(least(floor(score * 10 + 1e-9), 9) AS INT) AS interval, COUNT(*) AS n"
-    f" FROM ({SCORED}) GROUP BY 1, 2",
+    f"SELECT quality AS label, CAST({' + '.join(f'(score >= {i} / 10.0::DOUBLE)::INT' for i in range(1, 10))} AS INT)"
+    f" AS interval, COUNT(*) AS n FROM ({SCORED}) GROUP BY 1, 2",
 )
 def _(t):
     return model.score_intervals(_scored(t), "quality", "score")
@@ -86,7 +84,10 @@ def _documents(t):
     return sampling.three_way_split(rows, "doc_id", "quality", keys=t.labels)
 
 
-def _trained(t, preset):
+@cache
+def _trained_once(spark, folder, preset):
+    """One fit per session, folder and preset, whichever queries ask for it."""
+    t = Tables(spark, folder)
     rows = _documents(t)
     names = model.feature_names(rows, "doc_id", "quality")
     # Training makes many passes: over the written vectors, not over the texts.
@@ -94,7 +95,11 @@ def _trained(t, preset):
     known = frame.filter(F.col("split") != "test").withColumn(
         "is_validation", F.col("split") == "validation"
     )
-    return model.fit_boosted(known, preset.with_rounds(10), "is_validation"), frame, names, rows
+    return model.fit_boosted(known, preset, "is_validation"), frame, names, rows
+
+
+def _trained(t, preset):
+    return _trained_once(t.spark, t.folder, preset)
 
 
 @query("train_score")

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from tallyframe.sources.schemas import TABLES
 
-GUESS_LINES = 1000
 MISSING_TEXT = "NA"
 
 
@@ -16,37 +15,62 @@ def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def csv_schema(spark: SparkSession, path: str, declared: T.StructType | None) -> T.StructType:
-    """Schema in file order: declared types where there are any, else guessed from the first lines.
+def csv_schema(
+    spark: SparkSession, path: str, declared: T.StructType | None, infer: bool = False
+) -> T.StructType:
+    """Schema in file order: declared types where there are any, text for all other columns.
 
-    Only the head of the file is looked at, however big it is.
+    With ``infer`` those others get the type that fits every value, found by a pass over the whole
+    input; numbers other than whole ones within 64 bits become doubles.
     """
-    # The header and the guessing sample: at most GUESS_LINES lines.
-    head = [r.value for r in spark.read.text(path).limit(GUESS_LINES).collect()]
-    sample = spark.sparkContext.parallelize(head, 1)
-    guessed = spark.read.csv(sample, header=True, inferSchema=True, nullValue=MISSING_TEXT).schema
+    options = {"header": True, "nullValue": MISSING_TEXT, "emptyValue": "", "inferSchema": infer}
     known = {f.name: f.dataType for f in declared} if declared else {}
+    kinds = (T.LongType, T.IntegerType, T.StringType, T.BooleanType)
     return T.StructType(
-        [T.StructField(f.name, known.get(f.name, _widen(f.dataType)), True) for f in guessed]
+        [
+            T.StructField(f.name, known.get(f.name) or _stored(f.dataType, kinds), True)
+            for f in spark.read.csv(path, **options).schema
+        ]
     )
 
 
-def _widen(kind: T.DataType) -> T.DataType:
-    """A sample that shows only integers must not make later, larger or fractional values fail."""
+def _stored(kind: T.DataType, kinds: tuple) -> T.DataType:
+    if isinstance(kind, T.IntegerType):
+        return T.LongType()
+    if isinstance(kind, kinds):
+        return kind
     return T.DoubleType() if isinstance(kind, T.NumericType) else T.StringType()
 
 
 def read_csv(
-    spark: SparkSession, path: str, table: str | None = None, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    table: str | None = None,
+    schema: T.StructType | None = None,
+    infer: bool = False,
+    misfits: str | None = None,
 ) -> DataFrame:
-    """Delimited file or folder with a header; plain or gzip/bzip2 compressed.
+    """Delimited file or folder with a header; plain or compressed.
 
-    ``table`` names one of the declared tables. The file may have further columns; empty cells and
-    ``NA`` are missing values.
+    ``table`` names one of the declared tables. The file may have further columns, read as text, or
+    by ``infer`` with types that fit all their values. Empty cells and ``NA`` are missing values. A line
+    that does not fit the types or the header fails the job, unless ``misfits`` names a column: it then
+    keeps such a line's text, to be counted with :func:`count_misfits`, and is NULL in all others. Files of
+    a folder must have one header. A gzip file is read by one task; many files, or bzip2, are spread.
     """
     declared = schema if schema is not None else TABLES.get(table) if table else None
-    full = csv_schema(spark, path, declared)
-    return spark.read.schema(full).csv(path, header=True, nullValue=MISSING_TEXT, emptyValue="")
+    full = csv_schema(spark, path, declared, infer)
+    options = {"header": True, "nullValue": MISSING_TEXT, "emptyValue": "", "enforceSchema": False}
+    if misfits is None:
+        return spark.read.schema(full).csv(path, mode="FAILFAST", **options)
+    kept = T.StructType([*full.fields, T.StructField(misfits, T.StringType(), True)])
+    options["columnNameOfCorruptRecord"] = misfits
+    return spark.read.schema(kept).csv(path, mode="PERMISSIVE", **{**options, "enforceSchema": True})
+
+
+def count_misfits(df: DataFrame, misfits: str) -> int:
+    """Lines that did not fit. All columns are parsed for it, so that none is overlooked."""
+    return df.agg(*[F.count(c).alias(c) for c in df.columns]).first()[misfits]
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,14 @@ from pyspark.sql import types as T
 
 
 def _schema(**kinds: str) -> T.StructType:
-    types = {"id": T.LongType(), "int": T.IntegerType(), "num": T.DoubleType(), "str": T.StringType()}
+    # Day offsets are whole in principle and written with a fraction (-153.0) in places.
+    types = {
+        "id": T.LongType(),
+        "int": T.IntegerType(),
+        "num": T.DoubleType(),
+        "day": T.DoubleType(),
+        "str": T.StringType(),
+    }
     return T.StructType(
         [
             T.StructField(name, types[kind], True)
@@ -35,6 +42,10 @@ SUBJECT_CATEGORIES = """
     NAME_FAMILY_STATUS NAME_HOUSING_TYPE OCCUPATION_TYPE
 """.split()
 
+SUBJECT_FLAGS = """
+    FLAG_MOBIL FLAG_EMP_PHONE FLAG_WORK_PHONE FLAG_CONT_MOBILE FLAG_PHONE FLAG_EMAIL
+""".split()
+
 TABLES: dict[str, T.StructType] = {
     "monthly_status": _schema(id="SK_ID_BUREAU", int="MONTHS_BALANCE", str="STATUS"),
     "external_loans": _schema(
@@ -42,8 +53,8 @@ TABLES: dict[str, T.StructType] = {
         str="CREDIT_ACTIVE CREDIT_CURRENCY CREDIT_TYPE",
         num="""AMT_CREDIT_SUM AMT_CREDIT_SUM_DEBT AMT_CREDIT_SUM_LIMIT AMT_CREDIT_SUM_OVERDUE
                AMT_CREDIT_MAX_OVERDUE AMT_ANNUITY""",
-        int="""CREDIT_DAY_OVERDUE CNT_CREDIT_PROLONG DAYS_CREDIT DAYS_CREDIT_ENDDATE
-               DAYS_ENDDATE_FACT DAYS_CREDIT_UPDATE""",
+        int="CREDIT_DAY_OVERDUE CNT_CREDIT_PROLONG",
+        day="DAYS_CREDIT DAYS_CREDIT_ENDDATE DAYS_ENDDATE_FACT DAYS_CREDIT_UPDATE",
     ),
     "pos_snapshots": _schema(
         id="SK_ID_PREV SK_ID_CURR",
@@ -54,6 +65,7 @@ TABLES: dict[str, T.StructType] = {
     "instalment_payments": _schema(
         id="SK_ID_CURR SK_ID_PREV",
         num="NUM_INSTALMENT_NUMBER NUM_INSTALMENT_VERSION AMT_INSTALMENT AMT_PAYMENT",
+        day="DAYS_INSTALMENT DAYS_ENTRY_PAYMENT",
     ),
     "card_snapshots": _schema(
         id="SK_ID_PREV SK_ID_CURR",
@@ -64,13 +76,17 @@ TABLES: dict[str, T.StructType] = {
     "previous_applications": _schema(
         id="SK_ID_CURR SK_ID_PREV",
         str=" ".join(PREVIOUS_CATEGORIES),
-        num="AMT_APPLICATION AMT_CREDIT",
+        num="AMT_APPLICATION AMT_CREDIT AMT_ANNUITY AMT_DOWN_PAYMENT AMT_GOODS_PRICE",
+        day="""DAYS_DECISION DAYS_FIRST_DRAWING DAYS_FIRST_DUE DAYS_LAST_DUE_1ST_VERSION DAYS_LAST_DUE
+               DAYS_TERMINATION""",
     ),
     "subject_test": _schema(
         id="SK_ID_CURR",
-        str=" ".join([*SUBJECT_CATEGORIES, "FONDKAPREMONT_MODE"]),
-        num="AMT_CREDIT AMT_ANNUITY AMT_GOODS_PRICE EXT_SOURCE_1 EXT_SOURCE_2 EXT_SOURCE_3",
-        int="DAYS_BIRTH DAYS_EMPLOYED",
+        str=" ".join([*SUBJECT_CATEGORIES, "FONDKAPREMONT_MODE", "FLAG_OWN_CAR", "FLAG_OWN_REALTY"]),
+        num="""AMT_INCOME_TOTAL AMT_CREDIT AMT_ANNUITY AMT_GOODS_PRICE CNT_CHILDREN CNT_FAM_MEMBERS
+               EXT_SOURCE_1 EXT_SOURCE_2 EXT_SOURCE_3""",
+        int=" ".join([*SUBJECT_FLAGS, *[f"FLAG_DOCUMENT_{i}" for i in range(2, 22)]]),
+        day="DAYS_BIRTH DAYS_EMPLOYED DAYS_REGISTRATION DAYS_ID_PUBLISH DAYS_LAST_PHONE_CHANGE",
     ),
     "data_dictionary": _schema(str="Table Row Description"),
 }

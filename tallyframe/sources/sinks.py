@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def score_path(folder: str, best_metric: float, stem: str = "xgb_parcial") -> str:
+def score_path(folder: str, best_metric: float, stem: str = "scores") -> str:
     return f"{folder}/{stem}_{round(best_metric, 4)}.csv"
 
 
-def write_scores(df: DataFrame, folder: str, best_metric: float, stem: str = "xgb_parcial") -> str:
+def write_scores(df: DataFrame, folder: str, best_metric: float, stem: str = "scores") -> str:
     """Scored rows as headed CSV, in a folder whose name carries the rounded best metric."""
     path = score_path(folder, best_metric, stem)
     df.write.mode("overwrite").csv(path, header=True)

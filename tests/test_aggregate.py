@@ -36,9 +36,6 @@ def test_conditional_aggregates(groups):
     big = F.col("v") >= 3
     got = by_key(groups.groupBy("k").agg(A.count_where(big), A.max_where(big, "v")))
     assert got == {"full": (1, 3.0), "part": (1, 5.0), "none": (0, None)}
-    odd = F.col("k") != "x"
-    strict = by_key(groups.groupBy("k").agg(A.strict_mean_where(odd, "v")))
-    assert strict == {"full": (2.0,), "part": (None,), "none": (None,)}
 
 
 def test_fan_out_names_and_keys(groups):
@@ -58,7 +55,20 @@ def test_frequency_table_with_missing_level(spark):
 def test_rate_by_level(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), ("b", 0), ("b", None)], "x string, y int")
     got = by_key(aggregate.rate_by_level(df, "y", "x"))
-    assert got == {"a": (1 / 3, 2, 0.5, 50.0), "b": (1 / 3, 2, 0.0, 0.0)}
+    # A missing target makes its level's rate missing, and the overall one.
+    assert got == {"a": (None, 2, 0.5, 50.0), "b": (None, 2, None, None)}
+    known = by_key(aggregate.rate_by_level(df.filter("y IS NOT NULL"), "y", "x"))
+    assert known == {"a": (1 / 3, 2, 0.5, 50.0), "b": (1 / 3, 1, 0.0, 0.0)}
+
+
+def test_exact_sums_do_not_depend_on_partitions(spark):
+    df = spark.range(20_000).selectExpr("id % 50 AS k", "(id * 7919 % 100003) * 1.07 * (1 - (id % 10) / 100D) AS v")
+    few, many = (
+        by_key(aggregate.fan_out(df.repartition(n), ["k"], ["v"], aggregate.EXACT_SUM_MEAN)) for n in (3, 11)
+    )
+    assert few == many and len(few) == 50
+    none = spark.createDataFrame([(1, None)], "k int, v double")
+    assert by_key(aggregate.fan_out(none, ["k"], ["v"], aggregate.EXACT_SUM_MEAN)) == {1: (0.0, None)}
 
 
 def test_distinct_count_includes_missing(spark):

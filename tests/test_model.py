@@ -87,4 +87,22 @@ def test_training_finds_a_separable_target(spark):
     ranked = model.importance(fitted, frame, names).orderBy("rank").collect()
     assert [r.feature for r in ranked][0] == "signal"
     sent = model.submission(out.filter("split = 'test'"), "id")
-    assert dict(sent.dtypes) == {"id": "int", "TARGET": "double"} and sent.count() == 100
+    assert dict(sent.dtypes) == {"id": "bigint", "TARGET": "double"} and sent.count() == 100
+
+
+def test_rows_without_a_score_count_nowhere(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (0, None), (None, 0.5), (1, None)], "y int, s double")
+    kept = df.dropna()
+    assert model.auc(df, "y", "s").collect() == model.auc(kept, "y", "s").collect()
+    assert model.roc_thresholds(df, "y", "s").collect() == model.roc_thresholds(kept, "y", "s").collect()
+    rows = lambda d: sorted(map(tuple, model.score_intervals(d, "y", "s").collect()))
+    assert rows(df) == rows(kept)
+    assert tuple(model.auc(df.filter("s IS NULL"), "y", "s").first()) == (None, 0, 0)
+
+
+def test_model_frame_fills_nan_and_submission_keeps_large_ids(spark):
+    df = spark.createDataFrame([(2**40, 1, float("nan")), (2, 0, None)], "id bigint, y int, v double")
+    frame = model.model_frame(df, "id", "y", ["v"])
+    assert [r.features.toArray().tolist() for r in frame.collect()] == [[0.0], [0.0]]
+    sent = model.submission(frame.withColumn("score", F.lit(0.5)), "id")
+    assert {r.id for r in sent.collect()} == {2**40, 2}

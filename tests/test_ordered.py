@@ -93,3 +93,47 @@ def test_top_k_keeps_the_best_per_task(skewed):
     out = ordered.top_k(skewed, [F.desc("v"), "id"], 5)
     assert "TakeOrderedAndProject" in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 5
+
+
+KINDS = {
+    "double": "CAST(IF(id % 3 = 0, 7, id * 1.5) AS DOUBLE)",
+    "decimal": "CAST(IF(id % 3 = 0, 7.25, id * 1.5) AS DECIMAL(12,2))",
+    "date": "IF(id % 3 = 0, DATE'2020-01-01', date_add(DATE'2000-01-01', CAST(id AS INT)))",
+    "timestamp": "IF(id % 3 = 0, TIMESTAMP'2020-01-01 00:00:00', timestamp_seconds(id * 100))",
+    "odd": "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 5 = 0 THEN DOUBLE('NaN') WHEN id % 7 = 0 THEN"
+    " DOUBLE('Infinity') WHEN id % 11 = 0 THEN DOUBLE('-Infinity') ELSE id END",
+    "one value": "CAST(1 AS DOUBLE)",
+    "all missing": "CAST(NULL AS DOUBLE)",
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_row_numbers_of_every_kind(spark, kind):
+    df = spark.range(3000).selectExpr(f"{KINDS[kind]} AS v", "(id * 7919) % 3001 AS tie", "id")
+    got = ordered.with_row_number(df, ["v", "tie"], buckets=40).orderBy("row_number").select("id", "row_number").collect()
+    want = df.orderBy(F.col("v").asc_nulls_last(), "tie").select("id").collect()
+    assert [r.id for r in got] == [r.id for r in want]
+    assert [r.row_number for r in got] == list(range(1, 3001))
+
+
+def test_row_numbers_of_ties_without_a_second_column(spark):
+    df = spark.range(2000).selectExpr("CAST(IF(id % 2 = 0, 5, id) AS DOUBLE) AS v")
+    got = ordered.with_row_number(df, ["v"], buckets=40)
+    assert got.columns == ["v", "row_number"]
+    rows = [tuple(r) for r in got.orderBy("row_number").collect()]
+    assert [r[1] for r in rows] == list(range(1, 2001)) and [r[0] for r in rows] == sorted(r[0] for r in rows)
+
+
+def test_empty_and_missing_input(spark):
+    none = spark.createDataFrame([], "k int, v double, id bigint")
+    missing = spark.createDataFrame([(1, None, 1), (1, None, 2)], "k int, v double, id bigint")
+    for df in (none, missing):
+        assert ordered.with_row_number(df, ["v", "id"]).count() == df.count()
+        assert tuple(ordered.exact_quantiles(df, [], "v", [0.5]).first()) == (0, None, None, None)
+        assert ordered.exact_quantiles(df, ["k"], "v", [0.5]).count() == 0
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 10)
+    assert ordered.bucket_target(spark.range(1000)) == 100
+    assert ordered.bucket_target(spark.range(0)) == ordered.MIN_BUCKETS

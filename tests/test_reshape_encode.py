@@ -109,3 +109,20 @@ def test_level_counts(spark):
     df = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "id int, c string")
     out = encode.level_counts(df, ["id"], ["c"])
     assert rows(out, "id", "c_NA", "c_X", "c_Y") == [(1, 0, 1, 1), (2, 1, 0, 0)]
+
+
+def test_level_names_that_clash(spark):
+    df = spark.createDataFrame([("b_c", "c", 1), ("b_c", "d", 2), ("x", "c", 3)], "A string, A_B string, A_X int")
+    out = encode.one_hot_named(df, ["A", "A_B"])
+    assert out.columns == ["A_X", "A_B_C", "A_X_2", "A_B_C_2", "A_B_D"]
+    assert [tuple(r) for r in out.orderBy("A_X").collect()] == [(1, 1, 0, 1, 0), (2, 1, 0, 0, 1), (3, 0, 1, 1, 0)]
+    counts = encode.level_counts(df.withColumn("k", F.lit(1)).drop("A_X"), ["k"], ["A", "A_B"]).first()
+    assert counts.asDict() == {"k": 1, "A_B_C": 2, "A_X": 1, "A_B_C_2": 2, "A_B_D": 1}
+    with pytest.raises(ValueError):
+        encode.one_hot_named(df, ["A", "A_B"], max_levels=1)
+
+
+def test_pivot_key_with_missing_and_the_text_na(spark):
+    df = spark.createDataFrame([(1, None, 1), (1, "NA", 2)], "id int, k string, v int")
+    with pytest.raises(ValueError, match="NA"):
+        reshape.spread(df, "k", "v")
