@@ -31,7 +31,11 @@ def fold_of(text: bytes) -> int:
 
 
 def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` most frequent words of all texts, ties in code point order."""
+    """The ``size`` most frequent words of all texts, ties in code point order.
+
+    How many words there are of each count says from which count on words belong, so no more than
+    ``size`` words come to the driver, from all tasks together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "__text", 64_000_000):
@@ -43,8 +47,17 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> l
             )
 
     counted = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "word binary, n bigint")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [bytes(r[0]) for r in top.collect()]
+    totals = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    # Distinct counts are few: at most the square root of twice the number of words.
+    held, least, room = 0, 1, 0
+    for n, words in totals.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.desc("n")).toLocalIterator():
+        if held + words > size:
+            least, room = n + 1, size - held
+            break
+        held += words
+    top = totals.filter(F.col("n") >= least).orderBy(F.desc("n"), "word")
+    last = totals.filter(F.col("n") == least - 1).orderBy("word").limit(room)
+    return [bytes(r[0]) for df in (top, last) for r in df.collect()]
 
 
 def _numbers(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +99,8 @@ def cross_entropy_difference(
     words = vocabulary(docs, text, size)
     v = len(words) + 1
     known = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})  # ``size`` words at most
-    chosen = labels.filter(target).select(F.col(f"`{key}`").alias("__l")).distinct()
+    # Labels grow with the documents: always a shuffle, with the labels as the side held in memory.
+    chosen = labels.filter(target).select(F.col(f"`{key}`").alias("__l")).distinct().hint("shuffle_hash")
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
     rows = rows.join(chosen, F.col("__id") == F.col("__l"), "left").select(
         "__id", "__text", F.col("__l").isNotNull().alias("__target")
