@@ -65,6 +65,17 @@ STRICT = Policy("v1", tuple(r.name for r in RULES))
 POLICIES = (BASE, STRICT)
 
 
+def _window_keys(ids: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window's words and text."""
+    m = len(ids) - width + 1
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    key = doc[:m].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for i in range(width):
+        key = key * np.uint64(0x100000001B3) + mixed[i : i + m]
+    return key
+
+
 def _repeated(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """Words that lie in a window of ``width`` words found twice or more in the same text.
 
@@ -76,16 +87,11 @@ def _repeated(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     if n < width:
         return covered
     doc = np.zeros(n, np.int64)
-    doc[starts[1:][starts[1:] < n]] = 0
     np.add.at(doc, starts[1:][starts[1:] < n], 1)
     doc = np.cumsum(doc)
     m = n - width + 1
     whole = doc[:m] == doc[width - 1 :]
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    key = doc[:m].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    for i in range(width):
-        key = key * np.uint64(0x100000001B3) + mixed[i : i + m]
+    key = _window_keys(ids, doc, width)
     at = np.flatnonzero(whole)
     order = at[np.argsort(key[at], kind="stable")]
     same = key[order][1:] == key[order][:-1]
