@@ -7,8 +7,10 @@ from functools import cache
 from pyspark.sql import functions as F
 
 from tallyframe.operators import encode, ordered, sampling
-from tallyframe.plans import model
+from tallyframe.plans import features, model, train
+from tallyframe.registry.bindings import with_bound
 from tallyframe.registry.core import Tables, query, rounded
+from tallyframe.registry.recipes import PLAN_TABLES, wide
 from tallyframe.session import cut_lineage
 
 # A formula score: exact in both engines, with many ties.
@@ -61,7 +63,62 @@ def _(t):
     return rounded(out, [c for c in out.columns if c != "threshold"], 9)
 
 
-# ---- training
+@query(
+    "roc_threshold_ci_checks",
+    "SELECT CAST(i AS DOUBLE) / 10 AS threshold, TRUE AS is_ordered, TRUE AS holds_estimate FROM range(1, 10) r(i)",
+)
+def _(t):
+    """Intervals around the point estimates: in order, and medians within two standard errors."""
+    scored = _scored(t)
+    ci = model.roc_threshold_ci(scored, "quality", "score")
+    sizes = scored.agg(*[F.count(F.when(F.col("quality") == c, 1)).alias(f"n{c}") for c in (1, 0)])
+    both = ci.join(model.roc_thresholds(scored, "quality", "score"), "threshold").join(F.broadcast(sizes))
+    ordered_ = F.lit(True)
+    near = F.lit(True)
+    for m, name, n in (("se", "sensitivity", "n1"), ("sp", "specificity", "n0")):
+        low, mid, high = (F.col(f"{m}_{x}") for x in ("low", "median", "high"))
+        p = F.col(name)
+        ordered_ = ordered_ & (low <= mid) & (mid <= high)
+        near = near & (F.abs(mid - p) <= 2 * F.sqrt(p * (1 - p) / F.col(n)) + 1e-9)
+    return both.select("threshold", ordered_.alias("is_ordered"), near.alias("holds_estimate"))
+
+
+# ---- training on the feature table
+
+
+@query(
+    "model_path_checks",
+    with_bound(
+        "subject",
+        **PLAN_TABLES,
+        sizes="SELECT CAST(SUM(CASE WHEN split = 'train' THEN copies END) AS BIGINT) AS n_train,"
+        " CAST(SUM(CASE WHEN split = 'validation' THEN copies END) AS BIGINT) AS n_validation,"
+        " CAST(SUM(CASE WHEN split = 'test' THEN copies END) AS BIGINT) AS n_test FROM plan",
+        then="SELECT n_train, n_validation, n_test, n_validation + n_test AS n_scored, n_validation + n_test AS n_ids,"
+        " TRUE AS scores_in_range, TRUE AS ranks_gapless, TRUE AS gains_sum_to_one, TRUE AS has_metric FROM sizes",
+    ),
+)
+def _(t):
+    """The whole path on the derived table, and what must hold for any fit."""
+    derived = features.derive_features(wide(t))
+    keys = t.subject.select("SK_ID_CURR", "TARGET")
+    done = train.train(derived, "SK_ID_CURR", "TARGET", model.SHALLOW, keys)
+    count = lambda part: F.count(F.when(F.col("split") == part, 1))
+    sizes = done.rows.agg(*[count(p).alias(f"n_{p}") for p in ("train", "validation", "test")])
+    found = done.scores.agg(
+        F.count("score").alias("n_scored"),
+        F.count_distinct("SK_ID_CURR").alias("n_ids"),
+        F.every((F.col("score") >= 0) & (F.col("score") <= 1)).alias("scores_in_range"),
+    )
+    ranks = done.importance().agg(
+        ((F.min("rank") == 1) & (F.max("rank") == F.count_distinct("rank"))).alias("ranks_gapless"),
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("gains_sum_to_one"),
+    )
+    # One row each.
+    return sizes.join(F.broadcast(found)).join(F.broadcast(ranks)).withColumn("has_metric", F.lit(done.metric is not None))
+
+
+# ---- training on documents
 
 FEATURES = {
     "n_chars": "n_chars",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import sampling
-from tallyframe.plans import model
+from tallyframe.plans import model, train
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +106,21 @@ def test_model_frame_fills_nan_and_submission_keeps_large_ids(spark):
     assert [r.features.toArray().tolist() for r in frame.collect()] == [[0.0], [0.0]]
     sent = model.submission(frame.withColumn("score", F.lit(0.5)), "id")
     assert {r.id for r in sent.collect()} == {2**40, 2}
+
+
+def test_the_whole_path_on_a_separable_target(spark, tmp_path):
+    df = spark.range(900).select(
+        "id",
+        F.when(F.col("id") % 6 > 0, (F.col("id") % 10 > 7).cast("int")).alias("y"),
+        (F.col("id") % 10).alias("SIGNAL_A"),
+        (F.col("id") % 7).alias("NOISE"),
+    )
+    done = train.train(df, "id", "y", model.SHALLOW.with_rounds(5))
+    assert done.metric > 0.99 and done.features == ["SIGNAL_A", "NOISE"]
+    ranked = [tuple(r) for r in done.importance().orderBy("rank").collect()]
+    assert [r[2] for r in ranked] == [1, 2] and sum(r[1] for r in ranked) == pytest.approx(1)
+    assert [(r.feature, r["rank"]) for r in done.importance("^NOISE").collect()] == [("NOISE", 2)]
+    path = done.write(str(tmp_path), "id")
+    assert path.endswith(f"scores_{round(done.metric, 4)}.csv")
+    back = spark.read.csv(path, header=True, inferSchema=True)
+    assert back.count() == 150 and back.filter("TARGET < 0 OR TARGET > 1").count() == 0
