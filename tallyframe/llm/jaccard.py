@@ -9,6 +9,7 @@ from their few differences to it, only where they are not yet connected.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ SKETCH_BITS = 22  # buckets that count shingles, as a power of 2: they order the
 SHORT_LIST = 24  # lists up to here are paired directly
 BLOCK = 4096  # sets of a list or a pivot that are compared with each other in one task
 PART_BYTES = 8_000_000
+MARK_BITS = 26  # of the bitmap that says which documents' sets are needed: 8 MB
 U64 = np.uint64
 
 
@@ -201,8 +203,8 @@ def _candidates(percent: int):
 
 
 def _list_pairs(percent: int):
-    """A block of rows and one of columns of a long list. Sets near its pivot: a star. All other pairs: those that
-    position, size and bitmaps allow."""
+    """A block of rows and one of columns of a long list. Many sets near its pivot: a star. All other pairs: those
+    that position, size and bitmaps allow."""
 
     def run(table: pa.Table) -> pa.Table:
         cols = {c: np.array(table.column(c).to_pylist()) for c in ("a", "size", "pos", "at", "is_row", "r", "c")}
@@ -211,6 +213,8 @@ def _list_pairs(percent: int):
         sig, size, pos, at, role = (cols[c] for c in ("a", "size", "pos", "at", "is_row"))
         near = np.array([2 * int(apart(m, base)) <= n for m, n in zip(maps, size)])
         same = cols["r"][0] == cols["c"][0]
+        if table.column("k")[0].as_py() == 1 and near[role].sum() <= SHORT_LIST:
+            near[:] = False  # the whole list is here, and what is near needs no star
         star = sig[role & near & (sig != pivot)] if same else np.zeros(0, np.int64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         widths = np.array([len(m) for m in maps])
@@ -347,6 +351,36 @@ def _derive(percent: int, step: int = 512):
     return run
 
 
+def _slots(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15)
+    return (x >> U64(64 - MARK_BITS)).astype(np.int64)
+
+
+def _marked(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _slots(ids)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** MARK_BITS bits with the slots of all ids set. Whatever their number, its size is fixed: with
+    very many, it lets more documents through than needed, and a join drops the others."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+        for batch in batches:
+            if batch.schema.names == ["id"]:
+                at = _slots(batch.column("id").to_numpy(False))
+                np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            else:
+                for b in batch.column("marks").to_pylist():
+                    marks |= np.frombuffer(zlib.decompress(b), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(marks.tobytes(), 1)], pa.binary())], names=["marks"])
+
+    merged = ids.mapInArrow(merge, "marks binary").repartition(16).mapInArrow(merge, "marks binary")
+    merged = merged.repartition(1).mapInArrow(merge, "marks binary").first()
+    return np.frombuffer(zlib.decompress(merged[0]), np.uint8) if merged else np.zeros(1 << (MARK_BITS - 3), np.uint8)
+
+
 def link_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
@@ -454,26 +488,29 @@ def link_documents(
 
     wanted = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id"))).distinct()
     needed = nodes.select("id", "sig", "s").join(wanted, "id")
+    marks = spark.sparkContext.broadcast(_marks(wanted))  # a bitmap of fixed size
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "__text"):
+            ids = part.column("__id")
+            part = part.filter(pa.array(_marked(marks.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(False)))
             sets = shingle_sets(text_bytes(part.column("__text")), width)
-            own = [signature(s) == sig for s, sig in zip(sets, part.column("sig").to_pylist())]
+            full = [len(s) > 0 for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, ok in zip(part.column(c).to_pylist(), own) if ok], pa.int64()) for c in ("s", "id")]
-                + [pa.array([s.tobytes() for s, ok in zip(sets, own) if ok], pa.binary())],
-                names=["s", "id", "members"],
+                [
+                    part.column("__id").filter(pa.array(full, pa.bool_())),
+                    pa.array([signature(s) for s in sets if len(s)], pa.binary()),
+                    pa.array([s.tobytes() for s in sets if len(s)], pa.binary()),
+                ],
+                names=["id", "sig", "members"],
             )
 
-    loaded = (
-        rows.join(needed, F.col("__id") == F.col("id"))
-        .select("__text", "sig", "s", "id")
-        .mapInArrow(load, "s bigint, id bigint, members binary")
-    )
-    loaded = cut_lineage(loaded.dropDuplicates(["s", "id"]))
+    # Texts are not shuffled: the bitmap lets through the documents that a pair needs, and few others.
+    loaded = rows.mapInArrow(load, "id bigint, sig binary, members binary").join(needed, ["id", "sig"]).drop("sig")
+    loaded = cut_lineage(loaded)
     side = lambda x: loaded.select(*[F.col(c).alias(n) for c, n in (("s", x), ("id", f"id{x}"), ("members", f"s{x}"))])
     met = pairs.join(side("b"), ["b", "idb"]).join(side("a"), ["a", "ida"])
-    answers = cut_lineage(_compare(met, percent))
+    answers = cut_lineage(_compare(met, percent).dropDuplicates(["ida", "idb", "far"]))
     linked = answers.filter("linked").select(F.col("ida").alias("a"), F.col("idb").alias("b"))
     found = cut_lineage(components(linked))
 
