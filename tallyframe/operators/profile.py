@@ -253,9 +253,11 @@ def trim_outliers(
     df: DataFrame, column: str, upper_anchor: str = "q1", name: str | None = None
 ) -> DataFrame:
     """Values outside the fences become missing."""
-    limits = fences(df, [column], upper_anchor)
-    low, high = limits.select("lower").scalar(), limits.select("upper").scalar()
-    return df.withColumn(name or column, keep_between(F.col(column).cast("double"), low, high))
+    # One subquery for both limits, so that the quantiles are planned once. At most one row.
+    ends = fences(df, [column], upper_anchor).select(F.struct("lower", "upper")).scalar()
+    trimmed = df.withColumn("__ends", ends)
+    value = keep_between(F.col(column).cast("double"), F.col("__ends.lower"), F.col("__ends.upper"))
+    return trimmed.withColumn(name or column, value).drop("__ends")
 
 
 def continuous_views(
@@ -295,6 +297,37 @@ def continuous_views(
     )
 
 
+def view_density(
+    df: DataFrame,
+    target: str,
+    columns: Sequence[str],
+    upper_anchor: str = "q1",
+    points: int = DENSITY_POINTS,
+    bins: int = DENSITY_POINTS,
+) -> DataFrame:
+    """Density per class of each column as it is, trimmed (``IQR``) and logged (``LOG``).
+
+    What charts of the three views draw, without their rows: at most ``points`` rows per column,
+    view and class.
+    """
+    columns = selectors.one_of(df, columns)
+    # One row per column.
+    limits = {r["variable"]: (r["lower"], r["upper"]) for r in fences(df, columns, upper_anchor).collect()}
+    views = {}
+    for i, c in enumerate(columns):
+        value, (low, high) = F.col(c).cast("double"), limits.get(c, (None, None))
+        ends = F.lit(low).cast("double"), F.lit(high).cast("double")
+        views[f"{i}_ORIGINAL"], views[f"{i}_IQR"] = value, keep_between(value, *ends)
+        views[f"{i}_LOG"] = F.log1p(value)
+    wide = df.select(F.col(target), *[v.alias(n) for n, v in views.items()])
+    out = class_density(wide, target, list(views), points, bins)
+    names = F.array(*[F.lit(c) for c in columns])
+    at = F.split("variable", "_")
+    return out.withColumns(
+        {"view": at[1], "variable": F.element_at(names, at[0].cast("int") + 1)}
+    )
+
+
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     width = (high - low) / F.lit(float(bins))
     raw = F.when(width > 0, F.floor((value - low) / F.nullif(width, F.lit(0.0)))).otherwise(0)

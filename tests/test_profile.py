@@ -105,3 +105,17 @@ def test_profiles_of_a_kind(mixed):
     assert {r.variable for r in levels} == {"flag", "flag_gap", "d99", "text", "flag_text"}
     views = profile.profile_continuous(mixed, "id", "y").select("variable").distinct().collect()
     assert {r.variable for r in views} == {"d100", "d101", "d99_gap"}
+
+
+def test_densities_of_the_three_views(spark):
+    df = spark.range(400).selectExpr("CAST(id % 2 AS INT) AS y", "CAST(IF(id < 4, 10000, id % 90) AS DOUBLE) AS v", "id * 0.5 AS w")
+    out = profile.view_density(df, "y", ["v", "w"], points=16, bins=16)
+    assert {(r.variable, r.view) for r in out.select("variable", "view").distinct().collect()} == {
+        (c, x) for c in "vw" for x in ("ORIGINAL", "IQR", "LOG")
+    }
+    logged = profile.class_density(df.selectExpr("y", "ln(1 + v) AS v"), "y", ["v"], 16, 16)
+    got = out.filter("variable = 'v' AND view = 'LOG'").select(logged.columns)
+    rows = lambda d: sorted((r.y, r.point, round(r.density, 9)) for r in d.collect())
+    assert rows(got) == rows(logged)
+    trimmed = profile.trim_outliers(df, "v")
+    assert trimmed.columns == df.columns and trimmed.filter("v > 100").count() == 0
