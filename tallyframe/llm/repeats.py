@@ -26,7 +26,7 @@ WIDTH = 50
 ANCHOR = 20  # bytes of a hashed substring
 CHUNK_BYTES = 4_000_000
 REQUEST_BYTES = 8_000_000  # of hashes that one task compares
-SHARE_BYTES = 4_000_000  # of pieces that one index holds
+SHARE_BYTES = 2_000_000  # of text whose pieces go to one index
 LAST = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -186,16 +186,23 @@ def _answer(width: int):
         index = RunIndex(texts, least, width)
         found = index.stream()
         edge = np.concatenate([[0], np.cumsum(index.lengths)])
+        strings = index.lengths - width + 1
+        lowest = np.minimum.reduceat(found, edge[:-1])
+        within = np.arange(len(found)) - np.repeat(edge[:-1], index.lengths)
+        highest = np.maximum.reduceat(np.where(within < np.repeat(strings, index.lengths), found, -1), edge[:-1])
         out = []
         for r, numbers, own in zip(rows, asked, owners):
-            piece, start, n = [], [], []
-            for i, (t, o) in enumerate(zip(numbers, own.tolist())):
-                older = found[edge[t] : edge[t + 1] - width + 1] < o
-                if older.any():
-                    turns = np.flatnonzero(np.diff(np.concatenate([[0], older.view(np.int8), [0]])))
-                    piece += [i] * (len(turns) // 2)
-                    start += turns[::2].tolist()
-                    n += (turns[1::2] - turns[::2]).tolist()
+            numbers = np.array(numbers)
+            hit = np.flatnonzero(lowest[numbers] < own)
+            whole = hit[highest[numbers[hit]] < own[hit]]
+            piece, start, n = whole.tolist(), [0] * len(whole), strings[numbers[whole]].tolist()
+            for i in np.setdiff1d(hit, whole, assume_unique=True).tolist():
+                t = numbers[i]
+                older = found[edge[t] : edge[t] + strings[t]] < own[i]
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], older.view(np.int8), [0]])))
+                piece += [i] * (len(turns) // 2)
+                start += turns[::2].tolist()
+                n += (turns[1::2] - turns[::2]).tolist()
             if piece:
                 out.append((r["chunk"], r["share"], *(np.array(x, "<u4").tobytes() for x in (piece, start, n))))
         columns = list(zip(*out)) if out else [[]] * 5
@@ -269,7 +276,7 @@ def find_repeats(
     asked = stored.mapInArrow(ask, "chunk bigint, part int, hashes binary")
     marked = cut_lineage(asked.groupBy("part").applyInArrow(_common, "chunk bigint, part int, mask binary"))
     masks = marked.groupBy("chunk").agg(F.collect_list(F.struct("part", "mask")).alias("masks"))
-    shares = max(24, int(volume // (SHARE_BYTES * 2)))
+    shares = max(24, int(volume // SHARE_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
