@@ -257,6 +257,7 @@ def find_repeats(
         .saveAsTable(name, format="parquet")
     )
     stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and the plan knows them
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
