@@ -1,8 +1,8 @@
 """From raw documents to sharded training data: each stage applies one operator to all that is left.
 
 Stages take (spark, docs, sf_dir). All but the last return the columns of ``docs``; the last returns the
-documents with their shard, place in the shard and the shard they would have with one shard more. Columns of
-the input that are named like one of those give way to it.
+documents' columns but the text, with their shard, place in the shard and the shard they would have with one
+shard more. Columns of the input that are named like one of those give way to it.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shards; copies of a document share one."""
-    keep = [c for c in docs.columns if c != "doc_id" and c not in SHARD_COLUMNS]
+    """Where each document belongs; copies of a document share a shard. Texts need not move for it."""
+    keep = [c for c in docs.columns if c not in ("doc_id", "text", *SHARD_COLUMNS)]
     return sharding.assign_shards(docs, [1.0] * SHARDS, keep=keep)
 
 

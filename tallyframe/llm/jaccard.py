@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -561,11 +562,22 @@ def link_documents(
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its component, with all columns; of rows that repeat a key,
-    one. Rows without a key stay."""
-    linked = link_documents(docs, key, text, width, percent)
-    first = linked.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__k")).distinct()
-    met = docs.join(first, F.col(f"`{key}`") == F.col("__k"))
+    one. Rows without a key stay.
+
+    A bitmap of fixed size marks the keys that go or repeat. Rows without a mark stay where they are; only
+    the marked ones, some of them by chance, are joined with the keys that stay.
+    """
+    linked = cut_lineage(link_documents(docs, key, text, width, percent).select(F.col(key).alias("id"), "component_id"))
+    keys = linked.filter("id IS NOT NULL").groupBy("id").agg(F.min("component_id").alias("of"), F.count(F.lit(1)).alias("n"))
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(keys.filter("of <> id OR n > 1").select("id")))
+
+    @F.pandas_udf("boolean")
+    def marked(ids: pd.Series) -> pd.Series:
+        return pd.Series(_marked(marks.value, ids.to_numpy()))
+
+    k, columns = F.col(f"`{key}`"), [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("__marked", marked(F.coalesce(k.cast("bigint"), F.lit(0))) & k.isNotNull())
+    first = keys.filter("of = id").select(F.col("id").alias("__k"))
     again = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(F.col(f"`{text}`"))))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = met.withColumn("__again", again).filter("__again = 1").select(*columns)
-    return kept.unionByName(docs.filter(F.col(f"`{key}`").isNull()))
+    met = rows.filter("__marked").join(first, k == F.col("__k")).withColumn("__again", again).filter("__again = 1")
+    return rows.filter("NOT __marked").select(*columns).unionByName(met.select(*columns))

@@ -204,4 +204,4 @@ def test_pipeline_edges(spark, docs, items, tmp_path):
             if name != "shards":
                 assert out.columns == start.columns
             now = spark.read.parquet(path)
-        assert {"doc_id", "text", "shard", "slot"} <= set(now.columns)
+        assert {"doc_id", "source", "shard", "slot"} <= set(now.columns)
