@@ -25,7 +25,7 @@ from tallyframe.session import cut_lineage
 
 WIDTH = 4
 PERCENT = 85
-SKETCH_BITS = 22  # buckets that count shingles, as a power of 2: they order the work, never decide a link
+SKETCH_BITS = 21  # buckets that count shingles, as a power of 2: they order the work, never decide a link
 SHORT_LIST = 24  # lists up to here are paired directly
 BLOCK = 4096  # sets of a list or a pivot that are compared with each other in one task
 PART_BYTES = 8_000_000
@@ -78,8 +78,8 @@ def short(sig: bytes) -> int:
 
 
 def _levels(sketch: np.ndarray) -> np.ndarray:
-    """Rarity of each hash bucket: 0 up to four times the mean count, then one more for each doubling."""
-    return np.floor(np.log2(np.maximum(1, sketch / max(1.0, 4 * sketch.mean())))).astype(np.uint8)
+    """Rarity of each hash bucket: 0 up to the mean count, then four more for each doubling."""
+    return np.minimum(255, np.floor(4 * np.log2(np.maximum(1, sketch / max(1.0, sketch.mean()))))).astype(np.uint8)
 
 
 def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
