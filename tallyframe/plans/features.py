@@ -116,9 +116,11 @@ def loan_fan_out(loans: DataFrame, by_period: DataFrame) -> DataFrame:
     return aggregate.fan_out_numeric(joined, [SUBJECT], aggregate.FIVE_FUNCTIONS, exclude=[LOAN])
 
 
-def loan_types(loans: DataFrame, spec: LevelSpec | None = None) -> DataFrame:
+def loan_types(
+    loans: DataFrame, spec: LevelSpec | None = None, max_levels: int = encode.MAX_LEVELS
+) -> DataFrame:
     """A subject's external loans counted per status and per type."""
-    return encode.level_counts(loans, [SUBJECT], ["CREDIT_ACTIVE", "CREDIT_TYPE"], spec)
+    return encode.level_counts(loans, [SUBJECT], ["CREDIT_ACTIVE", "CREDIT_TYPE"], spec, max_levels)
 
 
 # ---- snapshots and instalments -> previous loan -> subject
@@ -232,11 +234,12 @@ def previous_features(
     applications: DataFrame,
     spec: LevelSpec | None = None,
     categories: Iterable[str] = PREVIOUS_CATEGORIES,
+    max_levels: int = encode.MAX_LEVELS,
 ) -> DataFrame:
     """Previous applications: strict sums of every number and of every category level, and their count."""
     prepared = prepare_previous(applications)
     categories = list(categories)
-    spec = spec or encode.resolve_levels(prepared, categories)
+    spec = spec or encode.resolve_levels(prepared, categories, max_levels)
     numbers = selectors.numeric(prepared, [SUBJECT, PREVIOUS])
     levels = {n: e for c in categories for n, e in spec.indicators(c).items()}
     return prepared.groupBy(SUBJECT).agg(
@@ -254,12 +257,13 @@ def encode_subjects(
     test: DataFrame | None = None,
     spec: LevelSpec | None = None,
     categories: Iterable[str] = SUBJECT_CATEGORIES,
+    max_levels: int = encode.MAX_LEVELS,
 ) -> DataFrame:
     """Both subject tables as one, categories one-hot encoded, day sentinel blanked, payment rate added."""
     both = train if test is None else joins.bind_rows(train, test)
     categories = list(categories)
     # Levels are looked for in the input itself, before anything is derived from it.
-    encoded = encode.one_hot_named(both, categories, spec)
+    encoded = encode.one_hot_named(both, categories, spec, max_levels)
     days = selectors.starts_with(encoded, "DAYS")
     return selectors.map_columns(encoded, days, S.sentinel_to_null).withColumn(
         "PAYMENT_RATE", S.safe_ratio("AMT_ANNUITY", "AMT_CREDIT")

@@ -24,6 +24,17 @@ def test_matches_sql(spark, folder, duck, name):
     assert oracle.differences(oracle.spark_rows(df), oracle.duck_rows(duck, ORACLES[name])) == []
 
 
+# Queries whose columns are chosen by the data.
+BY_KIND = "column_kinds select_kind rate_all_dummy rate_all_discrete profile_levels profile_continuous".split()
+
+
+@pytest.mark.parametrize("name", BY_KIND)
+def test_columns_chosen_by_kind_at_a_smaller_scale(spark, name):
+    small = "/root/testdata/sf0.001"
+    df = QUERIES[name](spark, small)
+    assert oracle.differences(oracle.spark_rows(df), oracle.duck_rows(oracle.connect(small), ORACLES[name])) == []
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_sql(spark, folder, name):
     assert QUERIES[name](spark, folder).count() > 0
