@@ -43,6 +43,33 @@ def _(spark, folder):
     )
 
 
+def _words_sql(table: str, key: str) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key} AS id, regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"
+
+
+# Near matches have no practical SQL; all other columns of operator 1 do.
+@query(
+    "exact_matches",
+    f"""WITH items AS ({_words_sql("benchmark", "CAST(item_id AS VARCHAR)")}),
+    g AS (SELECT DISTINCT id AS item, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (
+        SELECT id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 8, 2))) AS i
+        FROM items WHERE len(w) > 0)),
+    d AS ({_words_sql("documents", "doc_id")}),
+    dg AS (SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (
+        SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+    hits AS (SELECT DISTINCT id, i, n, item FROM dg JOIN g USING (n, g)),
+    hit_words AS (SELECT id, COUNT(DISTINCT i + k) AS n_hit FROM hits, range(0, 10) r(k) WHERE k < n GROUP BY id),
+    hit_items AS (SELECT id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT id, item FROM hits) GROUP BY id)
+    SELECT d.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+        coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit_words USING (id) LEFT JOIN hit_items USING (id)""",
+)
+def _(spark, folder):
+    return QUERIES["op1_decontaminate"](spark, folder).drop("n_near_items")
+
+
 # ---- 2 WARC
 
 
@@ -108,7 +135,32 @@ def _(spark, folder):
 # ---- 6 quality rules
 
 
-@query("op6_quality_ledger")
+SPACE_SQL = "[\\x20\\x09-\\x0D]"
+LEDGER_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+repeated AS (SELECT doc_id, COUNT(DISTINCT i + k) AS n FROM again, range(0, 8) r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) - COUNT(DISTINCT l) AS n_dup_lines
+    FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+    WHERE regexp_replace(l, '{SPACE_SQL}', '', 'g') <> '' GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '{SPACE_SQL}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_doubled_words,
+    len(list_filter(w, lambda x: ends_with(x, '!!'))) AS n_bang_words
+    FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+f AS (SELECT *, CAST({' + '.join(f'CASE WHEN {r.failed} THEN {1 << r.bit} ELSE 0 END' for r in quality.RULES)} AS BIGINT)
+    AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    failures & {quality.BASE.mask()} <> 0 AS base_failed, failures & {quality.STRICT.mask() | quality.BASE.mask()} = 0 AS kept, failures
+FROM f"""
+
+
+@query("op6_quality_ledger", LEDGER_SQL)
 def _(spark, folder):
     entries = quality.ledger(read_parquet(spark, folder, "documents"))
     base = quality.rejected(quality.BASE)
