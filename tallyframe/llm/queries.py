@@ -119,7 +119,23 @@ def _(spark, folder):
 # ---- 4 n-gram Jaccard join
 
 
-@query("op4_jaccard_join")
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT id, array_to_string(w[i:i + 3], ' ') AS g FROM (
+    SELECT id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT id, COUNT(*) AS n FROM s GROUP BY id),
+shared AS (SELECT a.id AS x, b.id AS y, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x AS id, x AS r FROM ways UNION SELECT reach.id, ways.y FROM reach JOIN ways ON reach.r = ways.x),
+least_of AS (SELECT id, MIN(r) AS c FROM reach GROUP BY id)
+SELECT w.id AS doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, w.id) AS component_id
+FROM w LEFT JOIN n USING (id) LEFT JOIN least_of USING (id)"""
+
+
+@query("op4_jaccard_join", JACCARD_SQL)
 def _(spark, folder):
     return jaccard.link_documents(read_parquet(spark, folder, "documents"))
 
