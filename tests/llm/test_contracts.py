@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -124,6 +125,20 @@ def test_op9_changed_wording():
     assert licenses.scan_text(licenses.Templates(), b"a driving licence is not a wording of any kind here") == []
 
 
+def test_op9_wrapped_and_several():
+    known = licenses.Templates()
+    named = lambda text: [(f["license"], f["missing"], f["added"]) for f in licenses.scan_text(known, text.encode())]
+    for name, text in licenses.TEMPLATES:
+        for width in (12, 40, 80):
+            lines = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+            assert named("code = 1\n" + "".join(f" * {x}\n" for x in lines) + "int main() {}") == [(name, 0, 0)]
+    short = [(n, t) for n, t in licenses.TEMPLATES if len(t) < 100]
+    for join in ("\n", " "):
+        assert named(join.join(t for _, t in short)) == [(n, 0, 0) for n, _ in short]
+    many = "All rights reserved. " * 300
+    assert named(many) == [("all-rights-reserved", 0, 0)] * 300
+
+
 def test_op10(spark, docs):
     got = {r[0]: r[1:] for r in rows(spark, "op10_cross_entropy_difference", "doc_id", "n_tokens", "loss_target", "loss_background", "score")}
     target = {r[0] for r in spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1").select("doc_id").collect()}
