@@ -16,8 +16,10 @@ from tallyframe.llm.common import hash_key
 from tallyframe.session import cut_lineage
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-VALUE = "([A-Za-z0-9+/_.@-]{12,}={0,2})[^A-Za-z0-9+/_.@=-]*$"
 MIN_LENGTH = 12
+RUN = f"[A-Za-z0-9+/_.@-]{{{MIN_LENGTH},}}"
+VALUE = RUN + "={0,2}(?![A-Za-z0-9+/_.@-])"
+APART = "&,;?|{}\\[\\]"  # between the pairs of a query string, of JSON and of chained assignments
 DICTIONARY_COUNT = 5  # occurrences that make a word a dictionary word
 TRAINING_ROWS = 20_000  # labelled findings that the forest is fitted on, at most: the smallest by hash
 TREES, DEPTH = 30, 6
@@ -50,36 +52,72 @@ FEATURES = (
 
 
 def find_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """A row per random-looking word: key, path, at (number of the word from 0), value, and the two words before
-    and the one after. The value is the last run of 12 or more letters, digits and ``+/_.@-`` in a word, with a digit."""
+    """A row per value: key, path, at (number of the word from 0), run (number of the value in the word from 0), value,
+    and what surrounds it. The values are all runs of 12 or more letters, digits and ``+/_.@-`` in a word.
+
+    ``lead`` is what precedes a value in its word, back to the run before the last and no further than its own pair of
+    a query string, of JSON or of chained assignments; ``word`` is lead, value and what follows likewise. The two words
+    before and the one after count for values whose pair begins or ends with the word, and are empty for others."""
     words = F.split(F.col("__text"), SPACE)
     held = docs.select(
         F.col(f"`{key}`").alias("__id"),
         F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"),
-    ).filter(F.col("__text").rlike(f"\\S{{{MIN_LENGTH}}}"))
+    ).filter(F.col("__text").rlike(RUN))
     held = held.select("__id", "path", words.alias("w"))
     places = F.filter(
         F.sequence(F.lit(0), F.size("w") - 1),
-        lambda i: (F.length(F.get("w", i)) >= MIN_LENGTH) & F.get("w", i).rlike("[0-9]"),
+        lambda i: (F.length(F.get("w", i)) >= MIN_LENGTH) & F.get("w", i).rlike(RUN),
     )
-    word = lambda d: F.coalesce(F.get("w", F.col("at") + d), F.lit(""))
-    found = (
-        held.withColumn("places", places)
-        .filter(F.size("places") > 0)
-        .withColumn("at", F.explode("places"))
-        .select(
-            "__id",
-            "path",
-            "at",
-            word(0).alias("word"),
-            word(-2).alias("before2"),
-            word(-1).alias("before"),
-            word(1).alias("after"),
-        )
+    near = lambda i, d: F.coalesce(F.get("w", i + d), F.lit(""))
+    found = held.select(
+        "__id",
+        "path",
+        F.explode(
+            F.transform(
+                places,
+                lambda i: F.struct(
+                    i.alias("at"),
+                    near(i, 0).alias("whole"),
+                    near(i, -2).alias("before2"),
+                    near(i, -1).alias("before"),
+                    near(i, 1).alias("after"),
+                ),
+            )
+        ).alias("p"),
+    ).select("__id", "path", "p.*")
+    values = F.regexp_extract_all("whole", F.lit(VALUE), F.lit(0))
+    found = found.select("*", values.alias("values"), F.split("whole", VALUE, -1).alias("gaps"))
+    # Each value with the run before it and the gaps around both, taken before rows are made of them.
+    around = F.transform(
+        "values",
+        lambda value, i: F.struct(
+            i.alias("run"),
+            value.alias("value"),
+            F.concat(
+                F.coalesce(F.get("gaps", i - 1), F.lit("")), F.coalesce(F.get("values", i - 1), F.lit("")), F.get("gaps", i)
+            ).alias("to"),
+            F.get("gaps", i + 1).alias("on"),
+            (i + 1 == F.size("values")).alias("last"),
+        ),
     )
-    return found.withColumn("value", F.regexp_extract("word", VALUE, 1)).filter(
-        (F.length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]")
+    found = found.select("__id", "path", "at", "before2", "before", "after", F.explode(around).alias("v")).select(
+        "__id", "path", "at", "before2", "before", "after", "v.*"
+    )
+    apart = f"[{APART}]"
+    opens = (F.col("run") <= 1) & ~F.col("to").rlike(apart)
+    ends = F.col("last") & ~F.col("on").rlike(apart)
+    lead = F.regexp_extract("to", f"[^{APART}]*$", 0)
+    return found.select(
+        "__id",
+        "path",
+        "at",
+        "run",
+        "value",
+        lead.alias("lead"),
+        F.concat(lead, F.col("value"), F.regexp_extract("on", f"^[^{APART}]*", 0)).alias("word"),
+        *[F.when(opens, F.col(c)).otherwise("").alias(c) for c in ("before2", "before")],
+        F.when(ends, F.col("after")).otherwise("").alias("after"),
     )
 
 
@@ -165,20 +203,21 @@ def with_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
 
 def rule_label() -> Column:
     """A label where the context leaves no doubt: 1 for a value assigned to a secret's name, 0 for plain
-    numbers, addresses and example values, NULL elsewhere."""
-    assigned = F.concat_ws(" ", "before2", "before", "word").rlike(
+    numbers, addresses and example values and for other values that are dictionary words, NULL elsewhere."""
+    assigned = F.concat_ws(" ", "before2", "before", "lead").rlike(
         "(?i)(token|secret|passw\\w*|pwd|api.?key|access.?key)\\W{0,3}\\s*[=:]"
     )
     plain = F.col("value").rlike("^[0-9.+/_-]+$") | F.col("value").rlike("@[a-z0-9-]+\\.[a-z]") | (F.col("near_example") > 0)
-    return F.when(plain, 0).when(assigned & F.col("value").rlike("[A-Za-z]"), 1)
+    common = F.col("coverage") >= 1
+    return F.when(plain, 0).when(assigned & F.col("value").rlike("[A-Za-z]"), 1).when(common, 0)
 
 
 def fit_forest(labelled: DataFrame, rows: int = TRAINING_ROWS, seed: int = 7) -> PipelineModel | None:
     """A forest fitted on at most ``rows`` labelled findings, those with the smallest hash of value and place.
     Nothing if one of the labels is missing."""
-    order = hash_key(F.lit("findings"), F.col("value"), F.col("__id"), F.col("at"))
+    order = hash_key(F.lit("findings"), F.col("value"), F.col("__id"), F.col("at"), F.col("run"))
     sample = labelled.filter("label IS NOT NULL").withColumn("__order", order)
-    sample = cut_lineage(sample.orderBy("__order", "value", "at").limit(rows).coalesce(1).drop("__order"))
+    sample = cut_lineage(sample.orderBy("__order", "value", "at", "run").limit(rows).coalesce(1).drop("__order"))
     if sample.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
@@ -197,7 +236,7 @@ def scan_secrets(
     path: str = "source",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """A row per candidate: key, at, value, score and is_secret.
+    """A row per candidate: key, at, run, value, score and is_secret.
 
     ``labelled`` has findings with features (``with_features``) and a label of 0 or 1; without it the findings of
     ``docs`` whose context is clear are the labelled ones. The score is the forest's probability of a
@@ -213,4 +252,6 @@ def scan_secrets(
     else:
         scored = model.transform(found).withColumn("score", F.round(F.element_at(vector_to_array("__probability"), 2), 6))
         scored = scored.withColumn("is_secret", F.col("score") >= threshold)
-    return scored.select(F.col("__id").alias(key), F.col("at").cast("bigint").alias("at"), "value", "score", "is_secret")
+    return scored.select(
+        F.col("__id").alias(key), F.col("at").cast("bigint").alias("at"), F.col("run").cast("bigint").alias("run"), "value", "score", "is_secret"
+    )

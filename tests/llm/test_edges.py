@@ -133,6 +133,28 @@ def test_secrets(spark, docs, empty):
     assert rows(secrets.scan_secrets(one).select("value", "score", "is_secret")) == [("a1b2c3d4e5f6a7b8c9d0", None, True)]
 
 
+def test_secrets_within_words(spark):
+    texts = [
+        "get api_key=AKIA1234567890ABCD&user=bob now",
+        '{"api_key":"AKIA1234567890ABCD","user":"robertrobert12","id":7}',
+        "password=correcthorsebattery;aws_secret_access_key=Zm9vYmFyYmF6cXV4==;x=1",
+        None,
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'a' AS source")
+    got = secrets.find_candidates(table)
+    assert rows(got.select("__id", "at", "run", "value", "lead", "before")) == [
+        (0, 1, 0, "AKIA1234567890ABCD", "api_key=", "get"),
+        (1, 0, 0, "AKIA1234567890ABCD", '"api_key":"', ""),
+        (1, 0, 1, "robertrobert12", '"user":"', ""),
+        (2, 0, 0, "correcthorsebattery", "password=", ""),
+        (2, 0, 1, "aws_secret_access_key", "", ""),
+        (2, 0, 2, "Zm9vYmFyYmF6cXV4==", "aws_secret_access_key=", ""),
+    ]
+    labels = got.withColumns({"near_example": F.lit(0.0), "coverage": F.lit(0.0)}).withColumn("label", secrets.rule_label())
+    assert rows(labels.filter("label = 1").select("__id", "run")) == [(0, 0), (1, 0), (2, 0), (2, 2)]
+    assert secrets.scan_secrets(table).count() == 6
+
+
 def test_quality(docs, empty):
     got = rows(quality.ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
     assert got == sorted((r[:-1] for r in brute.quality([r[:2] for r in ROWS])), key=str)
