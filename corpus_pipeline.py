@@ -23,12 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
-    return jaccard.one_per_group(docs)
+    """Of each group of linked rows the one with the smallest doc_id; rows are told apart by doc_id and text."""
+    return jaccard.one_text_per_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Rows whose own text has no passage of a benchmark item."""
     return decontaminate.clean_documents(docs, read_parquet(spark, sf_dir, "benchmark"))
 
 

@@ -294,8 +294,10 @@ def decontaminate(
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a word in an exact match, with all columns. Rows that share their key with
-    a matching one go with it; a row without a key is judged with the others that have none."""
-    hits = decontaminate(docs, items, key, text).filter("n_hit > 0").select(F.col(key).alias("__k")).distinct()
-    return docs.join(hits, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a word in an exact match, with all columns. A row is judged by its own text, so
+    it does not matter which other rows share its key or have none."""
+    judged = F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
+    texts = docs.select(judged.alias("__row"), F.col(f"`{text}`").alias("__text"))
+    hits = decontaminate(texts, items, "__row", "__text").filter("n_hit > 0").select(F.col("__row").alias("__k")).distinct()
+    return docs.join(hits, judged == F.col("__k"), "left_anti")

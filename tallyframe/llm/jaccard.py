@@ -581,3 +581,46 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     again = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(F.col(f"`{text}`"))))
     met = rows.filter("__marked").join(first, k == F.col("__k")).withColumn("__again", again).filter("__again = 1")
     return rows.filter("NOT __marked").select(*columns).unionByName(met.select(*columns))
+
+
+def one_text_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Of each group of rows whose texts link, the row with the smallest key, with all columns; a missing key comes
+    last. Rows are told apart by key and text: rows that share a key or have none are compared like any others. Rows
+    without words link with none; of those that repeat key and text one stays, and all that have no key.
+
+    As in ``one_per_group`` only marked rows move; those of one text and key are merged before they do.
+    """
+    spark, k, t = docs.sparkSession, F.col(f"`{key}`"), F.col(f"`{text}`")
+    row = F.xxhash64(t)
+    digests = docs.select(row.alias("id"), F.md5(t.cast("binary")).alias("md5")).groupBy("id").agg(F.min("md5").alias("a"), F.max("md5").alias("b"))
+    # Different texts with equal hashes: a few among billions. They get other hashes.
+    clashes = [r[0] for r in digests.filter("a <> b").select("id").collect()]
+    if clashes:
+        row = F.when(row.isin(clashes), F.xxhash64(F.lit("again"), t)).otherwise(row)
+    texts = docs.select(row.alias("__row"), t.alias("__text"))
+    linked = cut_lineage(link_documents(texts, "__row", "__text", width, percent).select(F.col("__row").alias("id"), "component_id"))
+    of = linked.groupBy("id").agg(F.min("component_id").alias("of"), F.count(F.lit(1)).alias("n"))
+    least = docs.select(row.alias("id"), k.alias("least")).groupBy("id").agg(F.min("least").alias("least"))
+    known = cut_lineage(of.join(least, "id"))
+    order = F.struct(F.col("least").isNull().alias("none"), "least", "id")
+    first = known.groupBy("of").agg(F.min(order).alias("m")).select("m.id", "m.least")
+    first = cut_lineage(first)
+    gone = known.join(first.select("id"), "id", "left_anti").select("id").unionByName(known.filter("n > 1").select("id"))
+    marks = spark.sparkContext.broadcast(_marks(gone))
+
+    @F.pandas_udf("boolean")
+    def marked(ids: pd.Series) -> pd.Series:
+        return pd.Series(_marked(marks.value, ids.to_numpy()))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    wordless = ~F.coalesce(t, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    rows = docs.withColumn("__row", row).withColumn("__wordless", wordless)
+    rows = rows.withColumn("__marked", marked("__row") & ~(F.col("__wordless") & k.isNull()))
+    flat = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean")]
+    met = rows.filter("__marked").groupBy("__row", k.alias("__key")).agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*flat)).alias("__doc"), F.first("__wordless").alias("__wordless")
+    )
+    kept = first.select(F.col("id").alias("__id"), F.col("least").alias("__least"))
+    met = met.join(kept, (F.col("__row") == F.col("__id")) & F.col("__key").eqNullSafe(F.col("__least")), "left")
+    met = met.filter("__wordless OR __id IS NOT NULL").select("__doc.*")
+    return rows.filter("NOT __marked").select(*columns).unionByName(met)

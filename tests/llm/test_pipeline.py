@@ -91,3 +91,22 @@ def test_run(spark, kept):
     got = corpus_pipeline.run(spark, SMALL)
     columns = ["doc_id", "shard", "slot", "grown_shard"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, kept["shards"].select(columns).collect()))
+
+
+def test_rows_without_a_key_or_that_share_one(spark, tmp_path):
+    passage = "the quick brown fox jumps over the lazy dog and runs far away into the dark green forest"
+    other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("apple", "pear"))
+    table = [
+        (None, passage), (None, other), (None, other), (1, passage), (1, third), (3, third + " end"),
+        (2, other + " end"), (2, "a b c d"), (None, ""), (None, ""), (3, ""), (3, ""), (None, "e f g"), (None, "e f g"),
+    ]
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    start = spark.createDataFrame(table, "doc_id long, text string").selectExpr("*", "'a' AS source", "map(1, 2) AS extra")
+    found = lambda df: sorted(texts(df), key=str)
+    clean = corpus_pipeline.benchmark_decontamination(spark, start, str(tmp_path))
+    assert found(clean) == sorted([r for r in table if r[1] != passage], key=str)
+    got = corpus_pipeline.near_duplicates(spark, start, str(tmp_path))
+    assert got.columns == start.columns
+    assert found(got) == sorted(
+        [(1, passage), (1, third), (2, other + " end"), (2, "a b c d"), (None, ""), (None, ""), (3, ""), (None, "e f g")], key=str
+    )
