@@ -14,6 +14,7 @@ from tallyframe.session import cut_lineage
 from tallyframe.sources.readers import read_parquet
 
 SHARDS = 8
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # what links near copies here; op4's own query has other values
 SHARD_COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -24,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one with the smallest doc_id; rows are told apart by doc_id and text."""
-    return jaccard.one_text_per_group(docs)
+    return jaccard.one_text_per_group(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

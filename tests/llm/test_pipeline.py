@@ -110,3 +110,13 @@ def test_rows_without_a_key_or_that_share_one(spark, tmp_path):
     assert found(got) == sorted(
         [(1, passage), (1, third), (2, other + " end"), (2, "a b c d"), (None, ""), (None, ""), (3, ""), (None, "e f g")], key=str
     )
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(spark):
+    plain = [f"w{i}" for i in range(1000)]
+    changed = lambda n: " ".join(f"x{n}-{i}" if i % 40 == 20 and i < 40 * n else w for i, w in enumerate(plain))
+    table = [(1, " ".join(plain)), (2, changed(21)), (3, changed(24))]
+    assert [c for *_, c in brute.jaccard(table)] == [1, 2, 3]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = texts(corpus_pipeline.near_duplicates(spark, docs, SMALL))
+    assert sorted(d for d, _ in got) == sorted({c for *_, c in brute.jaccard(table, 5, 80)}) == [1, 3]
