@@ -25,7 +25,6 @@ MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 256_000_000  # an archive file is closed beyond this size
 SPLIT_BYTES = 16_000_000  # a task's byte range
 READ_BYTES = 1 << 20
-MAX_HEADER = 1 << 20
 LAG = len(MAGIC) - 1
 
 
@@ -170,17 +169,18 @@ class _Source:
 
 
 def _valid(source: _Source, at: int) -> bool:
-    """Whether a gzip member begins at ``at`` that decodes to a WARC header."""
-    unpacker, plain = zlib.decompressobj(31), b""
+    """Whether a gzip member begins at ``at`` that decodes to a WARC header, however long."""
+    unpacker, plain, looked = zlib.decompressobj(31), bytearray(), 0
     try:
-        while len(plain) < MAX_HEADER and at < source.size and not unpacker.eof:
+        while at < source.size and not unpacker.eof:
             piece = source.piece(at)[:4096]
             plain += unpacker.decompress(piece, 1 << 16)
             at += len(piece) - len(unpacker.unconsumed_tail)
             if len(plain) >= 5 and not plain.startswith(b"WARC/"):
                 return False
-            if b"\r\n\r\n" in plain:
-                return _header(plain) is not None
+            if plain.find(b"\r\n\r\n", looked) >= 0:
+                return _header(bytes(plain)) is not None
+            looked = max(0, len(plain) - 3)
     except zlib.error:
         return False
     return False
@@ -296,8 +296,13 @@ def page_table(read: DataFrame, key_type: str = "bigint") -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, least: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Writes ``pages`` as WARC below the checkpoint folder and reads the archives back as ``page_table``."""
+    """Writes ``pages`` as WARC below the checkpoint folder and reads the archives back as ``page_table``. Fails if
+    there are not as many records as were written."""
     spark = pages.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     files = write_warc(pages, folder, least=least)
-    return page_table(read_warc(spark, files, split_bytes), pages.schema["page_id"].dataType.simpleString())
+    out = cut_lineage(page_table(read_warc(spark, files, split_bytes), pages.schema["page_id"].dataType.simpleString()))
+    read, written = out.count(), files.agg(F.sum("n_records")).first()[0] or 0
+    if read != written:
+        raise ValueError(f"{read} records read of {written} written")
+    return out

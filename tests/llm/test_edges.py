@@ -93,6 +93,14 @@ def test_warc(spark, docs, empty):
     assert warc.archive_round_trip(pages.filter("page_id = -1")).count() == 0
 
 
+def test_warc_long_header(spark):
+    url = "data:," + np.random.default_rng(1).bytes(1_000_000).hex()
+    pages = spark.createDataFrame([(1, url, "one"), (2, "u", "two"), (3, url, "one")], "page_id long, url string, html string")
+    for split in (16_000_000, 100_000):
+        got = rows(warc.archive_round_trip(pages, split_bytes=split).select("page_id", "record_type", "refers_to"))
+        assert got == [(1, "response", None), (2, "response", None), (3, "revisit", 1)]
+
+
 def test_warc_damage(spark, docs, tmp_path):
     files = warc.write_warc(docs.selectExpr("doc_id AS page_id", "source AS url", "text AS html").coalesce(1), str(tmp_path))
     path = files.filter("n_records > 0").first()["path"]
