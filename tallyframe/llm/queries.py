@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, jaccard, licenses, lm_score, mixing, quality, repeats, secrets, sharding, warc
+from tallyframe.llm import (
+    centroids,
+    decontaminate,
+    jaccard,
+    licenses,
+    lm_score,
+    mixing,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+    warc,
+)
 from tallyframe.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +272,41 @@ def _(spark, folder):
     return lm_score.cross_entropy_difference(
         read_parquet(spark, folder, "documents"), read_parquet(spark, folder, "labels")
     )
+
+
+# ---- 13 centroid clustering
+
+
+def _clusters_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS) -> str:
+    usable = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64"
+    parts = [
+        f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE {usable})""",
+        f"""c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v FROM
+            (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM v ORDER BY h, v LIMIT {k}))""",
+    ]
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - {c}.v[i]) * (v.v[i] - {c}.v[i])))"
+    for r in range(rounds + 1):
+        d = gap.format(c=f"c{r}")
+        parts.append(
+            f"""a{r} AS (SELECT vec_id, v, c, d FROM (SELECT v.vec_id, v.v, c{r}.c, CAST({d} AS BIGINT) AS d,
+            row_number() OVER (PARTITION BY v.rowid ORDER BY {d}, c{r}.c) AS place
+            FROM (SELECT *, row_number() OVER () AS rowid FROM v) v, c{r}) WHERE place = 1)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""m{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+                SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY c, i)
+                GROUP BY c)"""
+            )
+            parts.append(f"c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))")
+    last = f"c{rounds}"
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, a{rounds}.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia,
+        CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string({last}.v, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN {last} ON a{rounds}.c = {last}.c"""
+
+
+@query("op13_centroids", _clusters_sql())
+def _(spark, folder):
+    return centroids.cluster_vectors(read_parquet(spark, folder, "embeddings"))
