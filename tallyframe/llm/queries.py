@@ -18,6 +18,7 @@ from tallyframe.llm import (
     repeats,
     secrets,
     sharding,
+    spelling,
     warc,
 )
 from tallyframe.sources.readers import read_parquet
@@ -274,6 +275,14 @@ def _(spark, folder):
     )
 
 
+# ---- 11 spelling variants
+
+
+@query("op11_spelling_variants")
+def _(spark, folder):
+    return spelling.spelling_variants(read_parquet(spark, folder, "documents"), drop_every=31)
+
+
 # ---- 13 centroid clustering
 
 
