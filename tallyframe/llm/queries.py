@@ -19,6 +19,7 @@ from tallyframe.llm import (
     secrets,
     sharding,
     spelling,
+    token_files,
     warc,
 )
 from tallyframe.sources.readers import read_parquet
@@ -283,6 +284,16 @@ def _(spark, folder):
     return spelling.spelling_variants(read_parquet(spark, folder, "documents"), drop_every=31)
 
 
+# ---- 12 token ids in files
+
+
+@query("op12_token_files")
+def _(spark, folder):
+    import public_tokenizers
+
+    return token_files.token_round_trip(read_parquet(spark, folder, "documents"), public_tokenizers.path(token_files.TOKENIZER))
+
+
 # ---- 13 centroid clustering
 
 
