@@ -22,22 +22,24 @@ import numpy as np
 MAGIC = b"TFID"
 HEADER = struct.Struct("<4s7I")  # magic, ids, steps, vocabulary, digits, checksums of body, ids and header
 STEPS = 512
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 
 HASH_BITS = 20
-CONFIDENT = 15
+SURE = 16  # levels of confidence in a prediction, 0: none yet
+LEVELS = 20  # of an id's frequency, by doublings
 ONE = 1 << 16  # probability one
 LOGIT = 256  # one unit in the logistic domain
 LOGIT_MAX = 2047
 INCREMENT = 24  # what an occurrence adds to an id's frequency
 FREQUENCY_MAX = 1 << 22
 WEIGHT_ONE = 1 << 16
-LEARN_SHIFT = 12
+LEARN_SHIFT = 7
 
 WINDOW, DIGIT = 28, 32
 LOWEST = np.uint64(1 << WINDOW)
 WINDOW_MASK = np.uint64((1 << WINDOW) - 1)
 DIGIT_MASK = np.uint64((1 << DIGIT) - 1)
+ID_MASK, ID_BITS = (1 << 24) - 1, 24
 
 _CHANCE = np.array([round(ONE / (1 + math.exp(-x / LOGIT))) for x in range(-LOGIT_MAX, LOGIT_MAX + 1)], np.int64)
 
@@ -49,116 +51,128 @@ def _logit(p: int) -> int:
 
 _LOGITS = np.array([_logit(p) for p in range(ONE >> 4)], np.int64)  # by the upper 12 bits of a probability
 
-
-class _Chances:
-    """Adaptive chances, one per context: counts of hits and trials that fade."""
-
-    def __init__(self, contexts: int):
-        self.hits = np.full(contexts, 1, np.int64)
-        self.trials = np.full(contexts, 4, np.int64)
-        self.refresh()
-
-    def refresh(self) -> None:
-        self.logits = _LOGITS[(self.hits * (ONE - 1) // self.trials) >> 4]
-
-    def learn(self, context: np.ndarray, hit: np.ndarray) -> None:
-        seen = np.bincount(2 * context + hit, minlength=2 * len(self.hits)).reshape(-1, 2)
-        self.hits += seen[:, 1]
-        self.trials += seen.sum(1)
-        old = self.trials > 1 << 16
-        self.hits[old] = (self.hits[old] + 1) >> 1
-        self.trials[old] = (self.trials[old] >> 1) + 2
-        self.refresh()
+# A cell: confidence of order 2, of order 1, whether both predict the same, frequency of the id in question.
+CELLS = (SURE, SURE, 2, LEVELS)
 
 
 class _Mixer:
-    """A chance out of three orders' chances, by weights per set that follow the error."""
-
-    def __init__(self, sets: int, contexts: tuple[int, int, int]):
-        self.orders = [_Chances(n) for n in contexts]
-        self.weights = np.full((sets, 3), WEIGHT_ONE * 2 // 5, np.int64)
-
-    def chance(self, which: np.ndarray, contexts: tuple[np.ndarray, ...]) -> np.ndarray:
-        self.which, self.contexts = which, contexts
-        self.inputs = [o.logits[c] for o, c in zip(self.orders, contexts)]
-        w = self.weights[which]
-        total = (w[:, 0] * self.inputs[0] + w[:, 1] * self.inputs[1] + w[:, 2] * self.inputs[2]) >> 16
-        self.said = _CHANCE[np.minimum(np.maximum(total, -LOGIT_MAX), LOGIT_MAX) + LOGIT_MAX]
-        return self.said
-
-    def learn(self, hit: np.ndarray, asked: np.ndarray | None = None) -> None:
-        which, contexts, inputs, said = self.which, self.contexts, self.inputs, self.said
-        if asked is not None:
-            which, said, hit = which[asked], said[asked], hit[asked]
-            contexts, inputs = [c[asked] for c in contexts], [x[asked] for x in inputs]
-        error = hit * ONE - said
-        size = len(self.weights)
-        n = np.maximum(np.bincount(which, minlength=size), 1)
-        for j, x in enumerate(inputs):
-            # Sums of whole numbers below 2 ** 53: exact in any order.
-            push = np.bincount(which, weights=error * x, minlength=size).astype(np.int64) // n
-            self.weights[:, j] += push >> LEARN_SHIFT - 4
-        np.clip(self.weights, -4 * WEIGHT_ONE, 4 * WEIGHT_ONE, out=self.weights)
-        for o, c in zip(self.orders, contexts):
-            o.learn(c, hit)
+    """The chance, per cell, that a prediction holds: mixed from what each order's own context says.
+
+    An order's own chance is a count of hits and trials that fades. The mixture is a weighted sum of logits; each set of
+    cells has its own weights, which follow the error.
+    """
+
+    def __init__(self, sets: tuple[int, ...], open_cells: np.ndarray):
+        self.sets, self.open_cells = sets, open_cells
+        # Which axes an order looks at: order 2 its confidence, order 1 its own and the agreement, order 0 the level.
+        self.axes = ((0,), (1, 2), (3,))
+        shapes = [[n if i in axes else 1 for i, n in enumerate(CELLS)] for axes in self.axes]
+        self.hits = [np.full(shape, 1, np.int64) for shape in shapes]
+        self.trials = [np.full(shape, 4, np.int64) for shape in shapes]
+        shape = [n if i in sets else 1 for i, n in enumerate(CELLS)]
+        self.weights = [np.full(shape, WEIGHT_ONE * 2 // 5, np.int64) for _ in self.axes]
+        self.mix()
+
+    def mix(self) -> None:
+        self.logits = [_LOGITS[(h * (ONE - 1) // t) >> 4] for h, t in zip(self.hits, self.trials)]
+        total = sum(w * x for w, x in zip(self.weights, self.logits)) >> 16
+        said = _CHANCE[np.clip(total, -LOGIT_MAX, LOGIT_MAX) + LOGIT_MAX]
+        self.said = np.clip(said, 32, ONE - 64) * self.open_cells
+        self.flat = self.said.reshape(-1)
+
+    def learn(self, hits: np.ndarray, trials: np.ndarray) -> None:
+        hits, trials = hits.reshape(CELLS) * self.open_cells, trials.reshape(CELLS) * self.open_cells
+        over = lambda x, kept: x.sum(axis=tuple(i for i in range(4) if i not in kept), keepdims=True)
+        error = hits * ONE - trials * self.said
+        n = np.maximum(over(trials, self.sets), 1)
+        for j, axes in enumerate(self.axes):
+            self.weights[j] += over(error * self.logits[j], self.sets) // n >> LEARN_SHIFT
+            np.clip(self.weights[j], -4 * WEIGHT_ONE, 4 * WEIGHT_ONE, out=self.weights[j])
+            self.hits[j] += over(hits, axes)
+            self.trials[j] += over(trials, axes)
+            old = self.trials[j] > 1 << 16
+            self.hits[j][old] = (self.hits[j][old] + 1) >> 1
+            self.trials[j][old] = (self.trials[j][old] >> 1) + 2
+        self.mix()
+
+
+_C2, _C1, _AGREE, _ = np.ogrid[tuple(slice(n) for n in CELLS)]
 
 
 class _Model:
     def __init__(self, lanes: int, vocabulary: int):
         self.size = vocabulary
-        self.frequency = np.ones(vocabulary, np.int64)
-        self.after_one = np.zeros(vocabulary, np.int64)  # prediction + (confidence << 24), 0: none yet
-        self.after_two = np.zeros(1 << HASH_BITS, np.int64)
+        self.counted = np.ones(vocabulary, np.int64)
+        self.after_one = np.zeros(vocabulary, np.int32)  # prediction + (confidence << ID_BITS)
+        self.after_two = np.zeros(1 << HASH_BITS, np.int32)
         self.last = np.zeros(lanes, np.int64)
         self.slot = np.zeros(lanes, np.int64)
-        sets = 2 * (CONFIDENT + 1)
-        self.second = _Mixer(sets, (CONFIDENT + 1, sets, 24))
-        self.first = _Mixer(sets // 2, (CONFIDENT + 1, CONFIDENT + 1, 24))
-        self.step = 0
+        self.second = _Mixer((0, 2), _C2 > 0)
+        self.first = _Mixer((1,), (_C1 > 0) & ((_AGREE == 0) | (_C2 == 0)))
+        self.step, self.seen = 0, []
         self.count_up()
 
     def count_up(self) -> None:
+        """Order-0 frequencies as they are used until the next counting up."""
+        self.frequency = self.counted.copy()
         self.starts = np.zeros(self.size + 1, np.int64)
         np.cumsum(self.frequency, out=self.starts[1:])
-        # Order-0's opinion of an id: how many doublings lie between its frequency and one.
-        self.doublings = np.frexp(self.frequency.astype(np.float64))[1].astype(np.int64)
+        doublings = np.frexp(self.frequency.astype(np.float64))[1].astype(np.int64)
+        self.level = np.clip(doublings - 3, 0, LEVELS - 1)
         self.total = np.uint64(self.starts[-1])
-        self.frequency_now = self.frequency.copy()  # as it is until the next counting up
+        self.guess = None
+
+    def ids_at(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold the values ``v``."""
+        if self.guess is None:
+            # The id that holds the first value of each 128 ones: mostly the id looked for, or the next.
+            self.guess = np.repeat(np.arange(self.size), np.diff((self.starts + 127) >> 7))
+        found = self.guess[v >> 7]
+        left = np.flatnonzero(self.starts[found + 1] <= v)
+        for _ in range(2):
+            found[left] += 1
+            left = left[self.starts[found[left] + 1] <= v[left]]
+        found[left] = np.searchsorted(self.starts, v[left], side="right") - 1
+        return found
 
     def predict(self) -> tuple[np.ndarray, ...]:
-        """The two predicted ids, and where their intervals in [0, ONE) end."""
-        two, one = self.after_two[self.slot], self.after_one[self.last]
-        self.two, self.one = two, one
-        c2, c1 = two >> 24, one >> 24
-        p2, p1 = two & 0xFFFFFF, one & 0xFFFFFF
-        agree = (p1 == p2).astype(np.int64)
-        x = self.second.chance(2 * c2 + agree, (c2, 2 * c1 + agree, self.doublings[p2]))
-        y = self.first.chance(c1, (c2, c1, self.doublings[p1]))
-        x = np.minimum(np.maximum(x, 32), ONE - 64) * (c2 > 0)
-        end = x + ((((ONE - 32 - x) * y) >> 16) + 1) * ((c1 > 0) & ((agree == 0) | (c2 == 0)))
-        self.asked = (c2 > 0, end > x)
+        """The two predicted ids, and where their intervals in [0, ONE) end; an interval may be empty."""
+        two, one = self.after_two[self.slot].astype(np.int64), self.after_one[self.last].astype(np.int64)
+        c2, p2, c1, p1 = two >> ID_BITS, two & ID_MASK, one >> ID_BITS, one & ID_MASK
+        cell = ((c2 * SURE + c1) * 2 + (p1 == p2)) * LEVELS
+        at2, at1 = cell + self.level[p2], cell + self.level[p1]
+        x, y = self.second.flat[at2], self.first.flat[at1]
+        end = x + (((ONE - 32 - x) * y) >> 16)
+        self.now = (two, c2, p2), (one, c1, p1), at2, at1
         return p2, p1, x, end
 
     def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
         """``event``: 0 the order-2 prediction held, 1 the order-1 one, 2 neither."""
-        if self.step < 32 or self.step % 4 == 0:
-            self.second.learn((event == 0).astype(np.int64), self.asked[0])
-            self.first.learn((event == 1).astype(np.int64), self.asked[1] & (event > 0))
-        for table, at, old in ((self.after_two, self.slot, self.two), (self.after_one, self.last, self.one)):
-            sure = old >> 24
-            hit = (old & 0xFFFFFF) == ids
-            up = np.minimum(sure + 1, CONFIDENT)
-            keep = hit | (sure > 1)
-            table[at] = np.where(keep, (old & 0xFFFFFF) | (np.where(hit, up, sure >> 1) << 24), ids | (1 << 24))
-        np.add.at(self.frequency, ids, INCREMENT)
+        two, one, at2, at1 = self.now
+        for table, at, (old, sure, predicted) in ((self.after_two, self.slot, two), (self.after_one, self.last, one)):
+            more = np.minimum(old + (1 << ID_BITS), predicted + ((SURE - 1) << ID_BITS))
+            less = np.where(sure > 1, predicted + ((sure >> 1) << ID_BITS), ids + (1 << ID_BITS))
+            table[at] = np.where(predicted == ids, more, less)
+        np.add.at(self.counted, ids, INCREMENT)
+        self.seen.append((at2, at1, event))
         self.step += 1
-        if self.step < 16 or self.step % 8 == 0:
-            if self.frequency.sum() > FREQUENCY_MAX:
-                self.frequency = (self.frequency + 1) >> 1
+        if self.step < 16 or self.step % (8 if self.step < 64 else 16) == 0:
+            self._learn_cells()
+            if self.counted.sum() > FREQUENCY_MAX:
+                self.counted = (self.counted + 1) >> 1
             self.count_up()
         self.slot = ((self.last * 0x2F0B4C47 + ids * 0x1E35A7BD) >> 7) & ((1 << HASH_BITS) - 1)
         self.last = ids
 
+    def _learn_cells(self) -> None:
+        at2, at1, event = (np.concatenate(x) for x in zip(*self.seen))
+        self.seen = []
+        n = len(self.second.flat)
+        by_cell = np.bincount(2 * at2 + (event == 0), minlength=2 * n).reshape(n, 2)
+        self.second.learn(by_cell[:, 1], by_cell[:, 0] + by_cell[:, 1])
+        by_cell = np.bincount(3 * at1 + event, minlength=3 * n).reshape(n, 3)
+        self.first.learn(by_cell[:, 1], by_cell[:, 1] + by_cell[:, 2])
+
 
 def _lanes(n: int) -> tuple[int, int]:
     """Lanes and steps for ``n`` ids: few ids get short lanes, so that their steps are few."""
@@ -200,11 +214,11 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
 
     for now in plan if n else ():
         p2, p1, x, end = model.predict()
-        is2 = (p2 == now) & model.asked[0]
-        is1 = (p1 == now) & model.asked[1] & ~is2
+        is2 = (p2 == now) & (x > 0)
+        is1 = (p1 == now) & (end > x) & ~is2
         event = 2 - 2 * is2 - is1
         start = np.where(is2, 0, np.where(is1, x, end))
-        size = np.where(is2, x, np.where(is1, end - x, ONE - end))
+        size = np.where(is2, x, np.where(is1, end, ONE)) - start
         unit = width >> np.uint64(16)
         low += start.view(np.uint64) * unit
         width = size.view(np.uint64) * unit
@@ -214,7 +228,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
             own = now[rest]
             unit = width[rest] // model.total
             low[rest] += model.starts[own].view(np.uint64) * unit
-            width[rest] = model.frequency_now[own].view(np.uint64) * unit
+            width[rest] = model.frequency[own].view(np.uint64) * unit
             push(rest)
         model.learn(now, event)
     if n:
@@ -276,7 +290,7 @@ def decode_block(block: bytes) -> np.ndarray:
         event = (v >= x).astype(np.int64) + (v >= end)
         now = np.where(event == 0, p2, p1)
         start = np.where(event == 0, 0, np.where(event == 1, x, end))
-        size = np.where(event == 0, x, np.where(event == 1, end - x, ONE - end))
+        size = np.where(event == 0, x, np.where(event == 1, end, ONE)) - start
         code -= start.view(np.uint64) * unit
         width = size.view(np.uint64) * unit
         pull()
@@ -284,10 +298,10 @@ def decode_block(block: bytes) -> np.ndarray:
         if len(rest):
             unit = width[rest] // model.total
             v = np.minimum(code[rest] // unit, model.total - np.uint64(1)).view(np.int64)
-            own = np.searchsorted(model.starts, v, side="right") - 1
+            own = model.ids_at(v)
             now[rest] = own
             code[rest] -= model.starts[own].view(np.uint64) * unit
-            width[rest] = model.frequency_now[own].view(np.uint64) * unit
+            width[rest] = model.frequency[own].view(np.uint64) * unit
             pull(rest)
         model.learn(now, event)
         out[step] = now

@@ -11,16 +11,18 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import LOWER, chunks, text_bytes
+from tallyframe.llm.common import chunks
 from tallyframe.llm.id_codec import BLOCK_IDS, HEADER, block_size, decode_block, encode_block
 from tallyframe.session import cut_lineage, ensure_checkpoint_dir
 
@@ -31,9 +33,6 @@ PIECE = 8_000_000  # bytes of a text that are looked at together
 KNOWN_WORDS = 1_000_000  # words a task remembers; beyond it the memory starts anew
 MARK = b"TFIDEND1"
 
-_TRAILING = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[\x20\x09-\x0D])")
-
-
 def pieces(text: bytes, limit: int = PIECE) -> Iterator[bytes]:
     """A text cut at white space into pieces of about ``limit`` bytes; a longer word stays whole."""
     start = 0
@@ -51,67 +50,83 @@ class Words:
 
     Right for tokenizers that drop white space and split at it, as the one named above: no token reaches over it. There
     lower-casing A-Z first changes nothing either, unless a combining mark follows or a special token is spelled out,
-    nor does splitting points off the letters before them; both make words repeat more often.
+    nor does splitting points off the letters or digits before them; both make words repeat more often.
     """
 
+    BETWEEN = "|"  # put between words that are encoded together
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        between = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(ids == self.between)
+        if self.between is not None and len(cut) == len(words) - 1:
+            return np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for own in each for i in own], np.uint32), np.array(list(map(len, each)), np.int64)
+
+    def _learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > len(self.starts):
             grown = max(len(self.known) + len(words), 2 * len(self.starts))
             self.starts, self.lengths = (np.append(a, np.zeros(grown - len(a), np.int64)) for a in (self.starts, self.lengths))
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            fresh = np.fromiter((i for own in ids for i in own), np.uint32, int(lengths.sum()))
-            if self.used + len(fresh) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros(max(len(fresh), len(self.flat)), np.uint32))
-            self.flat[self.used : self.used + len(fresh)] = fresh
-            at = len(self.known)
-            self.lengths[at : at + len(part)] = lengths
-            self.starts[at : at + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(fresh)
-            self.known.update(zip(part, range(at, at + len(part))))
+        plain = [w for w in words if self.BETWEEN not in w]
+        odd = [w for w in words if self.BETWEEN in w]
+        for group, step in ((plain, 2000), (odd, 1)):
+            for lo in range(0, len(group), step):
+                part = group[lo : lo + step]
+                ids, lengths = self._encode(part)
+                if self.used + len(ids) > len(self.flat):
+                    self.flat = np.append(self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32))
+                self.flat[self.used : self.used + len(ids)] = ids
+                at = len(self.known)
+                self.lengths[at : at + len(part)] = lengths
+                self.starts[at : at + len(part)] = self.used + np.cumsum(lengths) - lengths
+                self.used += len(ids)
+                self.known.update(zip(part, range(at, at + len(part))))
 
     @staticmethod
-    def split(text: bytes) -> list[bytes]:
-        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
-            return text.split()
-        return _TRAILING.sub(rb" \1", text.translate(LOWER)).split()
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def split(texts: pa.Array) -> pa.ListArray:
+        low = pc.ascii_lower(texts)
+        odd = pc.match_substring_regex(texts, "<\\||[\u0300-\u036f]")
+        if pc.any(odd).as_py():
+            low = pc.if_else(odd, texts, low)
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(low, r"([\pL\pN])([.,;:!?]+)([ \n\t\r])", r"\1 \2\3"))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
-        words: list[bytes] = []
-        per_text = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = self.split(t)
-            words += own
-            per_text[i] = len(own)
-        unknown = list(dict.fromkeys(w for w in words if w not in self.known))
+        words = self.split(texts)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(number < 0)
         if self.known and len(self.known) + len(unknown) > KNOWN_WORDS:
             self.forget()
-            unknown = list(dict.fromkeys(words))
-        self._learn(unknown)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[number]
+            unknown = np.arange(len(distinct))
+        if len(unknown):
+            self._learn([distinct[i] for i in unknown])
+            number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        at = coded.indices.to_numpy()
+        lengths = self.lengths[number][at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[number] - ends + lengths, lengths) + np.arange(total)]
-        upto = np.append(0, ends)[np.cumsum(per_text)]
-        return ids, np.diff(np.append(0, upto))
+        ids = self.flat[np.repeat(self.starts[number][at] - ends + lengths, lengths) + np.arange(total)]
+        bounds = words.offsets.to_numpy()
+        return ids, np.diff(np.append(0, ends)[bounds - bounds[0]])
 
 
 _WORDS: dict[str, Words] = {}
@@ -194,12 +209,12 @@ def write_token_files(
         out, keys, sizes = None, [], []
         for part in chunks(batches, "__text", PIECE):
             out = out or _File(f"{folder}/{uuid.uuid4().hex}.ids", words.vocabulary)
-            texts = text_bytes(part.column("__text"))
+            texts = pc.fill_null(part.column("__text"), "")
             keys.append(part.column("__id"))
             if len(texts) == 1:
                 n = 0
-                for piece in pieces(texts[0]):
-                    ids, _ = words.ids([piece])
+                for piece in pieces(texts.cast(pa.binary())[0].as_py()):
+                    ids, _ = words.ids(pa.array([piece.decode()], pa.string()))
                     out.add(ids)
                     n += len(ids)
                 out.add(np.array([end], np.uint32))
