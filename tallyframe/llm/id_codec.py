@@ -24,7 +24,7 @@ HEADER = struct.Struct("<4s7I")  # magic, ids, steps, vocabulary, digits, checks
 STEPS = 512
 BLOCK_IDS = 1 << 21
 
-HASH_BITS = 20
+HASH_BITS = 18
 SURE = 16  # levels of confidence in a prediction, 0: none yet
 LEVELS = 20  # of an id's frequency, by doublings
 ONE = 1 << 16  # probability one

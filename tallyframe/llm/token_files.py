@@ -119,14 +119,16 @@ class Words:
             unknown = np.arange(len(distinct))
         if len(unknown):
             self._learn([distinct[i] for i in unknown])
-            number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        at = coded.indices.to_numpy()
-        lengths = self.lengths[number][at]
+            number[unknown] = [self.known[distinct[i]] for i in unknown]
+        # The ids of each distinct word, then of all words in their order.
+        lengths = self.lengths[number]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[number][at] - ends + lengths, lengths) + np.arange(total)]
-        bounds = words.offsets.to_numpy()
-        return ids, np.diff(np.append(0, ends)[bounds - bounds[0]])
+        own = self.flat[np.repeat(self.starts[number] - ends + lengths, lengths) + np.arange(total)]
+        offsets = np.append(0, ends).astype(np.int32)
+        every = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own)).take(coded.indices)
+        bounds = every.offsets.to_numpy()[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return every.flatten().to_numpy(), np.diff(bounds)
 
 
 _WORDS: dict[str, Words] = {}
