@@ -32,6 +32,8 @@ FILE_TEXT = 32_000_000  # bytes of text for about one file
 PIECE = 8_000_000  # bytes of a text that are looked at together
 KNOWN_WORDS = 1_000_000  # words a task remembers; beyond it the memory starts anew
 MARK = b"TFIDEND1"
+# Latin letters and digits that normalising and lower-casing keep one letter: not U+0130.
+LETTER = r"([a-z0-9À-ÖØ-öø-įı-ſ])"
 
 def pieces(text: bytes, limit: int = PIECE) -> Iterator[bytes]:
     """A text cut at white space into pieces of about ``limit`` bytes; a longer word stays whole."""
@@ -50,7 +52,7 @@ class Words:
 
     Right for tokenizers that drop white space and split at it, as the one named above: no token reaches over it. There
     lower-casing A-Z first changes nothing either, unless a combining mark follows or a special token is spelled out,
-    nor does splitting points off the letters or digits before them; both make words repeat more often.
+    nor does splitting points off a LETTER before them; both make words repeat more often.
     """
 
     BETWEEN = "|"  # put between words that are encoded together
@@ -105,7 +107,7 @@ class Words:
         odd = pc.match_substring_regex(texts, "<\\||[\u0300-\u036f]")
         if pc.any(odd).as_py():
             low = pc.if_else(odd, texts, low)
-        return pc.ascii_split_whitespace(pc.replace_substring_regex(low, r"([\pL\pN])([.,;:!?]+)([ \n\t\r])", r"\1 \2\3"))
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(low, LETTER + r"([.,;:!?]+)([ \n\t\r])", r"\1 \2\3"))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter, defaultdict
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 TOKEN = re.compile("[^\x20\x09-\x0d]+")
@@ -103,3 +106,70 @@ def repeats(docs, width=50):
         kept = bytes(c for c, g in zip(b, gone) if not g)
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def spelling(docs, every=31, least_length=7, least_count=2, dominance=10):
+    """(word, form, root, n, n_near, form_n) of all words."""
+    counts = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            at = h % len(run)
+            counts[run[:at] + run[at + 1 :] if h % every == 0 else run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least_length and n >= least_count}
+    cut = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            cut[i, w[:i] + w[i + 1 :]].add(w)
+    near = defaultdict(set)
+    for (_, short), longer in cut.items():
+        for w in longer:
+            near[w] |= longer - {w}
+            if short in words:
+                near[w].add(short)
+                near[short].add(w)
+    form = {}
+    for w in words:
+        best = min(near[w], key=lambda o: (-words[o], o), default=None)
+        if best and words[best] >= dominance * words[w]:
+            form[w] = best
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return [(w, form.get(w), root(w), n, len(near[w]), words.get(form.get(w))) for w, n in words.items()]
+
+
+def clusters(rows, k=16, rounds=3):
+    """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of the usable (vec_id, vector) rows."""
+    kept = [
+        (i, [math.floor(64 * float(x)) for x in v])
+        for i, v in rows
+        if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    name = lambda i: hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+    centers = [v for _, v in sorted((name(i), v) for i, v in kept)[:k]]
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    nearest = lambda v: min((gap(v, c), j) for j, c in enumerate(centers))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v in kept:
+            groups[nearest(v)[1]].append(v)
+        centers = [[sum(x) // len(groups[j]) for x in zip(*groups[j])] if j in groups else c for j, c in enumerate(centers)]
+    found = [(i, *nearest(v)) for i, v in kept]
+    inertia = Counter()
+    for _, d, j in found:
+        inertia[j] += d
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centers]
+    return [(i, j, d, inertia[j], sum(inertia.values()), sha[j]) for i, d, j in found]
+
+
+def token_rows(docs, tokenizer, end=2):
+    """(doc_id, start, n_tokens, ids_crc32), keys ascending and the missing one last."""
+    at, out = 0, []
+    for doc, text in sorted(docs, key=lambda r: (r[0] is None, r[0] or 0)):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+        out.append((doc, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+        at += len(ids)
+    return out

@@ -25,7 +25,7 @@ def rows(spark, name, *columns):
 
 
 def test_one_query_per_operator():
-    assert {n.split("_")[0] for n in queries.QUERIES if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_op1(spark, docs):
