@@ -6,9 +6,9 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import encode, ordered, sampling
-from tallyframe.plans import features, model, train
-from tallyframe.registry.bindings import with_bound
+from tallyframe.operators import coding, encode, ordered, sampling
+from tallyframe.plans import boosting, features, model, train
+from tallyframe.registry.bindings import SUBJECT, with_bound
 from tallyframe.registry.core import Tables, query, rounded
 from tallyframe.registry.recipes import PLAN_TABLES, wide
 from tallyframe.session import cut_lineage
@@ -85,6 +85,8 @@ def _(t):
 
 # ---- training on the feature table
 
+ROUNDS = 15  # of the registered trainings; the presets allow thousands
+
 
 @query(
     "model_path_checks",
@@ -102,7 +104,7 @@ def _(t):
     """The whole path on the derived table, and what must hold for any fit."""
     derived = features.derive_features(wide(t))
     keys = t.subject.select("SK_ID_CURR", "TARGET")
-    done = train.train(derived, "SK_ID_CURR", "TARGET", model.SHALLOW, keys)
+    done = train.train(derived, "SK_ID_CURR", "TARGET", boosting.SHALLOW.with_rounds(ROUNDS), keys)
     count = lambda part: F.count(F.when(F.col("split") == part, 1))
     sizes = done.rows.agg(*[count(p).alias(f"n_{p}") for p in ("train", "validation", "test")])
     found = done.scores.agg(
@@ -142,43 +144,166 @@ def _documents(t):
 
 
 @cache
-def _trained_once(spark, folder, preset):
-    """One fit per session, folder and preset, whichever queries ask for it."""
+def _trained_once(spark, folder, settings):
+    """One fit per session, folder and settings, whichever queries ask for it."""
     t = Tables(spark, folder)
     rows = _documents(t)
     names = model.feature_names(rows, "doc_id", "quality")
-    # Training makes many passes: over the written vectors, not over the texts.
-    frame = cut_lineage(model.model_frame(rows, "doc_id", "quality", names, keep=["split"]))
-    known = frame.filter(F.col("split") != "test").withColumn(
-        "is_validation", F.col("split") == "validation"
-    )
-    return model.fit_boosted(known, preset, "is_validation"), frame, names, rows
+    cuts = boosting.find_cuts(rows.filter(F.col("split") == "train"), names)
+    # Training makes many passes: over the written features, not over the texts.
+    frame = cut_lineage(boosting.bin_rows(rows, "doc_id", "quality", names, cuts, keep=["split"]))
+    known = frame.withColumn("is_validation", F.col("split") == "validation")
+    return boosting.fit(known, names, cuts, settings, "is_validation"), frame
 
 
-def _trained(t, preset):
-    return _trained_once(t.spark, t.folder, preset)
+def _trained(t, settings):
+    return _trained_once(t.spark, t.folder, settings.with_rounds(ROUNDS))
 
 
 @query("train_score")
 def _(t):
-    fitted, frame, _, _ = _trained(t, model.DEEP)
-    return model.score(fitted, frame).select("doc_id", "split", "score")
+    fitted, frame = _trained(t, boosting.DEEP)
+    return fitted.score(frame).select("doc_id", "split", "score")
 
 
 @query("train_score_alt")
 def _(t):
-    fitted, frame, _, _ = _trained(t, model.SHALLOW)
-    return model.score(fitted, frame).select("doc_id", "split", "score")
+    fitted, frame = _trained(t, boosting.SHALLOW)
+    return fitted.score(frame).select("doc_id", "split", "score")
+
+
+@query(
+    "train_score_checks",
+    "SELECT doc_id, quality IS NULL AS is_test, TRUE AS in_range FROM documents LEFT JOIN labels USING (doc_id)",
+)
+def _(t):
+    """Every document has a score, and those without a label are the test part."""
+    fitted, frame = _trained(t, boosting.DEEP)
+    in_range = (F.col("score") > 0) & (F.col("score") < 1)
+    return fitted.score(frame).select("doc_id", (F.col("split") == "test").alias("is_test"), in_range.alias("in_range"))
 
 
 @query("importance")
 def _(t):
-    fitted, _, names, rows = _trained(t, model.SHALLOW)
-    return ordered.top_k(model.importance(fitted, rows, names), ["rank"], 30)
+    fitted, _ = _trained(t, boosting.SHALLOW)
+    return ordered.top_k(fitted.importance(t.spark), ["rank"], 30)
+
+
+@query(
+    "importance_checks",
+    "SELECT TRUE AS frequencies_match, TRUE AS covers_match, TRUE AS gains_match, TRUE AS rows_add_up, TRUE AS leaves_bounded",
+)
+def _(t):
+    """Shares of gain, cover and frequency against the table of all nodes, whose rows and covers must add up."""
+    fitted, _ = _trained(t, boosting.SHALLOW)
+    nodes, shares = fitted.nodes(t.spark), fitted.importance(t.spark)
+    splits = nodes.filter(F.col("feature").isNotNull())
+    total = splits.agg(F.sum("gain").alias("g"), F.sum("cover").alias("c"), F.count(F.lit(1)).alias("n"))
+    own = splits.groupBy("feature").agg(F.sum("gain").alias("g1"), F.sum("cover").alias("c1"), F.count(F.lit(1)).alias("n1"))
+    # A row per feature, and one of totals.
+    both = shares.join(own, "feature", "left").join(F.broadcast(total)).na.fill(0, ["g1", "c1", "n1"])
+    near = lambda a, b: F.every(F.abs(F.col(a) - b) < 1e-9)
+    shares_fit = both.agg(
+        near("frequency", F.col("n1") / F.col("n")).alias("frequencies_match"),
+        near("cover", F.col("c1") / F.col("c")).alias("covers_match"),
+        near("importance", F.col("g1") / F.col("g")).alias("gains_match"),
+    )
+    child = lambda side: nodes.select("tree", F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("rows", "cover")])
+    family = splits.join(child("left"), ["tree", "left"]).join(child("right"), ["tree", "right"])
+    adds_up = (F.col("rows") == F.col("left_rows") + F.col("right_rows")) & (
+        F.abs(F.col("cover") - F.col("left_cover") - F.col("right_cover")) < 1e-6
+    )
+    leaves = nodes.filter(F.col("feature").isNull()).groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
+    bounded = leaves.agg((F.max("n") <= boosting.SHALLOW.leaves).alias("leaves_bounded"))
+    # One row each.
+    return shares_fit.join(F.broadcast(family.agg(F.every(adds_up).alias("rows_add_up")))).join(F.broadcast(bounded))
 
 
 @query("submission")
 def _(t):
-    fitted, frame, _, _ = _trained(t, model.SHALLOW)
+    fitted, frame = _trained(t, boosting.SHALLOW)
     unlabelled = frame.filter(F.col("split") == "test")
-    return model.submission(model.score(fitted, unlabelled), "doc_id")
+    return model.submission(fitted.score(unlabelled), "doc_id")
+
+
+@query(
+    "submission_checks",
+    "SELECT doc_id, TRUE AS in_range FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL",
+)
+def _(t):
+    """The submission has one score per unlabelled document."""
+    fitted, frame = _trained(t, boosting.SHALLOW)
+    sent = model.submission(fitted.score(frame.filter(F.col("split") == "test")), "doc_id")
+    return sent.select("doc_id", ((F.col("TARGET") > 0) & (F.col("TARGET") < 1)).alias("in_range"))
+
+
+# ---- what a training is made of, on the subject table
+
+TEXTS = ["NAME_CONTRACT_TYPE", "CODE_GENDER", "NAME_TYPE_SUITE", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE",
+         "NAME_FAMILY_STATUS", "NAME_HOUSING_TYPE", "OCCUPATION_TYPE", "FONDKAPREMONT_MODE", "FLAG_OWN_REALTY"]
+CODES = "SELECT v, row_number() OVER (ORDER BY v) AS code FROM (SELECT DISTINCT {c} AS v FROM subject WHERE {c} IS NOT NULL AND CODED)"
+# Codes come from some of the subjects, so that others have values that were never seen.
+CODED_ROWS = "DAYS_BIRTH < -8000 AND NAME_HOUSING_TYPE <> '7'"
+CODE_TABLES = {f"codes_{c}": CODES.format(c=c).replace("CODED", CODED_ROWS) for c in TEXTS}
+CODED = (
+    "SELECT "
+    + ", ".join(
+        f"CASE WHEN {c} IS NULL THEN NULL ELSE COALESCE((SELECT code FROM codes_{c} WHERE v = {c}), 0) END AS {c}" if c in TEXTS else c
+        for c in SUBJECT
+    )
+    + " FROM subject"
+)
+
+
+@query("coded_matrix", with_bound("subject", **CODE_TABLES, then=CODED))
+def _(t):
+    return coding.apply_codes(t.subject, coding.code_table(t.subject.filter(CODED_ROWS), TEXTS), TEXTS)
+
+
+FIRST_FEATURES = ["AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "FLAG_EMAIL"]
+FIRST = boosting.DEEP
+
+
+def _first_split_sql() -> str:
+    """Gains of all cuts of all features, both ways for missing values, as sums over the rows."""
+    s = FIRST
+    cells = " UNION ALL ".join(
+        f"SELECT {i} AS i, '{c}' AS feature, CAST({c} AS DOUBLE) AS x, 0.5 - TARGET AS g FROM subject WHERE TARGET IS NOT NULL"
+        for i, c in enumerate(FIRST_FEATURES)
+    )
+    part = "{0} * {0} / ({1} + " + f"{s.reg_lambda}::DOUBLE)"
+    return with_bound(
+        "subject",
+        cells=cells,
+        sums="SELECT i, feature, x, CAST(SUM(g) AS DOUBLE) AS g, COUNT(*) AS n FROM cells GROUP BY ALL",
+        whole="SELECT i, CAST(SUM(g) AS DOUBLE) AS g, CAST(SUM(n) AS BIGINT) AS n,"
+        " COALESCE(CAST(SUM(CASE WHEN x IS NULL THEN g END) AS DOUBLE), 0) AS mg,"
+        " COALESCE(CAST(SUM(CASE WHEN x IS NULL THEN n END) AS BIGINT), 0) AS mn FROM sums GROUP BY i",
+        below="SELECT i, feature, x, CAST(SUM(g) OVER upto AS DOUBLE) AS lg, CAST(SUM(n) OVER upto AS BIGINT) AS ln,"
+        " x = MAX(x) OVER (PARTITION BY i) AS is_last FROM sums WHERE x IS NOT NULL WINDOW upto AS (PARTITION BY i ORDER BY x)",
+        sides="SELECT i, feature, x, m AS missing_left, lg + CASE WHEN m THEN mg ELSE 0 END AS lg, ln + CASE WHEN m THEN mn ELSE 0 END AS ln,"
+        " g, n FROM below JOIN whole USING (i), (VALUES (FALSE), (TRUE)) t(m) WHERE NOT is_last",
+        gains=f"SELECT *, n - ln AS rn, {part.format('lg', '(ln / 4.0::DOUBLE)')} + {part.format('(g - lg)', '((n - ln) / 4.0::DOUBLE)')}"
+        f" - {part.format('g', '(n / 4.0::DOUBLE)')} AS gain FROM sides"
+        f" WHERE ln / 4.0::DOUBLE >= {s.min_child_weight} AND (n - ln) / 4.0::DOUBLE >= {s.min_child_weight}",
+        then="SELECT feature, x AS threshold, missing_left, round(gain, 9) AS gain, n / 4.0::DOUBLE AS cover, ln AS n_left, rn AS n_right"
+        " FROM gains ORDER BY gains.gain DESC, missing_left, i, x LIMIT 1",
+    )
+
+
+@query("boost_first_split", _first_split_sql())
+def _(t):
+    """The first split of a one-round fit on all labelled subjects: one bin per value, all rows and features drawn."""
+    names = FIRST_FEATURES
+    known = t.subject.filter(F.col("TARGET").isNotNull())
+    cuts = boosting.find_cuts(known, names)
+    rows = boosting.bin_rows(known, "SK_ID_CURR", "TARGET", names, cuts)
+    settings = boosting.replace(FIRST, rounds=1, depth=1, row_share=1.0, column_share=1.0)
+    nodes = boosting.fit(rows, names, cuts, settings).nodes(t.spark)
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("rows").alias(f"n_{c}"))
+    return (
+        nodes.filter("node = 0 AND feature IS NOT NULL")
+        .join(side("left"), "left")
+        .join(side("right"), "right")
+        .select("feature", "threshold", "missing_left", F.round("gain", 9).alias("gain"), "cover", "n_left", "n_right")
+    )

@@ -53,3 +53,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tallyframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a :func:`cut_lineage` that nothing reads any more."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tallyframe-" not in folder:
+            raise ValueError(f"{folder} was not made by cut_lineage below {base}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
