@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import LOWER_WORDS, chunks, text_bytes, word_ids
+from tallyframe.llm.marks import split_by_marks
 from tallyframe.session import cut_lineage, ensure_checkpoint_dir
 
 WINDOW = 10
@@ -295,9 +296,19 @@ def decontaminate(
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a word in an exact match, with all columns. A row is judged by its own text, so
-    it does not matter which other rows share its key or have none."""
-    judged = F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
-    texts = docs.select(judged.alias("__row"), F.col(f"`{text}`").alias("__text"))
-    hits = decontaminate(texts, items, "__row", "__text").filter("n_hit > 0").select(F.col("__row").alias("__k")).distinct()
-    return docs.join(hits, judged == F.col("__k"), "left_anti")
+    """The rows of ``docs`` without a word in an exact match, with all columns, whatever their names. A row is judged
+    by its own text, so it does not matter which other rows share its key or have none; rows of a missing or empty text
+    stay, as do all if no item has words; no rows in, none out.
+
+    Texts do not move: a bitmap of fixed size marks those with a match, and only marked rows, some of them by
+    chance, are looked up among the matches.
+    """
+    digest = lambda t: F.unhex(F.md5(t.cast("binary")))
+    t = F.col(f"`{text}`")
+    texts = docs.select(digest(t).alias("__row"), t.alias("__text"))
+    hits = decontaminate(texts, items, "__row", "__text").filter("n_hit > 0").select(F.col("__row").alias("__hit")).distinct()
+    hits = cut_lineage(hits)
+    marked, unmarked = split_by_marks(docs, F.xxhash64(digest(t)), hits.select(F.xxhash64("__hit").alias("id")))
+    marked = marked.withColumn("__text", digest(F.col("__doc").getField(text)))
+    dirty_free = marked.join(hits, F.col("__text") == F.col("__hit"), "left_anti")
+    return unmarked.select("__doc.*").unionByName(dirty_free.select("__doc.*"))

@@ -9,11 +9,10 @@ from their few differences to it, only where they are not yet connected.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import LOWER, chunks, text_bytes, word_ids
 from tallyframe.llm.graph import components
+from tallyframe.llm.marks import marked, marks_of, split_by_marks
 from tallyframe.session import cut_lineage
 
 WIDTH = 4
@@ -29,7 +29,6 @@ SKETCH_BITS = 21  # buckets that count shingles, as a power of 2: they order the
 SHORT_LIST = 24  # lists up to here are paired directly
 BLOCK = 4096  # sets of a list or a pivot that are compared with each other in one task
 PART_BYTES = 8_000_000
-MARK_BITS = 26  # of the bitmap that says which documents' sets are needed: 8 MB
 U64 = np.uint64
 
 
@@ -319,7 +318,8 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 def _derive(percent: int, step: int = 512):
     """Links among the sets of one pivot p, from their differences to it:
-    |x & y| = |p| - |p-x| - |p-y| + |(p-x) & (p-y)| + |(x-p) & (y-p)|. Pairs of one component are skipped."""
+    |x & y| = |p| - |p-x| - |p-y| + |(p-x) & (p-y)| + |(x-p) & (y-p)|. Pairs of one component are skipped, also of one
+    that links found here have joined: what a task returns spans its components, with fewer links than those."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, size, role, base = (
@@ -331,6 +331,8 @@ def _derive(percent: int, step: int = 512):
         rows, cols = np.flatnonzero(role), np.flatnonzero(~role)
         common_plus, common_minus = _shared(plus), _shared(minus)
         n_minus = np.array([len(m) for m in minus])
+        names, comp = np.unique(comp, return_inverse=True)
+        joined = np.arange(len(names))
         a, b = [], []
         for r in (rows[i : i + step] for i in range(0, len(rows), step)):
             for c in (cols[i : i + step] for i in range(0, len(cols), step)):
@@ -345,43 +347,17 @@ def _derive(percent: int, step: int = 512):
                         both = both + _matrix([sets[i] for i in r], f) @ _matrix([sets[i] for i in c], f).T
                 ok &= np.rint(both) >= overlap_needed(size[r][:, None], size[c], percent)
                 i, j = np.nonzero(ok)
-                a.append(ids[r][i]), b.append(ids[c][j])
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate(a) if a else none), "b": pa.array(np.concatenate(b) if b else none)})
+                ends, where = np.unique(np.stack([comp[r][i], comp[c][j]]), axis=1, return_index=True)
+                for x, y, at in zip(*ends.tolist(), where.tolist()):
+                    if joined[x] != joined[y]:
+                        joined[joined == joined[y]] = joined[x]
+                        a.append(ids[r][i[at]]), b.append(ids[c][j[at]])
+                comp = joined[comp]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15)
-    return (x >> U64(64 - MARK_BITS)).astype(np.int64)
-
-
-def _marked(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _slots(ids)
-    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A bitmap of 2 ** MARK_BITS bits with the slots of all ids set. Whatever their number, its size is fixed: with
-    very many, it lets more documents through than needed, and a join drops the others."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(1 << (MARK_BITS - 3), np.uint8)
-        for batch in batches:
-            if batch.schema.names == ["id"]:
-                at = _slots(batch.column("id").to_numpy(False))
-                np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            else:
-                for b in batch.column("marks").to_pylist():
-                    marks |= np.frombuffer(zlib.decompress(b), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(marks.tobytes(), 1)], pa.binary())], names=["marks"])
-
-    merged = ids.mapInArrow(merge, "marks binary").repartition(16).mapInArrow(merge, "marks binary")
-    merged = merged.repartition(1).mapInArrow(merge, "marks binary").first()
-    return np.frombuffer(zlib.decompress(merged[0]), np.uint8) if merged else np.zeros(1 << (MARK_BITS - 3), np.uint8)
-
-
 def link_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
@@ -489,12 +465,12 @@ def link_documents(
 
     wanted = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id"))).distinct()
     needed = nodes.select("id", "sig", "s").join(wanted, "id")
-    marks = spark.sparkContext.broadcast(_marks(wanted))  # a bitmap of fixed size
+    marks = spark.sparkContext.broadcast(marks_of(wanted))  # a bitmap of fixed size
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "__text"):
             ids = part.column("__id")
-            part = part.filter(pa.array(_marked(marks.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(False)))
+            part = part.filter(pa.array(marked(marks.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(False)))
             sets = shingle_sets(text_bytes(part.column("__text")), width)
             full = [len(s) > 0 for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -561,39 +537,35 @@ def link_documents(
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component, with all columns; of rows that repeat a key,
-    one. Rows without a key stay.
+    """The rows of ``docs`` whose key is the smallest of its component, with all columns, whatever their names; of rows
+    that repeat a key, one. Rows without a key stay.
 
     A bitmap of fixed size marks the keys that go or repeat. Rows without a mark stay where they are; only
     the marked ones, some of them by chance, are joined with the keys that stay.
     """
     linked = cut_lineage(link_documents(docs, key, text, width, percent).select(F.col(key).alias("id"), "component_id"))
     keys = linked.filter("id IS NOT NULL").groupBy("id").agg(F.min("component_id").alias("of"), F.count(F.lit(1)).alias("n"))
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(keys.filter("of <> id OR n > 1").select("id")))
-
-    @F.pandas_udf("boolean")
-    def marked(ids: pd.Series) -> pd.Series:
-        return pd.Series(_marked(marks.value, ids.to_numpy()))
-
-    k, columns = F.col(f"`{key}`"), [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("__marked", marked(F.coalesce(k.cast("bigint"), F.lit(0))) & k.isNotNull())
-    first = keys.filter("of = id").select(F.col("id").alias("__k"))
-    again = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(F.col(f"`{text}`"))))
-    met = rows.filter("__marked").join(first, k == F.col("__k")).withColumn("__again", again).filter("__again = 1")
-    return rows.filter("NOT __marked").select(*columns).unionByName(met.select(*columns))
+    id_of = F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(0))
+    marked_rows, others = split_by_marks(docs, id_of, keys.filter("of <> id OR n > 1").select("id"))
+    first = keys.filter("of = id").select(F.col("id").alias("__first"))
+    own = marked_rows.withColumn("__key", F.col("__doc").getField(key)).withColumn("__hash", F.xxhash64(F.col("__doc").getField(text)))
+    again = F.row_number().over(Window.partitionBy("__first").orderBy("__hash"))
+    met = own.join(first, F.col("__key") == F.col("__first")).withColumn("__again", again).filter("__again = 1")
+    parts = others, own.filter("__key IS NULL"), met
+    return reduce(DataFrame.unionByName, [p.select("__doc.*") for p in parts])
 
 
 def one_text_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Of each group of rows whose texts link, the row with the smallest key, with all columns; a missing key comes
-    last. Rows are told apart by key and text: rows that share a key or have none are compared like any others. Rows
+    """Of each group of rows whose texts link, the row with the smallest key, with all columns, whatever their names
+    and the text's length; a missing key comes last. Rows are told apart by key and text: rows that share a key or have none are compared like any others. Rows
     without words link with none; of those that repeat key and text one stays, and all that have no key.
 
     As in ``one_per_group`` only marked rows move; those of one text and key are merged before they do.
     """
-    spark, k, t = docs.sparkSession, F.col(f"`{key}`"), F.col(f"`{text}`")
+    k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
     row = F.xxhash64(t)
     digests = docs.select(row.alias("id"), F.md5(t.cast("binary")).alias("md5")).groupBy("id").agg(F.min("md5").alias("a"), F.max("md5").alias("b"))
-    # Different texts with equal hashes: a few among billions. They get other hashes.
+    # Different texts with equal hashes: n * n / 2 ** 65 are to be expected of n texts. They get other hashes.
     clashes = [r[0] for r in digests.filter("a <> b").select("id").collect()]
     if clashes:
         row = F.when(row.isin(clashes), F.xxhash64(F.lit("again"), t)).otherwise(row)
@@ -606,21 +578,16 @@ def one_text_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = known.groupBy("of").agg(F.min(order).alias("m")).select("m.id", "m.least")
     first = cut_lineage(first)
     gone = known.join(first.select("id"), "id", "left_anti").select("id").unionByName(known.filter("n > 1").select("id"))
-    marks = spark.sparkContext.broadcast(_marks(gone))
-
-    @F.pandas_udf("boolean")
-    def marked(ids: pd.Series) -> pd.Series:
-        return pd.Series(_marked(marks.value, ids.to_numpy()))
-
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    wordless = ~F.coalesce(t, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    rows = docs.withColumn("__row", row).withColumn("__wordless", wordless)
-    rows = rows.withColumn("__marked", marked("__row") & ~(F.col("__wordless") & k.isNull()))
-    flat = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean")]
-    met = rows.filter("__marked").groupBy("__row", k.alias("__key")).agg(
-        F.min_by(F.struct(*columns), F.xxhash64(*flat)).alias("__doc"), F.first("__wordless").alias("__wordless")
+    marked_rows, others = split_by_marks(docs, row, gone)
+    flat = [f.name for f in docs.schema if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean")]
+    field = F.col("__doc").getField
+    wordless = ~F.coalesce(field(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    own = marked_rows.withColumn("__key", field(key)).withColumn("__wordless", wordless)
+    stay = own.filter("__wordless AND __key IS NULL")
+    met = own.filter("NOT (__wordless AND __key IS NULL)").groupBy("__id", "__key").agg(
+        F.min_by("__doc", F.xxhash64(*[field(c) for c in flat])).alias("__doc"), F.first("__wordless").alias("__wordless")
     )
-    kept = first.select(F.col("id").alias("__id"), F.col("least").alias("__least"))
-    met = met.join(kept, (F.col("__row") == F.col("__id")) & F.col("__key").eqNullSafe(F.col("__least")), "left")
-    met = met.filter("__wordless OR __id IS NOT NULL").select("__doc.*")
-    return rows.filter("NOT __marked").select(*columns).unionByName(met)
+    kept = first.select(F.col("id").alias("__first"), F.col("least").alias("__least"))
+    met = met.join(kept, (F.col("__id") == F.col("__first")) & F.col("__key").eqNullSafe(F.col("__least")), "left")
+    met = met.filter("__wordless OR __first IS NOT NULL")
+    return reduce(DataFrame.unionByName, [p.select("__doc.*") for p in (others, stay, met)])

@@ -152,7 +152,8 @@ def mixed_documents(
     seed: str = SEED,
 ) -> DataFrame:
     """The rows of ``docs`` as often as ``mix`` takes them, whole: a document that the cut divides is taken if at least
-    half of it lies before. All columns stay; documents without words go.
+    half of it lies before. All columns stay, whatever their names; documents without words go. A missing source is one
+    of its own; repeated rows are taken alike; no rows in, none out.
 
     Each source's cut is a place in hash order, so rows are decided by their source's row in a small table
     and no text is shuffled for it. Rows that are equal in key and size fall on one side of a cut.
@@ -169,7 +170,8 @@ def mixed_documents(
     own = F.struct(
         hash_key(F.lit(seed), F.col(f"`{key}`")).alias("k"), F.col(f"`{key}`").alias("id"), size.alias("size")
     )
-    copies = F.when(size > 0, F.col("__epochs") + F.when(own <= F.col("__cut"), 1).otherwise(0)).otherwise(0)
-    rows = docs.join(cuts, F.col(f"`{source}`").eqNullSafe(F.col("__of"))).withColumn("__copies", copies.cast("int"))
-    rows = rows.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("__doc"), F.col(f"`{source}`").alias("__source"), own.alias("__own"))
+    copies = F.col("__epochs") + F.when(F.col("__own") <= F.col("__cut"), 1).otherwise(0)
+    rows = rows.join(cuts, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__copies", copies.cast("int"))
+    rows = rows.filter((F.col("__own.size") > 0) & (F.col("__copies") > 0))
+    return rows.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__doc.*")

@@ -120,3 +120,18 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(table, "doc_id long, text string")
     got = texts(corpus_pipeline.near_duplicates(spark, docs, SMALL))
     assert sorted(d for d, _ in got) == sorted({c for *_, c in brute.jaccard(table, 5, 80)}) == [1, 3]
+
+
+def test_columns_named_like_working_ones_stay_as_they_are(spark, tmp_path):
+    passage = "the quick brown fox jumps over the lazy dog and runs far away into the dark green forest"
+    names = "__row __marked __wordless __copies __copy __of __k __id __doc __key __hit __text __found __own __source n_words failures".split()
+    table = [(i, " ".join(f"{w}{i // 2}" for w in [*"abcdefghijklmnopqrstuvwxyz"]) + (" " + passage) * (i == 7)) for i in range(10)]
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    start = spark.createDataFrame(table, "doc_id long, text string").selectExpr("*", "'a' AS source", *[f"{100 + i} AS {n}" for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, start, str(tmp_path))
+        assert got.columns == start.columns and got.count() > 0, name
+        assert {tuple(r) for r in got.select(*names).collect()} == {tuple(range(100, 100 + len(names)))}, name
+    last = corpus_pipeline.STAGES[-1][1](spark, start, str(tmp_path))
+    kept = [n for n in names if n in last.columns]
+    assert len(kept) >= len(names) - 1 and last.count() == 10
