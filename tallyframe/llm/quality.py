@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import SPACE, chunks, text_bytes, word_ids
+from tallyframe.llm.common import CHUNK_BYTES, SPACE, chunks, text_bytes, word_ids
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -184,7 +184,7 @@ def measurements(text: Column) -> Column:
     @F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
     def of(texts: pa.Array) -> pa.Array:
         parts = [pa.RecordBatch.from_arrays([texts], names=["text"])]
-        found = [measure(text_bytes(part.column("text"))) for part in chunks(iter(parts), "text")]
+        found = [measure(text_bytes(part.column("text"))) for part in chunks(iter(parts), "text", CHUNK_BYTES // 4)]
         return pa.StructArray.from_arrays([pa.array([n for f in found for n in f[m]], pa.int64()) for m in MEASURES], MEASURES)
 
     return of(text.cast("string"))
