@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_BUCKETS = 32
+MAX_BUCKETS = 2048  # cut points of one column that pass the driver
+FINE = 256  # parts of an overfull bucket
 BUCKET_ROWS = 1_000_000
 BROADCAST_ROWS = 200_000
 
 
 def bucket_target(df: DataFrame) -> int:
-    """A bucket for every BUCKET_ROWS rows: what one task sorts does not grow with the table."""
+    """A bucket for every BUCKET_ROWS rows, so that what one task sorts does not grow with the table; from MAX_BUCKETS on
+    a sketch has that many, and :func:`refine_buckets` cuts them further."""
     return max(MIN_BUCKETS, -(-df.count() // BUCKET_ROWS))
 
 
@@ -47,6 +50,7 @@ class Sketch:
     nan: dict[str, float]
     groups: int
     buckets: int
+    is_coarse: bool = False
 
     def cuts(self, column: str) -> list[float]:
         return sorted(set(self.quantiles[column]))
@@ -60,8 +64,10 @@ class Sketch:
 def sketch(
     df: DataFrame, columns: Sequence[str], buckets: int | None = None, by: Sequence[str] = ()
 ) -> Sketch:
-    """Approximate quantiles of the columns and number of groups: one row to the driver, one scan."""
-    n = buckets or bucket_target(df)
+    """Approximate quantiles of the columns and number of groups: one row to the driver, one scan. However many
+    rows there are, a column has no more than MAX_BUCKETS quantiles, unless ``buckets`` asks for more."""
+    target = buckets or bucket_target(df)
+    n = target if buckets else min(target, MAX_BUCKETS)
     probs = [i / n for i in range(1, n)]
     # An error of a quarter bucket is enough, and keeps the sketches of many columns small.
     place = [position(df, c) for c in columns]
@@ -74,7 +80,7 @@ def sketch(
     finite = [[v for v in (q or []) if math.isfinite(v)] for q in row[:k]]
     missing = [share or 0.0 for share in row[k : 2 * k]]
     nan = [share or 0.0 for share in row[2 * k : 3 * k]]
-    return Sketch(*[dict(zip(columns, x)) for x in (finite, missing, nan)], row[-1], n)
+    return Sketch(*[dict(zip(columns, x)) for x in (finite, missing, nan)], row[-1], n, n < target)
 
 
 def range_bucket(df: DataFrame, column: str, cuts: list[float], name: str = "bucket") -> DataFrame:
@@ -92,6 +98,30 @@ def range_bucket(df: DataFrame, column: str, cuts: list[float], name: str = "buc
     return out.withColumn(name, found).drop(work, raw)
 
 
+def refine_buckets(df: DataFrame, column: str, name: str = "bucket", by: Sequence[str] = ()) -> DataFrame:
+    """Cuts buckets of far more than BUCKET_ROWS rows into FINE parts at quantiles of their own; bucket numbers change, their
+    order does not. With ``by`` the buckets of each of its values are cut on their own.
+
+    Each overfull bucket is sketched on the map side. The parts' cut points never pass the driver: they are
+    broadcast, FINE numbers per overfull bucket, of which there are MAX_BUCKETS and a few at most per value of ``by``.
+    """
+    work, cuts, part = f"__{name}_at", f"__{name}_cuts", f"__{name}_part"
+    probs = [i / FINE for i in range(1, FINE)]
+    placed = df.withColumn(work, position(df, column))
+    place = [*by, name]
+    overfull = df.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * BUCKET_ROWS).select(*place)
+    inside = placed.select(*place, work).join(F.broadcast(overfull), place)
+    found = inside.groupBy(*place).agg(F.percentile_approx(work, probs, 10 * FINE).alias(cuts)).filter(F.col(cuts).isNotNull())
+    out = placed.join(F.broadcast(found), place, "left").withColumn(part, F.lit(0))
+    step = FINE // 2
+    while step:
+        # The part with ``step`` more cut points below, if the last of these is below the value.
+        ahead = F.get(F.col(cuts), F.col(part) + (step - 1)) < F.col(work)
+        out = out.withColumn(part, F.col(part) + F.when(ahead, step).otherwise(0))
+        step //= 2
+    return out.withColumn(name, F.col(name).cast("bigint") * FINE + F.col(part)).drop(work, cuts, part)
+
+
 def with_row_number(
     df: DataFrame, order: Sequence[str], name: str = "row_number", buckets: int | None = None
 ) -> DataFrame:
@@ -124,6 +154,8 @@ def with_row_number(
         part = F.floor(F.col("finer") * share / F.lit(len(finer) + 3))
         spread = spread.withColumn("part", part).drop("finer")
         place.append("part")
+    if found.is_coarse:
+        spread = refine_buckets(spread, first)
     sizes = spread.groupBy(*place).agg(F.count(F.lit(1)).alias("rows_in"))
     before = (
         Window.partitionBy(F.lit(0)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
@@ -161,7 +193,10 @@ def running_sums(
 ) -> DataFrame:
     """For one row per distinct ``order`` value, add ``<sum>_before``: the total over all smaller values."""
     sums = list(sums)
-    spread = range_bucket(runs, order, sketch(runs, [order], buckets).cuts(order))
+    found = sketch(runs, [order], buckets)
+    spread = range_bucket(runs, order, found.cuts(order))
+    if found.is_coarse:
+        spread = refine_buckets(spread, order)
     totals = spread.groupBy("bucket").agg(*[F.sum(s).alias(f"{s}_in") for s in sums])
     before = (
         Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -219,6 +254,8 @@ def exact_quantiles(
         found = sketch(present, [value], buckets, by)
         groups = 2 * found.groups  # the group count is an estimate
         present = range_bucket(present.select(*by, value), value, found.cuts(value))
+        if found.is_coarse:
+            present = refine_buckets(present, value)
     else:
         present = present.select(*by, value, F.col(cell).alias("bucket"))
     small = groups is not None and groups * 2 * len(probs) <= BROADCAST_ROWS

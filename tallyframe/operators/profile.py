@@ -220,6 +220,8 @@ def cells_long(
             )
         ),
     )
+    if found.is_coarse:
+        long = ordered.refine_buckets(long, "valor", by=["variable"])
     return long, 2 * found.groups * len(variables)
 
 

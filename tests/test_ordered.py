@@ -137,3 +137,40 @@ def test_buckets_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(ordered, "BUCKET_ROWS", 10)
     assert ordered.bucket_target(spark.range(1000)) == 100
     assert ordered.bucket_target(spark.range(0)) == ordered.MIN_BUCKETS
+
+
+# ---- more rows than the sketch has buckets for
+
+
+@pytest.fixture
+def coarse(monkeypatch):
+    monkeypatch.setattr(ordered, "MIN_BUCKETS", 2)
+    monkeypatch.setattr(ordered, "MAX_BUCKETS", 3)
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 10)
+
+
+def test_refined_buckets_keep_the_order(spark, coarse):
+    df = spark.range(3000).select("id", ((F.col("id") * 7919) % 1009).cast("double").alias("x"))
+    found = ordered.sketch(df, ["x"])
+    assert found.is_coarse and len(found.quantiles["x"]) == 2
+    fine = ordered.refine_buckets(ordered.range_bucket(df, "x", found.cuts("x")), "x")
+    sizes = fine.groupBy("bucket").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).orderBy("bucket").collect()
+    assert len(sizes) > 300 and max(r.n for r in sizes) <= 40
+    assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:]))
+
+
+def test_ordered_work_on_refined_buckets(spark, coarse):
+    table = [(i, float(i * 7919 % 101) if i % 11 else None if i % 2 else float("nan")) for i in range(900)]
+    table += [(i, 50.0) for i in range(900, 1300)]
+    df = spark.createDataFrame(table, "id bigint, x double")
+    rank = lambda v: (2, 0) if v is None else (1, 0) if v != v else (0, v)
+    want = [i for i, _ in sorted(table, key=lambda r: (rank(r[1]), r[0]))]
+    got = ordered.with_row_number(df, ["x", "id"]).orderBy("row_number").collect()
+    assert [r.id for r in got] == want and [r.row_number for r in got] == list(range(1, len(table) + 1))
+    runs = df.filter("x IS NOT NULL AND NOT isnan(x)").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    sums = {r.x: r.n_before for r in ordered.running_sums(runs, "x", ["n"]).collect()}
+    values = [v for _, v in table if v is not None and v == v]
+    assert sums == {v: sum(w < v for w in values) for v in set(values)}
+    clean = df.filter("x IS NOT NULL AND NOT isnan(x)")
+    q = ordered.exact_quantiles(clean, [], "x", [0.0, 0.25, 0.5, 0.9, 1.0]).first()
+    assert [q[f"q{i}"] for i in range(5)] == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.9, 1]).tolist())

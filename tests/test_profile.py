@@ -119,3 +119,14 @@ def test_densities_of_the_three_views(spark):
     assert rows(got) == rows(logged)
     trimmed = profile.trim_outliers(df, "v")
     assert trimmed.columns == df.columns and trimmed.filter("v > 100").count() == 0
+
+
+def test_fences_on_refined_buckets(spark, monkeypatch):
+    from tallyframe.operators import ordered
+
+    df = spark.range(2000).select((F.col("id") * 7919 % 997).alias("a"), (F.col("id") % 13).alias("b"))
+    want = sorted(map(tuple, profile.fences(df, ["a", "b"]).collect()))
+    for name, value in (("MIN_BUCKETS", 2), ("MAX_BUCKETS", 3), ("BUCKET_ROWS", 10)):
+        monkeypatch.setattr(ordered, name, value)
+    assert ordered.sketch(df, ["a"]).is_coarse
+    assert sorted(map(tuple, profile.fences(df, ["a", "b"]).collect())) == want
