@@ -7,9 +7,10 @@ scan stage and combined there, so the cost is one scan however many variables th
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,10 @@ def column_kinds(df: DataFrame, columns: Iterable[str] | None = None) -> dict[st
     and keeps a column from being a dummy.
     """
     columns = list(columns) if columns is not None else df.columns
+    return _kinds_from(df, columns, df.agg(*_kind_aggs(df, columns)).first().asDict())
+
+
+def _kind_aggs(df: DataFrame, columns: list[str]) -> list[Column]:
     numeric = set(selectors.numeric(df)) & set(columns)
     text = set(selectors.character(df)) & set(columns)
     aggs = []
@@ -54,8 +59,13 @@ def column_kinds(df: DataFrame, columns: Iterable[str] | None = None) -> dict[st
             # The hash of a missing value is a value, so the sketch counts it as one.
             seen = F.hll_sketch_agg(F.xxhash64(c))
             aggs.append(F.coalesce(F.hll_sketch_estimate(seen), F.lit(0)).alias(f"d{i}"))
-    row = df.agg(*aggs).first()
+    return aggs
 
+
+def _kinds_from(df: DataFrame, columns: list[str], row: dict) -> dict[str, dict]:
+    """Kinds from the aggregates' values; ``df`` is read again only for columns close to the limit."""
+    numeric = set(selectors.numeric(df)) & set(columns)
+    text = set(selectors.character(df)) & set(columns)
     kinds, unsure = {}, []
     for i, c in enumerate(columns):
         distinct = row[f"d{i}"] if c in numeric else None
@@ -448,3 +458,31 @@ def class_density(
         )
         .select(*keys, "bw", F.inline(grid))
     )
+
+
+@dataclass(frozen=True)
+class Observed:
+    """A table as written, and what was seen on the way: rows, kinds and missing percentages of the columns, checks."""
+
+    table: DataFrame
+    n_rows: int
+    kinds: dict[str, dict]
+    missing: dict[str, float | None]
+    checks: dict[str, int]
+
+
+def write_observed(df: DataFrame, path: str, checks: Mapping[str, Column] | None = None) -> Observed:
+    """Writes ``df`` and profiles it in the same pass: column kinds, missing shares and counts of rows that meet a condition are
+    metrics observed on the rows being written. Only a column whose distinct count is close to the limit is read
+    again, from the written files."""
+    checks = dict(checks or {})
+    metrics = [A.row_count().alias("n"), *_kind_aggs(df, df.columns)]
+    metrics += [F.count(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(df.columns)]
+    metrics += [A.count_where(condition).alias(f"c{i}") for i, condition in enumerate(checks.values())]
+    seen = Observation()
+    df.observe(seen, *metrics).write.mode("overwrite").parquet(path)
+    got = seen.get
+    table = df.sparkSession.read.parquet(path)
+    n = got["n"]
+    missing = {c: 100 * (n - got[f"m{i}"]) / n if n else None for i, c in enumerate(df.columns)}
+    return Observed(table, n, _kinds_from(table, df.columns, got), missing, {c: got[f"c{i}"] for i, c in enumerate(checks)})

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import aggregates as A
-from tallyframe.operators import ordered, selectors
+from tallyframe.operators import ordered, sampling, selectors
 
 # Fixed values.
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -245,3 +245,57 @@ def roc_threshold_ci(
             for i, name in enumerate(("low", "median", "high"))
         ],
     )
+
+
+def poisson_intervals(
+    scored: DataFrame,
+    id_col: str,
+    label: str,
+    score_col: str,
+    thresholds: Sequence[float] = THRESHOLDS,
+    replicates: int = 100,
+    seed: int = 42,
+) -> DataFrame:
+    """(replicate, label, interval, n): class x score-interval counts of bootstrap replicates in which every row draws its
+    own Poisson count of mean 1 from a hash of id and replicate. One pass, whatever the number of rows; the counts are
+    summed on the map side, so the result is replicates x classes x intervals rows."""
+    above = sum((F.when(F.col(score_col) >= F.lit(float(t)), 1).otherwise(0) for t in thresholds), F.lit(0))
+    known = scored.filter(F.col(label).isNotNull() & F.col(score_col).isNotNull())
+    rows = known.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"), above.alias("interval"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    n = sampling.poisson_count(F.concat_ws("-", "id", "replicate"), 1.0, seed)
+    return each.groupBy("replicate", "label", "interval").agg(F.sum(n).alias("n"))
+
+
+def poisson_threshold_ci(
+    scored: DataFrame,
+    id_col: str,
+    label: str,
+    score_col: str,
+    thresholds: Sequence[float] = THRESHOLDS,
+    replicates: int = 200,
+    confidence: float = CONFIDENCE,
+    seed: int = 42,
+) -> DataFrame:
+    """As :func:`roc_threshold_ci`, from :func:`poisson_intervals`: replicate sizes vary too."""
+    counts = poisson_intervals(scored, id_col, label, score_col, thresholds, replicates, seed)
+    n = lambda c, *at: F.coalesce(F.sum(F.when((F.col("label") == c) & (F.lit(True) if not at else at[0]), F.col("n"))), F.lit(0))
+    sides = []
+    for i, t in enumerate(thresholds):
+        above = F.col("interval") > i
+        sides.append(
+            F.struct(
+                F.lit(float(t)).alias("threshold"),
+                F.try_divide(n(1, above).cast("double"), n(1)).alias("sensitivity"),
+                F.try_divide(n(0, ~above).cast("double"), n(0)).alias("specificity"),
+            )
+        )
+    per_replicate = counts.groupBy("replicate").agg(F.array(*sides).alias("sides")).select(F.inline("sides"))
+    tail = (1 - confidence) / 2
+    probs = [tail, 0.5, 1 - tail]
+    # Each group holds one value per replicate.
+    both = per_replicate.groupBy("threshold").agg(
+        F.percentile("sensitivity", probs).alias("se"), F.percentile("specificity", probs).alias("sp")
+    )
+    names = ("low", "median", "high")
+    return both.select("threshold", *[F.col(m)[i].alias(f"{m}_{x}") for m in ("se", "sp") for i, x in enumerate(names)])
