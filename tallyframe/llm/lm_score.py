@@ -1,9 +1,8 @@
-"""Cross-entropy difference scores from matched target and background bigram models."""
+"""Cross-entropy difference scores from matched target and background bigram models over all words of the corpus."""
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +14,13 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import LOWER, chunks, text_bytes, word_ids
 from tallyframe.session import cut_lineage
 
-VOCABULARY = 60_000  # words that the models tell apart; also the size of what is broadcast
 PRIOR = 50.0  # words of unigram evidence that stand behind each context
 FOLDS = 2
+GROUPS = 2 * FOLDS  # fold, and whether a document is a target
 PART_BYTES = 16_000_000
+CHUNK_DOCS = 60_000  # numbered in 16 bits
+START = np.uint64(0x9E3779B97F4A7C15)  # the context of a text's first word
+U64 = np.uint64
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -30,46 +32,62 @@ def fold_of(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) % FOLDS
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` most frequent words of all texts, ties in code point order.
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each word of all texts, where each text starts, and the hashes of the numbered words."""
+    words: list[bytes] = []
+    starts = [0]
+    for b in texts:
+        words += tokens(b)
+        starts.append(len(words))
+    ids, distinct = word_ids(words)
+    return ids, np.array(starts), np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct))
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit number per pair."""
+    x = a + b * U64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U64(32))
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination starts in sorted columns."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-    How many words there are of each count says from which count on words belong, so no more than
-    ``size`` words come to the driver, from all tasks together.
+
+def _small_rows(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    for part in chunks(batches, column):
+        for lo in range(0, part.num_rows, CHUNK_DOCS):
+            yield part.slice(lo, CHUNK_DOCS)
+
+
+def frequent_words(texts: DataFrame, parts: int) -> tuple[np.ndarray, int]:
+    """Hashes of all words that make up more than half a part's share of the corpus, and a few others; and all tokens.
+
+    A task names the words that reach a quarter of that in one of its chunks, and their counts there; a frequent word
+    keeps three quarters of its count that way at least. So there are fewer than three words for each part.
     """
+    share = 1 / (2 * parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "__text", 64_000_000):
-            counts = Counter()
-            for b in text_bytes(part.column("__text")):
-                counts.update(tokens(b))
+        for part in _small_rows(batches, "__text"):
+            ids, _, hashes = word_hashes(text_bytes(part.column("__text")))
+            n = np.bincount(ids, minlength=len(hashes))
+            some = np.flatnonzero(n >= share / 4 * len(ids))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
+                [pa.array([None, *hashes[some].view(np.int64).tolist()], pa.int64()), pa.array([len(ids), *n[some].tolist()], pa.int64())],
+                names=["word", "n"],
             )
 
-    counted = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "word binary, n bigint")
-    totals = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")))
-    # Distinct counts are few: at most the square root of twice the number of words.
-    held, least, room = 0, 1, 0
-    for n, words in totals.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.desc("n")).toLocalIterator():
-        if held + words > size:
-            least, room = n + 1, size - held
-            break
-        held += words
-    top = totals.filter(F.col("n") >= least).orderBy(F.desc("n"), "word")
-    last = totals.filter(F.col("n") == least - 1).orderBy("word").limit(room)
-    return [bytes(r[0]) for df in (top, last) for r in df.collect()]
-
-
-def _numbers(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary numbers of all words, 0 for other words, and where each text starts."""
-    words: list[bytes] = []
-    starts = [0]
-    for b in texts:
-        words += tokens(b)
-        starts.append(len(words))
-    ids, distinct = word_ids(words)
-    table = np.array([known.get(w, 0) for w in distinct] or [0], np.int64)
-    return (table[ids] if len(ids) else ids), np.array(starts)
+    counts = cut_lineage(texts.select("__text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.filter("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    found = counts.filter("word IS NOT NULL").filter(F.col("n") >= 0.75 * share * total).select("word").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(U64)), total
 
 
 def cross_entropy_difference(
@@ -78,137 +96,206 @@ def cross_entropy_difference(
     key: str = "doc_id",
     text: str = "text",
     target: str = "quality = 1",
-    size: int = VOCABULARY,
     prior: float = PRIOR,
 ) -> DataFrame:
     """Per document its mean loss per token under both models: key, n_tokens, loss_target,
     loss_background, score (their difference: the lower, the more like the target).
 
     Target: documents with a row of ``labels`` where ``target`` holds; background: all others. Both models are
-    bigram models with a unigram prior over one vocabulary, the ``size`` most frequent words of all documents
-    and one entry for the rest; unigrams are smoothed by one. Documents fall into two folds by a hash of
-    their text, and each is scored by the counts of the other fold. A text's first word is scored with
-    the rest entry as context.
+    bigram models with a unigram prior over one vocabulary, all words of all documents and one entry for others; unigrams
+    are smoothed by one. Documents fall into two folds by a hash of their text, and each is scored by the
+    counts of the other fold. A text's first word has the start of texts as its context.
 
     Missing, empty and wordless texts have no tokens, NULL losses and a NULL score. Repeated rows count and
-    are scored each. A missing key has no label. Losses are natural logarithms rounded to 9 digits.
+    are scored each. A missing key has no label. Words are told apart by 64-bit hashes. Losses are natural logarithms
+    rounded to 9 digits. Other columns are ignored.
+
+    Bigrams are dealt by their second word, which lets a part count that word too: with its last places in texts known,
+    also as a context. The bigrams of frequent words are dealt by both words; those words' counts are sent to
+    all parts, three words for each part at most. So what the models hold grows with the input, and no part with a word.
     """
-    if not 0 < size < (1 << 16) - 1:  # pairs of words are numbered in 32 bits
-        raise ValueError("size must be from 1 to 65534")
     spark = docs.sparkSession
-    words = vocabulary(docs, text, size)
-    v = len(words) + 1
-    known = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})  # ``size`` words at most
-    # Labels grow with the documents: always a shuffle, with the labels as the side held in memory.
-    chosen = labels.filter(target).select(F.col(f"`{key}`").alias("__l")).distinct().hint("shuffle_hash")
-    rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
-    rows = rows.join(chosen, F.col("__id") == F.col("__l"), "left").select(
+    # Rows without a key are spread by their text and meet no label.
+    chosen = labels.filter(target).select(F.col(f"`{key}`").alias("__l")).filter("__l IS NOT NULL").distinct()
+    chosen = chosen.withColumn("__lsalt", F.lit(0).cast("bigint")).hint("merge")  # one plan at every size
+    rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
+    volume = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    parts = max(24, volume // PART_BYTES)
+    hot, _ = frequent_words(rows, parts)
+    salted = rows.withColumn("__salt", F.when(F.col("__id").isNull(), F.xxhash64("__text")).otherwise(0))
+    rows = salted.join(chosen, (F.col("__id") == F.col("__l")) & (F.col("__salt") == F.col("__lsalt")), "left").select(
         "__id", "__text", F.col("__l").isNotNull().alias("__target")
     )
     kind = rows.schema["__id"].dataType.simpleString()
-    volume = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    parts = max(24, volume // PART_BYTES)
+    hot_words = spark.sparkContext.broadcast(hot)  # fewer than three words for each part
+
+    def hot_index(hashes: np.ndarray) -> np.ndarray:
+        """Place among the frequent words, -1 for others."""
+        known = hot_words.value
+        if not len(known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, at, -1)
 
-    # Per chunk of texts: its documents, its unigram counts, and per hash part each document's bigrams.
+    def part_of(x: np.ndarray) -> np.ndarray:
+        return ((x * U64(0x9E3779B97F4A7C15)) >> U64(20)).astype(np.int64) % parts
+
+    # Per chunk of texts: its documents and its counts of frequent words; and per part the bigrams of the part's words.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
-        names = ["chunk", "part", "ids", "sizes", "doc", "bigram", "n", "group"]
-        for batch in chunks(batches, "__text"):
+        n_hot = len(hot_words.value)
+        names = ["chunk", "part", "ids", "sizes", "groups", *BLOBS]
+        for batch in _small_rows(batches, "__text"):
             texts = text_bytes(batch.column("__text"))
-            ids, starts = _numbers(texts, table)
+            ids, starts, hashes = word_hashes(texts)
             sizes = np.diff(starts)
-            group = np.array([2 * fold_of(b) for b in texts]) + np.array(batch.column("__target").to_pylist(), np.int64)
+            fold = np.array([fold_of(b) for b in texts], np.int64)
+            group = 2 * fold + batch.column("__target").to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.repeat(np.arange(len(texts)), sizes)
-            before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
+            before = np.append(0, ids[:-1] + 1)[: len(ids)]
             before[starts[:-1][sizes > 0]] = 0
-            bigram = before * v + ids
-            order = np.lexsort((bigram, doc))
-            d, b = doc[order], bigram[order]
-            first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (b[1:] != b[:-1])])[: len(d)])
-            n = np.diff(np.append(first, len(d)))
-            d, b = d[first], b[first]
-            unigrams = np.zeros((4, v), np.int64)
-            np.add.at(unigrams, (group[doc], ids), 1)
-            contexts = np.zeros((4, v), np.int64)
-            np.add.at(contexts, (group[doc], before), 1)
-            part = ((b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+            last = ids[starts[1:][sizes > 0] - 1] if len(ids) else ids
+            last_doc = np.flatnonzero(sizes)
+
+            place = hot_index(hashes)
+            sums = np.zeros((2, GROUPS, n_hot), np.int64)
+            for k, (w, d) in enumerate(((ids, doc), (last, last_doc))):
+                own = place[w] >= 0
+                np.add.at(sums[k], (group[d][own], place[w][own]), 1)
+
+            context = np.append(START, hashes)
+            order = np.lexsort((doc, before, ids))
+            w, c, d = ids[order], before[order], doc[order]
+            at = _runs(w, c, d)
+            n = np.diff(np.append(at, len(w)))
+            w, c, d = w[at], c[at], d[at]
+            # Counts are bytes: a larger one is several entries.
+            more = -(-n // 255)
+            w, c, d = np.repeat(w, more), np.repeat(c, more), np.repeat(d, more)
+            rest = np.full(len(w), 255)
+            rest[np.cumsum(more) - 1] = n - 255 * (more - 1)
+            part = part_of(np.where(place[w] >= 0, _mix(context[c], hashes[w]), hashes[w]))
+            last_part = part_of(hashes[last])
             order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            some = [p for p in range(parts) if edges[p + 1] > edges[p]]
-            d, b, n = d[order].astype("<u4"), b[order].astype("<u4"), n[order].astype("<u4")
-            cut = lambda x: [x[edges[p] : edges[p + 1]].tobytes() for p in some]
+            w, c, d, rest, part = w[order], c[order], d[order], rest[order], part[order]
+            last_order = np.lexsort((last, last_part))
+            last, last_doc, last_part = last[last_order], last_doc[last_order], last_part[last_order]
+            edges, last_edges = (np.searchsorted(p, np.arange(parts + 1)) for p in (part, last_part))
             chunk = uuid.uuid4().hex
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk] * (len(some) + 1)),
-                    pa.array([-1, *some], pa.int32()),
-                    pa.array([batch.column("__id").to_pylist()] + [None] * len(some), pa.list_(batch.column("__id").type)),
-                    pa.array([sizes.tolist()] + [None] * len(some), pa.list_(pa.int32())),
-                    pa.array([unigrams.astype("<u4").tobytes(), *cut(d)], pa.binary()),
-                    pa.array([contexts.astype("<u4").tobytes(), *cut(b)], pa.binary()),
-                    pa.array([None, *cut(n)], pa.binary()),
-                    pa.array([group.astype("u1").tobytes()] * (len(some) + 1), pa.binary()),
-                ],
-                names=names,
-            )
+            none = [None] * len(BLOBS)
+            out = [(chunk, -1, batch.column("__id").to_pylist(), sizes.tolist(), group.astype("u1").tobytes(), sums.tobytes(), *none[1:])]
+            for p in np.flatnonzero((np.diff(edges) > 0) | (np.diff(last_edges) > 0)).tolist():
+                a, b, e, f = edges[p], edges[p + 1], last_edges[p], last_edges[p + 1]
+                pairs, words = _runs(w[a:b], c[a:b]), _runs(w[a:b])
+                ends = _runs(last[e:f])
+                blobs = (
+                    hashes[w[a:b][words]].tobytes(),
+                    np.diff(np.append(np.searchsorted(pairs, words), len(pairs))).astype("<u4").tobytes(),
+                    context[c[a:b][pairs]].tobytes(),
+                    np.diff(np.append(pairs, b - a)).astype("<u4").tobytes(),
+                    d[a:b].astype("<u2").tobytes(),
+                    rest[a:b].astype("u1").tobytes(),
+                    hashes[last[e:f][ends]].tobytes(),
+                    np.diff(np.append(ends, f - e)).astype("<u4").tobytes(),
+                    last_doc[e:f].astype("<u2").tobytes(),
+                )
+                out.append((chunk, p, None, None, out[0][4], *blobs))
+            kinds = [pa.string(), pa.int32(), pa.list_(batch.column("__id").type), pa.list_(pa.int32()), *[pa.binary()] * (1 + len(BLOBS))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), kinds)], names=names)
 
-    schema = f"chunk string, part int, ids array<{kind}>, sizes array<int>, doc binary, bigram binary, n binary, group binary"
+    schema = f"chunk string, part int, ids array<{kind}>, sizes array<int>, groups binary, " + ", ".join(f"{b} binary" for b in BLOBS)
     counted = cut_lineage(rows.mapInArrow(count, schema))
     heads = counted.filter("part < 0")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 4, v), np.int64)
+        """Tokens and texts per group, and the frequent words' counts."""
+        n_hot = len(hot_words.value)
+        total, each = np.zeros((2, GROUPS), np.int64), np.zeros((2, GROUPS, n_hot), np.int64)
         for batch in batches:
-            for i, c in enumerate(("doc", "bigram")):
-                for b in batch.column(c).to_pylist():
-                    total[i] += np.frombuffer(b, "<u4").reshape(4, v)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+            for sizes, groups, sums in zip(*(batch.column(c).to_pylist() for c in ("sizes", "groups", "words"))):
+                size, group = np.array(sizes, np.int64), np.frombuffer(groups, "u1")
+                total[0] += np.bincount(group, size, GROUPS).astype(np.int64)
+                total[1] += np.bincount(group, size > 0, GROUPS).astype(np.int64)
+                each += np.frombuffer(sums, np.int64).reshape(2, GROUPS, n_hot)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([each.tobytes()], pa.binary())], names=["total", "each"])
 
-    sums = heads.select("doc", "bigram").repartition(8).mapInArrow(add_up, "sums binary").collect()
-    totals = sum((np.frombuffer(r[0], np.int64).reshape(2, 4, v) for r in sums), np.zeros((2, 4, v), np.int64))
-    shared = spark.sparkContext.broadcast(totals)  # eight numbers per vocabulary entry
+    def distinct_words(table: pa.Table) -> pa.Table:
+        words = np.unique(np.frombuffer(b"".join(table.column("words").to_pylist()), U64))
+        return pa.table({"n": pa.array([int((hot_index(words) < 0).sum())], pa.int64())})
+
+    added = heads.select("sizes", "groups", "words").repartition(8).mapInArrow(add_up, "total binary, each binary").collect()
+    total, each = np.zeros((2, GROUPS), np.int64), np.zeros((2, GROUPS, len(hot)), np.int64)
+    for r in added:
+        total += np.frombuffer(r["total"], np.int64).reshape(total.shape)
+        each += np.frombuffer(r["each"], np.int64).reshape(each.shape)
+    tail = counted.filter("part >= 0")
+    v = 1 + len(hot) + (tail.select("part", "words").groupBy("part").applyInArrow(distinct_words, "n bigint").agg(F.sum("n")).first()[0] or 0)
+    shared = spark.sparkContext.broadcast((total, each))
 
     def losses(table: pa.Table) -> pa.Table:
-        unigrams, contexts = shared.value
-        doc, bigram, n, group = (table.column(c).to_pylist() for c in ("doc", "bigram", "n", "group"))
-        bigram = [np.frombuffer(x, "<u4") for x in bigram]
-        n = [np.frombuffer(x, "<u4").astype(np.int64) for x in n]
-        doc = [np.frombuffer(x, "<u4") for x in doc]
-        group = [np.frombuffer(g, "u1").astype(np.int64)[d] for g, d in zip(group, doc)]
-        distinct, at = np.unique(np.concatenate(bigram), return_inverse=True)
-        counts = np.zeros((4, len(distinct)), np.int64)
-        np.add.at(counts, (np.concatenate(group), at), np.concatenate(n))
-        before, word = distinct.astype(np.int64) // v, distinct.astype(np.int64) % v
-        loss = np.zeros((FOLDS, 2, len(distinct)))
-        for g in range(4):
-            uni = (unigrams[g][word] + 1) / (unigrams[g].sum() + v)
-            loss[g // 2, g % 2] = -np.log((counts[g] + prior * uni) / (contexts[g][before] + prior))
-        out, lo = [], 0
-        for d, k, g in zip(doc, n, group):
-            own, other = at[lo : lo + len(d)], 1 - g // 2
-            lo += len(d)
-            docs_here, where = np.unique(d, return_inverse=True)
-            pair = [np.bincount(where, weights=k * loss[other, m, own]) for m in (1, 0)]
-            out.append((docs_here.astype("<u4").tobytes(), pair[0].tobytes(), pair[1].tobytes()))
-        return pa.table(
-            {"chunk": table.column("chunk"), **{c: pa.array(list(x), pa.binary()) for c, x in zip(("doc", "t", "b"), zip(*out))}}
-        )
+        total, each = shared.value
+        column = {c: [b or b"" for b in table.column(c).to_pylist()] for c in ("groups", *BLOBS)}
+        read = lambda c, kind: [np.frombuffer(b, kind) for b in column[c]]
+        words, ends = read("words", U64), read("ends", U64)
+        n_words = np.cumsum([0, *map(len, words)])
+        distinct, number = np.unique(np.concatenate([*words, *ends]), return_inverse=True)
+        of_word, of_end = number[: n_words[-1]], number[n_words[-1] :]
+        pair_word = np.repeat(of_word, np.concatenate(read("n_pairs", "<u4")))
+        pair, pair_at = np.unique(_mix(np.concatenate(read("contexts", U64)), distinct[pair_word]), return_inverse=True)
+        word_of_pair = np.zeros(len(pair), np.int64)
+        word_of_pair[pair_at] = pair_word
+        per_pair = read("n_docs", "<u4")
+        n_entries = [int(x.sum()) for x in per_pair]
+        entry = np.repeat(pair_at, np.concatenate(per_pair))
+        doc, times = read("docs", "<u2"), np.concatenate(read("times", "u1")).astype(np.int64)
+        groups = read("groups", "u1")
+        group = np.concatenate([g[d] for g, d in zip(groups, doc)]).astype(np.int64)
+        end_word = np.repeat(of_end, np.concatenate(read("n_ends", "<u4")))
+        end_doc = read("end_docs", "<u2")
+        end_group = np.concatenate([g[d] for g, d in zip(groups, end_doc)]).astype(np.int64)
+
+        both = np.zeros((GROUPS, len(pair)), np.int64)
+        np.add.at(both, (group, entry), times)
+        one, final = np.zeros((GROUPS, len(distinct)), np.int64), np.zeros((GROUPS, len(distinct)), np.int64)
+        np.add.at(one, (group, word_of_pair[entry]), times)
+        np.add.at(final, (end_group, end_word), 1)
+        place = hot_index(distinct)
+        known = place >= 0
+        one[:, known], final[:, known] = each[0][:, place[known]], each[1][:, place[known]]
+        out = []
+        sums = np.zeros((2, len(entry)))
+        end_sums = np.zeros((2, len(end_word)))
+        for fold in range(FOLDS):
+            mine, mine_end = group // 2 == 1 - fold, end_group // 2 == 1 - fold
+            for m in (0, 1):
+                g = 2 * fold + m
+                uni = (one[g] + 1) / (total[0][g] + v)
+                as_second = -np.log(both[g] + prior * uni[word_of_pair])
+                as_context = np.log(one[g] - final[g] + prior)
+                sums[m][mine] = (times * (as_second[entry] + as_context[word_of_pair[entry]]))[mine]
+                end_sums[m][mine_end] = -as_context[end_word][mine_end]
+        lo, end_lo = 0, 0
+        for n, d, e in zip(n_entries, doc, end_doc):
+            every = np.concatenate([d, e])
+            docs_here, where = np.unique(every, return_inverse=True)
+            values = [np.append(sums[m][lo : lo + n], end_sums[m][end_lo : end_lo + len(e)]) for m in (1, 0)]
+            out.append((docs_here.astype("<u4").tobytes(), *[np.bincount(where, x, len(docs_here)).tobytes() for x in values]))
+            lo, end_lo = lo + n, end_lo + len(e)
+        return pa.table({"chunk": table.column("chunk"), **{c: pa.array(list(x), pa.binary()) for c, x in zip(("doc", "t", "b"), zip(*out))}})
 
-    partial = (
-        counted.filter("part >= 0")
-        .select("chunk", "part", "doc", "bigram", "n", "group")
-        .groupBy("part")
-        .applyInArrow(losses, "chunk string, doc binary, t binary, b binary")
+    partial = tail.select("chunk", "part", "groups", *BLOBS).groupBy("part").applyInArrow(losses, "chunk string, doc binary, t binary, b binary")
+    nothing = [F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("binary").alias("groups")]
+    pieces = partial.select("chunk", *nothing, "doc", "t", "b").unionByName(
+        heads.select("chunk", "ids", "sizes", "groups", *[F.lit(None).cast("binary").alias(c) for c in ("doc", "t", "b")])
     )
-    pieces = partial.select("chunk", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("array<int>").alias("sizes"), "doc", "t", "b").unionByName(
-        heads.select("chunk", "ids", "sizes", *[F.lit(None).cast("binary").alias(c) for c in ("doc", "t", "b")])
-    )
 
     def gather(table: pa.Table) -> pa.Table:
+        total = shared.value[0]
         rows = table.to_pylist()
         head = next(r for r in rows if r["ids"] is not None)
         n = np.array(head["sizes"], np.int64)
-        sums = np.zeros((2, len(n)))
+        fold = np.frombuffer(head["groups"], "u1") // 2
+        # Every text with words has one word after the start.
+        sums = np.log(total[1].reshape(FOLDS, 2) + prior)[1 - fold][:, ::-1].T.copy()
         for r in sorted((r for r in rows if r["ids"] is None), key=lambda r: r["doc"] + r["t"]):
             at = np.frombuffer(r["doc"], "<u4")
             for i, c in enumerate(("t", "b")):
@@ -235,3 +322,9 @@ def cross_entropy_difference(
         "loss_background",
         F.round(F.col("loss_target") - F.col("loss_background"), 9).alias("score"),
     )
+
+
+# What a part gets from a chunk: its words, per word its number of pairs; per pair the context and the number of documents;
+# per entry the document and how often. Then the words that end texts, per word their number, and the texts.
+# In a chunk's own row ``words`` holds the counts of frequent words.
+BLOBS = ("words", "n_pairs", "contexts", "n_docs", "docs", "times", "ends", "n_ends", "end_docs")

@@ -173,3 +173,29 @@ def token_rows(docs, tokenizer, end=2):
         out.append((doc, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         at += len(ids)
     return out
+
+
+def cross_entropy(docs, target, fold_of, prior):
+    """(doc_id, n_tokens, loss_target, loss_background, score) of documents with words, all words in the vocabulary."""
+    words = [(d, (t or "").translate(LOWER).encode().split(), fold_of((t or "").encode())) for d, t in docs]
+    v = len({w for _, own, _ in words for w in own}) + 1
+    one, pair, context, total = Counter(), Counter(), Counter(), Counter()
+    for d, own, f in words:
+        g = f, d in target
+        for a, b in zip([None, *own], own):
+            pair[g, a, b] += 1
+            context[g, a] += 1
+            one[g, b] += 1
+            total[g] += 1
+    out = []
+    for d, own, f in words:
+        loss = []
+        for m in (True, False):
+            g = 1 - f, m
+            p = [
+                (pair[g, a, b] + prior * (one[g, b] + 1) / (total[g] + v)) / (context[g, a] + prior)
+                for a, b in zip([None, *own], own)
+            ]
+            loss.append(-sum(map(math.log, p)) / len(p) if p else None)
+        out.append((d, len(own), *loss, loss[0] - loss[1] if own else None))
+    return out

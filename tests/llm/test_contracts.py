@@ -142,28 +142,19 @@ def test_op9_wrapped_and_several():
 def test_op10(spark, docs):
     got = {r[0]: r[1:] for r in rows(spark, "op10_cross_entropy_difference", "doc_id", "n_tokens", "loss_target", "loss_background", "score")}
     target = {r[0] for r in spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1").select("doc_id").collect()}
-    words = {d: lm_score.tokens(t.encode()) for d, t in docs}
-    counts = Counter(w for own in words.values() for w in own)
-    known = {w: i + 1 for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[: lm_score.VOCABULARY])}
-    v = len(known) + 1
-    fold = {d: lm_score.fold_of(t.encode()) for d, t in docs}
-    uni, big, context, total = Counter(), Counter(), Counter(), Counter()
-    ids = {d: [0] + [known.get(w, 0) for w in own] for d, own in words.items()}
-    for d, own in ids.items():
-        g = fold[d], d in target
-        for a, b in zip(own, own[1:]):
-            big[g, a, b] += 1
-            context[g, a] += 1
-            uni[g, b] += 1
-            total[g] += 1
-    for d, own in ids.items():
-        loss = []
-        for m in (True, False):
-            g = 1 - fold[d], m
-            p = [
-                (big[g, a, b] + lm_score.PRIOR * (uni[g, b] + 1) / (total[g] + v)) / (context[g, a] + lm_score.PRIOR)
-                for a, b in zip(own, own[1:])
-            ]
-            loss.append(-sum(map(math.log, p)) / len(p))
-        assert got[d][0] == len(own) - 1
-        assert got[d][1:] == pytest.approx((*loss, loss[0] - loss[1]), abs=1e-7)
+    for doc, n, *losses in brute.cross_entropy(docs, target, lm_score.fold_of, lm_score.PRIOR):
+        assert got[doc][0] == n and got[doc][1:] == pytest.approx(losses, abs=1e-7)
+
+
+def test_op10_every_word_counts(spark):
+    """More words than 16 bits number, counts that do not fit a byte, frequent words, rows without key or label."""
+    table = [(i, " ".join(f"w{(i * 7919 + j * j) % 90_000}" + " the" * (j % 3 == 0) for j in range(1500))) for i in range(90)]
+    table += [(1000, "ha " * 1000 + "ho"), (1001, "ha " * 700 + "the"), (1002, "the"), (None, "ha the"), (None, "ha the w1")]
+    target = {i for i in range(0, 90, 3)} | {1000, 1002}
+    labels = spark.createDataFrame([(i, int(i in target)) for i, _ in table if i is not None], "doc_id bigint, quality int")
+    scored = lm_score.cross_entropy_difference(spark.createDataFrame(table, "doc_id bigint, text string").repartition(5), labels)
+    got = sorted((tuple(r) for r in scored.collect()), key=str)
+    want = sorted(brute.cross_entropy(table, target, lm_score.fold_of, lm_score.PRIOR), key=str)
+    assert len({w for _, t in table for w in t.split()}) > 65_536
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-7)
