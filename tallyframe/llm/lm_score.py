@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import LOWER, chunks, text_bytes, word_ids
+from tallyframe.llm.marks import split_by_marks
 from tallyframe.session import cut_lineage
 
 PRIOR = 50.0  # words of unigram evidence that stand behind each context
@@ -19,6 +20,8 @@ FOLDS = 2
 GROUPS = 2 * FOLDS  # fold, and whether a document is a target
 PART_BYTES = 16_000_000
 CHUNK_DOCS = 60_000  # numbered in 16 bits
+NUMBERED = 48_000  # words that make up a larger share of the corpus than 1 / NUMBERED have a number of 16 bits
+FIRST, OTHER = 65_534, 65_535  # numbers of the start of texts and of words without a number
 START = np.uint64(0x9E3779B97F4A7C15)  # the context of a text's first word
 U64 = np.uint64
 
@@ -66,19 +69,21 @@ def _small_rows(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.R
             yield part.slice(lo, CHUNK_DOCS)
 
 
-def frequent_words(texts: DataFrame, parts: int) -> tuple[np.ndarray, int]:
-    """Hashes of all words that make up more than half a part's share of the corpus, and a few others; and all tokens.
+def frequent_words(texts: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent words, sorted: those that make up half a part's share of the corpus, and all that make up
+    1 / NUMBERED of it, with some a little below either.
 
     A task names the words that reach a quarter of that in one of its chunks, and their counts there; a frequent word
-    keeps three quarters of its count that way at least. So there are fewer than three words for each part.
+    keeps three quarters of its count that way at least. So there are fewer than three words for each part among the former,
+    and 4 / 3 * NUMBERED at most among the latter.
     """
-    share = 1 / (2 * parts)
+    wanted = min(1 / (2 * parts), 1 / NUMBERED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _small_rows(batches, "__text"):
             ids, _, hashes = word_hashes(text_bytes(part.column("__text")))
             n = np.bincount(ids, minlength=len(hashes))
-            some = np.flatnonzero(n >= share / 4 * len(ids))
+            some = np.flatnonzero(n >= wanted / 4 * len(ids))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None, *hashes[some].view(np.int64).tolist()], pa.int64()), pa.array([len(ids), *n[some].tolist()], pa.int64())],
                 names=["word", "n"],
@@ -86,8 +91,12 @@ def frequent_words(texts: DataFrame, parts: int) -> tuple[np.ndarray, int]:
 
     counts = cut_lineage(texts.select("__text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.filter("word IS NULL").agg(F.sum("n")).first()[0] or 0
-    found = counts.filter("word IS NOT NULL").filter(F.col("n") >= 0.75 * share * total).select("word").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(U64)), total
+
+    def reach(share: float) -> np.ndarray:
+        found = counts.filter("word IS NOT NULL").filter(F.col("n") >= 0.75 * share * total).select("word").collect()
+        return np.sort(np.array([r[0] for r in found], np.int64).view(U64))
+
+    return reach(1 / (2 * parts)), reach(1 / NUMBERED)
 
 
 def cross_entropy_difference(
@@ -115,19 +124,21 @@ def cross_entropy_difference(
     all parts, three words for each part at most. So what the models hold grows with the input, and no part with a word.
     """
     spark = docs.sparkSession
-    # Rows without a key are spread by their text and meet no label.
-    chosen = labels.filter(target).select(F.col(f"`{key}`").alias("__l")).filter("__l IS NOT NULL").distinct()
-    chosen = chosen.withColumn("__lsalt", F.lit(0).cast("bigint")).hint("merge")  # one plan at every size
+    chosen = cut_lineage(labels.filter(target).select(F.col(f"`{key}`").alias("__l")).filter("__l IS NOT NULL").distinct())
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
     volume = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     parts = max(24, volume // PART_BYTES)
-    hot, _ = frequent_words(rows, parts)
-    salted = rows.withColumn("__salt", F.when(F.col("__id").isNull(), F.xxhash64("__text")).otherwise(0))
-    rows = salted.join(chosen, (F.col("__id") == F.col("__l")) & (F.col("__salt") == F.col("__lsalt")), "left").select(
-        "__id", "__text", F.col("__l").isNotNull().alias("__target")
-    )
+    hot, numbered = frequent_words(rows, parts)
+    # Only rows whose key is marked as a target's move to meet the labels; any without a key are spread by their text.
+    marked, others = split_by_marks(rows, F.xxhash64("__id"), chosen.select(F.xxhash64("__l").alias("id")))
+    others = others.select("__doc.*", F.lit(False).alias("__target"))
+    marked = marked.select("__doc.*").withColumn("__salt", F.when(F.col("__id").isNull(), F.xxhash64("__text")).otherwise(0))
+    chosen = chosen.withColumn("__lsalt", F.lit(0).cast("bigint")).hint("merge")  # one plan at every size
+    met = marked.join(chosen, (F.col("__id") == F.col("__l")) & (F.col("__salt") == F.col("__lsalt")), "left")
+    rows = others.unionByName(met.select("__id", "__text", F.col("__l").isNotNull().alias("__target")))
     kind = rows.schema["__id"].dataType.simpleString()
     hot_words = spark.sparkContext.broadcast(hot)  # fewer than three words for each part
+    number_words = spark.sparkContext.broadcast(numbered)  # 64,000 at most
 
     def hot_index(hashes: np.ndarray) -> np.ndarray:
         """Place among the frequent words, -1 for others."""
@@ -137,6 +148,22 @@ def cross_entropy_difference(
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         return np.where(known[at] == hashes, at, -1)
 
+    def code(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts as numbers of 16 bits, and the hashes of those without a number."""
+        known = number_words.value
+        at = np.minimum(np.searchsorted(known, contexts), max(len(known) - 1, 0))
+        has = known[at] == contexts if len(known) else np.zeros(len(contexts), bool)
+        number = np.where(contexts == START, FIRST, np.where(has, at, OTHER))
+        return number.astype("<u2"), contexts[number == OTHER]
+
+    def decode(numbers: np.ndarray, others: np.ndarray) -> np.ndarray:
+        known = number_words.value
+        out = np.full(len(numbers), START)
+        has = numbers < FIRST
+        out[has] = known[numbers[has]]
+        out[numbers == OTHER] = others
+        return out
+
     def part_of(x: np.ndarray) -> np.ndarray:
         return ((x * U64(0x9E3779B97F4A7C15)) >> U64(20)).astype(np.int64) % parts
 
@@ -187,10 +214,12 @@ def cross_entropy_difference(
                 a, b, e, f = edges[p], edges[p + 1], last_edges[p], last_edges[p + 1]
                 pairs, words = _runs(w[a:b], c[a:b]), _runs(w[a:b])
                 ends = _runs(last[e:f])
+                numbers, others = code(context[c[a:b][pairs]])
                 blobs = (
                     hashes[w[a:b][words]].tobytes(),
                     np.diff(np.append(np.searchsorted(pairs, words), len(pairs))).astype("<u4").tobytes(),
-                    context[c[a:b][pairs]].tobytes(),
+                    numbers.tobytes(),
+                    others.tobytes(),
                     np.diff(np.append(pairs, b - a)).astype("<u4").tobytes(),
                     d[a:b].astype("<u2").tobytes(),
                     rest[a:b].astype("u1").tobytes(),
@@ -240,7 +269,7 @@ def cross_entropy_difference(
         distinct, number = np.unique(np.concatenate([*words, *ends]), return_inverse=True)
         of_word, of_end = number[: n_words[-1]], number[n_words[-1] :]
         pair_word = np.repeat(of_word, np.concatenate(read("n_pairs", "<u4")))
-        pair, pair_at = np.unique(_mix(np.concatenate(read("contexts", U64)), distinct[pair_word]), return_inverse=True)
+        pair, pair_at = np.unique(_mix(decode(np.concatenate(read("contexts", "<u2")), np.concatenate(read("others", U64))), distinct[pair_word]), return_inverse=True)
         word_of_pair = np.zeros(len(pair), np.int64)
         word_of_pair[pair_at] = pair_word
         per_pair = read("n_docs", "<u4")
@@ -327,4 +356,4 @@ def cross_entropy_difference(
 # What a part gets from a chunk: its words, per word its number of pairs; per pair the context and the number of documents;
 # per entry the document and how often. Then the words that end texts, per word their number, and the texts.
 # In a chunk's own row ``words`` holds the counts of frequent words.
-BLOBS = ("words", "n_pairs", "contexts", "n_docs", "docs", "times", "ends", "n_ends", "end_docs")
+BLOBS = ("words", "n_pairs", "contexts", "others", "n_docs", "docs", "times", "ends", "n_ends", "end_docs")
