@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import LOWER, chunks, text_bytes, word_ids
-from tallyframe.llm.marks import split_by_marks
+from tallyframe.llm.marks import marked, marks_of
 from tallyframe.session import cut_lineage
 
 PRIOR = 50.0  # words of unigram evidence that stand behind each context
@@ -24,6 +25,43 @@ NUMBERED = 48_000  # words that make up a larger share of the corpus than 1 / NU
 FIRST, OTHER = 65_534, 65_535  # numbers of the start of texts and of words without a number
 START = np.uint64(0x9E3779B97F4A7C15)  # the context of a text's first word
 U64 = np.uint64
+SIX = U64((1 << 48) - 1)
+
+# What a part gets from a chunk, beside its words' hashes: per word the number of pairs; per pair the context's number, the
+# hash of a context without one (48 bits, among the contexts of one word) and how many documents; per entry the document and
+# how often. Then the words that end texts, per word their number, and the texts.
+BLOBS = ("n_pairs", "contexts", "others", "n_docs", "docs", "times", "ends", "n_ends", "end_docs")
+
+
+def _pack(blobs: tuple[bytes, ...]) -> bytes:
+    sizes = np.array([len(b) for b in blobs], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(blobs))
+
+
+def _unpack(data: bytes) -> list[bytes]:
+    plain = zstandard.ZstdDecompressor().decompress(data)
+    n = 4 * len(BLOBS)
+    ends = n + np.cumsum(np.frombuffer(plain[:n], "<u4").astype(np.int64))
+    return [plain[a:b] for a, b in zip([n, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 16 bits, all low bytes first: they pack better."""
+    return x.astype("<u2").view("u1").reshape(-1, 2).T.tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(2, -1).T).view("<u2").reshape(-1)
+
+
+def _six(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes()
+
+
+def _eight(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), "u1")
+    out[:, :6] = np.frombuffer(data, "u1").reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -130,12 +168,22 @@ def cross_entropy_difference(
     parts = max(24, volume // PART_BYTES)
     hot, numbered = frequent_words(rows, parts)
     # Only rows whose key is marked as a target's move to meet the labels; any without a key are spread by their text.
-    marked, others = split_by_marks(rows, F.xxhash64("__id"), chosen.select(F.xxhash64("__l").alias("id")))
-    others = others.select("__doc.*", F.lit(False).alias("__target"))
-    marked = marked.select("__doc.*").withColumn("__salt", F.when(F.col("__id").isNull(), F.xxhash64("__text")).otherwise(0))
+    marks = spark.sparkContext.broadcast(marks_of(chosen.select(F.xxhash64("__l").alias("id"))))  # a bitmap of fixed size
+
+    def by_mark(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                is_marked = marked(marks.value, batch.column("__mark").to_numpy())
+                yield batch.filter(pa.array(is_marked == wanted)).select(["__id", "__text"])
+
+        return run
+
+    hashed = rows.withColumn("__mark", F.xxhash64("__id"))
+    near = hashed.mapInArrow(by_mark(True), rows.schema)
+    near = near.withColumn("__salt", F.when(F.col("__id").isNull(), F.xxhash64("__text")).otherwise(0))
     chosen = chosen.withColumn("__lsalt", F.lit(0).cast("bigint")).hint("merge")  # one plan at every size
-    met = marked.join(chosen, (F.col("__id") == F.col("__l")) & (F.col("__salt") == F.col("__lsalt")), "left")
-    rows = others.unionByName(met.select("__id", "__text", F.col("__l").isNotNull().alias("__target")))
+    met = near.join(chosen, (F.col("__id") == F.col("__l")) & (F.col("__salt") == F.col("__lsalt")), "left")
+    met = met.select("__id", "__text", F.col("__l").isNotNull().alias("__target"))
     kind = rows.schema["__id"].dataType.simpleString()
     hot_words = spark.sparkContext.broadcast(hot)  # fewer than three words for each part
     number_words = spark.sparkContext.broadcast(numbered)  # 64,000 at most
@@ -160,7 +208,7 @@ def cross_entropy_difference(
         known = number_words.value
         out = np.full(len(numbers), START)
         has = numbers < FIRST
-        out[has] = known[numbers[has]]
+        out[has] = known[numbers[has]] & SIX
         out[numbers == OTHER] = others
         return out
 
@@ -170,15 +218,18 @@ def cross_entropy_difference(
     # Per chunk of texts: its documents and its counts of frequent words; and per part the bigrams of the part's words.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_hot = len(hot_words.value)
-        names = ["chunk", "part", "ids", "sizes", "groups", *BLOBS]
+        names = ["chunk", "part", "ids", "sizes", "groups", "words", "data"]
         for batch in _small_rows(batches, "__text"):
             texts = text_bytes(batch.column("__text"))
             ids, starts, hashes = word_hashes(texts)
             sizes = np.diff(starts)
             fold = np.array([fold_of(b) for b in texts], np.int64)
-            group = 2 * fold + batch.column("__target").to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            before = np.append(0, ids[:-1] + 1)[: len(ids)]
+            group = 2 * fold
+            if "__target" in batch.schema.names:
+                group += batch.column("__target").to_numpy(zero_copy_only=False)
+            ids = ids.astype(np.int32)
+            doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+            before = np.append(np.int32(0), ids[:-1] + 1)[: len(ids)]
             before[starts[:-1][sizes > 0]] = 0
             last = ids[starts[1:][sizes > 0] - 1] if len(ids) else ids
             last_doc = np.flatnonzero(sizes)
@@ -208,31 +259,31 @@ def cross_entropy_difference(
             last, last_doc, last_part = last[last_order], last_doc[last_order], last_part[last_order]
             edges, last_edges = (np.searchsorted(p, np.arange(parts + 1)) for p in (part, last_part))
             chunk = uuid.uuid4().hex
-            none = [None] * len(BLOBS)
-            out = [(chunk, -1, batch.column("__id").to_pylist(), sizes.tolist(), group.astype("u1").tobytes(), sums.tobytes(), *none[1:])]
+            out = [(chunk, -1, batch.column("__id").to_pylist(), sizes.tolist(), group.astype("u1").tobytes(), sums.tobytes(), None)]
             for p in np.flatnonzero((np.diff(edges) > 0) | (np.diff(last_edges) > 0)).tolist():
                 a, b, e, f = edges[p], edges[p + 1], last_edges[p], last_edges[p + 1]
                 pairs, words = _runs(w[a:b], c[a:b]), _runs(w[a:b])
                 ends = _runs(last[e:f])
                 numbers, others = code(context[c[a:b][pairs]])
                 blobs = (
-                    hashes[w[a:b][words]].tobytes(),
                     np.diff(np.append(np.searchsorted(pairs, words), len(pairs))).astype("<u4").tobytes(),
-                    numbers.tobytes(),
-                    others.tobytes(),
+                    _planes(numbers),
+                    _six(others),
                     np.diff(np.append(pairs, b - a)).astype("<u4").tobytes(),
-                    d[a:b].astype("<u2").tobytes(),
+                    _planes(np.diff(d[a:b], prepend=0)),  # words come in the order of their first documents: small steps
                     rest[a:b].astype("u1").tobytes(),
                     hashes[last[e:f][ends]].tobytes(),
                     np.diff(np.append(ends, f - e)).astype("<u4").tobytes(),
                     last_doc[e:f].astype("<u2").tobytes(),
                 )
-                out.append((chunk, p, None, None, out[0][4], *blobs))
-            kinds = [pa.string(), pa.int32(), pa.list_(batch.column("__id").type), pa.list_(pa.int32()), *[pa.binary()] * (1 + len(BLOBS))]
+                out.append((chunk, p, None, None, out[0][4], hashes[w[a:b][words]].tobytes(), _pack(blobs)))
+            kinds = [pa.string(), pa.int32(), pa.list_(batch.column("__id").type), pa.list_(pa.int32()), *[pa.binary()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), kinds)], names=names)
 
-    schema = f"chunk string, part int, ids array<{kind}>, sizes array<int>, groups binary, " + ", ".join(f"{b} binary" for b in BLOBS)
-    counted = cut_lineage(rows.mapInArrow(count, schema))
+    schema = f"chunk string, part int, ids array<{kind}>, sizes array<int>, groups binary, words binary, data binary"
+    unmarked = by_mark(False)
+    plain = hashed.mapInArrow(lambda batches: count(unmarked(batches)), schema)
+    counted = cut_lineage(plain.unionByName(met.mapInArrow(count, schema)))
     heads = counted.filter("part < 0")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,20 +313,21 @@ def cross_entropy_difference(
 
     def losses(table: pa.Table) -> pa.Table:
         total, each = shared.value
-        column = {c: [b or b"" for b in table.column(c).to_pylist()] for c in ("groups", *BLOBS)}
+        column = dict(zip(BLOBS, zip(*map(_unpack, table.column("data").to_pylist()))))
+        column |= {c: table.column(c).to_pylist() for c in ("groups", "words")}
         read = lambda c, kind: [np.frombuffer(b, kind) for b in column[c]]
         words, ends = read("words", U64), read("ends", U64)
         n_words = np.cumsum([0, *map(len, words)])
         distinct, number = np.unique(np.concatenate([*words, *ends]), return_inverse=True)
         of_word, of_end = number[: n_words[-1]], number[n_words[-1] :]
         pair_word = np.repeat(of_word, np.concatenate(read("n_pairs", "<u4")))
-        pair, pair_at = np.unique(_mix(decode(np.concatenate(read("contexts", "<u2")), np.concatenate(read("others", U64))), distinct[pair_word]), return_inverse=True)
+        pair, pair_at = np.unique(_mix(decode(np.concatenate([_unplanes(b) for b in column["contexts"]]), _eight(b"".join(column["others"]))), distinct[pair_word]), return_inverse=True)
         word_of_pair = np.zeros(len(pair), np.int64)
         word_of_pair[pair_at] = pair_word
         per_pair = read("n_docs", "<u4")
         n_entries = [int(x.sum()) for x in per_pair]
         entry = np.repeat(pair_at, np.concatenate(per_pair))
-        doc, times = read("docs", "<u2"), np.concatenate(read("times", "u1")).astype(np.int64)
+        doc, times = [np.cumsum(_unplanes(b), dtype=np.uint16) for b in column["docs"]], np.concatenate(read("times", "u1")).astype(np.int64)
         groups = read("groups", "u1")
         group = np.concatenate([g[d] for g, d in zip(groups, doc)]).astype(np.int64)
         end_word = np.repeat(of_end, np.concatenate(read("n_ends", "<u4")))
@@ -311,7 +363,7 @@ def cross_entropy_difference(
             lo, end_lo = lo + n, end_lo + len(e)
         return pa.table({"chunk": table.column("chunk"), **{c: pa.array(list(x), pa.binary()) for c, x in zip(("doc", "t", "b"), zip(*out))}})
 
-    partial = tail.select("chunk", "part", "groups", *BLOBS).groupBy("part").applyInArrow(losses, "chunk string, doc binary, t binary, b binary")
+    partial = tail.select("chunk", "part", "groups", "words", "data").groupBy("part").applyInArrow(losses, "chunk string, doc binary, t binary, b binary")
     nothing = [F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("binary").alias("groups")]
     pieces = partial.select("chunk", *nothing, "doc", "t", "b").unionByName(
         heads.select("chunk", "ids", "sizes", "groups", *[F.lit(None).cast("binary").alias(c) for c in ("doc", "t", "b")])
@@ -353,7 +405,3 @@ def cross_entropy_difference(
     )
 
 
-# What a part gets from a chunk: its words, per word its number of pairs; per pair the context and the number of documents;
-# per entry the document and how often. Then the words that end texts, per word their number, and the texts.
-# In a chunk's own row ``words`` holds the counts of frequent words.
-BLOBS = ("words", "n_pairs", "contexts", "others", "n_docs", "docs", "times", "ends", "n_ends", "end_docs")
