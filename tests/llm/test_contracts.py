@@ -125,6 +125,47 @@ def test_op9_changed_wording():
     assert licenses.scan_text(licenses.Templates(), b"a driving licence is not a wording of any kind here") == []
 
 
+def test_op9_names_the_right_version():
+    known = licenses.Templates()
+    named = lambda text: [f["license"] for f in licenses.scan_text(known, text.encode())]
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for kind, number, want in (
+        ("General", "2", ["GPL-2.0"]), ("General", "3", ["GPL-3.0"]), ("Affero General", "3", ["AGPL-3.0"]),
+        ("Lesser General", "2.1", ["LGPL-2.1"]), ("Lesser General", "3", ["LGPL-3.0"]), ("General", "4", []), ("Affero General", "2", []),
+    ):
+        assert named("int x;\n" + gnu.format(kind, number) + "\nint y;") == want, (kind, number)
+    for text, want in {
+        "GNU General Public License, version 2.": ["GPL-2.0"],
+        "under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"],
+        "under the GNU Library General Public License, version 2.": ["LGPL-2.0"],
+        "// SPDX-License-Identifier: MIT\n": ["MIT"],
+        "# SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0"],
+        "SPDX-License-Identifier: CC-BY-ND-4.0": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "Licensed under CC BY-NC-ND 4.0.": [],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted,"
+        " provided that the above copyright notice and this permission notice appear in all copies.": ["ISC"],
+    }.items():
+        assert named(text) == want, text
+
+
+def test_op9_exact_notices_against_a_plain_search(spark):
+    """Word for word, every template in every document: what the scan calls exact, without stretches inside longer ones."""
+    known = licenses.Templates()
+    want = {}
+    for doc, text in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
+        words, places = licenses.words_of((text or "").encode()), set()
+        for name, own in zip(known.names, known.words):
+            places |= {(i, i + len(own), name) for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own}
+        inside = {p for p in places for q in places if p != q and q[0] <= p[0] and p[1] <= q[1] and p[1] - p[0] < q[1] - q[0]}
+        want[doc] = (len(places - inside), sorted({n for *_, n in places - inside}))
+    found = queries.QUERIES["op9_license_scan"](spark, "/root/testdata/sf0.01").select("doc_id", "n_exact", "licenses").collect()
+    for doc, n_exact, names in found:
+        assert n_exact == want[doc][0] and set(want[doc][1]) <= set(names.split(",")), doc
+    assert sum(n for n, _ in want.values()) > 20
+
+
 def test_op9_wrapped_and_several():
     known = licenses.Templates()
     named = lambda text: [(f["license"], f["missing"], f["added"]) for f in licenses.scan_text(known, text.encode())]
