@@ -26,6 +26,7 @@ WIDTH = 50
 ANCHOR = 20  # bytes of a hashed substring
 CHUNK_BYTES = 4_000_000
 REQUEST_BYTES = 8_000_000  # of hashes that one task compares
+BUCKET_BYTES = 32_000_000  # of text in one bucket of chunks
 SHARE_BYTES = 2_000_000  # of text whose pieces go to one index
 LAST = np.iinfo(np.int64).max
 U64 = np.uint64
@@ -72,15 +73,35 @@ def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[:n], h[w - span : w - span + n])
 
 
+def _requests(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (part, upper half of the hash) in order, as two arrays, and each piece's place among them."""
+    part = (hashes & U64(0xFFFFFFFF)) % U64(parts)
+    both, place = np.unique((part << U64(32)) | (hashes >> U64(32)), return_inverse=True)
+    return (both >> U64(32)).astype(np.int64), (both & U64(0xFFFFFFFF)).astype("<u4"), place
+
+
 class Pieces:
     """The pieces of some documents: first and last-but-one string start, hash, and document."""
 
-    def __init__(self, texts: list[bytes], width: int, k: int):
-        self.data = b"".join(texts)
-        raw = np.frombuffer(self.data, np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    def __init__(self, data: bytes, lengths: list[int], width: int, k: int, packed: dict | None = None):
+        """``packed``: what :meth:`pack` gave for these documents, so that nothing is hashed again."""
+        self.data = data
+        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        if packed:
+            self.first = np.cumsum(np.frombuffer(packed["steps"], "<u4").astype(np.int64))
+            self.stop = self.first + np.frombuffer(packed["strings"], "<u4")
+            self.hash = np.frombuffer(packed["hashes"], "<u8")
+        else:
+            self._find(np.frombuffer(data, np.uint8), width, k)
+        self.doc = np.searchsorted(self.starts, self.first, side="right") - 1
+
+    def pack(self) -> tuple[bytes, bytes, bytes]:
+        steps = np.diff(self.first, prepend=0)
+        return steps.astype("<u4").tobytes(), (self.stop - self.first).astype("<u4").tobytes(), self.hash.astype("<u8").tobytes()
+
+    def _find(self, raw: np.ndarray, width: int, k: int) -> None:
         none = np.zeros(0, np.int64)
-        self.first, self.stop, self.doc, self.hash = none, none, none, np.zeros(0, U64)
+        self.first, self.stop, self.hash = none, none, np.zeros(0, U64)
         if len(raw) < width:
             return
         least = _sliding_min(anchor_hashes(raw, k), width - k + 1)
@@ -95,13 +116,9 @@ class Pieces:
         own = whole[at]
         self.first, self.stop = at[own], stop[own]
         self.hash = least[self.first]
-        self.doc = np.searchsorted(self.starts, self.first, side="right") - 1
 
     def requests(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (part, upper half of the hash) in order, as two arrays, and each piece's place among them."""
-        part = (self.hash & U64(0xFFFFFFFF)) % U64(parts)
-        both, place = np.unique((part << U64(32)) | (self.hash >> U64(32)), return_inverse=True)
-        return (both >> U64(32)).astype(np.int64), (both & U64(0xFFFFFFFF)).astype("<u4"), place
+        return _requests(self.hash, parts)
 
     def in_two(self, owner: np.ndarray) -> np.ndarray:
         """Pieces whose hash stands in documents of two keys here."""
@@ -134,11 +151,6 @@ def _owners(ids: list) -> np.ndarray:
     return np.array([LAST if i is None else i for i in ids], np.int64)
 
 
-def _texts(row) -> list[bytes]:
-    ends = np.cumsum(row["lengths"]).tolist()
-    return [row["data"][a:b] for a, b in zip([0, *ends], ends)]
-
-
 def _chosen(pieces: Pieces, owner: np.ndarray, masks, parts: int) -> np.ndarray:
     """Pieces whose hash also stands in a document of another key, here or in another chunk."""
     part, _, place = pieces.requests(parts)
@@ -236,21 +248,27 @@ def find_repeats(
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__text", CHUNK_BYTES):
             texts = text_bytes(batch.column("__text"))
+            data, lengths = b"".join(texts), [len(t) for t in texts]
+            packed = Pieces(data, lengths, width, anchor).pack()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([uuid.uuid4().int >> 65], pa.int64()),
                     pa.array([batch.column("__id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([[len(t) for t in texts]], pa.list_(pa.int32())),
-                    pa.array([b"".join(texts)], pa.binary()),
+                    pa.array([lengths], pa.list_(pa.int32())),
+                    *[pa.array([b], pa.binary()) for b in (data, *packed)],
                 ],
-                names=["chunk", "ids", "lengths", "data"],
+                names=["chunk", "ids", "lengths", "data", "steps", "strings", "hashes"],
             )
 
-    # Chunks are stored in buckets: answers then come to them, and the texts are never shuffled.
+    # Chunks are stored with their pieces, in buckets: answers then come to them, the texts are never shuffled, and their
+    # strings are hashed once. Buckets follow the volume, whatever the session's settings.
     name = f"chunks_{uuid.uuid4().hex}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    buckets = max(24, int(volume // BUCKET_BYTES))
     (
-        rows.mapInArrow(store, "chunk bigint, ids array<bigint>, lengths array<int>, data binary")
+        rows.mapInArrow(
+            store,
+            "chunk bigint, ids array<bigint>, lengths array<int>, data binary, steps binary, strings binary, hashes binary",
+        )
         .write.option("compression", "zstd")
         .option("path", f"{ensure_checkpoint_dir(spark)}/{name}")
         .bucketBy(buckets, "chunk")
@@ -262,7 +280,7 @@ def find_repeats(
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                part, hashes, _ = Pieces(_texts(row), width, anchor).requests(parts)
+                part, hashes, _ = _requests(np.frombuffer(row["hashes"], "<u8"), parts)
                 heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
                 stops = np.append(heads[1:], len(part))
                 yield pa.RecordBatch.from_arrays(
@@ -274,7 +292,7 @@ def find_repeats(
                     names=["chunk", "part", "hashes"],
                 )
 
-    asked = stored.mapInArrow(ask, "chunk bigint, part int, hashes binary")
+    asked = stored.select("chunk", "hashes").mapInArrow(ask, "chunk bigint, part int, hashes binary")
     marked = cut_lineage(asked.groupBy("part").applyInArrow(_common, "chunk bigint, part int, mask binary"))
     masks = marked.groupBy("chunk").agg(F.collect_list(F.struct("part", "mask")).alias("masks"))
     shares = max(24, int(volume // SHARE_BYTES))
@@ -283,7 +301,7 @@ def find_repeats(
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
-                pieces, owner = Pieces(_texts(row), width, anchor), _owners(row["ids"])
+                pieces, owner = Pieces(row["data"], row["lengths"], width, anchor, row), _owners(row["ids"])
                 _, _, texts, hashes, least = pieces.distinct(_chosen(pieces, owner, row["masks"], parts), owner, width)
                 share = ((hashes >> U64(17)) % U64(shares)).astype(np.int64)
                 order = np.argsort(share, kind="stable")
@@ -316,7 +334,7 @@ def find_repeats(
         span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
             for row in batch.to_pylist():
-                pieces, owner = Pieces(_texts(row), width, anchor), _owners(row["ids"])
+                pieces, owner = Pieces(row["data"], row["lengths"], width, anchor, row), _owners(row["ids"])
                 at, number, texts, hashes, least = pieces.distinct(
                     _chosen(pieces, owner, row["masks"], parts), owner, width
                 )

@@ -45,7 +45,10 @@ def test_run_index_has_few_runs_in_repetitive_text():
 @given(st.lists(st.binary(max_size=60), max_size=6), st.integers(7, 12), st.integers(0, 10))
 def test_pieces_hold_every_string_once(texts, anchor, more):
     width = anchor + more
-    pieces = repeats.Pieces(texts, width, anchor)
+    data, lengths = b"".join(texts), [len(t) for t in texts]
+    hashed = repeats.Pieces(data, lengths, width, anchor)
+    pieces = repeats.Pieces(data, lengths, width, anchor, dict(zip(("steps", "strings", "hashes"), hashed.pack())))
+    assert all((getattr(pieces, c) == getattr(hashed, c)).all() for c in ("first", "stop", "hash", "doc"))
     seen = sorted((d, i - pieces.starts[d]) for a, b, d in zip(pieces.first, pieces.stop, pieces.doc) for i in range(a, b))
     assert seen == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - width + 1)]
     by_string = {}
