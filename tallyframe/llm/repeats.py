@@ -261,9 +261,9 @@ def find_repeats(
             )
 
     # Chunks are stored with their pieces, in buckets: answers then come to them, the texts are never shuffled, and their
-    # strings are hashed once. Buckets follow the volume, whatever the session's settings.
+    # strings are hashed once. Buckets follow the volume; with fewer than shuffle partitions, Spark would move the chunks.
     name = f"chunks_{uuid.uuid4().hex}"
-    buckets = max(24, int(volume // BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, int(volume // BUCKET_BYTES))
     (
         rows.mapInArrow(
             store,
