@@ -156,3 +156,36 @@ def level_counts(
     spec = spec or resolve_levels(df, columns, max_levels)
     sums = [F.sum(e).alias(n) for c in columns for n, e in spec.indicators(c).items()]
     return df.groupBy(*keys).agg(*sums)
+
+
+# ---- many levels: indicators by hash
+
+HASH_BUCKETS = 256
+
+
+def hash_bucket(variable: str, value: Column, buckets: int = HASH_BUCKETS) -> Column:
+    """Which of ``buckets`` indicators a level of a variable falls to; a missing level is a level of its own."""
+    text = F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+    digest = F.md5(F.concat(F.lit(variable + ":"), text).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.lit(buckets)).cast("int")
+
+
+def hashed_indicators(
+    df: DataFrame, columns: Iterable[str], buckets: int = HASH_BUCKETS, name: str = "hashed"
+) -> DataFrame:
+    """The columns replaced by one sparse vector: the indicators that a row has, in order and each once.
+
+    However many levels there are, now or later, no pass looks for them and the vector has ``buckets`` places. Levels
+    that share a place are told by :func:`hash_collisions`.
+    """
+    chosen = selectors.one_of(df, columns)
+    places = F.array_sort(F.array_distinct(F.array(*[hash_bucket(c, F.col(f"`{c}`"), buckets) for c in chosen])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in chosen], places.alias(name))
+
+
+def hash_collisions(df: DataFrame, columns: Iterable[str], buckets: int = HASH_BUCKETS) -> DataFrame:
+    """(bucket, n_rows, n_levels) of every place that is used: cells that fall to it, and distinct levels of all columns."""
+    chosen = selectors.one_of(df, columns)
+    cell = lambda c: F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("level"), hash_bucket(c, F.col(f"`{c}`"), buckets).alias("bucket"))
+    levels = df.select(F.inline(F.array(*[cell(c) for c in chosen]))).groupBy("bucket", "variable", "level").agg(F.count(F.lit(1)).alias("n"))
+    return levels.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_levels"))

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,31 +114,53 @@ def find_cuts(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[
     return cuts
 
 
+def sparse_names(column: str, size: int) -> list[str]:
+    """Feature names of the indicators of a sparse vector."""
+    return [f"{column}_{i}" for i in range(size)]
+
+
+def sparse_cuts(size: int) -> list[np.ndarray]:
+    """Cuts of 0/1 features."""
+    return [np.zeros(1)] * size
+
+
 def bin_rows(
-    df: DataFrame, id_col: str, target: str | None, features: Sequence[str], cuts: list[np.ndarray], keep: Sequence[str] = ()
-) -> DataFrame:
-    """id, keep..., label, row_hash, bins: one byte per feature, the number of cuts below the value."""
-    chosen = selectors.one_of(df, features)
+    df: DataFrame, id_col: str, target: str | None, features: Sequence[str], cuts: list[np.ndarray], keep: Sequence[str] = (),
+    sparse: str | None = None,
+) -> DataFrame:
+    """id, keep..., label, row_hash, bins: one byte per feature, the number of cuts below the value.
+
+    ``sparse`` names an array column of places (:func:`encode.hashed_indicators`), whose indicators come last: give
+    :func:`sparse_names` and :func:`sparse_cuts` for them after the table's own features.
+    """
+    dense = [f for f in features if f in df.columns] if sparse else list(features)
+    chosen = selectors.one_of(df, dense)
     label = F.col(f"`{target}`").cast("double") if target else F.lit(None).cast("double")
     plain = df.select(
         F.col(f"`{id_col}`"),
         *[F.col(f"`{c}`") for c in keep],
         label.alias("label"),
         F.xxhash64(*[F.col(f"`{c}`") for c in (id_col, *keep)]).alias("row_hash"),
-        F.array(*[F.col(f"`{c}`").cast("double") for c in chosen]).alias("bins"),
+        *([F.col(f"`{sparse}`").cast("array<int>").alias("__sparse")] if sparse else []),
+        F.array(*[F.col(f"`{c}`").cast("double") for c in chosen]).cast("array<double>").alias("bins"),
     )
-    schema = plain.drop("bins").schema.add("bins", "binary")
+    schema = plain.drop("bins", "__sparse").schema.add("bins", "binary")
     width = len(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("bins").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-            codes = np.empty(x.shape, np.uint8)
-            for i, c in enumerate(cuts):
+            x = batch.column("bins").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, width)
+            codes = np.zeros((batch.num_rows, len(cuts)), np.uint8)
+            for i, c in enumerate(cuts[:width]):
                 codes[:, i] = np.searchsorted(c, x[:, i], side="left")
-            codes[np.isnan(x)] = MISSING
+            codes[:, :width][np.isnan(x)] = MISSING
+            if sparse:
+                places = batch.column("__sparse")
+                rows = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(places), 0).to_numpy())
+                codes[rows, width + places.flatten().to_numpy()] = 1
             packed = pa.array([row.tobytes() for row in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
+            own = [batch.column(c) for c in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*own, packed], names=schema.names)
 
     return plain.mapInArrow(run, schema)
 
@@ -199,8 +222,10 @@ class Booster:
     def margins(self, bins: np.ndarray) -> np.ndarray:
         return sum((t.margin(bins) for t in self.trees), np.full(len(bins), self.base))
 
-    def bin(self, df: DataFrame, id_col: str, target: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-        return bin_rows(df, id_col, target, self.features, self.cuts, keep)
+    def bin(
+        self, df: DataFrame, id_col: str, target: str | None = None, keep: Sequence[str] = (), sparse: str | None = None
+    ) -> DataFrame:
+        return bin_rows(df, id_col, target, self.features, self.cuts, keep, sparse)
 
     def score(self, rows: DataFrame, name: str = "score") -> DataFrame:
         """Binned rows with the probability of class 1 in place of their bins."""

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import joins, ledgers, profile, sampling
+from tallyframe.operators import encode, joins, ledgers, profile, sampling
 from tallyframe.plans import incremental, model
 from tallyframe.registry import recipes
 from tallyframe.registry.basics import _lines_by_order
@@ -219,3 +219,40 @@ def stored_star(t):
 
 
 query("star_join_stored", ORACLES["star_join"])(stored_star)
+
+
+# ---- indicators by hash
+
+MANY_LEVELS = ["p_name", "p_brand", "p_type", "p_missing"]
+PARTS = "SELECT p_partkey, p_name, p_brand, p_type, CASE WHEN p_size > 10 THEN p_type END AS p_missing FROM part"
+
+
+def _bucket_sql(c: str) -> str:
+    text = f"md5('{c}:' || coalesce('=' || {c}, ''))"
+    return f"CAST(CAST('0x' || substr({text}, 1, 8) AS BIGINT) % {encode.HASH_BUCKETS} AS INTEGER)"
+
+
+def _parts(t):
+    return t.part.selectExpr("p_partkey", "p_name", "p_brand", "p_type", "CASE WHEN p_size > 10 THEN p_type END AS p_missing")
+
+
+@query(
+    "hashed_levels",
+    f"SELECT p_partkey, array_to_string(list_sort(list_distinct([{', '.join(_bucket_sql(c) for c in MANY_LEVELS)}])), ',') AS places"
+    f" FROM ({PARTS})",
+)
+def _(t):
+    sparse = encode.hashed_indicators(_parts(t), MANY_LEVELS)
+    return sparse.select("p_partkey", F.array_join(F.col("hashed").cast("array<string>"), ",").alias("places"))
+
+
+@query(
+    "hash_collisions",
+    "SELECT bucket, CAST(SUM(n) AS BIGINT) AS n_rows, COUNT(*) AS n_levels FROM ("
+    + " UNION ALL ".join(
+        f"SELECT {_bucket_sql(c)} AS bucket, '{c}' AS variable, {c} AS level, COUNT(*) AS n FROM ({PARTS}) GROUP BY ALL" for c in MANY_LEVELS
+    )
+    + ") GROUP BY 1",
+)
+def _(t):
+    return encode.hash_collisions(_parts(t), MANY_LEVELS)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import coding
+from tallyframe.operators import coding, encode
 from tallyframe.plans import boosting, model, train
 from tallyframe.session import cut_lineage
 
@@ -189,3 +189,30 @@ def test_text_columns_reach_the_model(spark, tmp_path):
     path = done.write(str(tmp_path), "id")
     back = spark.read.csv(path, header=True, inferSchema=True)
     assert back.count() == 150 and back.filter("TARGET <= 0 OR TARGET >= 1").count() == 0
+
+
+def test_hashed_levels_reach_the_model(spark):
+    """A level among thousands decides the target; indicators stand beside a dense feature."""
+    df = spark.range(3000).select(
+        "id",
+        (F.col("id") % 50 == 7).cast("double").alias("y"),
+        (F.col("id") % 9).alias("NOISE"),
+        F.concat(F.lit("level"), F.when(F.col("id") % 50 == 7, 7).otherwise(F.col("id"))).alias("LEVEL"),
+        F.when(F.col("id") % 2 == 0, "x").alias("GAP"),
+    )
+    size = 64
+    sparse = encode.hashed_indicators(df, ["LEVEL", "GAP"], size)
+    assert sparse.columns == ["id", "y", "NOISE", "hashed"]
+    names = ["NOISE", *boosting.sparse_names("hashed", size)]
+    cuts = [*boosting.find_cuts(df, ["NOISE"]), *boosting.sparse_cuts(size)]
+    rows = boosting.bin_rows(sparse, "id", "y", names, cuts, sparse="hashed")
+    first = {r.id: list(r.bins) for r in rows.filter("id < 20").collect()}
+    places = {r.id: r.hashed for r in sparse.filter("id < 20").collect()}
+    assert all([i - 1 for i, b in enumerate(first[k]) if b and i] == places[k] and first[k][0] == k % 9 for k in first)
+    fitted = boosting.fit(rows, names, cuts, replace(PLAIN, rounds=8))
+    at = df.filter("id = 7").select(encode.hash_bucket("LEVEL", F.col("LEVEL"), size)).first()[0]
+    assert fitted.importance(spark).orderBy("rank").first().feature == f"hashed_{at}"
+    scored = fitted.score(fitted.bin(sparse, "id", "y", sparse="hashed")).withColumn("label", F.col("label").cast("int"))
+    assert model.auc(scored, "label", "score").first().auc > 0.95
+    used = encode.hash_collisions(df, ["LEVEL", "GAP"], size).agg(F.sum("n_rows"), F.sum("n_levels"), F.count("*")).first()
+    assert tuple(used) == (6000, df.select("LEVEL").distinct().count() + 2, size)
