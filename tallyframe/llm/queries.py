@@ -207,6 +207,25 @@ def _(spark, folder):
     )
 
 
+ABLATION_SQL = (
+    f"WITH ledger AS ({LEDGER_SQL}), m(version, rule, bit, mask) AS (VALUES "
+    + ", ".join(
+        f"('{p.version}', '{r.name}', CAST({1 << r.bit} AS BIGINT), CAST({p.mask()} AS BIGINT))"
+        for p in quality.POLICIES
+        for r in quality.RULES
+        if r.name in p.rules
+    )
+    + ") SELECT version, rule, COUNT(CASE WHEN failures & bit <> 0 THEN 1 END) AS n_failed,"
+    " COUNT(CASE WHEN failures & mask = bit THEN 1 END) AS n_only_this, COUNT(CASE WHEN failures & mask = 0 THEN 1 END) AS n_kept,"
+    " COUNT(CASE WHEN failures & mask IN (0, bit) THEN 1 END) AS n_kept_without FROM ledger, m GROUP BY ALL"
+)
+
+
+@query("quality_ablation", ABLATION_SQL)
+def _(spark, folder):
+    return quality.ablate(quality.ledger(read_parquet(spark, folder, "documents")))
+
+
 # ---- 7 repeats
 
 
