@@ -7,6 +7,7 @@ a mark. Tasks open files themselves, through ``pyarrow.fs``: the folder must be
 from __future__ import annotations
 
 import io
+import os
 import re
 import uuid
 import zlib
@@ -29,8 +30,8 @@ from tallyframe.session import cut_lineage, ensure_checkpoint_dir
 TOKENIZER = "word_bpe_49k.json"  # lower case, white space dropped: see Words
 END = 2
 FILE_TEXT = 32_000_000  # bytes of text for about one file
-PIECE = 8_000_000  # bytes of a text that are looked at together
-KNOWN_WORDS = 1_000_000  # words a task remembers; beyond it the memory starts anew
+PIECE = 4_000_000  # bytes of a text that are looked at together
+KNOWN_WORDS = 500_000  # words a task remembers; beyond it the memory starts anew
 MARK = b"TFIDEND1"
 # Latin letters and digits that normalising and lower-casing keep one letter: not U+0130.
 LETTER = r"([a-z0-9À-ÖØ-öø-įı-ſ])"
@@ -60,6 +61,7 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         between = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
