@@ -24,7 +24,6 @@ from tallyframe.session import cut_lineage, release
 
 MISSING = 255
 BINS = 254  # at most; bin codes are bytes
-CODES = 256
 UNIT = 1 << 30
 LEAST_GAIN = 1e-6
 REFRESH = 16  # rounds after which the rows' margins are written anew
@@ -318,8 +317,8 @@ def leaf_value(sums: tuple[int, int, int], s: Settings) -> float:
 
 
 def best_split(feature: int, sums: np.ndarray, n_cuts: int, s: Settings) -> Split:
-    """Of one node's (code, [gradient, Hessian, rows]) sums of one feature; ties go to the smaller bin, missing values
-    right unless left is better."""
+    """Of one node's (code, [gradient, Hessian, rows]) sums of one feature, those of missing values last; ties go to the
+    smaller bin, missing values right unless left is better."""
     everything = tuple(int(x) for x in sums.sum(0))
     none = Split(-1, 0, False, 0.0, (0, 0, 0), everything)
     if not n_cuts:
@@ -329,7 +328,7 @@ def best_split(feature: int, sums: np.ndarray, n_cuts: int, s: Settings) -> Spli
     whole = np.array(everything)
     root = _score(np.array(whole[0] / UNIT), np.array(whole[1] / UNIT), s)
     for missing_left in (False, True):
-        left = below + (sums[MISSING] if missing_left else 0)
+        left = below + (sums[-1] if missing_left else 0)
         right = whole - left
         lg, lh, rg, rh = left[:, 0] / UNIT, left[:, 1] / UNIT, right[:, 0] / UNIT, right[:, 1] / UNIT
         gain = _score(lg, lh, s) + _score(rg, rh, s) - root
@@ -362,7 +361,9 @@ class _Fit:
         place_of[nodes] = np.arange(len(nodes))
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(features), len(nodes) * CODES, 3), np.int64)
+            # Per feature a cell for each of its bins and one for missing values.
+            cells = [len(cuts[f]) + 2 for f in features]
+            sums = [np.zeros((len(nodes) * n, 3), np.int64) for n in cells]
             scores = np.zeros((2, BUCKETS), np.int64)
             for batch in batches:
                 bins = _bins(batch.column("bins"), width)
@@ -381,11 +382,11 @@ class _Fit:
                 here = np.flatnonzero(place >= 0)
                 bins, p, y, place = bins[here], p[here], y[here], place[here]
                 g, h = np.rint((p - y) * UNIT), np.rint(p * (1 - p) * UNIT)
-                for j, f in enumerate(features):
-                    at = place * CODES + bins[:, f]
+                for j, (f, n) in enumerate(zip(features, cells)):
+                    at = place * n + np.minimum(bins[:, f], n - 1)
                     for k, w in enumerate((g, h, None)):
                         # Whole numbers: sums of a batch stay below 2 ** 53.
-                        sums[j, :, k] += np.bincount(at, w, len(nodes) * CODES).astype(np.int64)
+                        sums[j][:, k] += np.bincount(at, w, len(nodes) * n).astype(np.int64)
             keys, data = [*features], [x.tobytes() for x in sums]
             if auc:
                 keys, data = [*keys, -1], [*data, scores.tobytes()]
@@ -403,7 +404,7 @@ class _Fit:
             if -1 in total:
                 out.append((-1, -1, 0, False, *_auc(total.pop(-1).reshape(2, BUCKETS))))
             for j, node in enumerate(nodes):
-                found = [best_split(f, total[f].reshape(-1, CODES, 3)[j], len(cuts[f]), s) for f in sorted(total)]
+                found = [best_split(f, total[f].reshape(len(nodes), -1, 3)[j], len(cuts[f]), s) for f in sorted(total)]
                 if found:
                     b = max(found, key=lambda x: (x.gain, -x.feature))
                     out.append((node, b.feature, b.bin, b.missing_left, b.gain, list(b.left), list(b.all)))

@@ -46,7 +46,7 @@ def plain_tree(x, g, h, cuts, s):
         return max(found, key=lambda b: (b.feature >= 0, b.gain, -b.feature))
 
     def sums(rows, f):
-        out = np.zeros((boosting.CODES, 3), np.int64)
+        out = np.zeros((boosting.MISSING + 1, 3), np.int64)
         for r in rows:
             out[x[r, f]] += (int(g[r]), int(h[r]), 1)
         return out
@@ -90,7 +90,7 @@ def test_fit_equals_the_plain_version(binned, settings):
 
 def test_best_split_gain_by_hand():
     s = replace(PLAIN, reg_lambda=1.0, min_rows=1)
-    sums = np.zeros((boosting.CODES, 3), np.int64)
+    sums = np.zeros((boosting.MISSING + 1, 3), np.int64)
     u = boosting.UNIT
     sums[0], sums[1], sums[boosting.MISSING] = (-2 * u, u, 4), (3 * u, 2 * u, 8), (-u, u, 4)
     got = boosting.best_split(7, sums, 1, s)
