@@ -7,6 +7,7 @@ a mark. Tasks open files themselves, through ``pyarrow.fs``: the folder must be
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import uuid
@@ -35,6 +36,8 @@ KNOWN_WORDS = 500_000  # words a task remembers; beyond it the memory starts ane
 MARK = b"TFIDEND1"
 # Latin letters and digits that normalising and lower-casing keep one letter: not U+0130.
 LETTER = r"([a-z0-9À-ÖØ-öø-įı-ſ])"
+POINTS = r"""([.,;:!?#$%&*"()\[\]{}/+=~^-]+)"""  # no apostrophe, which some endings begin with, and no part of a special token
+SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"  # words of letters that have no decomposed form once they are lower-cased
 
 def pieces(text: bytes, limit: int = PIECE) -> Iterator[bytes]:
     """A text cut at white space into pieces of about ``limit`` bytes; a longer word stays whole."""
@@ -53,7 +56,8 @@ class Words:
 
     Right for tokenizers that drop white space and split at it, as the one named above: no token reaches over it. There
     lower-casing A-Z first changes nothing either, unless a combining mark follows or a special token is spelled out,
-    nor does splitting points off a LETTER before them; both make words repeat more often.
+    nor does splitting POINTS off a LETTER before them; both make words repeat more often. SIMPLE words need no
+    normal form and no pattern: the library's lower-casing and byte-level models alone give their ids.
     """
 
     BETWEEN = "|"  # put between words that are encoded together
@@ -66,8 +70,28 @@ class Words:
         self.vocabulary = self.tokenizer.get_vocab_size()
         between = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
+        self.simple = self._for_simple()
         self.forget()
 
+    def _for_simple(self):
+        """The same model behind lower-casing alone, where all else of the file's steps leaves SIMPLE words as they are."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        parts = lambda step, inner: json.loads(step.__getstate__()).get(inner, ()) if step else ()
+        kinds = lambda steps: [(x["type"], x.get("pattern")) for x in steps]
+        forms = kinds(parts(self.tokenizer.normalizer, "normalizers"))
+        cuts = kinds(parts(self.tokenizer.pre_tokenizer, "pretokenizers"))
+        if forms != [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)] or [c for c, _ in cuts] != ["Split", "ByteLevel"]:
+            return None
+        if r"[\p{L}]+" not in cuts[0][1].get("Regex", "").split("|"):
+            return None
+        out = Tokenizer(self.tokenizer.model)  # not a copy
+        out.normalizer = normalizers.Lowercase()
+        out.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        return out
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -75,9 +99,9 @@ class Words:
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         cut = np.flatnonzero(ids == self.between)
         if self.between is not None and len(cut) == len(words) - 1:
             return np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
@@ -88,12 +112,16 @@ class Words:
         if len(self.known) + len(words) > len(self.starts):
             grown = max(len(self.known) + len(words), 2 * len(self.starts))
             self.starts, self.lengths = (np.append(a, np.zeros(grown - len(a), np.int64)) for a in (self.starts, self.lengths))
-        plain = [w for w in words if self.BETWEEN not in w]
-        odd = [w for w in words if self.BETWEEN in w]
-        for group, step in ((plain, 2000), (odd, 1)):
+        every = pa.array(words, pa.string())
+        simple = pc.match_substring_regex(every, SIMPLE) if self.simple else pa.array([False] * len(words))
+        others = every.filter(pc.invert(simple)).to_pylist()
+        plain = [w for w in others if self.BETWEEN not in w]
+        odd = [w for w in others if self.BETWEEN in w]
+        groups = (every.filter(simple).to_pylist(), 200, self.simple), (plain, 200, self.tokenizer), (odd, 1, self.tokenizer)
+        for group, step, tokenizer in groups:
             for lo in range(0, len(group), step):
                 part = group[lo : lo + step]
-                ids, lengths = self._encode(part)
+                ids, lengths = self._encode(part, tokenizer)
                 if self.used + len(ids) > len(self.flat):
                     self.flat = np.append(self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32))
                 self.flat[self.used : self.used + len(ids)] = ids
@@ -109,7 +137,7 @@ class Words:
         odd = pc.match_substring_regex(texts, "<\\||[\u0300-\u036f]")
         if pc.any(odd).as_py():
             low = pc.if_else(odd, texts, low)
-        return pc.ascii_split_whitespace(pc.replace_substring_regex(low, LETTER + r"([.,;:!?]+)([ \n\t\r])", r"\1 \2\3"))
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(low, LETTER + POINTS + r"([ \n\t\r]|$)", r"\1 \2\3"))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""

@@ -5,6 +5,7 @@ import glob
 import brute
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -111,3 +112,14 @@ def test_blocks_shrink_text_and_check_themselves():
             id_codec.decode_block(bad)
     with pytest.raises(ValueError):
         id_codec.encode_block(np.array([5]), 5)
+
+
+def test_simple_words_take_the_short_way(words, tokenizer):
+    """Every letter that counts as simple, alone and within words, before points, and next to letters that do not."""
+    letters = [c for c in map(chr, range(0x41, 0x100)) if pc.match_substring_regex(pa.array([c]), token_files.SIMPLE)[0].as_py()]
+    assert len(letters) == 52 + 62 and words.simple is not None
+    texts = letters + [f"{a}{b}x {b}{a}" for a, b in zip(letters, reversed(letters))]
+    texts += [f"{c}{p} {c}{p}{c} {c}{p}" for c in "aÉß9İıſ中" for p in (*"""'"#$%&*)(]}{[/+=~^-|<>""", "'s!", ").", "&&&", "́.", "<|endoftext|>")]
+    ids, counts = words.ids(pa.array(texts))
+    whole = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, whole)) and ids.tolist() == [i for own in whole for i in own]
