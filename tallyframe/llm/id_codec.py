@@ -105,11 +105,11 @@ class _Model:
         self.counted = np.ones(vocabulary, np.int64)
         self.after_one = np.zeros(vocabulary, np.int32)  # prediction + (confidence << ID_BITS)
         self.after_two = np.zeros(1 << HASH_BITS, np.int32)
-        self.last = np.zeros(lanes, np.int64)
-        self.slot = np.zeros(lanes, np.int64)
+        self.last = np.zeros(lanes, np.int32)
+        self.slot = np.zeros(lanes, np.int32)
         self.second = _Mixer((0, 2), _C2 > 0)
         self.first = _Mixer((1,), (_C1 > 0) & ((_AGREE == 0) | (_C2 == 0)))
-        self.step, self.seen = 0, []
+        self.step, self.seen, self.seen_ids = 0, [], []
         self.count_up()
 
     def count_up(self) -> None:
@@ -117,8 +117,8 @@ class _Model:
         self.frequency = self.counted.copy()
         self.starts = np.zeros(self.size + 1, np.int64)
         np.cumsum(self.frequency, out=self.starts[1:])
-        doublings = np.frexp(self.frequency.astype(np.float64))[1].astype(np.int64)
-        self.level = np.clip(doublings - 3, 0, LEVELS - 1)
+        doublings = np.frexp(self.frequency.astype(np.float64))[1]
+        self.level = np.clip(doublings - 3, 0, LEVELS - 1).astype(np.int32)
         self.total = np.uint64(self.starts[-1])
         self.guess = None
 
@@ -137,11 +137,11 @@ class _Model:
 
     def predict(self) -> tuple[np.ndarray, ...]:
         """The two predicted ids, and where their intervals in [0, ONE) end; an interval may be empty."""
-        two, one = self.after_two[self.slot].astype(np.int64), self.after_one[self.last].astype(np.int64)
+        two, one = self.after_two.take(self.slot), self.after_one.take(self.last)
         c2, p2, c1, p1 = two >> ID_BITS, two & ID_MASK, one >> ID_BITS, one & ID_MASK
         cell = ((c2 * SURE + c1) * 2 + (p1 == p2)) * LEVELS
-        at2, at1 = cell + self.level[p2], cell + self.level[p1]
-        x, y = self.second.flat[at2], self.first.flat[at1]
+        at2, at1 = cell + self.level.take(p2), cell + self.level.take(p1)
+        x, y = self.second.flat.take(at2), self.first.flat.take(at1)
         end = x + (((ONE - 32 - x) * y) >> 16)
         self.now = (two, c2, p2), (one, c1, p1), at2, at1
         return p2, p1, x, end
@@ -153,15 +153,18 @@ class _Model:
             more = np.minimum(old + (1 << ID_BITS), predicted + ((SURE - 1) << ID_BITS))
             less = np.where(sure > 1, predicted + ((sure >> 1) << ID_BITS), ids + (1 << ID_BITS))
             table[at] = np.where(predicted == ids, more, less)
-        np.add.at(self.counted, ids, INCREMENT)
         self.seen.append((at2, at1, event))
+        self.seen_ids.append(ids)
         self.step += 1
         if self.step < 16 or self.step % (8 if self.step < 64 else 16) == 0:
             self._learn_cells()
+            self.counted += INCREMENT * np.bincount(np.concatenate(self.seen_ids), minlength=self.size)
+            self.seen_ids = []
             if self.counted.sum() > FREQUENCY_MAX:
                 self.counted = (self.counted + 1) >> 1
             self.count_up()
-        self.slot = ((self.last * 0x2F0B4C47 + ids * 0x1E35A7BD) >> 7) & ((1 << HASH_BITS) - 1)
+        both = self.last.view(np.uint32) * np.uint32(0x2F0B4C47) + ids.view(np.uint32) * np.uint32(0x1E35A7BD)
+        self.slot = ((both >> np.uint32(7)) & np.uint32((1 << HASH_BITS) - 1)).view(np.int32)
         self.last = ids
 
     def _learn_cells(self) -> None:
@@ -196,7 +199,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     if n and not 0 <= int(ids.min()) <= int(ids.max()) < vocabulary <= 1 << 20:
         raise ValueError("ids must be below the vocabulary's size, and that at most 2 ** 20")
     lanes, steps = _lanes(n)
-    plan = np.zeros(lanes * steps, np.int64)
+    plan = np.zeros(lanes * steps, np.int32)
     plan[:n] = ids
     plan = np.ascontiguousarray(plan.reshape(lanes, steps).T)
     model = _Model(lanes, vocabulary)
@@ -282,7 +285,7 @@ def decode_block(block: bytes) -> np.ndarray:
             at[small] += 1
 
     model = _Model(lanes, vocabulary)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
     for step in range(steps):
         p2, p1, x, end = model.predict()
         unit = width >> np.uint64(16)
@@ -299,7 +302,7 @@ def decode_block(block: bytes) -> np.ndarray:
             unit = width[rest] // model.total
             v = np.minimum(code[rest] // unit, model.total - np.uint64(1)).view(np.int64)
             own = model.ids_at(v)
-            now[rest] = own
+            now[rest] = own  # below 2 ** 20
             code[rest] -= model.starts[own].view(np.uint64) * unit
             width[rest] = model.frequency[own].view(np.uint64) * unit
             pull(rest)
