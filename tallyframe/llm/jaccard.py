@@ -2,9 +2,10 @@
 
 Sets are ordered rarest shingle first and share a shingle of their prefixes if they link at all. Shingle lists
 are cut into index partitions by hash. Position and size of an entry skip partners that cannot reach the
-overlap any more, and parity bitmaps skip pairs that differ in too many shingles. Sets of a long list that are
-similar to its pivot are not paired: each is compared with the pivot, and answers among them are derived
-from their few differences to it, only where they are not yet connected.
+overlap any more, and parity bitmaps skip pairs that differ in too many shingles. Very long lists lie in blocks by size and
+position; whole blocks that cannot reach the overlap with each other are skipped before any entry moves. Sets of a
+long list that are similar to its pivot are not paired: each is compared with the pivot, and answers among them are
+derived from their few differences to it, only where they are not yet connected.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ PERCENT = 85
 SKETCH_BITS = 21  # buckets that count shingles, as a power of 2: they order the work, never decide a link
 SHORT_LIST = 24  # lists up to here are paired directly
 BLOCK = 4096  # sets of a list or a pivot that are compared with each other in one task
+DEPTHS = 4  # parts of the prefix that the blocks of a very long list tell apart
 PART_BYTES = 8_000_000
 U64 = np.uint64
 
@@ -202,6 +204,65 @@ def _candidates(percent: int):
     return run
 
 
+def _near(maps: list[np.ndarray], size: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps leave it possible that at most half of a set's shingles set it apart from the pivot."""
+    return np.array([2 * int(apart(m, base)) <= n for m, n in zip(maps, size)], bool)
+
+
+def _with_near(entries: DataFrame) -> DataFrame:
+    """Adds ``near`` in the place of the pivot's bitmap."""
+    names = ["h", "a", "size", "pos", "bits", "pivot"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for bits, base, n in zip(*(batch.column(c).to_pylist() for c in ("bits", "pivot_bits", "size"))):
+                near.append(2 * int(apart(np.frombuffer(bits, np.uint8), np.frombuffer(base, np.uint8))) <= n)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(near, pa.bool_())], names=[*names, "near"])
+
+    kinds = "h bigint, a bigint, size bigint, pos bigint, bits binary, pivot bigint, near boolean"
+    return entries.select(*names, "pivot_bits").mapInArrow(run, kinds)
+
+
+def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries of very long lists in the pairs of blocks (r, c) in which they are rows or columns.
+
+    ``entries``: h, a, size, pos, near and any other columns. A cell holds a list's entries of like size, part of the
+    prefix and nearness; a cell of more than BLOCK entries has several blocks, by hash. Two cells are not paired if
+    the sizes are too far apart, if too few shingles are left behind the positions to reach the overlap, or if both
+    are near the pivot; their entries are never copied for each other.
+    """
+    depth = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    part = F.least(F.floor(F.col("pos") * DEPTHS / depth), F.lit(DEPTHS - 1))
+    band = F.floor(F.ln(F.col("size").cast("double")) / F.ln(F.lit(100.0 / percent)))
+    cell = ((band * DEPTHS + part) * 2 + F.col("near").cast("int")).cast("int")
+    placed = entries.withColumn("at", F.xxhash64("a")).withColumn("cell", cell)
+    cells = placed.groupBy("h", "cell").agg(
+        F.first("near").alias("near"),
+        F.min("size").alias("low"),
+        F.max("size").alias("high"),
+        F.max(F.col("size") - F.col("pos")).alias("left"),
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"),
+    )
+    cells = cut_lineage(cells)
+    one, two = (cells.select("h", *[F.col(c).alias(c + n) for c in cells.columns if c != "h"]) for n in "12")
+    fit = (F.col("cell1") <= F.col("cell2")) & ~(F.col("near1") & F.col("near2"))
+    fit &= (F.col("high1") * 100 >= F.col("low2") * percent) & (F.col("high2") * 100 >= F.col("low1") * percent)
+    needed = F.ceil((F.col("low1") + F.col("low2")) * percent / (100 + percent))
+    fit &= F.least("left1", "left2") >= needed
+    pairs = one.join(two, "h").filter(fit).select("h", "cell1", "k1", "cell2", "k2")
+    block = lambda c, i: F.concat_ws("-", F.col(c), i)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    rows = placed.join(pairs.withColumn("cell", F.col("cell1")), ["h", "cell"]).withColumn("is_row", F.lit(True))
+    rows = rows.withColumn("i", F.pmod("at", "k1").cast("int")).withColumn("j", every("k2"))
+    cols = placed.join(pairs.withColumn("cell", F.col("cell2")), ["h", "cell"]).withColumn("is_row", F.lit(False))
+    cols = cols.withColumn("j", F.pmod("at", "k2").cast("int")).withColumn("i", every("k1"))
+    both = rows.unionByName(cols).filter("cell1 < cell2 OR i <= j")
+    return both.withColumn("r", block("cell1", F.col("i"))).withColumn("c", block("cell2", F.col("j"))).select(
+        *entries.columns, "at", "is_row", "r", "c"
+    )
+
+
 def _list_pairs(percent: int):
     """A block of rows and one of columns of a long list. Many sets near its pivot: a star. All other pairs: those
     that position, size and bitmaps allow."""
@@ -209,13 +270,16 @@ def _list_pairs(percent: int):
     def run(table: pa.Table) -> pa.Table:
         cols = {c: np.array(table.column(c).to_pylist()) for c in ("a", "size", "pos", "at", "is_row", "r", "c")}
         maps = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
-        pivot, base = table.column("pivot")[0].as_py(), np.frombuffer(table.column("pivot_bits")[0].as_py(), np.uint8)
+        pivot, whole = table.column("pivot")[0].as_py(), table.column("k")[0].as_py() == 1
         sig, size, pos, at, role = (cols[c] for c in ("a", "size", "pos", "at", "is_row"))
-        near = np.array([2 * int(apart(m, base)) <= n for m, n in zip(maps, size)])
         same = cols["r"][0] == cols["c"][0]
-        if table.column("k")[0].as_py() == 1 and near[role].sum() <= SHORT_LIST:
-            near[:] = False  # the whole list is here, and what is near needs no star
-        star = sig[role & near & (sig != pivot)] if same else np.zeros(0, np.int64)
+        if whole:
+            near = _near(maps, size, np.frombuffer(table.column("pivot_bits")[0].as_py(), np.uint8))
+            if near[role].sum() <= SHORT_LIST:
+                near[:] = False  # the whole list is here, and what is near needs no star
+        else:
+            near = np.array(table.column("near").to_pylist())
+        star = sig[role & near & (sig != pivot)] if whole else np.zeros(0, np.int64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         widths = np.array([len(m) for m in maps])
         for w in np.unique(widths):
@@ -444,19 +508,22 @@ def link_documents(
     lists = long.groupBy("h").agg(F.min_by("a", F.struct("id", "a")).alias("pivot"), F.count(F.lit(1)).alias("len"))
     lists = lists.withColumn("k", F.ceil(F.col("len") / BLOCK).cast("int")).drop("len")
     lists = lists.join(maps.select(F.col("s").alias("pivot"), F.col("bits").alias("pivot_bits")), "pivot")
-    entries = long.join(maps.withColumnRenamed("s", "a"), "a").join(lists, "h")
-    entries = entries.withColumn("at", F.xxhash64("a")).withColumn("own", F.pmod("at", F.col("k")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    blocks = (
-        entries.withColumn("is_row", F.lit(True)).withColumn("r", F.col("own")).withColumn("c", others)
-        .unionByName(entries.withColumn("is_row", F.lit(False)).withColumn("c", F.col("own")).withColumn("r", others))
-        .filter("r <= c")
-    )
+    lists = cut_lineage(lists)
+    entries = long.join(maps.withColumnRenamed("s", "a"), "a").drop("id")
+    sides = F.explode(F.array(F.lit(True), F.lit(False)))
+    whole = entries.join(lists.filter("k = 1"), "h").withColumn("at", F.xxhash64("a")).withColumn("is_row", sides)
+    whole = whole.withColumn("near", F.lit(None).cast("boolean")).withColumn("r", F.lit("")).withColumn("c", F.lit(""))
+    # Lists of more than one block. What is near the pivot becomes a star here, and meets only what is not.
+    cut = cut_lineage(_with_near(entries.join(lists.filter("k > 1"), "h")))
+    stars = cut.filter("near AND a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b"), F.lit(True).alias("far"))
+    blocks = block_pairs(cut, percent).withColumn("pivot_bits", F.lit(None).cast("binary")).withColumn("k", F.lit(2))
+    blocks = whole.unionByName(blocks)
     far_pairs = blocks.groupBy("h", "r", "c").applyInArrow(_list_pairs(percent), "a bigint, b bigint, far boolean")
     pairs = (
         listed.filter("h IS NULL")
         .select("a", "b", F.lit(False).alias("far"))
         .unionByName(far_pairs)
+        .unionByName(stars)
         .groupBy("a", "b")
         .agg(F.max("far").alias("far"))
     )

@@ -113,3 +113,40 @@ def test_chunks_keep_rows_and_long_texts():
     parts = list(common.chunks(iter([batch, batch.slice(0, 0)]), "t", 50))
     assert [v for p in parts for v in p.column("t").to_pylist()] == texts
     assert all(p.num_rows for p in parts) and len(parts) > 1
+
+
+def test_blocks_skip_what_cannot_link_and_miss_nothing(spark, monkeypatch):
+    """Every pair that size and position allow, and that is not of two near entries, meets in one pair of blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = np.random.default_rng(3)
+    size = rng.choice([1, 2, 9, 40, 46, 47, 300, 5000], 60)
+    pos = (rng.random(60) * (size - -(-85 * size // 100) + 1)).astype(int)
+    near = rng.random(60) < 0.4
+    rows = [(7, int(i), int(m), int(p), bool(x)) for i, (m, p, x) in enumerate(zip(size, pos, near))] + [(8, 1, 9, 0, False)]
+    entries = spark.createDataFrame(rows, "h bigint, a bigint, size bigint, pos bigint, near boolean")
+    got = jaccard.block_pairs(entries, 85).collect()
+    met = {}
+    for r in got:
+        met.setdefault((r.h, r.r, r.c), ([], []))[0 if r.is_row else 1].append((r.at, r.a))
+    pairs = [tuple(sorted((a, b))) for key, (x, y) in met.items() for at, a in x for to, b in y if key[1] != key[2] or at < to]
+    want = {
+        (i, j)
+        for i in range(60)
+        for j in range(i + 1, 60)
+        if not (near[i] and near[j])
+        and 100 * min(size[i], size[j]) >= 85 * max(size[i], size[j])
+        and min(size[i] - pos[i], size[j] - pos[j]) >= jaccard.overlap_needed(size[i], size[j], 85)
+    }
+    assert len(pairs) == len(set(pairs)) and want <= set(pairs)
+    assert len(pairs) < 60 * 59 // 2 // 2  # most of the list is skipped
+
+
+def test_near_entries_are_not_copied_for_each_other(spark, monkeypatch):
+    """The rows that move grow with the copies near a pivot, not with their square."""
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+
+    def moved(n):
+        rows = [(7, i, 100, 0, True) for i in range(n)] + [(7, n + i, 100, 0, False) for i in range(10)]
+        return jaccard.block_pairs(spark.createDataFrame(rows, "h bigint, a bigint, size bigint, pos bigint, near boolean"), 85).count()
+
+    assert moved(400) <= 4.5 * moved(100)
