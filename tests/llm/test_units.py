@@ -2,13 +2,14 @@
 
 import gzip
 import io
+import tracemalloc
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyframe.llm import common, decontaminate, jaccard, repeats, warc
+from tallyframe.llm import common, decontaminate, jaccard, lm_score, repeats, warc
 from tallyframe.llm.run_index import RunIndex
 
 ALPHABETS = st.sampled_from([b"a", b"ab", b"abc", bytes(range(256))])
@@ -150,3 +151,24 @@ def test_near_entries_are_not_copied_for_each_other(spark, monkeypatch):
         return jaccard.block_pairs(spark.createDataFrame(rows, "h bigint, a bigint, size bigint, pos bigint, near boolean"), 85).count()
 
     assert moved(400) <= 4.5 * moved(100)
+
+
+def test_words_of_a_chunk_are_not_held_all_at_once():
+    """Numbers of words take 4 bytes a word, and their bytes only some at a time."""
+    texts = [b" ".join(b"w%d" % (i * j % 997) for i in range(2000)) for j in range(250)]
+    tracemalloc.start()
+    ids, starts, hashes = lm_score.word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == starts[-1] == 500_000 and len(hashes) == 997
+    assert peak < 16_000_000  # 28 MB with all words in a list
+    first, distinct = common.word_ids([w for b in texts for w in lm_score.tokens(b)])
+    assert (first == ids).all() and [lm_score.xxhash.xxh3_64_intdigest(w) for w in distinct] == hashes.tolist()
+
+
+def test_groups_of_documents_are_told_by_their_ends():
+    """What a part learns of a chunk's documents does not grow with their number."""
+    for group in ([], [3], [0, 0, 1, 3, 3], [1] * 50_000 + [2] * 9_000):
+        ends = lm_score._ends(np.array(group, np.int64))
+        assert len(ends) == 2 * (lm_score.GROUPS - 1)
+        assert lm_score._group(ends, np.arange(len(group))).tolist() == group
