@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ _WORD = {*range(48, 58), *range(97, 123), *range(128, 256)}
 LOWER_WORDS = bytes(LOWER[b] if LOWER[b] in _WORD else 32 for b in range(256))
 
 CHUNK_BYTES = 8_000_000
+HELD = 1 << 17  # words, or counts, that are worked on at once where that needs much memory
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
@@ -56,9 +57,28 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             start = stop
 
 
+def numbered_words(texts: list[bytes], words_of: Callable[[bytes], list[bytes]]) -> tuple[np.ndarray, list[int], list[bytes]]:
+    """Number of each word of all texts, in order of first appearance, each text's number of words, and the distinct
+    words. Words are held for some texts at a time, and each distinct one to the end."""
+    seen: defaultdict = defaultdict()
+    seen.default_factory = seen.__len__
+    ids, words, sizes = [np.zeros(0, np.int32)], [], []
+    for b in texts:
+        own = words_of(b)
+        sizes.append(len(own))
+        words += own
+        if len(words) >= HELD:
+            ids.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+            words = []
+    ids.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+    seen.default_factory = None  # it holds the words in a circle, which would stay until garbage is collected
+    return np.concatenate(ids), sizes, list(seen)
+
+
 def word_ids(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """Dense ids of the words, in order of first appearance, and the distinct words."""
     seen: defaultdict = defaultdict()
     seen.default_factory = seen.__len__
     ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+    seen.default_factory = None  # it holds the words in a circle, which would stay until garbage is collected
     return ids, list(seen)

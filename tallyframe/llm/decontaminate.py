@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import LOWER_WORDS, chunks, text_bytes, word_ids
+from tallyframe.llm.common import LOWER_WORDS, chunks, numbered_words, text_bytes
 from tallyframe.llm.marks import split_by_marks
 from tallyframe.session import cut_lineage, ensure_checkpoint_dir
 
 WINDOW = 10
 SLOP = 2
 BLOCK_WORDS = 200_000  # of test items that are searched for, and broadcast, at once
-CANDIDATES = 2_000_000  # start positions that are held at once
+CANDIDATES = 250_000  # start positions that are held at once
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -35,29 +35,25 @@ def words_of(text: bytes) -> list[bytes]:
 
 def _pack(order: np.ndarray, counts: np.ndarray) -> bytes:
     """Positions, term after term, as differences in byte planes: the upper planes are almost empty."""
-    gaps = np.diff(order, prepend=0)
+    gaps = np.diff(order, prepend=order.dtype.type(0))
     heads = np.cumsum(counts) - counts
     gaps[heads] = order[heads]
     return gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _unpack(data: bytes, counts: np.ndarray) -> np.ndarray:
-    gaps = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-    sums = np.cumsum(gaps)
+    gaps = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    # 32 bits are enough: sums run over, and so do their differences.
+    sums = np.cumsum(gaps, dtype=np.uint32)
     heads = np.cumsum(counts) - counts
-    return sums - np.repeat(sums[heads] - gaps[heads], counts)
+    sums -= np.repeat(sums[heads] - gaps[heads], counts)
+    return sums
 
 
 def _segment(texts: list[bytes]) -> tuple[list[int], bytes, bytes, bytes]:
-    words: list[bytes] = []
-    lengths = []
-    for b in texts:
-        own = words_of(b)
-        words += own
-        lengths.append(len(own))
-    ids, terms = word_ids(words)
+    ids, lengths, terms = numbered_words(texts, words_of)
     counts = np.bincount(ids, minlength=len(terms)) if terms else np.zeros(0, np.int64)
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids, kind="stable").astype(np.int32)
     return lengths, b" ".join(terms), counts.astype("<u4").tobytes(), _pack(order, counts) if terms else b""
 
 
@@ -134,7 +130,7 @@ def _blocks(items: DataFrame, key: str, text: str, window: int, limit: int) -> I
 # ---- search
 
 
-def _search(block: Block, starts: np.ndarray, terms: list[bytes], counts: np.ndarray, positions: bytes, slop: int):
+def _search(block: Block, starts: np.ndarray, terms: list[bytes], counts: np.ndarray, positions: bytes | pa.Buffer, slop: int):
     """(phrase, first word) of every match in a segment.
 
     Postings of the test terms become one sorted list of term * words + position. Each phrase starts
@@ -202,13 +198,15 @@ def search(index: DataFrame, block: Block, slop: int = SLOP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
-                starts = np.concatenate([[0], np.cumsum(np.array(row["lengths"], np.int64))])
-                counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-                terms = row["terms"].split()
+            for k in range(batch.num_rows):
+                # One segment at a time, and its positions as they lie.
+                row = {c: batch.column(c)[k] for c in ("segment", "lengths", "terms", "counts", "positions")}
+                starts = np.concatenate([[0], np.cumsum(row["lengths"].values.to_numpy(zero_copy_only=False).astype(np.int64))])
+                counts = np.frombuffer(row["counts"].as_buffer(), "<u4").astype(np.int64)
+                terms = row["terms"].as_py().split()
                 out: dict[int, list] = {}
                 for exact in (True, False):
-                    p, s = _search(block, starts, terms, counts, row["positions"], 0 if exact else slop)
+                    p, s = _search(block, starts, terms, counts, row["positions"].as_buffer(), 0 if exact else slop)
                     docs = np.searchsorted(starts, np.maximum(s, 0) if exact else s + block.lengths[p] // 2, side="right") - 1
                     docs = np.clip(docs, 0, len(starts) - 2)
                     order = np.lexsort((s, docs))
@@ -225,7 +223,7 @@ def search(index: DataFrame, block: Block, slop: int = SLOP) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([row["segment"]] * len(out)),
+                            pa.array([row["segment"].as_py()] * len(out)),
                             pa.array(list(out), pa.int32()),
                             pa.array([v[0] for v in out.values()], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
                             pa.array([sorted(v[1]) for v in out.values()], pa.list_(pa.string())),
@@ -234,7 +232,7 @@ def search(index: DataFrame, block: Block, slop: int = SLOP) -> DataFrame:
                         names=["segment", "place", "spans", "items", "near"],
                     )
 
-    return index.mapInArrow(run, f"segment string, place int, spans {SPANS}, items array<string>, near array<string>")
+    return index.select("segment", "lengths", "terms", "counts", "positions").mapInArrow(run, f"segment string, place int, spans {SPANS}, items array<string>, near array<string>")
 
 
 def decontaminate(

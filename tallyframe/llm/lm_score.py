@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import CHUNK_BYTES, LOWER, chunks, text_bytes
+from tallyframe.llm.common import CHUNK_BYTES, HELD, LOWER, chunks, numbered_words, text_bytes
 from tallyframe.llm.marks import marked, marks_of
 from tallyframe.session import cut_lineage
 
@@ -22,7 +21,6 @@ FOLDS = 2
 GROUPS = 2 * FOLDS  # fold, and whether a document is a target
 PART_BYTES = 20_000_000
 CHUNK_DOCS = 60_000  # numbered in 16 bits
-HELD = 1 << 17  # words, or counts, that are worked on at once where that needs much memory
 SENT = 1 << 20  # bytes of a chunk's blobs that are sent on together
 NUMBERED = 48_000  # words that make up a larger share of the corpus than 1 / NUMBERED have a number of 16 bits
 FIRST, OTHER = 65_534, 65_535  # numbers of the start of texts and of words without a number
@@ -86,21 +84,9 @@ def fold_of(text: bytes) -> int:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of each word of all texts, in order of first appearance, where each text starts, and the hashes of the
-    numbered words. Words are held for some texts at a time, and each distinct one to the end."""
-    seen: defaultdict = defaultdict()
-    seen.default_factory = seen.__len__
-    ids, words, sizes = [np.zeros(0, np.int32)], [], []
-    for b in texts:
-        own = tokens(b)
-        sizes.append(len(own))
-        words += own
-        if len(words) >= HELD:
-            ids.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
-            words = []
-    ids.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
-    starts = np.cumsum([0, *sizes])
-    return np.concatenate(ids), starts, np.fromiter(map(xxhash.xxh3_64_intdigest, seen), U64, len(seen))
+    """Number of each word of all texts, where each text starts, and the hashes of the numbered words."""
+    ids, sizes, distinct = numbered_words(texts, tokens)
+    return ids, np.cumsum([0, *sizes]), np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct))
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:

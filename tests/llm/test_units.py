@@ -172,3 +172,23 @@ def test_groups_of_documents_are_told_by_their_ends():
         ends = lm_score._ends(np.array(group, np.int64))
         assert len(ends) == 2 * (lm_score.GROUPS - 1)
         assert lm_score._group(ends, np.arange(len(group))).tolist() == group
+
+
+def test_words_of_a_chunk_are_gone_when_it_is_done():
+    """Nothing but the results outlives a call, without a run of the garbage collector."""
+    import gc
+
+    texts = [b" ".join(b"word%d" % (1000 * j + i) for i in range(1000)) for j in range(100)]
+    runs = (lambda: common.numbered_words(texts, decontaminate.words_of), lambda: common.word_ids(b" ".join(texts).split()), lambda: decontaminate._segment(texts))
+    gc.disable()
+    try:
+        for run in runs:
+            run()
+            tracemalloc.start()
+            for _ in range(5):
+                run()
+            left = tracemalloc.get_traced_memory()[0]
+            tracemalloc.stop()
+            assert left < 1_000_000  # 50 MB when each call's words stay
+    finally:
+        gc.enable()
