@@ -50,6 +50,7 @@ def _logit(p: int) -> int:
 
 
 _LOGITS = np.array([_logit(p) for p in range(ONE >> 4)], np.int64)  # by the upper 12 bits of a probability
+_SAID = np.clip(_CHANCE, 32, ONE - 64)
 
 # A cell: confidence of order 2, of order 1, whether both predict the same, frequency of the id in question.
 CELLS = (SURE, SURE, 2, LEVELS)
@@ -62,8 +63,8 @@ class _Mixer:
     cells has its own weights, which follow the error.
     """
 
-    def __init__(self, sets: tuple[int, ...], open_cells: np.ndarray):
-        self.sets, self.open_cells = sets, open_cells
+    def __init__(self, sets: tuple[int, ...], open_cells: np.ndarray, table: np.ndarray):
+        self.sets, self.open_cells, self.table = sets, np.broadcast_to(open_cells, CELLS).astype(np.int64), table.reshape(CELLS)
         # Which axes an order looks at: order 2 its confidence, order 1 its own and the agreement, order 0 the level.
         self.axes = ((0,), (1, 2), (3,))
         shapes = [[n if i in axes else 1 for i, n in enumerate(CELLS)] for axes in self.axes]
@@ -75,106 +76,151 @@ class _Mixer:
 
     def mix(self) -> None:
         self.logits = [_LOGITS[(h * (ONE - 1) // t) >> 4] for h, t in zip(self.hits, self.trials)]
-        total = sum(w * x for w, x in zip(self.weights, self.logits)) >> 16
-        said = _CHANCE[np.clip(total, -LOGIT_MAX, LOGIT_MAX) + LOGIT_MAX]
-        self.said = np.clip(said, 32, ONE - 64) * self.open_cells
-        self.flat = self.said.reshape(-1)
+        total = sum(w * x for w, x in zip(self.weights, self.logits))
+        total >>= 16
+        total += LOGIT_MAX
+        self.said = _SAID.take(total, mode="clip")
+        self.said *= self.open_cells
+        self.table[...] = self.said
 
     def learn(self, hits: np.ndarray, trials: np.ndarray) -> None:
         hits, trials = hits.reshape(CELLS) * self.open_cells, trials.reshape(CELLS) * self.open_cells
         over = lambda x, kept: x.sum(axis=tuple(i for i in range(4) if i not in kept), keepdims=True)
-        error = hits * ONE - trials * self.said
+        error = hits * ONE
+        error -= trials * self.said
         n = np.maximum(over(trials, self.sets), 1)
         for j, axes in enumerate(self.axes):
-            self.weights[j] += over(error * self.logits[j], self.sets) // n >> LEARN_SHIFT
-            np.clip(self.weights[j], -4 * WEIGHT_ONE, 4 * WEIGHT_ONE, out=self.weights[j])
+            part = over(error, self.sets + axes) * self.logits[j]  # summed first where the logit is the same
+            weights = self.weights[j] + (over(part, self.sets) // n >> LEARN_SHIFT)
+            self.weights[j] = np.minimum(np.maximum(weights, -4 * WEIGHT_ONE), 4 * WEIGHT_ONE)
             self.hits[j] += over(hits, axes)
             self.trials[j] += over(trials, axes)
             old = self.trials[j] > 1 << 16
-            self.hits[j][old] = (self.hits[j][old] + 1) >> 1
-            self.trials[j][old] = (self.trials[j][old] >> 1) + 2
+            if old.any():
+                self.hits[j][old] = (self.hits[j][old] + 1) >> 1
+                self.trials[j][old] = (self.trials[j][old] >> 1) + 2
         self.mix()
 
 
 _C2, _C1, _AGREE, _ = np.ogrid[tuple(slice(n) for n in CELLS)]
+N_CELLS = math.prod(CELLS)
+
+# What confidence becomes, by twice the confidence plus whether the prediction held, moved to its place.
+_SURER = np.array([x << ID_BITS for c in range(SURE) for x in (max(1, c >> 1), min(c + 1, SURE - 1))], np.int32)
 
 
 class _Model:
+    """Arrays are as narrow as their values allow: what a step looks up should stay in a core's caches."""
+
     def __init__(self, lanes: int, vocabulary: int):
         self.size = vocabulary
-        self.counted = np.ones(vocabulary, np.int64)
-        self.after_one = np.zeros(vocabulary, np.int32)  # prediction + (confidence << ID_BITS)
-        self.after_two = np.zeros(1 << HASH_BITS, np.int32)
+        self.counted = np.ones(vocabulary, np.int32)
+        # Prediction + (confidence << ID_BITS), by a hash of the last two ids and, behind these, by the last id.
+        self.after = np.zeros((1 << HASH_BITS) + vocabulary, np.int32)
+        self.at = np.zeros((2, lanes), np.int64)
+        self.at[1] = 1 << HASH_BITS
         self.last = np.zeros(lanes, np.int32)
-        self.slot = np.zeros(lanes, np.int32)
-        self.second = _Mixer((0, 2), _C2 > 0)
-        self.first = _Mixer((1,), (_C1 > 0) & ((_AGREE == 0) | (_C2 == 0)))
-        self.step, self.seen, self.seen_ids = 0, [], []
+        self.lane = np.arange(lanes)
+        self.said = np.zeros((2, N_CELLS), np.uint32)
+        self.second = _Mixer((0, 2), _C2 > 0, self.said[0])
+        self.first = _Mixer((1,), (_C1 > 0) & ((_AGREE == 0) | (_C2 == 0)), self.said[1])
+        self.cuts = np.zeros((4, lanes), np.uint64)
+        self.step = self.n_seen = 0
+        self.seen = np.zeros((2, 16, lanes), np.uint16)  # cells and what came of them
+        self.seen_ids = np.zeros((16, lanes), np.int32)
+        self.starts = np.zeros(vocabulary + 1, np.uint32)
         self.count_up()
 
     def count_up(self) -> None:
         """Order-0 frequencies as they are used until the next counting up."""
-        self.frequency = self.counted.copy()
-        self.starts = np.zeros(self.size + 1, np.int64)
-        np.cumsum(self.frequency, out=self.starts[1:])
-        doublings = np.frexp(self.frequency.astype(np.float64))[1]
-        self.level = np.clip(doublings - 3, 0, LEVELS - 1).astype(np.int32)
+        self.frequency = self.counted.astype(np.uint32)
+        np.cumsum(self.frequency, dtype=np.uint32, out=self.starts[1:])
+        doublings = self.counted.astype(np.float32).view(np.int32) >> 23
+        self.level = np.clip(doublings - (126 + 3), 0, LEVELS - 1).astype(np.uint8)
         self.total = np.uint64(self.starts[-1])
         self.guess = None
 
     def ids_at(self, v: np.ndarray) -> np.ndarray:
         """The ids whose order-0 intervals hold the values ``v``."""
+        ends = self.starts[1:]
         if self.guess is None:
             # The id that holds the first value of each 128 ones: mostly the id looked for, or the next.
-            self.guess = np.repeat(np.arange(self.size), np.diff((self.starts + 127) >> 7))
-        found = self.guess[v >> 7]
-        left = np.flatnonzero(self.starts[found + 1] <= v)
+            firsts = (self.starts + np.uint32(127)) >> np.uint32(7)
+            self.guess = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(firsts))
+        found = self.guess.take(v >> 7).astype(np.int64)
+        left = (ends.take(found) <= v).nonzero()[0]
         for _ in range(2):
             found[left] += 1
-            left = left[self.starts[found[left] + 1] <= v[left]]
-        found[left] = np.searchsorted(self.starts, v[left], side="right") - 1
+            left = left[ends.take(found[left]) <= v[left]]
+        found[left] = np.searchsorted(self.starts, v[left].astype(np.uint32), side="right") - 1
         return found
 
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """The two predicted ids, and where their intervals in [0, ONE) end; an interval may be empty."""
-        two, one = self.after_two.take(self.slot), self.after_one.take(self.last)
-        c2, p2, c1, p1 = two >> ID_BITS, two & ID_MASK, one >> ID_BITS, one & ID_MASK
-        cell = ((c2 * SURE + c1) * 2 + (p1 == p2)) * LEVELS
-        at2, at1 = cell + self.level.take(p2), cell + self.level.take(p1)
-        x, y = self.second.flat.take(at2), self.first.flat.take(at1)
-        end = x + (((ONE - 32 - x) * y) >> 16)
-        self.now = (two, c2, p2), (one, c1, p1), at2, at1
-        return p2, p1, x, end
+    def predict(self, width: np.ndarray) -> np.ndarray:
+        """The ids that order 2 and order 1 predict. What is below, between and above the two ends that follow belongs to
+        order 2, order 1 and neither, as parts of ``width`` (``cuts``); the first two may be empty."""
+        found = self.after.take(self.at)
+        self.sure, predicted = found >> ID_BITS, found & ID_MASK
+        cell = self.sure[0] * SURE
+        cell += self.sure[1]
+        cell <<= 1
+        cell += predicted[0] == predicted[1]
+        cell *= LEVELS
+        self.cell = self.level.take(predicted) + cell
+        x, y = self.said[0].take(self.cell[0]), self.said[1].take(self.cell[1])
+        y *= np.uint32(ONE - 32) - x  # below 2 ** 32
+        y >>= np.uint32(16)
+        y += x
+        unit = width >> np.uint64(16)
+        np.multiply(unit, x, out=self.cuts[1])
+        np.multiply(unit, y, out=self.cuts[2])
+        np.left_shift(unit, np.uint64(16), out=self.cuts[3])
+        self.predicted = predicted
+        return predicted
+
+    def part(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of ``cuts`` that ``event`` names begin, and their widths."""
+        at = event * np.int64(len(self.lane))
+        at += self.lane
+        start = self.cuts.take(at)
+        at += len(self.lane)
+        return start, self.cuts.take(at) - start
 
     def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
         """``event``: 0 the order-2 prediction held, 1 the order-1 one, 2 neither."""
-        two, one, at2, at1 = self.now
-        for table, at, (old, sure, predicted) in ((self.after_two, self.slot, two), (self.after_one, self.last, one)):
-            more = np.minimum(old + (1 << ID_BITS), predicted + ((SURE - 1) << ID_BITS))
-            less = np.where(sure > 1, predicted + ((sure >> 1) << ID_BITS), ids + (1 << ID_BITS))
-            table[at] = np.where(predicted == ids, more, less)
-        self.seen.append((at2, at1, event))
-        self.seen_ids.append(ids)
+        kept = np.where(self.sure > 1, self.predicted, ids)
+        self.sure <<= 1
+        self.sure += self.predicted == ids
+        kept += _SURER.take(self.sure)
+        self.after[self.at] = kept
+        self.cell[0] *= 2
+        self.cell[0] += event == 0
+        self.cell[1] *= 3
+        self.cell[1] += event
+        self.seen[:, self.n_seen] = self.cell
+        self.seen_ids[self.n_seen] = ids
+        self.n_seen += 1
         self.step += 1
         if self.step < 16 or self.step % (8 if self.step < 64 else 16) == 0:
             self._learn_cells()
-            self.counted += INCREMENT * np.bincount(np.concatenate(self.seen_ids), minlength=self.size)
-            self.seen_ids = []
-            if self.counted.sum() > FREQUENCY_MAX:
+            self.counted += INCREMENT * np.bincount(self.seen_ids[: self.n_seen].reshape(-1), minlength=self.size).astype(np.int32)
+            if int(self.counted.sum()) > FREQUENCY_MAX:
                 self.counted = (self.counted + 1) >> 1
             self.count_up()
-        both = self.last.view(np.uint32) * np.uint32(0x2F0B4C47) + ids.view(np.uint32) * np.uint32(0x1E35A7BD)
-        self.slot = ((both >> np.uint32(7)) & np.uint32((1 << HASH_BITS) - 1)).view(np.int32)
+            self.n_seen = 0
+        both = self.last.view(np.uint32) * np.uint32(0x2F0B4C47)
+        both += ids.view(np.uint32) * np.uint32(0x1E35A7BD)
+        both >>= np.uint32(7)
+        both &= np.uint32((1 << HASH_BITS) - 1)
+        self.at[0] = both
+        np.add(ids, 1 << HASH_BITS, out=self.at[1])
         self.last = ids
 
     def _learn_cells(self) -> None:
-        at2, at1, event = (np.concatenate(x) for x in zip(*self.seen))
-        self.seen = []
-        n = len(self.second.flat)
-        by_cell = np.bincount(2 * at2 + (event == 0), minlength=2 * n).reshape(n, 2)
-        self.second.learn(by_cell[:, 1], by_cell[:, 0] + by_cell[:, 1])
-        by_cell = np.bincount(3 * at1 + event, minlength=3 * n).reshape(n, 3)
-        self.first.learn(by_cell[:, 1], by_cell[:, 1] + by_cell[:, 2])
+        second, first = self.seen[:, : self.n_seen].reshape(2, -1)
+        missed, held = np.bincount(second, minlength=2 * N_CELLS).reshape(N_CELLS, 2).T
+        self.second.learn(held, held + missed)
+        _, held, missed = np.bincount(first, minlength=3 * N_CELLS).reshape(N_CELLS, 3).T
+        self.first.learn(held, held + missed)
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -207,39 +253,41 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     width = np.full(lanes, 1 << (WINDOW + DIGIT), np.uint64)
     out_lane, out_digit = [], []
 
-    def push(rows: np.ndarray | None = None) -> None:
-        small = np.flatnonzero(width < LOWEST) if rows is None else rows[width[rows] < LOWEST]
+    def push(low: np.ndarray, width: np.ndarray, rows: np.ndarray | None = None) -> None:
+        small = (width < LOWEST).nonzero()[0]
         if len(small):
-            out_lane.append(small)
-            out_digit.append(low[small] >> np.uint64(WINDOW))
-            low[small] = (low[small] & WINDOW_MASK) << np.uint64(DIGIT)
+            own = low[small]
+            out_lane.append(small if rows is None else rows[small])
+            out_digit.append(own >> np.uint64(WINDOW))
+            own &= WINDOW_MASK
+            low[small] = own << np.uint64(DIGIT)
             width[small] <<= np.uint64(DIGIT)
 
     for now in plan if n else ():
-        p2, p1, x, end = model.predict()
-        is2 = (p2 == now) & (x > 0)
-        is1 = (p1 == now) & (end > x) & ~is2
-        event = 2 - 2 * is2 - is1
-        start = np.where(is2, 0, np.where(is1, x, end))
-        size = np.where(is2, x, np.where(is1, end, ONE)) - start
-        unit = width >> np.uint64(16)
-        low += start.view(np.uint64) * unit
-        width = size.view(np.uint64) * unit
-        push()
-        rest = np.flatnonzero(event == 2)
+        predicted = model.predict(width)
+        is2, is1 = predicted == now
+        is2 &= model.cuts[1] > 0
+        is1 &= model.cuts[2] > model.cuts[1]
+        event = np.int8(2) - is1.view(np.int8)
+        event *= (~is2).view(np.int8)
+        start, width = model.part(event)
+        low += start
+        push(low, width)
+        rest = (event == 2).nonzero()[0]
         if len(rest):
-            own = now[rest]
+            own = now[rest].astype(np.int64)
             unit = width[rest] // model.total
-            low[rest] += model.starts[own].view(np.uint64) * unit
-            width[rest] = model.frequency[own].view(np.uint64) * unit
-            push(rest)
+            own_low = low[rest] + unit * model.starts.take(own)
+            unit *= model.frequency.take(own)
+            push(own_low, unit, rest)
+            low[rest], width[rest] = own_low, unit
         model.learn(now, event)
     if n:
         out_lane.append(np.arange(lanes))
         out_digit.append((low + WINDOW_MASK) >> np.uint64(WINDOW))
     lane = np.concatenate(out_lane) if n else np.zeros(0, np.int64)
     digits = np.concatenate(out_digit) if n else np.zeros(0, np.uint64)
-    order = np.argsort(lane, kind="stable")
+    order = np.argsort(lane.astype(np.uint16) if lanes <= 1 << 16 else lane, kind="stable")
     digits = _carry(lane[order], digits[order])
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + digits.tobytes()
     fields = (MAGIC, n, steps, vocabulary, len(digits), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes()))
@@ -269,45 +317,43 @@ def decode_block(block: bytes) -> np.ndarray:
     digits = np.zeros(int((per_lane + 2).sum()), np.uint64)
     place = np.repeat(begin - (np.cumsum(per_lane) - per_lane), per_lane) + np.arange(int(per_lane.sum()))
     digits[place] = np.frombuffer(body, "<u4", offset=4 * lanes)
-    high, low_bits = np.uint64(DIGIT - WINDOW), np.uint64((1 << (DIGIT - WINDOW)) - 1)
-    code = (digits[begin] << np.uint64(WINDOW)) | (digits[begin + 1] >> high)
-    at, last = begin + 1, begin + per_lane + 1
+    # From each digit on, the DIGIT bits that follow those in the window.
+    after = (digits << np.uint64(WINDOW)) & DIGIT_MASK
+    after[:-1] |= digits[1:] >> np.uint64(DIGIT - WINDOW)
+    after = after.astype(np.uint32)
+    code = (digits[begin] << np.uint64(WINDOW)) | (digits[begin + 1] >> np.uint64(DIGIT - WINDOW))
+    at = begin + 1
     width = np.full(lanes, 1 << (WINDOW + DIGIT), np.uint64)
 
-    def pull(rows: np.ndarray | None = None) -> None:
-        small = np.flatnonzero(width < LOWEST) if rows is None else rows[width[rows] < LOWEST]
+    def pull(code: np.ndarray, width: np.ndarray, rows: np.ndarray | None = None) -> None:
+        small = (width < LOWEST).nonzero()[0]
         if len(small):
-            here = np.minimum(at[small], last[small])
-            more = np.minimum(here + 1, last[small])
-            fresh = ((digits[here] & low_bits) << np.uint64(WINDOW)) | (digits[more] >> high)
-            code[small] = (code[small] << np.uint64(DIGIT)) | fresh
+            lane = small if rows is None else rows[small]
+            here = at[lane]
+            code[small] = (code[small] << np.uint64(DIGIT)) | after.take(here, mode="clip")
             width[small] <<= np.uint64(DIGIT)
-            at[small] += 1
+            at[lane] = here + 1
 
     model = _Model(lanes, vocabulary)
     out = np.zeros((steps, lanes), np.int32)
-    for step in range(steps):
-        p2, p1, x, end = model.predict()
-        unit = width >> np.uint64(16)
-        v = np.minimum(code // unit, np.uint64(ONE - 1)).view(np.int64)
-        event = (v >= x).astype(np.int64) + (v >= end)
-        now = np.where(event == 0, p2, p1)
-        start = np.where(event == 0, 0, np.where(event == 1, x, end))
-        size = np.where(event == 0, x, np.where(event == 1, end, ONE)) - start
-        code -= start.view(np.uint64) * unit
-        width = size.view(np.uint64) * unit
-        pull()
-        rest = np.flatnonzero(event == 2)
+    for now in out:
+        predicted = model.predict(width)
+        event = (code >= model.cuts[1]).view(np.int8) + (code >= model.cuts[2]).view(np.int8)
+        now[:] = np.where(event == 0, predicted[0], predicted[1])
+        start, width = model.part(event)
+        code -= start
+        pull(code, width)
+        rest = (event == 2).nonzero()[0]
         if len(rest):
-            unit = width[rest] // model.total
-            v = np.minimum(code[rest] // unit, model.total - np.uint64(1)).view(np.int64)
+            unit, own_code = width[rest] // model.total, code[rest]
+            v = np.minimum(own_code // unit, model.total - np.uint64(1)).view(np.int64)
             own = model.ids_at(v)
             now[rest] = own  # below 2 ** 20
-            code[rest] -= model.starts[own].view(np.uint64) * unit
-            width[rest] = model.frequency[own].view(np.uint64) * unit
-            pull(rest)
+            own_code -= unit * model.starts.take(own)
+            unit *= model.frequency.take(own)
+            pull(own_code, unit, rest)
+            code[rest], width[rest] = own_code, unit
         model.learn(now, event)
-        out[step] = now
     ids = out.T.reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != id_sum:
         raise ValueError("the ids of a block do not match their checksum")

@@ -13,7 +13,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,8 @@ TOKENIZER = "word_bpe_49k.json"  # lower case, white space dropped: see Words
 END = 2
 FILE_TEXT = 32_000_000  # bytes of text for about one file
 PIECE = 4_000_000  # bytes of a text that are looked at together
-KNOWN_WORDS = 500_000  # words a task remembers; beyond it the memory starts anew
+KNOWN_WORDS = 500_000  # words a task remembers; beyond it only the more frequent ones are kept
+KNOWN_BYTES = 64_000_000  # the same for their bytes
 MARK = b"TFIDEND1"
 # Latin letters and digits that normalising and lower-casing keep one letter: not U+0130.
 LETTER = r"([a-z0-9À-ÖØ-öø-įı-ſ])"
@@ -57,7 +57,7 @@ class Words:
     Right for tokenizers that drop white space and split at it, as the one named above: no token reaches over it. There
     lower-casing A-Z first changes nothing either, unless a combining mark follows or a special token is spelled out,
     nor does splitting POINTS off a LETTER before them; both make words repeat more often. SIMPLE words need no
-    normal form and no pattern: the library's lower-casing and byte-level models alone give their ids.
+    normal form and no pattern: lower-cased and written as the library's byte-level letters, its model gives their ids.
     """
 
     BETWEEN = "|"  # put between words that are encoded together
@@ -71,11 +71,13 @@ class Words:
         between = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
         self.simple = self._for_simple()
-        self.forget()
+        self.known = pa.array([], pa.string())
+        self.lists = _lists([], [])  # ids of the known words
+        self.met = np.zeros(0, np.int32)  # in how many chunks
 
-    def _for_simple(self):
-        """The same model behind lower-casing alone, where all else of the file's steps leaves SIMPLE words as they are."""
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def _for_simple(self) -> dict[int, str] | None:
+        """How the model writes letters beyond ASCII, where all else of the file's steps leaves SIMPLE words as they are."""
+        from tokenizers import pre_tokenizers
 
         parts = lambda step, inner: json.loads(step.__getstate__()).get(inner, ()) if step else ()
         kinds = lambda steps: [(x["type"], x.get("pattern")) for x in steps]
@@ -85,51 +87,47 @@ class Words:
             return None
         if r"[\p{L}]+" not in cuts[0][1].get("Regex", "").split("|"):
             return None
-        out = Tokenizer(self.tokenizer.model)  # not a copy
-        out.normalizer = normalizers.Lowercase()
-        out.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        return out
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-
-    def _encode(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after the other, and how many each has."""
-        ids = np.array(tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        cut = np.flatnonzero(ids == self.between)
-        if self.between is not None and len(cut) == len(words) - 1:
-            return np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        return {point: written(chr(point))[0][0] for point in range(0xC0, 0x100)}
+
+    def _encode_simple(self, words: pa.Array) -> tuple[list[int], list[int]]:
+        """Ids of SIMPLE words, one after the other, and how many each has."""
+        tokenize, ids, lengths = self.tokenizer.model.tokenize, [], []
+        every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pc.utf8_lower(words))
+        for word in pc.binary_join(every, " ")[0].as_py().split():
+            own = tokenize(word if word.isascii() else word.translate(self.simple))
+            lengths.append(len(own))
+            ids += [token.id for token in own]
+        return ids, lengths
+
+    def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """The same for any words: together if BETWEEN tells them apart."""
+        if self.between is not None and not any(self.BETWEEN in w for w in words):
+            ids = self.tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(words)], add_special_tokens=False)[0].ids
+            cut = np.flatnonzero(np.array(ids, np.uint32) == self.between)
+            if len(cut) == len(words) - 1:
+                lengths = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+                return [i for i in ids if i != self.between], lengths.tolist()
         each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array([i for own in each for i in own], np.uint32), np.array(list(map(len, each)), np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > len(self.starts):
-            grown = max(len(self.known) + len(words), 2 * len(self.starts))
-            self.starts, self.lengths = (np.append(a, np.zeros(grown - len(a), np.int64)) for a in (self.starts, self.lengths))
-        every = pa.array(words, pa.string())
-        simple = pc.match_substring_regex(every, SIMPLE) if self.simple else pa.array([False] * len(words))
-        others = every.filter(pc.invert(simple)).to_pylist()
-        plain = [w for w in others if self.BETWEEN not in w]
-        odd = [w for w in others if self.BETWEEN in w]
-        groups = (every.filter(simple).to_pylist(), 200, self.simple), (plain, 200, self.tokenizer), (odd, 1, self.tokenizer)
-        for group, step, tokenizer in groups:
-            for lo in range(0, len(group), step):
-                part = group[lo : lo + step]
-                ids, lengths = self._encode(part, tokenizer)
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.append(self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32))
-                self.flat[self.used : self.used + len(ids)] = ids
-                at = len(self.known)
-                self.lengths[at : at + len(part)] = lengths
-                self.starts[at : at + len(part)] = self.used + np.cumsum(lengths) - lengths
-                self.used += len(ids)
-                self.known.update(zip(part, range(at, at + len(part))))
+        return [i for own in each for i in own], list(map(len, each))
+
+    def _learn(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each word."""
+        simple = pc.match_substring_regex(words, SIMPLE) if self.simple else pa.array([False] * len(words))
+        others = words.filter(pc.invert(simple)).to_pylist()
+        others.sort(key=lambda w: self.BETWEEN in w)
+        plain = sum(self.BETWEEN not in w for w in others)
+        parts = [_lists(*self._encode_simple(words.filter(simple)))]
+        for group in (others[:plain], others[plain:]):
+            parts += [_lists(*self._encode(group[lo : lo + 200])) for lo in range(0, len(group), 200)]
+        order = pc.index_in(words, pa.concat_arrays([words.filter(simple), pa.array(others, pa.string())]))
+        return pa.concat_arrays(parts).take(order)
+
+    def _forget(self) -> None:
+        """Keeps words met in several chunks: those met most often, half at most of what may be remembered."""
+        half = min(KNOWN_WORDS, len(self.known)) // 2 + 1
+        kept = np.flatnonzero(self.met > max(1, np.partition(self.met, -half)[-half]))
+        self.known, self.lists, self.met = self.known.take(pa.array(kept)), self.lists.take(pa.array(kept)), self.met[kept] + 1 >> 1
 
     @staticmethod
     def split(texts: pa.Array) -> pa.ListArray:
@@ -142,27 +140,29 @@ class Words:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
         words = self.split(texts)
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
-        unknown = np.flatnonzero(number < 0)
-        if self.known and len(self.known) + len(unknown) > KNOWN_WORDS:
-            self.forget()
-            unknown = np.arange(len(distinct))
-        if len(unknown):
-            self._learn([distinct[i] for i in unknown])
-            number[unknown] = [self.known[distinct[i]] for i in unknown]
-        # The ids of each distinct word, then of all words in their order.
-        lengths = self.lengths[number]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        own = self.flat[np.repeat(self.starts[number] - ends + lengths, lengths) + np.arange(total)]
-        offsets = np.append(0, ends).astype(np.int32)
-        every = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own)).take(coded.indices)
+        if not len(words.flatten()):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        # Numbered after the known words, so that these keep their numbers and new ones follow.
+        coded = pa.chunked_array([self.known, words.flatten()]).dictionary_encode().chunks[-1]
+        new = coded.dictionary.slice(len(self.known))
+        if len(new):
+            self.lists = pa.concat_arrays([self.lists, self._learn(new)])
+            self.known, self.met = coded.dictionary, np.append(self.met, np.zeros(len(new), np.int32))
+        met = np.zeros(len(self.known), bool)
+        met[coded.indices.to_numpy()] = True
+        self.met += met
+        every = self.lists.take(coded.indices)
+        if len(self.known) > KNOWN_WORDS or self.known.nbytes > KNOWN_BYTES:
+            self._forget()
         bounds = every.offsets.to_numpy()[words.offsets.to_numpy() - words.offsets[0].as_py()]
         return every.flatten().to_numpy(), np.diff(bounds)
 
 
+def _lists(ids: list[int], lengths: list[int]) -> pa.ListArray:
+    offsets = np.append(0, np.cumsum(lengths, dtype=np.int32)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.uint32()))
+
+
 _WORDS: dict[str, Words] = {}
 
 
@@ -241,7 +241,7 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
         out, keys, sizes = None, [], []
-        for part in chunks(batches, "__text", PIECE):
+        for part in chunks(batches, "__text"):
             out = out or _File(f"{folder}/{uuid.uuid4().hex}.ids", words.vocabulary)
             texts = pc.fill_null(part.column("__text"), "")
             keys.append(part.column("__id"))

@@ -1,6 +1,7 @@
 """Operator 12: token ids in files."""
 
 import glob
+import hashlib
 
 import brute
 import numpy as np
@@ -123,3 +124,28 @@ def test_simple_words_take_the_short_way(words, tokenizer):
     ids, counts = words.ids(pa.array(texts))
     whole = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert counts.tolist() == list(map(len, whole)) and ids.tolist() == [i for own in whole for i in own]
+
+
+def test_frequent_words_stay_known(words, tokenizer, monkeypatch):
+    """Beyond the limit only words met once are dropped while there are enough of them: others are not encoded again."""
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 40)
+    own, learned = token_files.Words(PATH), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda w: learned.extend(pa.array(w).to_pylist()) or learn(w))
+    for i in range(30):
+        text = "straße the fox, " + " ".join(f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(10))
+        assert own.ids(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own.known) <= 40
+    assert [learned.count(w) for w in ("straße", "the", "fox", ",")] == [1, 1, 1, 1] and len(learned) == 4 + 300
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 1000)
+    for i in range(20):
+        text = f"the fox {chr(97 + i) * 700} {i}"
+        assert own.ids(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert own.known.nbytes <= 2000
+
+
+def test_blocks_keep_their_bytes():
+    """Files written before are read with the same model: its arithmetic must not drift."""
+    ids = np.random.default_rng(7).zipf(1.3, 50_000) % 49_408
+    ids[20_000:30_000] = ids[:10_000]
+    assert hashlib.sha256(id_codec.encode_block(ids, 49_408)).hexdigest()[:16] == "55b9f386148dc169"
