@@ -64,18 +64,19 @@ class _Mixer:
     """
 
     def __init__(self, sets: tuple[int, ...], open_cells: np.ndarray, table: np.ndarray):
-        self.sets, self.open_cells, self.table = sets, np.broadcast_to(open_cells, CELLS).astype(np.int64), table.reshape(CELLS)
+        self.open_cells, self.table = np.broadcast_to(open_cells, CELLS).astype(np.int64), table.reshape(CELLS)
         # Which axes an order looks at: order 2 its confidence, order 1 its own and the agreement, order 0 the level.
-        self.axes = ((0,), (1, 2), (3,))
-        shapes = [[n if i in axes else 1 for i, n in enumerate(CELLS)] for axes in self.axes]
-        self.hits = [np.full(shape, 1, np.int64) for shape in shapes]
-        self.trials = [np.full(shape, 4, np.int64) for shape in shapes]
+        axes = ((0,), (1, 2), (3,))
+        others = lambda kept: tuple(i for i in range(4) if i not in kept)
+        self.rest, self.part_rest, self.set_rest = [others(a) for a in axes], [others(a + sets) for a in axes], others(sets)
+        shapes = [[n if i in own else 1 for i, n in enumerate(CELLS)] for own in axes]
+        self.counts = [np.stack([np.full(shape, 1, np.int64), np.full(shape, 4, np.int64)]) for shape in shapes]  # hits, trials
         shape = [n if i in sets else 1 for i, n in enumerate(CELLS)]
-        self.weights = [np.full(shape, WEIGHT_ONE * 2 // 5, np.int64) for _ in self.axes]
+        self.weights = [np.full(shape, WEIGHT_ONE * 2 // 5, np.int64) for _ in axes]
         self.mix()
 
     def mix(self) -> None:
-        self.logits = [_LOGITS[(h * (ONE - 1) // t) >> 4] for h, t in zip(self.hits, self.trials)]
+        self.logits = [_LOGITS[(h * (ONE - 1) // t) >> 4] for h, t in self.counts]
         total = sum(w * x for w, x in zip(self.weights, self.logits))
         total >>= 16
         total += LOGIT_MAX
@@ -84,21 +85,21 @@ class _Mixer:
         self.table[...] = self.said
 
     def learn(self, hits: np.ndarray, trials: np.ndarray) -> None:
-        hits, trials = hits.reshape(CELLS) * self.open_cells, trials.reshape(CELLS) * self.open_cells
-        over = lambda x, kept: x.sum(axis=tuple(i for i in range(4) if i not in kept), keepdims=True)
-        error = hits * ONE
-        error -= trials * self.said
-        n = np.maximum(over(trials, self.sets), 1)
-        for j, axes in enumerate(self.axes):
-            part = over(error, self.sets + axes) * self.logits[j]  # summed first where the logit is the same
-            weights = self.weights[j] + (over(part, self.sets) // n >> LEARN_SHIFT)
+        both = np.stack([hits, trials]).reshape(2, *CELLS) * self.open_cells
+        over = lambda x, axes: np.add.reduce(x, axis=axes, keepdims=True)
+        error = both[0] * ONE
+        error -= both[1] * self.said
+        n = np.maximum(over(both[1], self.set_rest), 1)
+        for j, rest in enumerate(self.rest):
+            part = over(error, self.part_rest[j]) * self.logits[j]  # summed first where the logit is the same
+            weights = self.weights[j] + (over(part, self.set_rest) // n >> LEARN_SHIFT)
             self.weights[j] = np.minimum(np.maximum(weights, -4 * WEIGHT_ONE), 4 * WEIGHT_ONE)
-            self.hits[j] += over(hits, axes)
-            self.trials[j] += over(trials, axes)
-            old = self.trials[j] > 1 << 16
+            counts = self.counts[j]
+            counts += over(both, tuple(i + 1 for i in rest))
+            old = counts[1] > 1 << 16
             if old.any():
-                self.hits[j][old] = (self.hits[j][old] + 1) >> 1
-                self.trials[j][old] = (self.trials[j][old] >> 1) + 2
+                counts[0][old] = (counts[0][old] + 1) >> 1
+                counts[1][old] = (counts[1][old] >> 1) + 2
         self.mix()
 
 
@@ -127,7 +128,7 @@ class _Model:
         self.cuts = np.zeros((4, lanes), np.uint64)
         self.step = self.n_seen = 0
         self.seen = np.zeros((2, 16, lanes), np.uint16)  # cells and what came of them
-        self.seen_ids = np.zeros((16, lanes), np.int32)
+        self.seen_ids = []
         self.starts = np.zeros(vocabulary + 1, np.uint32)
         self.count_up()
 
@@ -142,17 +143,13 @@ class _Model:
 
     def ids_at(self, v: np.ndarray) -> np.ndarray:
         """The ids whose order-0 intervals hold the values ``v``."""
-        ends = self.starts[1:]
         if self.guess is None:
-            # The id that holds the first value of each 128 ones: mostly the id looked for, or the next.
+            # The id that holds the first value of each 128 ones: nearly always the id looked for.
             firsts = (self.starts + np.uint32(127)) >> np.uint32(7)
             self.guess = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(firsts))
-        found = self.guess.take(v >> 7).astype(np.int64)
-        left = (ends.take(found) <= v).nonzero()[0]
-        for _ in range(2):
-            found[left] += 1
-            left = left[ends.take(found[left]) <= v[left]]
-        found[left] = np.searchsorted(self.starts, v[left].astype(np.uint32), side="right") - 1
+        found = self.guess.take(v >> np.uint32(7)).astype(np.int64)
+        left = (self.starts[1:].take(found) <= v).nonzero()[0]
+        found[left] = np.searchsorted(self.starts, v[left], side="right") - 1
         return found
 
     def predict(self, width: np.ndarray) -> np.ndarray:
@@ -185,11 +182,11 @@ class _Model:
         at += len(self.lane)
         return start, self.cuts.take(at) - start
 
-    def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
-        """``event``: 0 the order-2 prediction held, 1 the order-1 one, 2 neither."""
+    def learn(self, ids: np.ndarray, held: np.ndarray, event: np.ndarray) -> None:
+        """``held``: which predictions are right. ``event``: 0 the order-2 one is coded, 1 the order-1 one, 2 neither."""
         kept = np.where(self.sure > 1, self.predicted, ids)
         self.sure <<= 1
-        self.sure += self.predicted == ids
+        self.sure += held
         kept += _SURER.take(self.sure)
         self.after[self.at] = kept
         self.cell[0] *= 2
@@ -197,16 +194,16 @@ class _Model:
         self.cell[1] *= 3
         self.cell[1] += event
         self.seen[:, self.n_seen] = self.cell
-        self.seen_ids[self.n_seen] = ids
+        self.seen_ids.append(ids)
         self.n_seen += 1
         self.step += 1
         if self.step < 16 or self.step % (8 if self.step < 64 else 16) == 0:
             self._learn_cells()
-            self.counted += INCREMENT * np.bincount(self.seen_ids[: self.n_seen].reshape(-1), minlength=self.size).astype(np.int32)
+            self.counted += INCREMENT * np.bincount(np.concatenate(self.seen_ids), minlength=self.size).astype(np.int32)
             if int(self.counted.sum()) > FREQUENCY_MAX:
                 self.counted = (self.counted + 1) >> 1
             self.count_up()
-            self.n_seen = 0
+            self.n_seen, self.seen_ids = 0, []
         both = self.last.view(np.uint32) * np.uint32(0x2F0B4C47)
         both += ids.view(np.uint32) * np.uint32(0x1E35A7BD)
         both >>= np.uint32(7)
@@ -253,11 +250,11 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     width = np.full(lanes, 1 << (WINDOW + DIGIT), np.uint64)
     out_lane, out_digit = [], []
 
-    def push(low: np.ndarray, width: np.ndarray, rows: np.ndarray | None = None) -> None:
+    def push() -> None:
         small = (width < LOWEST).nonzero()[0]
         if len(small):
             own = low[small]
-            out_lane.append(small if rows is None else rows[small])
+            out_lane.append(small)
             out_digit.append(own >> np.uint64(WINDOW))
             own &= WINDOW_MASK
             low[small] = own << np.uint64(DIGIT)
@@ -265,23 +262,22 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
 
     for now in plan if n else ():
         predicted = model.predict(width)
-        is2, is1 = predicted == now
-        is2 &= model.cuts[1] > 0
-        is1 &= model.cuts[2] > model.cuts[1]
+        held = predicted == now
+        is2 = held[0] & (model.cuts[1] > 0)
+        is1 = held[1] & (model.cuts[2] > model.cuts[1])
         event = np.int8(2) - is1.view(np.int8)
         event *= (~is2).view(np.int8)
         start, width = model.part(event)
         low += start
-        push(low, width)
-        rest = (event == 2).nonzero()[0]
-        if len(rest):
-            own = now[rest].astype(np.int64)
-            unit = width[rest] // model.total
-            own_low = low[rest] + unit * model.starts.take(own)
-            unit *= model.frequency.take(own)
-            push(own_low, unit, rest)
-            low[rest], width[rest] = own_low, unit
-        model.learn(now, event)
+        push()
+        # Most lanes go on to the order-0 frequencies: all do, and the others keep what they have.
+        rest, own = event == 2, now.astype(np.int64)
+        unit = width // model.total
+        low += unit * model.starts.take(own) * rest
+        unit *= model.frequency.take(own)
+        width = np.where(rest, unit, width)
+        push()
+        model.learn(now, held, event)
     if n:
         out_lane.append(np.arange(lanes))
         out_digit.append((low + WINDOW_MASK) >> np.uint64(WINDOW))
@@ -290,7 +286,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     order = np.argsort(lane.astype(np.uint16) if lanes <= 1 << 16 else lane, kind="stable")
     digits = _carry(lane[order], digits[order])
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + digits.tobytes()
-    fields = (MAGIC, n, steps, vocabulary, len(digits), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes()))
+    fields = (MAGIC, n, steps, vocabulary, len(digits), zlib.crc32(body), zlib.crc32(np.ascontiguousarray(ids, "<u4")))
     return HEADER.pack(*fields, zlib.crc32(repr(fields).encode())) + body
 
 
@@ -325,36 +321,33 @@ def decode_block(block: bytes) -> np.ndarray:
     at = begin + 1
     width = np.full(lanes, 1 << (WINDOW + DIGIT), np.uint64)
 
-    def pull(code: np.ndarray, width: np.ndarray, rows: np.ndarray | None = None) -> None:
+    def pull() -> None:
         small = (width < LOWEST).nonzero()[0]
         if len(small):
-            lane = small if rows is None else rows[small]
-            here = at[lane]
+            here = at[small]
             code[small] = (code[small] << np.uint64(DIGIT)) | after.take(here, mode="clip")
             width[small] <<= np.uint64(DIGIT)
-            at[lane] = here + 1
+            at[small] = here + 1
 
     model = _Model(lanes, vocabulary)
     out = np.zeros((steps, lanes), np.int32)
     for now in out:
         predicted = model.predict(width)
         event = (code >= model.cuts[1]).view(np.int8) + (code >= model.cuts[2]).view(np.int8)
-        now[:] = np.where(event == 0, predicted[0], predicted[1])
         start, width = model.part(event)
         code -= start
-        pull(code, width)
-        rest = (event == 2).nonzero()[0]
-        if len(rest):
-            unit, own_code = width[rest] // model.total, code[rest]
-            v = np.minimum(own_code // unit, model.total - np.uint64(1)).view(np.int64)
-            own = model.ids_at(v)
-            now[rest] = own  # below 2 ** 20
-            own_code -= unit * model.starts.take(own)
-            unit *= model.frequency.take(own)
-            pull(own_code, unit, rest)
-            code[rest], width[rest] = own_code, unit
-        model.learn(now, event)
-    ids = out.T.reshape(-1)[:n].astype("<u4")
-    if zlib.crc32(ids.tobytes()) != id_sum:
+        pull()
+        rest = event == 2
+        unit = width // model.total
+        v = np.minimum(code // unit, model.total - np.uint64(1))
+        own = model.ids_at(v.astype(np.uint32))
+        now[:] = np.where(rest, own, np.where(event == 0, predicted[0], predicted[1]))  # below 2 ** 20
+        code -= unit * model.starts.take(own) * rest
+        unit *= model.frequency.take(own)
+        width = np.where(rest, unit, width)
+        pull()
+        model.learn(now, predicted == now, event)
+    ids = out.view(np.uint32).T.reshape(-1)[:n].astype("<u4", copy=False)
+    if zlib.crc32(ids) != id_sum:
         raise ValueError("the ids of a block do not match their checksum")
     return ids

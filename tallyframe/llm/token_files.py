@@ -303,7 +303,7 @@ def read_documents(file, size: int) -> Iterator[tuple[pa.Array, np.ndarray, list
     done, seen, open_sum = 0, 0, 0
     for ids in read_blocks(file, end):
         upto = int(np.searchsorted(ends, seen + len(ids), side="right"))
-        data, at, sums = memoryview(ids.tobytes()), 0, []
+        data, at, sums = ids.view(np.uint8), 0, []
         for e in (ends[done:upto] - seen).tolist():
             sums.append(zlib.crc32(data[4 * at : 4 * e], open_sum))
             at, open_sum = e, 0
