@@ -65,18 +65,18 @@ class _Mixer:
 
     def __init__(self, sets: tuple[int, ...], open_cells: np.ndarray, table: np.ndarray):
         self.open_cells, self.table = np.broadcast_to(open_cells, CELLS).astype(np.int64), table.reshape(CELLS)
+        # Without the axis of levels, the last one.
+        self.rest = tuple(i for i in range(3) if i not in sets)
         # Which axes an order looks at: order 2 its confidence, order 1 its own and the agreement, order 0 the level.
-        axes = ((0,), (1, 2), (3,))
-        others = lambda kept: tuple(i for i in range(4) if i not in kept)
-        self.rest, self.part_rest, self.set_rest = [others(a) for a in axes], [others(a + sets) for a in axes], others(sets)
-        shapes = [[n if i in own else 1 for i, n in enumerate(CELLS)] for own in axes]
-        self.counts = [np.stack([np.full(shape, 1, np.int64), np.full(shape, 4, np.int64)]) for shape in shapes]  # hits, trials
+        shapes = [[n if i in axes else 1 for i, n in enumerate(CELLS)] for axes in ((0,), (1, 2), (3,))]
+        self.hits = [np.full(shape, 1, np.int64) for shape in shapes]
+        self.trials = [np.full(shape, 4, np.int64) for shape in shapes]
         shape = [n if i in sets else 1 for i, n in enumerate(CELLS)]
-        self.weights = [np.full(shape, WEIGHT_ONE * 2 // 5, np.int64) for _ in axes]
+        self.weights = [np.full(shape, WEIGHT_ONE * 2 // 5, np.int64) for _ in shapes]
         self.mix()
 
     def mix(self) -> None:
-        self.logits = [_LOGITS[(h * (ONE - 1) // t) >> 4] for h, t in self.counts]
+        self.logits = [_LOGITS[(h * (ONE - 1) // t) >> 4] for h, t in zip(self.hits, self.trials)]
         total = sum(w * x for w, x in zip(self.weights, self.logits))
         total >>= 16
         total += LOGIT_MAX
@@ -85,21 +85,26 @@ class _Mixer:
         self.table[...] = self.said
 
     def learn(self, hits: np.ndarray, trials: np.ndarray) -> None:
-        both = np.stack([hits, trials]).reshape(2, *CELLS) * self.open_cells
+        hits, trials = hits.reshape(CELLS) * self.open_cells, trials.reshape(CELLS) * self.open_cells
+        error = hits * ONE
+        error -= trials * self.said
+        # Sums over the levels first: what remains is small.
         over = lambda x, axes: np.add.reduce(x, axis=axes, keepdims=True)
-        error = both[0] * ONE
-        error -= both[1] * self.said
-        n = np.maximum(over(both[1], self.set_rest), 1)
-        for j, rest in enumerate(self.rest):
-            part = over(error, self.part_rest[j]) * self.logits[j]  # summed first where the logit is the same
-            weights = self.weights[j] + (over(part, self.set_rest) // n >> LEARN_SHIFT)
+        hits_left, trials_left, error_left = (over(x, 3) for x in (hits, trials, error))
+        order0 = (error.reshape(-1, LEVELS) @ self.logits[2].reshape(-1)).reshape(error_left.shape)
+        n = np.maximum(over(trials_left, self.rest), 1)
+        for j, part in enumerate((error_left * self.logits[0], error_left * self.logits[1], order0)):
+            weights = self.weights[j] + (over(part, self.rest) // n >> LEARN_SHIFT)
             self.weights[j] = np.minimum(np.maximum(weights, -4 * WEIGHT_ONE), 4 * WEIGHT_ONE)
-            counts = self.counts[j]
-            counts += over(both, tuple(i + 1 for i in rest))
-            old = counts[1] > 1 << 16
-            if old.any():
-                counts[0][old] = (counts[0][old] + 1) >> 1
-                counts[1][old] = (counts[1][old] >> 1) + 2
+        for counts, left, all_levels in ((self.hits, hits_left, hits), (self.trials, trials_left, trials)):
+            counts[0] += over(left, (1, 2))
+            counts[1] += over(left, 0)
+            counts[2] += np.add.reduce(all_levels.reshape(-1, LEVELS), axis=0)
+        for j, counted in enumerate(self.trials):
+            if counted.max() > 1 << 16:
+                old = counted > 1 << 16
+                self.hits[j][old] = (self.hits[j][old] + 1) >> 1
+                counted[old] = (counted[old] >> 1) + 2
         self.mix()
 
 
@@ -137,7 +142,8 @@ class _Model:
         self.frequency = self.counted.astype(np.uint32)
         np.cumsum(self.frequency, dtype=np.uint32, out=self.starts[1:])
         doublings = self.counted.astype(np.float32).view(np.int32) >> 23
-        self.level = np.clip(doublings - (126 + 3), 0, LEVELS - 1).astype(np.uint8)
+        doublings -= 126 + 3
+        self.level = np.minimum(np.maximum(doublings, 0, out=doublings), LEVELS - 1, out=doublings).astype(np.uint8)
         self.total = np.uint64(self.starts[-1])
         self.guess = None
 
