@@ -30,7 +30,8 @@ from tallyframe.session import cut_lineage, ensure_checkpoint_dir
 TOKENIZER = "word_bpe_49k.json"  # lower case, white space dropped: see Words
 END = 2
 FILE_TEXT = 32_000_000  # bytes of text for about one file
-PIECE = 4_000_000  # bytes of a text that are looked at together
+CHUNK = 16_000_000  # bytes of whole texts that are looked at together
+PIECE = 4_000_000  # the same of one longer text
 KNOWN_WORDS = 500_000  # words a task remembers; beyond it only the more frequent ones are kept
 KNOWN_BYTES = 64_000_000  # the same for their bytes
 MARK = b"TFIDEND1"
@@ -241,7 +242,7 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
         out, keys, sizes = None, [], []
-        for part in chunks(batches, "__text"):
+        for part in chunks(batches, "__text", CHUNK):
             out = out or _File(f"{folder}/{uuid.uuid4().hex}.ids", words.vocabulary)
             texts = pc.fill_null(part.column("__text"), "")
             keys.append(part.column("__id"))
