@@ -4,12 +4,13 @@ Sets are ordered rarest shingle first and share a shingle of their prefixes if t
 are cut into index partitions by hash. Position and size of an entry skip partners that cannot reach the
 overlap any more, and parity bitmaps skip pairs that differ in too many shingles. Very long lists lie in blocks by size and
 position; whole blocks that cannot reach the overlap with each other are skipped before any entry moves. Sets of a
-long list that are similar to its pivot are not paired: each is compared with the pivot, and answers among them are
+list that are similar to one of its pivots are not paired: each is compared with one pivot, and answers among them are
 derived from their few differences to it, only where they are not yet connected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,16 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import LOWER, chunks, text_bytes, word_ids
+from tallyframe.llm.common import CHUNK_BYTES, LOWER, chunks, text_bytes, word_ids
 from tallyframe.llm.graph import components
 from tallyframe.llm.marks import marked, marks_of, split_by_marks
-from tallyframe.session import cut_lineage
+from tallyframe.session import cut_lineage, release
 
 WIDTH = 4
 PERCENT = 85
 SKETCH_BITS = 21  # buckets that count shingles, as a power of 2: they order the work, never decide a link
 SHORT_LIST = 24  # lists up to here are paired directly
 BLOCK = 4096  # sets of a list or a pivot that are compared with each other in one task
+PIVOTS = 6  # sets of a list that others may be near to
+NEAR = 5  # of the eight parts of two sketches that agree: the sets are near
+STAR = 256  # sets that are compared with their pivot in one place
 DEPTHS = 4  # parts of the prefix that the blocks of a very long list tell apart
 PART_BYTES = 8_000_000
 U64 = np.uint64
@@ -97,6 +101,16 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+EIGHTHS = np.arange(8, dtype=U64) << U64(61)
+
+
+def sketch(shingles: np.ndarray) -> int:
+    """Eight times four bits: a hash of the first shingle from each eighth of the hash space on. Similar sets agree in most."""
+    first = shingles[np.searchsorted(shingles, EIGHTHS) % len(shingles)]
+    part = ((first * U64(0x9E3779B97F4A7C15)) >> U64(60)).astype(np.uint8)
+    return int((part[:4] << 4 | part[4:]).view("<u4")[0])
+
+
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least size of the symmetric difference, from bitmaps in the last axis: odd buckets differ at least once.
     The longer bitmap is folded until both have one length."""
@@ -119,18 +133,18 @@ def _unplanes(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(b, np.uint8).reshape(size, -1).T.copy().view(kind).ravel() if b else np.zeros(0, kind)
 
 
-COLUMNS = (("h", "<u8"), ("sig", "<i8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4"))
+COLUMNS = (("h", "<u8"), ("sig", "<i8"), ("near", "<u4"), ("size", "<u4"), ("pos", "<u4"))
 
 
 def _postings(rows: DataFrame, levels, width: int, percent: int, parts: int) -> DataFrame:
-    """(part, a blob for each column): prefix entries, equal sets of a task merged into their smallest key."""
+    """(part, a blob for each column): prefix entries with the sketch of their set, equal sets of a task merged."""
 
     def emit(held):
-        h, sig, key, size, pos = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((key, sig, h))
-        h, sig, key, size, pos = (x[order] for x in (h, sig, key, size, pos))
+        h, sig, near, size, pos = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((sig, h))
+        h, sig, near, size, pos = (x[order] for x in (h, sig, near, size, pos))
         first = np.concatenate([[True], (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])])
-        cols = [x[first] for x in (h, sig, key, size, pos)]
+        cols = [x[first] for x in (h, sig, near, size, pos)]
         part = (cols[0] % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -150,7 +164,7 @@ def _postings(rows: DataFrame, levels, width: int, percent: int, parts: int) ->
                     continue
                 p = prefix(s, table, percent)
                 k = len(p)
-                held.append((p, np.full(k, short(signature(s))), np.full(k, key), np.full(k, len(s), "<u4"), np.arange(k, dtype="<u4")))
+                held.append((p, np.full(k, short(signature(s))), np.full(k, sketch(s), "<u4"), np.full(k, len(s), "<u4"), np.arange(k, dtype="<u4")))
                 n += k
             if n > 2_000_000:
                 yield emit(held)
@@ -161,84 +175,113 @@ def _postings(rows: DataFrame, levels, width: int, percent: int, parts: int) ->
     return rows.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c, _ in COLUMNS))
 
 
+def _near(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For k lists of n sketches each entry's group and the place of its pivot. A pivot is the first entry without a
+    group, and those without one that are near to it join its group, from 1 on. Entries that are left or alone have 0."""
+    k, n = sketches.shape
+    own = np.ascontiguousarray(sketches).view(np.uint8).reshape(k, n, 4)
+    own = np.concatenate([own >> 4, own & 15], axis=2)
+    group, pivot = np.zeros((k, n), np.int64), np.tile(np.arange(n), (k, 1))
+    free, lists = np.ones((k, n), bool), np.arange(k)
+    for g in range(1, PIVOTS + 1):
+        p = free.argmax(axis=1)
+        near = free & ((own == own[lists, p][:, None]).sum(axis=2) >= NEAR)
+        free &= ~near
+        near &= near.sum(axis=1)[:, None] > 1
+        group[near] = g
+        pivot[near] = np.broadcast_to(p[:, None], (k, n))[near]
+        if not free.any():
+            break
+    return group, pivot
+
+
 def _candidates(percent: int):
-    """An index partition: pairs that position and size allow in short lists, the entries of long ones."""
+    """An index partition: of the sets near a pivot each with the pivot (``far``, as a star's points are), the other
+    pairs of lists that position and size allow, the entries of long lists where many pairs are left."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, sig, key, size, pos = (
+        h, sig, near, size, pos = (
             np.concatenate([_unplanes(b, kind) for b in table.column(c).to_pylist()]) for c, kind in COLUMNS
         )
-        order = np.lexsort((key, sig, h))
-        h, sig, key, size, pos = (x[order] for x in (h, sig, key, size.astype(np.int64), pos.astype(np.int64)))
+        order = np.lexsort((sig, h))
+        h, sig, near, size, pos = (x[order] for x in (h, sig, near, size.astype(np.int64), pos.astype(np.int64)))
         first = np.concatenate([[True], (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])])
-        h, sig, key, size, pos = (x[first] for x in (h, sig, key, size, pos))
+        h, sig, near, size, pos = (x[first] for x in (h, sig, near, size, pos))
         heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         lengths = np.diff(np.append(heads, len(h)))
-        pairs = [np.zeros((0, 2), np.int64)]
+        pairs, stars = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+
+        def possible(a: np.ndarray, b: np.ndarray) -> None:
+            reach = 1 + np.minimum(size[a] - pos[a] - 1, size[b] - pos[b] - 1)
+            ok = reach >= overlap_needed(size[a], size[b], percent)
+            ok &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            ends = np.sort(np.stack([sig[a[ok]], sig[b[ok]]], axis=1), axis=1)
+            pairs.append(np.unique(ends, axis=0))
+
+        def grouped(at: np.ndarray) -> np.ndarray:
+            group, pivot = _near(near[at])
+            of = np.take_along_axis(at, pivot, axis=1)
+            stars.append(np.unique(np.stack([sig[of[of != at]], sig[at[of != at]]], axis=1), axis=0))
+            return group
+
         for n in range(2, SHORT_LIST + 1):
             at = heads[lengths == n]
             if len(at):
                 i, j = np.triu_indices(n, 1)
-                a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                reach = 1 + np.minimum(size[a] - pos[a] - 1, size[b] - pos[b] - 1)
-                ok = reach >= overlap_needed(size[a], size[b], percent)
-                ok &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-                pairs.append(np.unique(np.stack([sig[a[ok]], sig[b[ok]]], axis=1), axis=0))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        long = np.repeat(lengths > SHORT_LIST, lengths)
-        blank = len(pairs), int(long.sum())
+                at = at[:, None] + np.arange(n)
+                group = grouped(at) if n > 2 else np.zeros(at.shape, np.int64)
+                other = (group[:, i] != group[:, j]) | (group[:, i] == 0)
+                possible(at[:, i][other], at[:, j][other])
+        label, long = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        for lo, n in zip(heads[lengths > SHORT_LIST], lengths[lengths > SHORT_LIST]):
+            at = np.arange(lo, lo + n)
+            label[at] = grouped(at[None])[0]
+            count = np.bincount(label[at])
+            count[0] = 0
+            main = count.argmax()
+            rest = at[(label[at] != main) | (label[at] == 0)]
+            if 2 * len(rest) <= SHORT_LIST:
+                a, b = np.repeat(rest, n), np.tile(at, len(rest))
+                other = (a != b) & ((label[a] != label[b]) | (label[a] == 0))
+                possible(a[other], b[other])
+            else:
+                long[at] = True
+        pairs, stars = (np.unique(np.concatenate(x), axis=0) for x in (pairs, stars))
+        blank = len(stars) + len(pairs), int(long.sum())
         join = lambda x, y, kind=pa.int64(): pa.concat_arrays(
             [pa.array(x, kind) if x is not None else pa.nulls(blank[0], kind), pa.array(y, kind) if y is not None else pa.nulls(blank[1], kind)]
         )
+        ends = np.concatenate([stars, pairs])
         return pa.table(
             {
-                "a": join(pairs[:, 0], sig[long]),
-                "b": join(pairs[:, 1], None),
+                "a": join(ends[:, 0], sig[long]),
+                "b": join(ends[:, 1], None),
+                "far": join(np.arange(blank[0]) < len(stars), None, pa.bool_()),
                 "h": join(None, h[long].view(np.int64)),
-                "id": join(None, key[long]),
                 "size": join(None, size[long]),
                 "pos": join(None, pos[long]),
+                "near": join(None, label[long]),
             }
         )
 
     return run
 
 
-def _near(maps: list[np.ndarray], size: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Whether the bitmaps leave it possible that at most half of a set's shingles set it apart from the pivot."""
-    return np.array([2 * int(apart(m, base)) <= n for m, n in zip(maps, size)], bool)
-
-
-def _with_near(entries: DataFrame) -> DataFrame:
-    """Adds ``near`` in the place of the pivot's bitmap."""
-    names = ["h", "a", "size", "pos", "bits", "pivot"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for bits, base, n in zip(*(batch.column(c).to_pylist() for c in ("bits", "pivot_bits", "size"))):
-                near.append(2 * int(apart(np.frombuffer(bits, np.uint8), np.frombuffer(base, np.uint8))) <= n)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(near, pa.bool_())], names=[*names, "near"])
-
-    kinds = "h bigint, a bigint, size bigint, pos bigint, bits binary, pivot bigint, near boolean"
-    return entries.select(*names, "pivot_bits").mapInArrow(run, kinds)
-
-
 def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Entries of very long lists in the pairs of blocks (r, c) in which they are rows or columns.
 
-    ``entries``: h, a, size, pos, near and any other columns. A cell holds a list's entries of like size, part of the
-    prefix and nearness; a cell of more than BLOCK entries has several blocks, by hash. Two cells are not paired if
-    the sizes are too far apart, if too few shingles are left behind the positions to reach the overlap, or if both
-    are near the pivot; their entries are never copied for each other.
+    ``entries``: h, a, size, pos, near and any other columns. ``near`` numbers the pivot that an entry is near to, 0 if
+    to none. A cell holds a list's entries of like size, part of the prefix and pivot; a cell of more than BLOCK entries
+    has several blocks, by hash. Two cells are not paired if the sizes are too far apart, if too few shingles are left
+    behind the positions to reach the overlap, or if both are near one pivot; their entries are never copied for each other.
     """
     depth = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     part = F.least(F.floor(F.col("pos") * DEPTHS / depth), F.lit(DEPTHS - 1))
     band = F.floor(F.ln(F.col("size").cast("double")) / F.ln(F.lit(100.0 / percent)))
-    cell = ((band * DEPTHS + part) * 2 + F.col("near").cast("int")).cast("int")
+    cell = ((band * DEPTHS + part) * (PIVOTS + 1) + F.col("near").cast("int")).cast("int")
     placed = entries.withColumn("at", F.xxhash64("a")).withColumn("cell", cell)
     cells = placed.groupBy("h", "cell").agg(
-        F.first("near").alias("near"),
+        F.first(F.col("near").cast("int")).alias("near"),
         F.min("size").alias("low"),
         F.max("size").alias("high"),
         F.max(F.col("size") - F.col("pos")).alias("left"),
@@ -246,7 +289,7 @@ def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     )
     cells = cut_lineage(cells)
     one, two = (cells.select("h", *[F.col(c).alias(c + n) for c in cells.columns if c != "h"]) for n in "12")
-    fit = (F.col("cell1") <= F.col("cell2")) & ~(F.col("near1") & F.col("near2"))
+    fit = (F.col("cell1") <= F.col("cell2")) & ((F.col("near1") == 0) | (F.col("near1") != F.col("near2")))
     fit &= (F.col("high1") * 100 >= F.col("low2") * percent) & (F.col("high2") * 100 >= F.col("low1") * percent)
     needed = F.ceil((F.col("low1") + F.col("low2")) * percent / (100 + percent))
     fit &= F.least("left1", "left2") >= needed
@@ -264,33 +307,28 @@ def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _list_pairs(percent: int):
-    """A block of rows and one of columns of a long list. Many sets near its pivot: a star. All other pairs: those
-    that position, size and bitmaps allow."""
+    """A block of rows and one of columns of a long list, or its entries, which are both: the pairs of sets not near one
+    pivot that position, size and bitmaps allow."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: np.array(table.column(c).to_pylist()) for c in ("a", "size", "pos", "at", "is_row", "r", "c")}
+        cols = {c: np.array(table.column(c).to_pylist()) for c in ("a", "size", "pos", "at", "near", "r", "c")}
         maps = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
-        pivot, whole = table.column("pivot")[0].as_py(), table.column("k")[0].as_py() == 1
-        sig, size, pos, at, role = (cols[c] for c in ("a", "size", "pos", "at", "is_row"))
+        sig, size, pos, at, near = (cols[c] for c in ("a", "size", "pos", "at", "near"))
+        as_row = np.array([x is not False for x in table.column("is_row").to_pylist()])
+        as_col = np.array([x is not True for x in table.column("is_row").to_pylist()])
         same = cols["r"][0] == cols["c"][0]
-        if whole:
-            near = _near(maps, size, np.frombuffer(table.column("pivot_bits")[0].as_py(), np.uint8))
-            if near[role].sum() <= SHORT_LIST:
-                near[:] = False  # the whole list is here, and what is near needs no star
-        else:
-            near = np.array(table.column("near").to_pylist())
-        star = sig[role & near & (sig != pivot)] if whole else np.zeros(0, np.int64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         widths = np.array([len(m) for m in maps])
         for w in np.unique(widths):
             for v in (x for x in (w // 2, w, w * 2) if (widths == x).any()):
-                rows, columns = np.flatnonzero(role & (widths == w)), np.flatnonzero(~role & (widths == v))
+                rows, columns = np.flatnonzero(as_row & (widths == w)), np.flatnonzero(as_col & (widths == v))
                 if not len(rows) or not len(columns):
                     continue
                 right = np.stack([maps[i] for i in columns])
                 for r in (rows[i : i + 64] for i in range(0, len(rows), 64)):
                     m, n = size[r][:, None], size[columns]
-                    ok = ~(near[r][:, None] & near[columns]) & (sig[r][:, None] != sig[columns])
+                    ok = (near[r][:, None] != near[columns]) | (near[r][:, None] == 0)
+                    ok &= sig[r][:, None] != sig[columns]
                     if same:
                         ok &= at[r][:, None] < at[columns]
                     ok &= 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
@@ -304,13 +342,7 @@ def _list_pairs(percent: int):
                         a.append(sig[r[x[good]]]), b.append(sig[columns[y[good]]])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.table(
-            {
-                "a": pa.array(np.concatenate([np.full(len(star), pivot, np.int64), pairs[:, 0]])),
-                "b": pa.array(np.concatenate([star, pairs[:, 1]])),
-                "far": pa.array(np.concatenate([np.ones(len(star), bool), np.zeros(len(pairs), bool)])),
-            }
-        )
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return run
 
@@ -321,48 +353,102 @@ def _possible(met: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for far, m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("far", "na", "nb", "xa", "xb"))):
+            for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))):
                 most = m + n - 2 * overlap_needed(m, n, percent)
-                keep.append(far or int(apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))) <= most)
-            names = ["a", "b", "ida", "idb", "far"]
+                keep.append(int(apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))) <= most)
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("a", "b")], names=["a", "b"])
 
-    return met.mapInArrow(run, "a bigint, b bigint, ida bigint, idb bigint, far boolean")
+    return met.mapInArrow(run, "a bigint, b bigint")
 
 
 # ---- answers
 
 
-def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Adds whether the sets ``sa`` and ``sb`` link and, for stars, what b has more and less than its pivot a."""
+ANSWER = "p bigint, s bigint, ida bigint, idb bigint, linked boolean, na bigint, nb bigint, plus binary, minus binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked, sizes, plus, minus = [], [], [], []
-            for far, x, y in zip(*(batch.column(c).to_pylist() for c in ("far", "sa", "sb"))):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+
+def _against_pivots(width: int, percent: int):
+    """Texts by the pivots p that they are compared with: whether their sets link. What a set has more and less than its
+    pivot is told for ``far`` ones, unless all sets of the pivot are here and link."""
+
+    def answers(group: list[tuple], sets: list[np.ndarray]) -> Iterator[tuple]:
+        known = {(r["hub"], r["sig"]): (r, x) for r, x in zip(group, sets) if len(x) and signature(x) == r["sig"]}
+        for hub, x in (v for v in known.values() if v[0]["hub"]):
+            found = []
+            for row, y in (v for v in known.values() if not v[0]["hub"]):
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 common = x[at] == y
-                n = int(common.sum())
-                linked.append(n >= overlap_needed(len(x), len(y), percent))
-                sizes.append(len(y))
-                if far:
+                found.append((row, y, at, common, int(common.sum()) >= overlap_needed(len(x), len(y), percent)))
+            closed = all(linked for *_, linked in found) and not hub["many"]
+            for row, y, at, common, linked in found:
+                plus = minus = None
+                if row["far"] and not closed:
                     gone = np.ones(len(x), bool)
                     gone[at[common]] = False
-                    plus.append(y[~common].tobytes()), minus.append(x[gone].tobytes())
-                else:
-                    plus.append(None), minus.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("ida"), batch.column("idb"), batch.column("far"), pa.array(linked, pa.bool_()),
-                 pa.array([len(x) // 8 for x in batch.column("sa").to_pylist()], pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(plus, pa.binary()), pa.array(minus, pa.binary())],
-                names=["ida", "idb", "far", "linked", "na", "nb", "plus", "minus"],
-            )
+                    plus, minus = y[~common].tobytes(), x[gone].tobytes()
+                yield hub["s"], row["s"], hub["id"], row["id"], linked, len(x), len(y), plus, minus
 
-    return rows.select("ida", "idb", "far", "sa", "sb").mapInArrow(
-        run, "ida bigint, idb bigint, far boolean, linked boolean, na bigint, nb bigint, plus binary, minus binary"
-    )
+    def run(table: pa.Table) -> pa.Table:
+        names = ["p", "s", "id", "sig", "far", "hub", "many"]
+        table = table.sort_by("p")
+        packed = table.column("packed")
+        rows = table.select(names).to_pylist()
+        ends = [i for i in range(1, len(rows) + 1) if i == len(rows) or rows[i]["p"] != rows[i - 1]["p"]]
+        out: list[tuple] = []
+        start, texts, groups = 0, [], []
+        held = 0
+        for end in ends:
+            own = [zlib.decompress(packed[i].as_py()) for i in range(start, end)]
+            groups.append((rows[start:end], len(texts)))
+            texts += own
+            held += sum(map(len, own))
+            start = end
+            if held >= CHUNK_BYTES or end == len(rows):
+                sets = shingle_sets(texts, width)
+                for group, at in groups:
+                    out += answers(group, sets[at : at + len(group)])
+                texts, groups, held = [], [], 0
+        kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 2 + [pa.binary()] * 2
+        cols = list(zip(*out)) if out else [()] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in ANSWER.split(", ")])
+
+    return run
+
+
+def _compare(rows: DataFrame, nodes: DataFrame, stars: DataFrame, width: int, percent: int) -> DataFrame:
+    """Compares the sets s of ``stars`` (p, s, far) with their pivots p, from the texts that ``rows`` have.
+
+    Only texts that are compared move, compressed, which is less than half of a set's hashes: by key to learn their pivots, then to these. A
+    pivot of more than STAR sets is sent to several places.
+    """
+    spark = rows.sparkSession
+    sizes = stars.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("k"))
+    many = (F.col("k") > 1).alias("many")
+    members = stars.join(sizes, "p").select("p", "s", "far", F.lit(False).alias("hub"), many, F.pmod(F.xxhash64("s"), F.col("k")).cast("int").alias("block"))
+    hubs = sizes.select("p", F.col("p").alias("s"), F.lit(False).alias("far"), F.lit(True).alias("hub"), many, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"))
+    roles = cut_lineage(members.unionByName(hubs).join(nodes.select("s", "id", "sig", "n"), "s"))
+    shingles = roles.agg(F.sum("n")).first()[0] or 0
+    places = max(24, shingles * 3 // PART_BYTES)  # a shingle takes some 3 bytes of compressed text
+    roles = roles.drop("n").withColumn("place", F.pmod(F.xxhash64("p", "block"), F.lit(places)).cast("int")).drop("block")
+    marks = spark.sparkContext.broadcast(marks_of(roles.select("id")))  # a bitmap of fixed size
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # a task's rows of one key and text are sent once
+        for part in chunks(batches, "__text"):
+            ids = part.column("__id")
+            part = part.filter(pa.array(marked(marks.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(False)))
+            own = {(i, xxhash.xxh3_128_digest(b)): b for i, b in zip(part.column("__id").to_pylist(), text_bytes(part.column("__text")))}
+            own = {k: b for k, b in own.items() if k not in seen}
+            seen.update(own)
+            ids, packed = pa.array([i for i, _ in own], pa.int64()), pa.array([zlib.compress(b, 3) for b in own.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, packed], names=["id", "packed"])
+
+    # The bitmap lets through the documents that are compared, and few others.
+    placed = rows.mapInArrow(load, "id bigint, packed binary").join(roles, "id")
+    answers = cut_lineage(placed.groupBy("place").applyInArrow(_against_pivots(width, percent), ANSWER))
+    release(roles)
+    return answers
 
 
 def _matrix(sets: list[np.ndarray], features: np.ndarray) -> np.ndarray:
@@ -494,7 +580,7 @@ def link_documents(
     listed = cut_lineage(
         _postings(rows, levels, width, percent, parts)
         .groupBy("part")
-        .applyInArrow(_candidates(percent), "a bigint, b bigint, h bigint, id bigint, size bigint, pos bigint")
+        .applyInArrow(_candidates(percent), "a bigint, b bigint, far boolean, h bigint, size bigint, pos bigint, near bigint")
     )
     # Each set under the smallest key that has it.
     nodes = cut_lineage(
@@ -502,72 +588,56 @@ def link_documents(
         .groupBy("sig", "s")
         .agg(F.min("__id").alias("id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     )
-    maps = nodes.dropDuplicates(["s"]).select("s", "bits")
-
-    long = listed.filter("h IS NOT NULL").drop("b")
-    lists = long.groupBy("h").agg(F.min_by("a", F.struct("id", "a")).alias("pivot"), F.count(F.lit(1)).alias("len"))
-    lists = lists.withColumn("k", F.ceil(F.col("len") / BLOCK).cast("int")).drop("len")
-    lists = lists.join(maps.select(F.col("s").alias("pivot"), F.col("bits").alias("pivot_bits")), "pivot")
-    lists = cut_lineage(lists)
-    entries = long.join(maps.withColumnRenamed("s", "a"), "a").drop("id")
-    sides = F.explode(F.array(F.lit(True), F.lit(False)))
-    whole = entries.join(lists.filter("k = 1"), "h").withColumn("at", F.xxhash64("a")).withColumn("is_row", sides)
-    whole = whole.withColumn("near", F.lit(None).cast("boolean")).withColumn("r", F.lit("")).withColumn("c", F.lit(""))
-    # Lists of more than one block. What is near the pivot becomes a star here, and meets only what is not.
-    cut = cut_lineage(_with_near(entries.join(lists.filter("k > 1"), "h")))
-    stars = cut.filter("near AND a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b"), F.lit(True).alias("far"))
-    blocks = block_pairs(cut, percent).withColumn("pivot_bits", F.lit(None).cast("binary")).withColumn("k", F.lit(2))
-    blocks = whole.unionByName(blocks)
-    far_pairs = blocks.groupBy("h", "r", "c").applyInArrow(_list_pairs(percent), "a bigint, b bigint, far boolean")
-    pairs = (
-        listed.filter("h IS NULL")
-        .select("a", "b", F.lit(False).alias("far"))
-        .unionByName(far_pairs)
-        .unionByName(stars)
-        .groupBy("a", "b")
-        .agg(F.max("far").alias("far"))
-    )
-    end = lambda x: nodes.select(*[F.col(c).alias(n) for c, n in (("s", x), ("id", f"id{x}"), ("n", f"n{x}"), ("bits", f"x{x}"))])
-    pairs = cut_lineage(_possible(pairs.join(end("a"), "a").join(end("b"), "b"), percent))
-
-    wanted = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id"))).distinct()
-    needed = nodes.select("id", "sig", "s").join(wanted, "id")
-    marks = spark.sparkContext.broadcast(marks_of(wanted))  # a bitmap of fixed size
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "__text"):
-            ids = part.column("__id")
-            part = part.filter(pa.array(marked(marks.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(False)))
-            sets = shingle_sets(text_bytes(part.column("__text")), width)
-            full = [len(s) > 0 for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("__id").filter(pa.array(full, pa.bool_())),
-                    pa.array([signature(s) for s in sets if len(s)], pa.binary()),
-                    pa.array([s.tobytes() for s in sets if len(s)], pa.binary()),
-                ],
-                names=["id", "sig", "members"],
-            )
-
-    # Texts are not shuffled: the bitmap lets through the documents that a pair needs, and few others.
-    loaded = rows.mapInArrow(load, "id bigint, sig binary, members binary").join(needed, ["id", "sig"]).drop("sig")
-    loaded = cut_lineage(loaded)
-    side = lambda x: loaded.select(*[F.col(c).alias(n) for c, n in (("s", x), ("id", f"id{x}"), ("members", f"s{x}"))])
-    met = pairs.join(side("b"), ["b", "idb"]).join(side("a"), ["a", "ida"])
-    answers = cut_lineage(_compare(met, percent).dropDuplicates(["ida", "idb", "far"]))
-    linked = answers.filter("linked").select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-    found = cut_lineage(components(linked))
-
-    # Stars: sets outside the largest part of their pivot's group may still link with others of the group.
-    stars = answers.filter("far")
-    pivots = stars.groupBy("ida").agg(F.max("na").alias("na"))
-    group = stars.select(F.col("ida").alias("p"), F.col("idb").alias("id"), F.col("nb").alias("size"), F.col("na").alias("base"), "plus", "minus").unionByName(
-        pivots.select(F.col("ida").alias("p"), F.col("ida").alias("id"), F.col("na").alias("size"), F.col("na").alias("base"), F.lit(b"").alias("plus"), F.lit(b"").alias("minus"))
+    long = listed.filter("h IS NOT NULL").select("h", "a", "size", "pos", "near")
+    lists = cut_lineage(long.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")))
+    entries = long.join(nodes.select(F.col("s").alias("a"), "bits"), "a")
+    whole = entries.join(lists.filter("k = 1"), "h").drop("k").withColumn("at", F.xxhash64("a"))
+    whole = whole.withColumn("is_row", F.lit(None).cast("boolean")).withColumn("r", F.lit("")).withColumn("c", F.lit(""))
+    # Lists of more than one block.
+    cut = cut_lineage(entries.join(lists.filter("k > 1"), "h").drop("k"))
+    blocks = whole.unionByName(block_pairs(cut, percent))
+    far_pairs = blocks.groupBy("h", "r", "c").applyInArrow(_list_pairs(percent), "a bigint, b bigint")
+    pairs = listed.filter("NOT far").select("a", "b").unionByName(far_pairs).distinct()
+    end = lambda x: nodes.select(*[F.col(c).alias(n) for c, n in (("s", x), ("n", f"n{x}"), ("bits", f"x{x}"))])
+    pairs = cut_lineage(_possible(pairs.join(end("a"), "a").join(end("b"), "b"), percent))
+    stars = cut_lineage(listed.filter("far").select(F.col("a").alias("p"), F.col("b").alias("s")).distinct())
+    for done in (listed, lists, cut):
+        release(done)
+
+    # First each set with one pivot only, the smallest.
+    hubs = cut_lineage(stars.groupBy("s").agg(F.min("p").alias("hub")))
+    first = _compare(rows, nodes, hubs.select(F.col("hub").alias("p"), "s", F.lit(True).alias("far")), width, percent)
+    edges = lambda answers: answers.filter("linked").select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    found = cut_lineage(components(edges(first)))
+    of_node = nodes.join(found, F.col("id") == F.col("node"), "left").select("s", F.coalesce("component", "id").alias("comp"))
+    of_node = cut_lineage(of_node)
+    comp = lambda x: of_node.select(F.col("s").alias(x), F.col("comp").alias(f"comp_{x}"))
+    # A star is done if all its sets have its pivot or the pivot's own one; else, and for all other pairs, what is connected is.
+    own = F.when(F.col("hub") == F.col("p"), 1).when(F.col("hub") == F.col("above"), 2).otherwise(3)
+    above = hubs.select(F.col("s").alias("p"), F.col("hub").alias("above"))
+    kinds = stars.join(hubs, "s").join(above, "p", "left").select("p", own.alias("own"))
+    mixed = kinds.groupBy("p").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("high = 3 OR low <> high")
+    more = cut_lineage(stars.join(mixed.select("p"), "p").join(comp("s"), "s").join(comp("p"), "p"))
+    split = more.groupBy("p").agg(F.min(F.least("comp_s", "comp_p")).alias("low"), F.max(F.greatest("comp_s", "comp_p")).alias("high"))
+    more = more.join(split.filter("low <> high").select("p"), "p").select("p", "s", F.lit(True).alias("far"))
+    apart_pairs = pairs.select(F.col("a").alias("p"), F.col("b").alias("s")).join(comp("p"), "p").join(comp("s"), "s").filter("comp_p <> comp_s")
+    second = more.unionByName(apart_pairs.select("p", "s", F.lit(False).alias("far"))).groupBy("p", "s").agg(F.max("far").alias("far"))
+    second = _compare(rows, nodes, cut_lineage(second), width, percent)
+    found = cut_lineage(components(edges(first).unionByName(edges(second))))
+
+    # Sets outside the largest part of their pivot's group may still link with others of the group.
+    stars = first.unionByName(second.withColumn("p", F.xxhash64("p"))).filter("plus IS NOT NULL")
+    pivots = stars.groupBy("p").agg(F.min("ida").alias("ida"), F.max("na").alias("na"))
+    group = stars.select("p", F.col("idb").alias("id"), F.col("nb").alias("size"), F.col("na").alias("base"), "plus", "minus").unionByName(
+        pivots.select("p", F.col("ida").alias("id"), F.col("na").alias("size"), F.col("na").alias("base"), F.lit(b"").alias("plus"), F.lit(b"").alias("minus"))
     )
     group = group.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "comp", F.coalesce("component", "id")
     )
     group = cut_lineage(group.drop("component"))
+    for done in (first, second, hubs):
+        release(done)
     parts_of = group.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = parts_of.groupBy("p").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     split = main.filter("n > most").select(
@@ -581,7 +651,8 @@ def link_documents(
     as_rows = open_group.filter("comp <> main").select(*base, F.lit(True).alias("is_row"), place("kr").alias("r"), every("kc").alias("c"))
     as_cols = open_group.select(*base, F.lit(False).alias("is_row"), every("kr").alias("r"), place("kc").alias("c"))
     derived = as_rows.unionByName(as_cols).groupBy("p", "r", "c").applyInArrow(_derive(percent), "a bigint, b bigint")
-    derived = derived.distinct()
+    derived = cut_lineage(derived.distinct())
+    release(group)
     # Components that these links join: a small graph whose nodes are the components found before.
     comp_of = found.select(F.col("node").alias("x"), F.col("component").alias("y"))
     lift = derived

@@ -2,8 +2,11 @@
 
 import gzip
 import io
+import time
 import tracemalloc
+from pathlib import Path
 
+import brute
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -11,6 +14,7 @@ from hypothesis import strategies as st
 
 from tallyframe.llm import common, decontaminate, jaccard, lm_score, repeats, warc
 from tallyframe.llm.run_index import RunIndex
+from tallyframe.session import cut_lineage
 
 ALPHABETS = st.sampled_from([b"a", b"ab", b"abc", bytes(range(256))])
 
@@ -153,6 +157,62 @@ def test_near_entries_are_not_copied_for_each_other(spark, monkeypatch):
     assert moved(400) <= 4.5 * moved(100)
 
 
+def test_rows_kept_grow_with_near_copies_not_with_their_pairs(spark, monkeypatch):
+    """Copies in short lists are compared with one of them, whatever the number of lists they share."""
+    random, real, most = np.random.default_rng(3), jaccard.cut_lineage, []
+
+    def counted(df):
+        out = real(df)
+        most[-1] = max(most[-1], out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", counted)
+    for n in (5, 20):
+        most.append(0)
+        base, docs = [f"w{i}" for i in range(300)], []
+        for i in range(n):
+            at = int(random.integers(300))
+            docs.append((i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])))
+        got = jaccard.link_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+        assert {r.component_id for r in got} == {0} and len(got) == n
+    assert most[1] < 8 * most[0]  # pairs: 19 times
+
+
+def test_sets_near_one_pivot_have_its_group():
+    a, b, c = 0x12345678, 0x9ABCDEF0, 0x0F0F0F0F
+    near, far = a ^ 0x00000111, a ^ 0x11111000  # five and three of eight parts are as in a
+    group, pivot = jaccard._near(np.array([[a, near, b, far, b, c]], "<u4"))
+    assert group.tolist() == [[1, 1, 2, 0, 2, 0]] and pivot[0, [1, 4]].tolist() == [0, 2]
+
+
+def test_sets_of_one_pivot_that_do_not_link_with_it(spark):
+    """Copies that link with each other, not with the first text, in short and in long lists."""
+    base = [f"w{i}" for i in range(200)]
+    change = lambda ats, k: " ".join(f"x{k}" if i in ats else w for i, w in enumerate(base))
+    for n in (5, 40):
+        docs = [(0, " ".join(base))]
+        docs += [(1 + i, change({5, 25, 45, 65, 85, 105, 125, 3 * i}, 0)) for i in range(n)]  # far from 0, near to each other
+        docs += [(500 + i, change({4 * i}, 1)) for i in range(n)]
+        got = sorted(tuple(r) for r in jaccard.link_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+        assert got == sorted(brute.jaccard(docs))
+
+
+def _shuffled(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in dirs for f in Path(str(d)).rglob("shuffle_*.data"))
+
+
+def test_shuffle_files_go_when_lineage_is_cut(spark):
+    before = _shuffled(spark)
+    rows = spark.range(200_000).selectExpr("id", "md5(string(id)) AS t").repartition(7)
+    assert cut_lineage(rows).count() == 200_000
+    for _ in range(50):
+        if _shuffled(spark) <= before + 1_000_000:
+            return
+        time.sleep(0.1)
+    raise AssertionError("shuffle files stay")
+
+
 def test_words_of_a_chunk_are_not_held_all_at_once():
     """Numbers of words take 4 bytes a word, and their bytes only some at a time."""
     texts = [b" ".join(b"w%d" % (i * j % 997) for i in range(2000)) for j in range(250)]
