@@ -698,7 +698,8 @@ def one_text_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     and the text's length; a missing key comes last. Rows are told apart by key and text: rows that share a key or have none are compared like any others. Rows
     without words link with none; of those that repeat key and text one stays, and all that have no key.
 
-    As in ``one_per_group`` only marked rows move; those of one text and key are merged before they do.
+    As in ``one_per_group`` only marked rows move, and of these only the ones with the text and key of a row that may
+    stay, so copies that go do not; those of one text and key are merged before they do.
     """
     k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
     row = F.xxhash64(t)
@@ -717,10 +718,20 @@ def one_text_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = cut_lineage(first)
     gone = known.join(first.select("id"), "id", "left_anti").select("id").unionByName(known.filter("n > 1").select("id"))
     marked_rows, others = split_by_marks(docs, row, gone)
+    # Of the marked rows only those move that stand for a group, by their own text and key or by chance.
+    stand = F.xxhash64("id", F.col("least").cast("bigint"))
+    marks = docs.sparkSession.sparkContext.broadcast(marks_of(first.select(stand.alias("id"))))
+
+    @F.arrow_udf("boolean")
+    def stands(own: pa.Array) -> pa.Array:
+        return pa.array(marked(marks.value, own.to_numpy(zero_copy_only=False)), pa.bool_())
+
     flat = [f.name for f in docs.schema if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean")]
     field = F.col("__doc").getField
     wordless = ~F.coalesce(field(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     own = marked_rows.withColumn("__key", field(key)).withColumn("__wordless", wordless)
+    own = own.withColumn("__stands", stands(F.xxhash64("__id", F.col("__key").cast("bigint"))))
+    own = own.filter("__wordless OR __stands").drop("__stands")
     stay = own.filter("__wordless AND __key IS NULL")
     met = own.filter("NOT (__wordless AND __key IS NULL)").groupBy("__id", "__key").agg(
         F.min_by("__doc", F.xxhash64(*[field(c) for c in flat])).alias("__doc"), F.first("__wordless").alias("__wordless")

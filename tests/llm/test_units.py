@@ -213,6 +213,17 @@ def test_shuffle_files_go_when_lineage_is_cut(spark):
     raise AssertionError("shuffle files stay")
 
 
+def test_copies_that_go_do_not_move(spark):
+    random = np.random.default_rng(1)
+    texts = [" ".join(random.bytes(5).hex() for _ in range(6000)) for _ in range(8)]
+    docs = spark.createDataFrame([(100 * k + i, f"{t} {k}") for k in range(20) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    docs = cut_lineage(docs)
+    before = _shuffled(spark)
+    got = jaccard.one_text_per_group(docs, width=5, percent=80).collect()
+    assert sorted(r.doc_id for r in got) == list(range(8))
+    assert _shuffled(spark) - before < 2_500_000  # all copies have 10 MB, 6 MB when compressed
+
+
 def test_words_of_a_chunk_are_not_held_all_at_once():
     """Numbers of words take 4 bytes a word, and their bytes only some at a time."""
     texts = [b" ".join(b"w%d" % (i * j % 997) for i in range(2000)) for j in range(250)]
